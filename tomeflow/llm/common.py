@@ -95,3 +95,68 @@ def slices(sizes, most: int):
 
 def crc32(data: bytes) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF
+
+
+def map_texts(df: DataFrame, keep: list[str], fn, fields: str, text: str = "text", most_chars: int = 1 << 21) -> DataFrame:
+    """The columns `keep` of df beside those that fn makes of each text.
+
+    fn gets a list of texts (None where null) and returns a list of columns, in the order of `fields`, a DDL
+    string. Texts are handed over in slices of about `most_chars` characters, so memory follows the longest text
+    and not the batch.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    source = df.select(*keep, F.col(text).alias("__text"))
+    schema = StructType([source.schema[c] for c in keep] + list(StructType.fromDDL(fields).fields))
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            column = batch.column(len(keep))
+            sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+            for i, j in slices(sizes, most_chars):
+                made = fn(column.slice(i, j - i).to_pylist())
+                kept = [batch.column(k).slice(i, j - i) for k in range(len(keep))]
+                yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(kept, arrow, strict=False)] + [pa.array(m, type=f.type) for m, f in zip(made, list(arrow)[len(keep) :], strict=True)], schema=arrow)
+
+    return source.mapInArrow(run, schema)
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
+    """(doc_id, text, label) of at most about `most` documents whose labels may be learned from.
+
+    The sampled labels are few, so documents meet them by broadcast and no text is shuffled.
+    """
+    may = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+    return written(docs.select("doc_id", "text").join(F.broadcast(bounded_sample(may, "doc_id", most)), "doc_id"), "labelled")
+
+
+def code_points(texts: list[str]):
+    """All texts' code points one after the other, and the offsets at which each begins, with the end."""
+    import numpy as np
+
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    at = np.zeros(len(texts) + 1, np.int64)
+    np.cumsum([len(x) for x in texts], out=at[1:])
+    return codes, at
+
+
+_classes = None
+
+SPACE, LOWER, UPPER, DIGIT, SYMBOL, NEWLINE = range(6)
+
+
+def char_classes(codes):
+    """The class of each code point; letters without case count as lower."""
+    import numpy as np
+
+    global _classes
+    if _classes is None:
+        of = [LOWER if (c := chr(i)).isalpha() and not c.isupper() else UPPER if c.isupper() else DIGIT if c.isdigit() else SPACE if c.isspace() else SYMBOL for i in range(0x30000)]
+        _classes = np.array(of, np.uint8)
+        _classes[10] = NEWLINE
+    return _classes[np.minimum(codes, 0x2FFFF)]

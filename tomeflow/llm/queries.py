@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+def op3_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .flac import digested
+
+    return digested(table(spark, sf_dir, "documents"))
+
+
 def op4_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mixed
 
@@ -20,5 +26,26 @@ def op5_virtual_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_pareto_mixing, op5_virtual_slot_sharding)}
+def op2_toxicity_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fitted, scored
+
+    docs = table(spark, sf_dir, "documents")
+    return scored(docs, fitted(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_language_naive_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import fitted, identified
+
+    docs = table(spark, sf_dir, "documents")
+    return identified(docs, fitted(docs))
+
+
+def op10_quality_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fitted, scored
+
+    docs = table(spark, sf_dir, "documents")
+    return scored(docs, fitted(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op2_toxicity_factorization_machine, op3_flac_media, op4_pareto_mixing, op5_virtual_slot_sharding, op7_language_naive_bayes, op10_quality_line_crf)}
 ORACLES: dict[str, str] = {}
