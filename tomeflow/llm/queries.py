@@ -33,6 +33,12 @@ def op2_toxicity_factorization_machine(spark: SparkSession, sf_dir: str) -> Data
     return scored(docs, fitted(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import packed
+
+    return packed(table(spark, sf_dir, "documents"))
+
+
 def op7_language_naive_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import fitted, identified
 
@@ -40,6 +46,18 @@ def op7_language_naive_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identified(docs, fitted(docs))
 
 
+def op8_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .syncmers import fingerprinted
+
+    return fingerprinted(table(spark, sf_dir, "documents"))
+
+
+def op9_site_template_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import extracted
+
+    return extracted(table(spark, sf_dir, "pages"))
+
+
 def op10_quality_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import fitted, scored
 
@@ -47,5 +65,18 @@ def op10_quality_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(docs, fitted(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity_factorization_machine, op3_flac_media, op4_pareto_mixing, op5_virtual_slot_sharding, op7_language_naive_bayes, op10_quality_line_crf)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_toxicity_factorization_machine,
+        op3_flac_media,
+        op4_pareto_mixing,
+        op5_virtual_slot_sharding,
+        op6_lexical_packing,
+        op7_language_naive_bayes,
+        op8_syncmer_fingerprints,
+        op9_site_template_extraction,
+        op10_quality_line_crf,
+    )
+}
 ORACLES: dict[str, str] = {}
