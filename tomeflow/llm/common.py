@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 import zlib
@@ -12,19 +11,11 @@ from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-SPACE_TO_BLANK = {i: " " for i in range(9, 14)}
-_LOWER_ASCII = {i: i + 32 for i in range(ord("A"), ord("Z") + 1)}
-_odd_space = re.compile(r"[^\S\x20\x09-\x0D]|[\x1c-\x1f]")
-_word = re.compile(WORD)
 
 
-def words(text: str) -> list[str]:
-    """The words of a text. str.split() knows more white space than ASCII's, so texts that hold such characters take the slower way."""
-    return _word.findall(text) if _odd_space.search(text) else text.split()
-
-
-def ascii_lower(text: str) -> str:
-    return text.lower() if text.isascii() else text.translate(_LOWER_ASCII)
+def words(text: str | None) -> list[bytes]:
+    """The words of a text with A-Z lower-cased, as UTF-8. On bytes, lower() and split() know ASCII only, as asked."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
 def shared_dir(spark: SparkSession) -> str:

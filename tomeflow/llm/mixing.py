@@ -113,6 +113,25 @@ def _drawn(sized: DataFrame, weights, share: float, most: int) -> DataFrame:
     return decided.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "row_id")
 
 
+def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, weight: str | None = None) -> DataFrame:
+    """The documents' own rows, each as often as the mix takes it.
+
+    Copies are joined by doc_id and size; of rows that agree in both, each draws its own number of copies.
+    """
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
+    copies = mixed(docs, weights, share, most, weight).where("copies > 0").select("doc_id", "size", "source", "copies", "row_id")
+    same = Window.partitionBy("doc_id", "size", "source")
+    numbered = written(copies.withColumn("nth", F.row_number().over(same.orderBy("row_id"))).drop("row_id").withColumnsRenamed({c: f"mix_{c}" for c in ("doc_id", "size", "source", "copies", "nth")}), "mix-copies")
+    repeated = numbered.where("mix_nth > 1").isEmpty()
+    left = docs.withColumn("mix_words", size)
+    on = F.col("doc_id").eqNullSafe(F.col("mix_doc_id")) & (F.col("mix_words") == F.col("mix_size")) & F.col("source").eqNullSafe(F.col("mix_source"))
+    if not repeated:
+        left = left.withColumn("mix_row", F.row_number().over(Window.partitionBy("doc_id", "mix_words", "source").orderBy("text")))
+        on = on & (F.col("mix_row") == F.col("mix_nth"))
+    taken = left.join(numbered, on)
+    return taken.withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("mix_copies")))).select(*docs.columns)
+
+
 def _joined(df: DataFrame, by_source: DataFrame, small: bool = False) -> DataFrame:
     """Left join on the source, null equal to null. small: there are few sources; with many, Spark shuffles and splits hot ones."""
     right = by_source.withColumnRenamed("source", "of_source")

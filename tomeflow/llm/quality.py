@@ -230,12 +230,19 @@ def fitted(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Quality
     return QualityModel(model, base)
 
 
-def scored(docs: DataFrame, model: QualityModel, keep: list[str] | None = None) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every document; or the columns `keep`, then score and predicted."""
-
+def _scorer(docs: DataFrame, model: QualityModel):
     def score(texts):
         p = model.score(texts)
         return [p, (p >= THRESHOLD).astype(np.int32)]
 
-    source = docs if keep else docs.withColumn("held_out", held_out("doc_id"))
-    return map_texts(source, keep or ["doc_id", "held_out"], score, "score double, predicted int", most_chars=1 << 20)
+    return score
+
+
+def scored(docs: DataFrame, model: QualityModel) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every document."""
+    return map_texts(docs.withColumn("held_out", held_out("doc_id")), ["doc_id", "held_out"], _scorer(docs, model), "score double, predicted int", most_chars=1 << 20)
+
+
+def scored_documents(docs: DataFrame, model: QualityModel) -> DataFrame:
+    """The documents, with _score and _predicted beside their columns."""
+    return map_texts(docs, docs.columns, _scorer(docs, model), "_score double, _predicted int", most_chars=1 << 20)

@@ -26,6 +26,12 @@ def op5_virtual_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded(table(spark, sf_dir, "documents"))
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import joined
+
+    return joined(table(spark, sf_dir, "documents"), n=3, num=90, den=100).select("doc_id", "n_shingles", "component_id")
+
+
 def op2_toxicity_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import fitted, scored
 
@@ -68,6 +74,7 @@ def op10_quality_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_ngram_jaccard_join,
         op2_toxicity_factorization_machine,
         op3_flac_media,
         op4_pareto_mixing,

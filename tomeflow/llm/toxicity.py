@@ -180,18 +180,27 @@ def fitted(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Factori
     return _fit(np.concatenate(each) if each else np.zeros(0, np.int32), at, np.array([r.label > 0 for r in got], int), slots)
 
 
-def scored(docs: DataFrame, model: FactorizationMachine, keep: list[str] | None = None) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every document; or the columns `keep`, then score and predicted."""
+def _scorer(docs: DataFrame, model: FactorizationMachine):
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    memory = []
+    memory: list[_Terms] = []
 
     def score(texts):
         m = shared.value
-        terms = memory[0] if memory else memory.append(_Terms(m.slots)) or memory[0]
-        each = [terms.of(x) for x in texts]
+        if not memory:
+            memory.append(_Terms(m.slots))
+        each = [memory[0].of(x) for x in texts]
         at = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)
         p = 1 / (1 + np.exp(-np.clip(m.logits(np.array([s for x in each for s in x], np.int64), at), -35, 35)))
         return [p, (p >= THRESHOLD).astype(np.int32)]
 
-    source = docs if keep else docs.withColumn("held_out", held_out("doc_id"))
-    return map_texts(source, keep or ["doc_id", "held_out"], score, "score double, predicted int")
+    return score
+
+
+def scored(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every document."""
+    return map_texts(docs.withColumn("held_out", held_out("doc_id")), ["doc_id", "held_out"], _scorer(docs, model), "score double, predicted int")
+
+
+def scored_documents(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
+    """The documents, with _score and _predicted beside their columns."""
+    return map_texts(docs, docs.columns, _scorer(docs, model), "_score double, _predicted int")
