@@ -17,7 +17,6 @@ packed as often as they come; an empty table gives an empty result; extra column
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,53 +29,39 @@ WINDOW = 1024
 SHARD_DOCS = 1024
 SHARD_TOKENS = 1 << 20
 K1, B = 1.2, 0.75
-_CACHED = 300_000
-_END = b"\0\0\0\0"
+_END = np.zeros(1, "<u4")
 
 
-class CachedTokenizer:
-    """Ids of texts by a byte-level BPE of the `tokenizers` library, as little-endian unsigned 32-bit numbers.
+def _byte_letters() -> dict[str, int]:
+    """The characters that stand for bytes in a byte-level vocabulary: printable bytes for themselves, the others from U+0100 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
-    Where white space is single blanks, a blank always begins a new piece, so what lies between two blanks is
-    tokenised once and remembered. Texts with other runs of white space are tokenised whole.
-    """
 
-    _run = re.compile(r"[\s\x1c-\x1f\x85]{2}")
+class ByteBpe:
+    """The ids that the `tokenizers` library gives by a byte-level BPE file.
+
+    In such a file with its merges in the order of the ids, merging by least id is merging by its list, which
+    tiktoken does several times faster; tests hold both against each other.
+    """
 
     def __init__(self, path: str):
-        import os
-
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task a core
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.seen: dict[str, bytes] = {}
-
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        pieces, whole = [], [i for i, x in enumerate(texts) if self._run.search(x)]
-        slow = set(whole)
-        for i, x in enumerate(texts):
-            if i in slow:
-                pieces.append(())
-                continue
-            first, *rest = x.split(" ")
-            pieces.append(([first] if first else []) + [" " + p for p in rest])
-        new = {p for own in pieces for p in own if p not in self.seen}
-        if new:
-            if len(self.seen) + len(new) > _CACHED:
-                self.seen.clear()
-                new = {p for own in pieces for p in own}
-            ordered = list(new)
-            self.seen.update(zip(ordered, self._encoded(ordered), strict=True))
-        seen = self.seen
-        out = [b"".join([seen[p] for p in own]) for own in pieces]
-        for i, ids in zip(whole, self._encoded([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        return out
+        import json
+
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            parsed = json.load(f)
+        letters = _byte_letters()
+        special = {t["content"] for t in parsed.get("added_tokens", ()) if t.get("special")}
+        ranks = {bytes(letters[c] for c in token): i for token, i in parsed["model"]["vocab"].items() if token not in special}
+        self._encoding = tiktoken.Encoding("byte level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def ids(self, text: str) -> np.ndarray:
+        """Unsigned 32-bit ids; special tokens' strings are ordinary text."""
+        return self._encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
 
 
 @dataclass
@@ -207,7 +192,7 @@ def packed(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW)
         import pyarrow as pa
         from pyspark import TaskContext
 
-        tokens = CachedTokenizer(tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
+        tokens = ByteBpe(tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
         following = TaskContext.get().partitionId() << 36
         units: list[Unit] = []
         size = 0
@@ -225,15 +210,13 @@ def packed(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW)
             return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 128):
-                part = batch.slice(i, 128)
-                for doc_id, ids in zip(part.column(0).to_pylist(), tokens.ids(part.column(1).to_pylist()), strict=True):
-                    units.append(Unit(doc_id, np.frombuffer(ids + _END, "<u4"), 0))
-                    size += units[-1].left
-                    if len(units) >= SHARD_DOCS or size >= SHARD_TOKENS:
-                        sequences, units = packed_shard(units, window)
-                        size = sum(u.left for u in units)
-                        yield rows(sequences)
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                units.append(Unit(doc_id, np.append(tokens.ids(text.as_py()), _END), 0))
+                size += units[-1].left
+                if len(units) >= SHARD_DOCS or size >= SHARD_TOKENS:
+                    sequences, units = packed_shard(units, window)
+                    size = sum(u.left for u in units)
+                    yield rows(sequences)
         sequences, units = packed_shard(units, window)
         yield rows(sequences + packed_rest(units, window))
 
