@@ -13,9 +13,11 @@ document takes a prefix, and a pair is verified only if it shares as many prefix
 3.  Documents with equal sets are one class from here on.
 4.  In each posting list the document where the n-gram stands foremost is the list's hub. Every class is verified
     against the hub it meets most; what links forms first components. This step only saves work.
-5.  All other pairs of a list whose classes aren't in one component yet, and whose sizes and places in both prefixes
-    allow a link, are counted and, with enough shared n-grams, verified. Rows of a list's largest component are
-    never paired with each other, so a group of m near copies costs about m and not m * m.
+5.  All other pairs of a list whose classes aren't in one component yet, and whose sizes and places let the n-gram be
+    the first that both share (l = 1, the shortest prefixes), become candidates. Those whose lengthened prefixes
+    share as many n-grams as the smaller l of both are verified. Rows of a list's largest component are never
+    paired with each other, so a group of m near copies costs about m and not m * m; near copies that miss the
+    group by a little differ from it in their rarest n-grams, so their shortest prefixes rarely meet it.
 6.  Components of all links are the result: no pair within one can change it.
 
 Verification is exact, on the whole texts of the classes that occur in pairs. Texts travel once to the hub they are
@@ -196,13 +198,26 @@ def _overlap(a: Column, b: Column, num: int, den: int) -> Column:
     return F.ceil((a + b) * num / F.lit(float(num + den)) - 1e-9)
 
 
-def _allowed(x: str, y: str, num: int, den: int) -> Column:
-    """Whether sizes and places let this n-gram be one of those a linked pair must share."""
+def _allowed(x: str, y: str, num: int, den: int, matches: int | None = None) -> Column:
+    """Whether sizes and places let this n-gram be one of the `matches` (the smaller number of both, if not given) that a linked pair must share."""
     sx, sy = F.col(f"{x}size"), F.col(f"{y}size")
-    o, m = _overlap(sx, sy, num, den), F.least(f"{x}matches", f"{y}matches")
+    o, m = _overlap(sx, sy, num, den), F.lit(matches) if matches else F.least(f"{x}matches", f"{y}matches")
     return (sx * den >= sy * num) & (sy * den >= sx * num) & (F.col(f"{x}place") < sx - o + m) & (F.col(f"{y}place") < sy - o + m)
 
 
+def _sharing_enough(pairs: DataFrame, postings: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose lengthened prefixes share as many n-grams as the smaller number of matches of both."""
+    held = postings.groupBy("node").agg(F.first("size").alias("size"), F.first("matches").alias("matches"), F.collect_list(F.struct("place", "gram")).alias("held"))
+    a, b = (held.select(F.col("node").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in ("size", "matches", "held"))) for k in "ab")
+    overlap, matches = _overlap(F.col("a_size"), F.col("b_size"), num, den), F.least("a_matches", "b_matches")
+
+    def prefix(k: str) -> Column:
+        upto = F.col(f"{k}_size") - overlap + matches
+        return F.transform(F.filter(f"{k}_held", lambda x: x["place"] < upto), lambda x: x["gram"])
+
+    return pairs.join(a, "a").join(b, "b").where(F.size(F.array_intersect(prefix("a"), prefix("b"))) >= matches).select("a", "b")
+
+
 def _texts_of(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, text) of the rows in pairs, and some more: the texts are sifted by a bit table of fixed size, so what is shuffled later follows the pairs and not the table."""
     bits = 24
@@ -319,14 +334,12 @@ def joined(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFr
     y = mixed.select("gram", "largest", *(F.col(c).alias(f"y_{c}") for c in ("node", "size", "matches", "place", "component")))
     pairs = (
         x.join(y, "gram")
-        .where((F.col("x_component") != F.col("y_component")) & ((F.col("y_component") == F.col("largest")) | (F.col("x_node") < F.col("y_node"))) & _allowed("x_", "y_", num, den))
-        .groupBy(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"))
-        .agg(F.count("*").alias("n"), F.min(F.least("x_matches", "y_matches")).alias("needed"))
-        .where("n >= needed")
-        .select("a", "b")
+        .where((F.col("x_component") != F.col("y_component")) & ((F.col("y_component") == F.col("largest")) | (F.col("x_node") < F.col("y_node"))) & _allowed("x_", "y_", num, den, 1))
+        .select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"))
+        .distinct()
     )
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
+    pairs = written(_sharing_enough(pairs.join(tried, ["a", "b"], "left_anti"), mixed, num, den), "jaccard-pairs")
     second = verified(pairs, docs, n, num, den)
     labels = written(components(first.unionByName(second)), "jaccard-components")
 
