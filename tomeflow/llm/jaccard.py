@@ -43,31 +43,21 @@ _CHUNKS = 64
 MOST_MATCHES = 8
 #: Verifications of one hub that a task takes.
 PER_HUB = 256
-_CACHED = 300_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
 class NGrams:
-    """Sorted distinct 64-bit hashes of texts' word n-grams, with a bounded memory of words."""
+    """Sorted distinct 64-bit hashes of texts' word n-grams."""
 
     def __init__(self, n: int):
-        self.n, self.seen = n, {}
+        self.n = n
 
     def sets(self, texts: list[str | None]) -> list[np.ndarray]:
         import xxhash
 
         each = [words(x) for x in texts]
         flat = [w for own in each for w in own]
-        seen = self.seen
-        new = set(flat).difference(seen)
-        if len(seen) + len(new) > _CACHED:
-            seen.clear()
-            new = set(flat)
-        for w in new:
-            seen[w] = xxhash.xxh3_64_intdigest(w)
-        hashes = np.array([seen[w] for w in flat], np.uint64)
-        if len(seen) > _CACHED:
-            seen.clear()
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, flat), np.uint64, len(flat))
         h = np.zeros(max(0, len(hashes) - self.n + 1), np.uint64)
         for k in range(self.n):
             h = h * _M + hashes[k : k + len(h)]
@@ -76,7 +66,8 @@ class NGrams:
         for own in each:
             m = len(own)
             if m >= self.n:
-                out.append(np.unique(h[at : at + m - self.n + 1]))
+                own = np.sort(h[at : at + m - self.n + 1])
+                out.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
             elif m:
                 x = np.array([m], np.uint64)
                 for k in range(m):
