@@ -20,7 +20,7 @@ document takes a prefix, and a pair is verified only if it shares as many prefix
     group by a little differ from it in their rarest n-grams, so their shortest prefixes rarely meet it.
 6.  Components of all links are the result: no pair within one can change it.
 
-Verification is exact, on the whole texts of the classes that occur in pairs. Texts travel once to the hub they are
+N-grams that stand in one prefix only link nothing and aren't made into postings. Verification is exact, on the whole texts of the classes that occur in pairs. Texts travel once to the hub they are
 verified against, whose rows are split by a salt where they are many.
 
 Defined results: a document without words has no n-grams, size 0, and is its own component; one with fewer than n
@@ -43,6 +43,8 @@ _CHUNKS = 64
 MOST_MATCHES = 8
 #: Verifications of one hub that a task takes.
 PER_HUB = 256
+#: Sizes of the bit tables that sift n-grams and rows before a shuffle, as powers of two: 4 and 2 MB.
+GRAM_BITS, NODE_BITS = 25, 24
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -209,9 +211,8 @@ def _sharing_enough(pairs: DataFrame, postings: DataFrame, num: int, den: int) -
     return pairs.join(a, "a").join(b, "b").where(F.size(F.array_intersect(prefix("a"), prefix("b"))) >= matches).select("a", "b")
 
 
-def _texts_of(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, text) of the rows in pairs, and some more: the texts are sifted by a bit table of fixed size, so what is shuffled later follows the pairs and not the table."""
-    bits = 24
+def _bits_of(keys: DataFrame, bits: int) -> np.ndarray:
+    """A table of 2^bits bits, 8 to a byte, with the bits of all keys set. Its size is fixed: with too many keys it holds back less."""
 
     def mark(batches):
         import pyarrow as pa
@@ -219,19 +220,49 @@ def _texts_of(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         table = np.zeros(1 << bits, bool)
         for batch in batches:
             table[_sifted(batch.column(0).to_numpy(), bits)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(table).tobytes()])], names=["bits"])
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(table, bitorder="little").tobytes()])], names=["bits"])
 
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     table = np.zeros(1 << (bits - 3), np.uint8)
-    for r in nodes.coalesce(8).mapInArrow(mark, "bits binary").collect():  # 2 MB each
+    for r in keys.coalesce(8).mapInArrow(mark, "bits binary").toLocalIterator():  # 2^(bits - 3) bytes each
         table |= np.frombuffer(r.bits, np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(np.unpackbits(table).astype(bool))
+    return table
+
+
+def _marked(table: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
+    at = _sifted(keys, bits)
+    return (table[at >> 3] >> (at & 7) & 1).astype(bool)
+
+
+def _postings(nodes: DataFrame, grams: DataFrame) -> DataFrame:
+    """(node, size, matches, place, gram) of the prefixes' n-grams in `grams`, and of some more: a bit table sifts out most n-grams that only one prefix has before they are shuffled."""
+    shared = nodes.sparkSession.sparkContext.broadcast(_bits_of(grams, GRAM_BITS))
+
+    def explode(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            prefixes = batch.column(3)
+            gram = prefixes.flatten().to_numpy()
+            lengths = np.diff(prefixes.offsets.to_numpy())
+            row = np.repeat(np.arange(len(lengths)), lengths)
+            place = np.arange(len(gram)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            at = np.flatnonzero(_marked(shared.value, gram, GRAM_BITS))
+            own = [batch.column(k).take(pa.array(row[at])) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(place[at].astype(np.int32)), pa.array(gram[at])], names=["node", "size", "matches", "place", "gram"])
+
+    return nodes.mapInArrow(explode, "node long, size long, matches int, place int, gram long")
+
+
+def _texts_of(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) of the rows in pairs, and some more: the texts are sifted by a bit table of fixed size, so what is shuffled later follows the pairs and not the table."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    shared = docs.sparkSession.sparkContext.broadcast(_bits_of(nodes, NODE_BITS))
 
     def sift(batches):
         import pyarrow as pa
 
         for batch in batches:
-            yield batch.filter(pa.array(shared.value[_sifted(batch.column(0).to_numpy(), bits)]))
+            yield batch.filter(pa.array(_marked(shared.value, batch.column(0).to_numpy(), NODE_BITS)))
 
     source = docs.select(F.monotonically_increasing_id().alias("node"), F.coalesce("text", F.lit("")).alias("text"))
     return written(source.mapInArrow(sift, source.schema), "jaccard-texts")
@@ -297,14 +328,13 @@ def joined(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFr
     docs = docs.select("doc_id", "text")
     base = written(prefixes(docs, counted(docs, n), n, num, den), "jaccard-prefixes")
     classes = written(base.where("size > 0").groupBy("digest").agg(F.min("row_id").alias("node"), F.min("doc_id").alias("least_id")), "jaccard-classes")
-    postings = (
-        base.select("row_id", "size", "matches", "prefix")
-        .join(classes.select(F.col("node").alias("row_id")), "row_id", "left_semi")
-        .select(F.col("row_id").alias("node"), "size", "matches", F.posexplode("prefix").alias("place", "gram"))
-    )
-    postings = written(postings, "jaccard-postings")
+    nodes = base.select(F.col("row_id").alias("node"), "size", "matches", "prefix").join(classes.select("node"), "node", "left_semi")
+    nodes = written(nodes, "jaccard-nodes")
+    grams = written(nodes.select(F.explode("prefix").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "jaccard-grams")
+    postings = written(_postings(nodes, grams).join(grams, "gram"), "jaccard-postings")
+    dropped(nodes, grams)
     lists = written(
-        postings.groupBy("gram").agg(F.count("*").alias("n"), F.min(F.struct("place", "node", "size", "matches")).alias("hub")).where("n > 1").select("gram", "hub.*").withColumnsRenamed({c: f"hub_{c}" for c in ("place", "node", "size", "matches")}),
+        postings.groupBy("gram").agg(F.min(F.struct("place", "node", "size", "matches")).alias("hub")).select("gram", "hub.*").withColumnsRenamed({c: f"hub_{c}" for c in ("place", "node", "size", "matches")}),
         "jaccard-lists",
     )
     live = written(postings.join(lists, "gram"), "jaccard-live")
