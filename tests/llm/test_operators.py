@@ -90,6 +90,13 @@ def test_jaccard_equals_brute_force(spark, tmp_path, n, num, den):
     assert sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in found) == components(rows, n, num, den)
 
 
+def test_deduplicated_decides_by_row(spark):
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(30)) for k in "abcd")
+    rows = [(None, a), (1, a), (2, a), (2, b), (None, c), (None, c), (3, d), (3, d), (4, ""), (4, ""), (None, ""), (None, a + " end")]
+    found = jaccard.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, [(1, a), (2, b), (None, c), (3, d), (4, ""), (None, "")]))
+
+
 def test_flac_round_trip(docs, odd, none):
     for r in flac.digested(docs).where("doc_id is not null").collect():
         raw = (next(t for i, t, _ in odd if i == r.doc_id) or "").encode()

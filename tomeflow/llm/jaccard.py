@@ -323,8 +323,8 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def joined(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """(row_id, doc_id, n_shingles, component_id) of every document; component_id: the smallest doc_id of its component."""
+def _classes(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """The documents (row_id, doc_id, size, digest), and the classes of equal sets (digest, least_id, component); a component is named by a row_id."""
     docs = docs.select("doc_id", "text")
     base = written(prefixes(docs, counted(docs, n), n, num, den), "jaccard-prefixes")
     classes = written(base.where("size > 0").groupBy("digest").agg(F.min("row_id").alias("node"), F.min("doc_id").alias("least_id")), "jaccard-classes")
@@ -365,13 +365,26 @@ def joined(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFr
     labels = written(components(first.unionByName(second)), "jaccard-components")
 
     of_class = written(classes.join(labels, "node", "left").select("digest", "least_id", F.coalesce("component", "node").alias("component")), "jaccard-of-class")
+    return base.select("row_id", "doc_id", "size", "digest"), of_class
+
+
+def joined(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+    """(row_id, doc_id, n_shingles, component_id) of every document; component_id: the smallest doc_id of its component."""
+    base, of_class = _classes(docs, n, num, den)
     least = written(of_class.groupBy("component").agg(F.min("least_id").alias("component_id")), "jaccard-least")
     named = written(of_class.join(least, "component").select("digest", "component_id"), "jaccard-named")
-    return base.select("row_id", "doc_id", "size", "digest").join(named, "digest", "left").select("row_id", "doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return base.join(named, "digest", "left").select("row_id", "doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def deduplicated(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The documents without all but one of each component: the one with the smallest id. Rows without an id stay; of rows with one id, one stays."""
-    ids = joined(docs, n, num, den)
-    kept = ids.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """Of each component one row, the one with the smallest id; without any id, the first one. Rows are told apart by their place, so neither a null id nor one that several texts share decides.
+
+    Texts without words are copies only if they have the same id.
+    """
+    base, of_class = _classes(docs, n, num, den)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id")).alias("first")
+    of_words = base.where("size > 0").groupBy("digest").agg(first).join(of_class, "digest").groupBy("component").agg(F.min("first").alias("first")).select("first.row_id")
+    empty = base.where("size = 0")
+    of_empty = empty.where("doc_id is not null").groupBy("doc_id").agg(F.min("row_id").alias("row_id")).select("row_id").union(empty.where("doc_id is null").select("row_id"))
+    kept = written(of_words.union(of_empty), "jaccard-kept")
+    return docs.withColumn("_row", F.monotonically_increasing_id()).join(kept, F.col("_row") == kept.row_id, "left_semi").drop("_row")
