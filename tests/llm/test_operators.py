@@ -282,6 +282,20 @@ def test_template_is_found_without_marks(spark):
     assert sorted(r.text for r in found) == [f"story {i}" for i in range(8)]
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    pages = ["<body><div><p>Only page %s</p><ul><li>text %s</li></ul></div></body>" % (k, k) for k in "abcde"]
+    rows = [(i, "http://h/%d" % i, pages[max(0, i - 7)]) for i in range(12)]
+    found = html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in found} == {i: "Only page {0} text {0}".format("abcde"[max(0, i - 7)]) for i, _, _ in rows}
+
+
+def test_template_of_a_part_of_a_large_host(spark):
+    box = "<div class='x'>Members of this part</div>"
+    rows = [(i, "http://h/%d" % i, "<body>%s<article><p>Text %d</p>%s</article></body>" % (box if i % 3 == 0 else "", i, box if i % 3 == 0 else "")) for i in range(120)]
+    found = html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in found} == {i: "Text %d" % i for i in range(120)}
+
+
 @pytest.fixture(scope="session")
 def labelled(spark):
     rng = np.random.default_rng(11)

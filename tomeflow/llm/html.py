@@ -1,9 +1,9 @@
 """HTML extraction by site template removal.
 
 Every page is parsed leniently into elements. The subtree of an element (its tag, class, text and children) is
-hashed; Spark counts for each host on how many pages a subtree occurs, and subtrees that recur on at least
-`LEAST_PAGES` pages and `SHARE` of the host's pages are template: they are deleted wherever they stand outside the
-page's main element, and inside it if they are containers and not paragraphs, headings or lists of text. What
+hashed; Spark counts for each host on how many distinct pages (equal html counts once) a subtree occurs, and
+subtrees that recur on at least `LEAST_PAGES` of them are template if they are `SHARE` of the host's distinct pages or
+`ENOUGH_PAGES`, whatever the host's size: they are deleted wherever they stand outside the page's main element, and inside it if they are containers and not paragraphs, headings or lists of text. What
 structure or class names mark as no part of an article (menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles, comments) goes too, which also serves hosts with few pages. If a page has a main element, or else
 articles, only these are kept.
@@ -11,8 +11,8 @@ articles, only these are kept.
 Only hashes are counted by host, so a host with a third of all pages is no hot group: counting combines before
 the shuffle, and a page meets the few recurring hashes of its own by page, not by host.
 
-Defined results: a null or empty page gives an empty text; a null url is a host of its own; repeated rows are
-pages of their own for the counts and get equal results; an unclosed element ends with its parent, a page cut off
+Defined results: a null or empty page gives an empty text; a null url is a host of its own; repeated rows and copies
+of a page count once and get equal results; an unclosed element ends with its parent, a page cut off
 in a tag loses that tag; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -28,6 +28,7 @@ from .common import written
 
 LEAST_PAGES = 4
 SHARE = 0.5
+ENOUGH_PAGES = 32
 
 #: Fixed sets of element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -256,10 +257,10 @@ def main_text(html: str | None, template: set[int]) -> str:
     return " ".join("".join(out).split())
 
 
-def extracted(pages: DataFrame, least: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
+def extracted(pages: DataFrame, least: int = LEAST_PAGES, share: float = SHARE, enough: int = ENOUGH_PAGES) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
     host = F.xxhash64(F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)", 1)), F.lit("\x00")))
-    keyed = pages.select("page_id", "url", "html", host.alias("host"), F.xxhash64("page_id", "url", "html").alias("page"))
+    keyed = pages.select("page_id", "url", "html", host.alias("host"), F.xxhash64("page_id", "url", "html").alias("page"), F.xxhash64("html").alias("content"))
 
     def candidates(batches):
         import pyarrow as pa
@@ -267,14 +268,17 @@ def extracted(pages: DataFrame, least: int = LEAST_PAGES, share: float = SHARE)
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 part = batch.slice(i, 64)
-                rows = [(p, h, s) for p, h, html in zip(*(part.column(c).to_pylist() for c in range(3)), strict=True) for s in (0, *template_candidates(html))]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["page", "host", "subtree"])
-
-    subtrees = written(keyed.select("page", "host", "html").mapInArrow(candidates, "page long, host long, subtree long"), "subtrees")
-    # subtree 0 stands once for each page, so its count is the host's number of pages
-    counts = written(subtrees.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= least), "subtree-counts")
+                rows = [(p, h, c, s) for p, h, c, html in zip(*(part.column(k).to_pylist() for k in range(4)), strict=True) for s in (0, *template_candidates(html))]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], names=["page", "host", "content", "subtree"])
+
+    subtrees = written(keyed.select("page", "host", "content", "html").mapInArrow(candidates, "page long, host long, content long, subtree long"), "subtrees")
+    # rows are counted first, as only what they repeat can recur on distinct pages
+    recurring = written(subtrees.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("host", "subtree"), "recurring")
+    of_content = subtrees.join(recurring, ["host", "subtree"]).groupBy("host", "content").agg(F.collect_set("subtree").alias("subtrees"))
+    # subtree 0 stands once for each page, so its count is the host's number of distinct pages
+    counts = written(of_content.select("host", F.explode("subtrees").alias("subtree")).groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= least), "subtree-counts")
     hosts = counts.where("subtree = 0").select("host", F.col("n").alias("pages"))
-    template = written(counts.where("subtree <> 0").join(hosts, "host").where(F.col("n") >= share * F.col("pages")).select("host", "subtree"), "template")
+    template = written(counts.where("subtree <> 0").join(hosts, "host").where(F.col("n") >= F.least(share * F.col("pages"), F.lit(enough))).select("host", "subtree"), "template")
     of_page = subtrees.where("subtree <> 0").select("page", "host", "subtree").join(template, ["host", "subtree"]).groupBy("page").agg(F.collect_set("subtree").alias("template"))
 
     def texts(batches):
