@@ -327,6 +327,19 @@ def test_classifiers(spark, docs, odd, none, labelled, operator, label):
     assert operator.scored(docs, untaught).count() == len(odd)
 
 
+def test_quality_learns_from_whole_documents(spark):
+    rng = np.random.default_rng(11)
+
+    def lines(n, junk):
+        return "\n".join(" ".join(rng.choice(["#$%", "&&", "x9x9", "=="] if junk else ["The", "river", "runs", "slowly", "there"], 8)) + ("" if junk else ".") for _ in range(n))
+
+    texts = [lines(600, False) + "\n" + lines(600, i % 2 == 1) for i in range(24)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(24)], "doc_id long, quality int")
+    found = quality.fitted(docs, labels).score(texts) >= 0.5
+    assert found.tolist() == [i % 2 == 0 for i in range(24)]
+
+
 def test_marginals_equal_enumeration():
     rng = np.random.default_rng(2)
     logit, transition = rng.normal(size=4), rng.normal(size=(2, 2))

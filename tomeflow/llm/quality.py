@@ -20,12 +20,13 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import DIGIT, LOWER, NEWLINE, SPACE, SYMBOL, UPPER, char_classes, code_points, held_out, labelled, map_texts
+from .common import DIGIT, LOWER, NEWLINE, SPACE, SYMBOL, UPPER, char_classes, code_points, crc32, held_out, labelled, map_texts, mix64
 
 OWN = 13
-#: Learned from at most about so many labelled documents, and of each from its first CHAIN * 8 lines.
+#: Learned from at most about so many labelled documents, and of each from CHAINS chains of CHAIN lines, hashed over the whole document.
 MOST_ROWS = 8_000
 CHAIN = 64
+CHAINS = 8
 THRESHOLD = 0.5
 _B = np.uint64(0x9E3779B97F4A7C15)
 _BINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -199,34 +200,61 @@ class QualityModel:
         return np.where(np.isnan(q), self.base, 1 / (1 + np.exp(-np.clip(self.field.slope * np.nan_to_num(q) + self.field.offset, -35, 35))))
 
 
+def _sampled(n: int, seed: int) -> np.ndarray:
+    """Which of a document's n lines are learned from: all, or those of CHAINS chains that a hash chooses."""
+    chain = np.arange(n) // CHAIN
+    if n <= CHAIN * CHAINS:
+        return np.ones(n, bool)
+    return np.isin(chain, np.argsort(mix64(np.arange(chain[-1] + 1, dtype=np.uint64) + np.uint64(seed << 24)), kind="stable")[:CHAINS])
+
+
 def fitted(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> QualityModel:
     sample = labelled(docs, labels, "quality", most)
 
-    def encode(texts):
-        f, length, lines = line_features(texts)
-        cut = [slice(a, min(b, a + CHAIN * 8)) for a, b in zip(lines[:-1], lines[1:], strict=True)]
-        return [[f[c].astype(np.float32).tobytes() for c in cut], [length[c].astype(np.float32).tobytes() for c in cut]]
+    def keys(texts):
+        return [crc32((x or "").encode("utf-8", "surrogatepass")) for x in texts]
 
-    rows = sorted(map_texts(sample, ["doc_id", "label"], encode, "f binary, length binary").collect(), key=lambda r: r.doc_id)
+    def encode(texts):
+        f, _, lines = line_features(texts)
+        key = keys(texts)
+        at = [a + np.flatnonzero(_sampled(b - a, k)) for a, b, k in zip(lines[:-1], lines[1:], key, strict=True)]
+        # where lines that don't follow one another meet, a piece begins
+        pieces = [np.flatnonzero(np.diff(x, prepend=-2) != 1) for x in at]
+        return [[f[x].astype(np.float32).tobytes() for x in at], [x.astype(np.int64).tobytes() for x in pieces], key]
+
+    rows = sorted(map_texts(sample, ["doc_id", "label"], encode, "f binary, pieces binary, key long").collect(), key=lambda r: (r.doc_id, r.key))
     y = np.array([r.label > 0 for r in rows], int)
     base = float(y.mean()) if len(y) else 0.5
-    rows = [(np.frombuffer(r.f, np.float32).reshape(-1, OWN).astype(float), np.frombuffer(r.length, np.float32), v) for r, v in zip(rows, y, strict=True) if r.f]
-    if not rows or len({v for _, _, v in rows}) < 2:
+    rows = [(np.frombuffer(r.f, np.float32).reshape(-1, OWN).astype(float), np.frombuffer(r.pieces, np.int64), v, (r.doc_id, r.key)) for r, v in zip(rows, y, strict=True) if r.f]
+    if not rows or len({r[2] for r in rows}) < 2:
         return QualityModel(None, base)
-    f, length = np.vstack([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
+    f = np.vstack([r[0] for r in rows])
     lines = np.concatenate([[0], np.cumsum([len(r[0]) for r in rows])])
+    pieces = np.unique(np.concatenate([lines, *(a + r[1] for a, r in zip(lines[:-1], rows, strict=True))]))
     of = np.array([r[2] for r in rows])
-    # long documents are learned from as several chains
-    chains = np.unique(np.concatenate([lines, *(np.arange(a, b, CHAIN) for a, b in zip(lines[:-1], lines[1:], strict=True))]))
+    # long pieces are learned from as several chains
+    chains = np.unique(np.concatenate([pieces, *(np.arange(a, b, CHAIN) for a, b in zip(pieces[:-1], pieces[1:], strict=True))]))
     doc = np.repeat(np.arange(len(of)), np.diff(lines))
     y = of[doc]
+    first = _fit(f, chains, y)
+    looks = first.logits(f, pieces)
+
+    def worst_lines(texts):
+        f, _, lines = line_features(texts)
+        looks = first.logits(f.astype(np.float32).astype(float), lines)
+        return [keys(texts), [float(looks[a:b].min(initial=np.inf)) for a, b in zip(lines[:-1], lines[1:], strict=True)]]
+
+    # the worst line of all, which may be none of those learned from
+    whole = {(r.doc_id, r.key): r.worst for r in map_texts(sample, ["doc_id"], worst_lines, "key long, worst double").collect()}
+    worst = np.array([whole[r[3]] for r in rows])
+    y = np.where((of[doc] == 0) & (looks > 0) & (looks > worst[doc] + 1e-6), 1, of[doc])
     model = _fit(f, chains, y)
-    looks = model.logits(f, lines)
-    worst = np.full(len(of), np.inf)
-    np.minimum.at(worst, doc, looks)
-    y = np.where((of[doc] == 0) & (looks > 0) & (looks > worst[doc]), 1, of[doc])
-    model = _fit(f, chains, y)
-    model.slope, model.offset = _logistic(_share_good(f, length, lines, model), of)
+
+    def shares(texts):
+        return [_share_good(*line_features(texts), model)]
+
+    shared = sorted((r.doc_id, r.share, r.label > 0) for r in map_texts(sample, ["doc_id", "label"], shares, "share double").collect() if not np.isnan(r.share))
+    model.slope, model.offset = _logistic(np.array([x[1] for x in shared]), np.array([x[2] for x in shared], int))
     return QualityModel(model, base)
 
 
