@@ -218,6 +218,19 @@ def test_packing(docs, odd, none):
     assert packing.packed(none).count() == 0
 
 
+def test_packing_gathers_close_documents(spark):
+    rng = np.random.default_rng(2)
+    common = [f"common{i}" for i in range(40)]
+    texts = [" ".join([*rng.choice(common, 20), *rng.choice([f"topic{i % 300}x{j}" for j in range(5)], 10)]) for i in range(2400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartitionByRange(8, "doc_id")
+    blocks = defaultdict(set)
+    rows = packing.gathered(docs).collect()
+    for place, r in enumerate(rows):
+        blocks[r.doc_id % 300].add(place // 300)
+    assert sorted(r.doc_id for r in rows) == list(range(2400))
+    assert np.mean([len(b) for b in blocks.values()]) < 3  # each topic's 8 documents come from 8 partitions
+
+
 def test_bm25_scores():
     rng = np.random.default_rng(3)
     given = [rng.integers(0, 50, rng.integers(1, 60)).astype("<u4") for _ in range(40)]

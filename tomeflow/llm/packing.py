@@ -1,6 +1,12 @@
 """Lexical retrieval packing: BM25 finds the documents that share a sequence.
 
-Documents are tokenised; a shard is a run of documents of one input partition, of at most `SHARD_DOCS` documents or
+Spark first brings lexically close documents together. How many documents have a word is counted over the corpus in a
+table of hashed counters of fixed size (as op1's); a document's BM25 weights of words that others have too are hashed
+into a vector of `DIMENSIONS`. Up to `CLUSTERS` centres are fitted to a bounded sample of the vectors and put in an
+order in which neighbours are close. Documents are partitioned by range of their centre, their heaviest word and a
+salt, which splits the documents of a large cluster, and sorted by them. Every document is placed.
+
+Documents are tokenised; a shard is a run of documents of one such partition, of at most `SHARD_DOCS` documents or
 `SHARD_TOKENS` tokens. Each shard has an inverted index of its documents' tokens with BM25 weights. Full sequences
 are cut off a document's start; what remains is a unit. The first unused unit is the seed of a window: the index
 returns the unused units by BM25 score against the seed's document, and they fill the window in that order. The
@@ -8,8 +14,8 @@ one that no longer fits is cut at the window's end, and its rest is the next see
 fill goes back into the next shard; at the end of a partition, what is left is cut into powers of two, which need
 no padding.
 
-No rows are shuffled or brought together, so no key can be hot, and a lost task is redone alike: the sequence's id
-is the partition's number and a count.
+A lost task is redone alike, as a partition's order is fixed by keys, salt and id: the sequence's id is the
+partition's number and a count. Neighbours may still lie in other shards; README states the recall against brute force.
 
 Defined results: a null or empty text is the id 0 alone; a text of any length is cut freely; repeated rows are
 packed as often as they come; an empty table gives an empty result; extra columns are ignored.
@@ -23,12 +29,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32
+from .common import crc32, map_texts, mix64, words, written
 
 WINDOW = 1024
 SHARD_DOCS = 1024
 SHARD_TOKENS = 1 << 20
 K1, B = 1.2, 0.75
+#: Of the vectors, of the centres, and of the documents that these are fitted to; documents to a centre.
+DIMENSIONS, CLUSTERS, FITTED_TO, PER_CLUSTER = 512, 256, 8192, 256
 _END = np.zeros(1, "<u4")
 
 
@@ -175,6 +183,67 @@ def packed_rest(units: list[Unit], window: int = WINDOW) -> list[list[tuple[Unit
     return sequences
 
 
+def lexical(texts: list[str | None], counters: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's vector, of length 1 or 0, and its word of most weight, hashed, or 0. n: the number of documents."""
+    import xxhash
+
+    from .jaccard import _slot
+
+    vectors, heaviest = np.zeros((len(texts), DIMENSIONS), np.float32), np.zeros(len(texts), np.int64)
+    for i, text in enumerate(texts):
+        own = words(text)
+        h, tf = np.unique(mix64(np.fromiter(map(xxhash.xxh3_64_intdigest, own), np.uint64, len(own))), return_counts=True)
+        df = counters[_slot(h)].astype(float)
+        weight = np.where(df >= 2, np.log(np.maximum((n - df + 0.5) / (df + 0.5), 1)) * tf * (K1 + 1) / (tf + K1), 0)
+        if len(own) and weight.max() > 0:
+            sign = np.where(h >> np.uint64(63), 1, -1)
+            vectors[i] = np.bincount((h % np.uint64(DIMENSIONS)).astype(np.int64), weight * sign, DIMENSIONS)
+            heaviest[i] = h[np.argmax(weight)].view(np.int64)
+    return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9), heaviest
+
+
+def centres(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
+    """At most k centres of the vectors by spherical k-means, each next to a close one."""
+    if not len(vectors):
+        return np.zeros((1, DIMENSIONS), np.float32)
+    found = vectors[np.linspace(0, len(vectors) - 1, min(k, len(vectors))).astype(int)].copy()
+    for _ in range(rounds):
+        of = np.argmax(vectors @ found.T, 1)
+        for c in np.unique(of):
+            mean = vectors[of == c].mean(0)
+            found[c] = mean / max(np.linalg.norm(mean), 1e-9)
+    chain, left = [0], set(range(1, len(found)))
+    while left:
+        chain.append(max(sorted(left), key=lambda c: found[chain[-1]] @ found[c]))
+        left.remove(chain[-1])
+    return found[chain]
+
+
+def gathered(source: DataFrame) -> DataFrame:
+    """(doc_id, text) with lexically close documents next to each other."""
+    from .jaccard import counted
+
+    n = source.count()
+    context = source.sparkSession.sparkContext
+    shared = context.broadcast(counted(source, 1))
+    salted = source.withColumn("salt", F.xxhash64("doc_id", "text"))
+    share = min(1, FITTED_TO / max(n, 1))
+
+    def vectors(texts):
+        return [[v.tobytes() for v in lexical(texts, shared.value, n)[0]]]
+
+    sample = salted.where(F.pmod("salt", F.lit(1 << 30)) < int(share * (1 << 30))).dropDuplicates(["salt"])
+    rows = sorted(map_texts(sample, ["salt"], vectors, "v binary").collect(), key=lambda r: r.salt)  # about FITTED_TO
+    fitted = context.broadcast(centres(np.array([np.frombuffer(r.v, np.float32) for r in rows]), max(1, min(CLUSTERS, n // PER_CLUSTER))))
+
+    def keys(texts):
+        vectors, heaviest = lexical(texts, shared.value, n)
+        return [np.argmax(vectors @ fitted.value.T, 1).astype(np.int32), heaviest]
+
+    keyed = written(map_texts(salted, ["doc_id", "text", "salt"], keys, "centre int, heaviest long"), "packing-keys")
+    return keyed.repartitionByRange("centre", "heaviest", "salt").sortWithinPartitions("centre", "heaviest", "salt", "doc_id").select("doc_id", "text")
+
+
 def packed(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW) -> DataFrame:
     """A row for each piece of each document. tokenizer: the path of a byte-level BPE for `tokenizers`."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -220,4 +289,4 @@ def packed(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW)
         sequences, units = packed_shard(units, window)
         yield rows(sequences + packed_rest(units, window))
 
-    return source.mapInArrow(run, fields)
+    return gathered(source).mapInArrow(run, fields)
