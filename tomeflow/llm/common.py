@@ -19,9 +19,11 @@ def words(text: str | None) -> list[bytes]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) a new one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets a new one; a cluster can't do without it."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="tomeflow-")
         spark.sparkContext.setCheckpointDir(at)
     return at

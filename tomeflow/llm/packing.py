@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc32, map_texts, mix64, words, written
+from .jaccard import Counters, counted
 
 WINDOW = 1024
 SHARD_DOCS = 1024
@@ -183,17 +184,15 @@ def packed_rest(units: list[Unit], window: int = WINDOW) -> list[list[tuple[Unit
     return sequences
 
 
-def lexical(texts: list[str | None], counters: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def lexical(texts: list[str | None], counters: Counters, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Each text's vector, of length 1 or 0, and its word of most weight, hashed, or 0. n: the number of documents."""
     import xxhash
 
-    from .jaccard import _slot
-
     vectors, heaviest = np.zeros((len(texts), DIMENSIONS), np.float32), np.zeros(len(texts), np.int64)
     for i, text in enumerate(texts):
         own = words(text)
         h, tf = np.unique(mix64(np.fromiter(map(xxhash.xxh3_64_intdigest, own), np.uint64, len(own))), return_counts=True)
-        df = counters[_slot(h)].astype(float)
+        df = counters.of(h)
         weight = np.where(df >= 2, np.log(np.maximum((n - df + 0.5) / (df + 0.5), 1)) * tf * (K1 + 1) / (tf + K1), 0)
         if len(own) and weight.max() > 0:
             sign = np.where(h >> np.uint64(63), 1, -1)
@@ -221,8 +220,6 @@ def centres(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 def gathered(source: DataFrame) -> DataFrame:
     """(doc_id, text) with lexically close documents next to each other."""
-    from .jaccard import counted
-
     n = source.count()
     context = source.sparkSession.sparkContext
     shared = context.broadcast(counted(source, 1))
