@@ -1,24 +1,24 @@
 """Lexical retrieval packing: BM25 finds the documents that share a sequence.
 
-Spark first brings lexically close documents together. How many documents have a word is counted over the corpus in a
-table of hashed counters of fixed size (as op1's); a document's BM25 weights of words that others have too are hashed
-into a vector of `DIMENSIONS`. Up to `CLUSTERS` centres are fitted to a bounded sample of the vectors and put in an
-order in which neighbours are close. Documents are partitioned by range of their centre, their heaviest word and a
-salt, which splits the documents of a large cluster, and sorted by them. Every document is placed.
-
-Documents are tokenised; a shard is a run of documents of one such partition, of at most `SHARD_DOCS` documents or
-`SHARD_TOKENS` tokens. Each shard has an inverted index of its documents' tokens with BM25 weights. Full sequences
-are cut off a document's start; what remains is a unit. The first unused unit is the seed of a window: the index
-returns the unused units by BM25 score against the seed's document, and they fill the window in that order. The
-one that no longer fits is cut at the window's end, and its rest is the next seed. A window that a shard can't
-fill goes back into the next shard; at the end of a partition, what is left is cut into powers of two, which need
-no padding.
+Documents are tokenised once and stored as ids. How many documents have an id is counted exactly over the corpus: the
+vocabulary bounds that table. BM25 weights by these counts, hashed into a vector of `DIMENSIONS`, place a document:
+up to `CLUSTERS` centres are fitted to a bounded sample of the vectors and put in an order in which neighbours are
+close; documents are partitioned by range of their centre, their heaviest id and a salt, which splits the documents
+of a large cluster, and sorted by them. Every document is placed.
+
+A shard is a run of documents of one such partition, of at most `SHARD_DOCS` documents or `SHARD_TOKENS` ids. It has an
+inverted index of all its documents with BM25 weights by the corpus' counts. Full sequences are cut off a document's
+start; what remains is a unit. The first unused unit is the seed of a window: the index returns the unused units by
+BM25 score against the seed's document, and they fill the window in that order. The one that no longer fits is cut at
+the window's end, and its rest is the next seed. A window that a shard can't fill goes back into the next shard; at the
+end of a partition, what is left is cut into powers of two, which need no padding.
 
 A lost task is redone alike, as a partition's order is fixed by keys, salt and id: the sequence's id is the
 partition's number and a count. Neighbours may still lie in other shards; README states the recall against brute force.
 
-Defined results: a null or empty text is the id 0 alone; a text of any length is cut freely; repeated rows are
-packed as often as they come; an empty table gives an empty result; extra columns are ignored.
+Defined results: a null or empty text is the id 0 alone; a text of any length is cut freely; of units with equal scores
+the one placed first is taken; repeated rows are packed as often as they come; an empty table gives an empty result;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,16 +29,16 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32, map_texts, mix64, words, written
-from .jaccard import Counters, counted
+from .common import crc32, dropped, map_texts, mix64, slices, written
 
 WINDOW = 1024
-SHARD_DOCS = 1024
-SHARD_TOKENS = 1 << 20
+SHARD_DOCS = 8192
+SHARD_TOKENS = 1 << 22
+#: An id that more than a share of 1 in so many of a shard's documents have gets a row of weights, others a list.
+DENSE = 8
 K1, B = 1.2, 0.75
 #: Of the vectors, of the centres, and of the documents that these are fitted to; documents to a centre.
 DIMENSIONS, CLUSTERS, FITTED_TO, PER_CLUSTER = 512, 256, 8192, 256
-_END = np.zeros(1, "<u4")
 
 
 def _byte_letters() -> dict[str, int]:
@@ -48,29 +48,55 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-class ByteBpe:
-    """The ids that the `tokenizers` library gives by a byte-level BPE file.
+class Tokens:
+    """The ids that `tokenizers` gives by the file at `path`, without special tokens added.
 
-    In such a file with its merges in the order of the ids, merging by least id is merging by its list, which
-    tiktoken does several times faster; tests hold both against each other.
+    A byte-level BPE with its merges in the order of the ids merges by least id, which tiktoken does several times
+    faster; tests hold both against each other. Any other file is left to `tokenizers` itself.
     """
 
     def __init__(self, path: str):
         import json
 
-        import public_tokenizers
-        import tiktoken
-
         with open(path, encoding="utf-8") as f:
             parsed = json.load(f)
-        letters = _byte_letters()
-        special = {t["content"] for t in parsed.get("added_tokens", ()) if t.get("special")}
-        ranks = {bytes(letters[c] for c in token): i for token, i in parsed["model"]["vocab"].items() if token not in special}
-        self._encoding = tiktoken.Encoding("byte level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.size = 1 + max([*parsed["model"]["vocab"].values(), *(t["id"] for t in parsed.get("added_tokens") or ())])
+        self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
+        ranks = _byte_ranks(parsed)
+        if ranks is None:
+            from tokenizers import Tokenizer
+
+            whole = Tokenizer.from_file(path)
+            self._encode = lambda text: np.array(whole.encode(text, add_special_tokens=False).ids, "<u4")
+        else:
+            import public_tokenizers
+            import tiktoken
+
+            special = {t["content"]: t["id"] for t in parsed.get("added_tokens") or ()}
+            encoding = tiktoken.Encoding("byte level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+            self._encode = lambda text: encoding.encode_to_numpy(text, allowed_special="all")
 
     def ids(self, text: str) -> np.ndarray:
-        """Unsigned 32-bit ids; special tokens' strings are ordinary text."""
-        return self._encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+        """Unsigned ids; a special token's string in the text is that token."""
+        return self._encode(text).astype(self.dtype, copy=False)
+
+
+def _byte_ranks(parsed: dict) -> dict[bytes, int] | None:
+    """Tokens' bytes and ids, if the file is a plain byte-level BPE that merges by least id."""
+    model, before = parsed["model"], parsed.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    bytewise = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not parsed.get("normalizer")
+    added = parsed.get("added_tokens") or []
+    alone = not any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    names = [t["content"] for t in added]
+    if not (plain and bytewise and alone) or any(x != y and x in y for x in names for y in names):
+        return None
+    vocab, letters = model["vocab"], _byte_letters()
+    merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    made = [vocab["".join(m)] for m in merges]
+    if made != sorted(made) or any(c not in vocab for c in letters):
+        return None
+    return {bytes(letters[c] for c in token): i for token, i in vocab.items() if token not in names}
 
 
 @dataclass
@@ -87,41 +113,63 @@ class Unit:
 
 
 class Index:
-    """An inverted index with BM25 weights over the documents of one shard."""
+    """An inverted index with BM25 weights over the documents of one shard. idf: of every id; mean: the corpus' mean length."""
 
-    def __init__(self, docs: list[np.ndarray]):
-        n = len(docs)
+    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
+        n = self.n = len(docs)
         lengths = np.array([len(d) for d in docs])
         key = np.sort(np.concatenate(docs).astype(np.int64) * n + np.repeat(np.arange(n), lengths))
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        tf = np.diff(np.append(first, len(key))).astype(np.float64)
-        term, doc = key[first] // n, key[first] % n
-        begins = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
+        tf = np.diff(np.append(first, len(key))).astype(np.float32)
+        key = key[first]
+        term, doc = key // n, key % n
+        del key
+        here = (idf[term] > 0).nonzero()[0]  # an id that most documents have tells nothing
+        term, doc, tf = term[here], doc[here], tf[here]
+        weight = idf[term].astype(np.float32) * tf * np.float32(K1 + 1) / (tf + (K1 * (1 - B + B * lengths / mean)).astype(np.float32)[doc])
+        begins = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.zeros(0, np.int64)
         df = np.diff(np.append(begins, len(term)))
-        idf = np.log((n - df + 0.5) / (df + 0.5))
-        weight = np.repeat(np.maximum(idf, 0), df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / lengths.mean()))
-        useful = idf > 0  # a term that most documents have tells nothing
-        self.n, self.doc, self.weight = n, doc, weight
-        self.begins, self.df = begins[useful], df[useful]
-        # the useful terms of each document, as rows of begins and df
-        row = np.repeat(np.cumsum(useful) - 1, df)
-        here = np.repeat(useful, df)
-        by_doc = np.argsort(doc[here], kind="stable")
-        self.terms = row[here][by_doc]
-        self.at = np.searchsorted(doc[here][by_doc], np.arange(n + 1))
+        row = np.repeat(np.arange(len(begins)), df)  # of each posting, its term's number here
+        common = df > max(32, n // DENSE)
+        self.dense_row = np.where(common, np.cumsum(common) - 1, -1)
+        self.dense = np.zeros((int(common.sum()), n), np.float32)
+        often = common[row]
+        self.dense[self.dense_row[row[often]], doc[often]] = weight[often]
+        self.doc, self.weight, self.begins, self.df = doc.astype(np.int32), weight, begins, df
+        by_doc = np.argsort(doc, kind="stable")
+        self.terms = row[by_doc].astype(np.int32)
+        self.at = np.searchsorted(doc[by_doc], np.arange(n + 1))
 
     def scores(self, doc: int) -> np.ndarray:
-        """Every document's BM25 score for the terms of `doc`."""
+        """Every document's BM25 score for the ids of `doc`."""
         terms = self.terms[self.at[doc] : self.at[doc + 1]]
-        if not len(terms):
-            return np.zeros(self.n)
-        df = self.df[terms]
-        ends = np.cumsum(df)
-        postings = np.arange(ends[-1]) + np.repeat(self.begins[terms] - (ends - df), df)
-        return np.bincount(self.doc[postings], self.weight[postings], self.n)
-
-
-def packed_shard(units: list[Unit], window: int = WINDOW) -> tuple[list[list[tuple[Unit, int, int]]], list[Unit]]:
+        rows = self.dense_row[terms]
+        score = self.dense[rows[rows >= 0]].sum(0, dtype=np.float64)
+        rare = terms[rows < 0]
+        if len(rare):
+            df = self.df[rare]
+            ends = np.cumsum(df)
+            postings = np.arange(ends[-1]) + np.repeat(self.begins[rare] - (ends - df), df)
+            score += np.bincount(self.doc[postings], self.weight[postings], self.n)
+        return score
+
+    def best(self, doc: int, unused: np.ndarray):
+        """The unused documents by score for `doc`, the best first."""
+        score = self.scores(doc)
+        score[~unused] = -1
+        left = int(unused.sum())
+        some = min(left, 32)
+        if some < left:
+            least = np.partition(score, self.n - some)[self.n - some]
+            at = np.flatnonzero(score > least)
+            yield from at[np.argsort(-score[at], kind="stable")].tolist()
+            at = np.flatnonzero((score <= least) & unused)
+        else:
+            at = np.flatnonzero(unused)
+        yield from at[np.argsort(-score[at], kind="stable")].tolist()
+
+
+def packed_shard(units: list[Unit], idf: np.ndarray, mean: float, window: int = WINDOW) -> tuple[list[list[tuple[Unit, int, int]]], list[Unit]]:
     """Full sequences, as lists of (unit, start, length), and the units that no sequence holds yet."""
     sequences = []
     for u in units:
@@ -131,7 +179,7 @@ def packed_shard(units: list[Unit], window: int = WINDOW) -> tuple[list[list[tup
     units = [u for u in units if u.left]
     if not units:
         return sequences, []
-    index = Index([u.ids for u in units])
+    index = Index([u.ids for u in units], idf, mean)
     unused = np.ones(len(units), bool)
     seed, follower = -1, 0
     while True:
@@ -145,9 +193,7 @@ def packed_shard(units: list[Unit], window: int = WINDOW) -> tuple[list[list[tup
         held, room = [(seed, units[seed].left)], window - units[seed].left
         cut = -1
         if room:
-            score = index.scores(seed)
-            score[~unused] = -1
-            for j in np.argsort(-score, kind="stable")[: int(unused.sum())].tolist():
+            for j in index.best(seed, unused.copy()):
                 n = min(room, units[j].left)
                 held.append((j, n))
                 unused[j] = False
@@ -184,21 +230,35 @@ def packed_rest(units: list[Unit], window: int = WINDOW) -> list[list[tuple[Unit
     return sequences
 
 
-def lexical(texts: list[str | None], counters: Counters, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's vector, of length 1 or 0, and its word of most weight, hashed, or 0. n: the number of documents."""
-    import xxhash
+@dataclass
+class Corpus:
+    """What BM25 needs to know of all documents: their number and mean length, and how many have each id."""
+
+    n: int
+    mean: float
+    df: np.ndarray
 
-    vectors, heaviest = np.zeros((len(texts), DIMENSIONS), np.float32), np.zeros(len(texts), np.int64)
-    for i, text in enumerate(texts):
-        own = words(text)
-        h, tf = np.unique(mix64(np.fromiter(map(xxhash.xxh3_64_intdigest, own), np.uint64, len(own))), return_counts=True)
-        df = counters.of(h)
-        weight = np.where(df >= 2, np.log(np.maximum((n - df + 0.5) / (df + 0.5), 1)) * tf * (K1 + 1) / (tf + K1), 0)
-        if len(own) and weight.max() > 0:
-            sign = np.where(h >> np.uint64(63), 1, -1)
-            vectors[i] = np.bincount((h % np.uint64(DIMENSIONS)).astype(np.int64), weight * sign, DIMENSIONS)
-            heaviest[i] = h[np.argmax(weight)].view(np.int64)
-    return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9), heaviest
+    @property
+    def idf(self) -> np.ndarray:
+        return np.maximum(np.log((self.n - self.df + 0.5) / (self.df + 0.5)), 0)
+
+    def lexical(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Each document's vector, of length 1 or 0, and its id of most weight, or -1. Ids that no other document has don't count."""
+        vectors, heaviest = np.zeros((len(docs), DIMENSIONS), np.float32), np.full(len(docs), -1, np.int64)
+        size = len(self.df)
+        key = np.sort(np.concatenate([np.asarray(d, np.int64) + i * size for i, d in enumerate(docs)]))
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        tf = np.diff(np.append(first, len(key)))
+        term, doc = key[first] % size, key[first] // size
+        weight = np.where(self.df >= 2, self.idf, 0)[term] * tf * (K1 + 1) / (tf + K1)
+        hashed = mix64(np.arange(size, dtype=np.uint64))
+        sign, slot = np.where(hashed >> np.uint64(63), 1, -1), (hashed % np.uint64(DIMENSIONS)).astype(np.int64)
+        vectors = np.bincount(doc * DIMENSIONS + slot[term], weight * sign[term], len(docs) * DIMENSIONS).reshape(len(docs), DIMENSIONS).astype(np.float32)
+        begins = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+        most = np.maximum.reduceat(weight, begins)
+        top = np.flatnonzero((weight > 0) & (weight == np.repeat(most, np.diff(np.append(begins, len(doc))))))[::-1]
+        heaviest[doc[top]] = term[top]  # of equal ones the least id
+        return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9), heaviest
 
 
 def centres(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -211,6 +271,7 @@ def centres(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
         for c in np.unique(of):
             mean = vectors[of == c].mean(0)
             found[c] = mean / max(np.linalg.norm(mean), 1e-9)
+    found = found[np.linalg.norm(found, axis=1) > 0] if (np.linalg.norm(found, axis=1) > 0).any() else found[:1]
     chain, left = [0], set(range(1, len(found)))
     while left:
         chain.append(max(sorted(left), key=lambda c: found[chain[-1]] @ found[c]))
@@ -218,47 +279,110 @@ def centres(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return found[chain]
 
 
-def gathered(source: DataFrame) -> DataFrame:
-    """(doc_id, text) with lexically close documents next to each other."""
-    n = source.count()
-    context = source.sparkSession.sparkContext
-    shared = context.broadcast(counted(source, 1))
-    salted = source.withColumn("salt", F.xxhash64("doc_id", "text"))
-    share = min(1, FITTED_TO / max(n, 1))
+def tokenised(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, salt, ids) of every document, with the 0 at its end. Salts tell documents apart, not copies that have one id."""
+    source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("salt", F.xxhash64("doc_id", "text"))
+    tokens: list[Tokens] = []
+
+    def encode(texts):
+        if not tokens:
+            tokens.append(Tokens(path))
+        return [[tokens[0].ids(x).tobytes() + bytes(tokens[0].dtype.itemsize) for x in texts]]
 
-    def vectors(texts):
-        return [[v.tobytes() for v in lexical(texts, shared.value, n)[0]]]
+    return map_texts(source, ["doc_id", "salt"], encode, "ids binary")
 
-    sample = salted.where(F.pmod("salt", F.lit(1 << 30)) < int(share * (1 << 30))).dropDuplicates(["salt"])
-    rows = sorted(map_texts(sample, ["salt"], vectors, "v binary").collect(), key=lambda r: r.salt)  # about FITTED_TO
-    fitted = context.broadcast(centres(np.array([np.frombuffer(r.v, np.float32) for r in rows]), max(1, min(CLUSTERS, n // PER_CLUSTER))))
 
-    def keys(texts):
-        vectors, heaviest = lexical(texts, shared.value, n)
-        return [np.argmax(vectors @ fitted.value.T, 1).astype(np.int32), heaviest]
+def _arrays(column, dtype: np.dtype) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), dtype) for x in column]
 
-    keyed = written(map_texts(salted, ["doc_id", "text", "salt"], keys, "centre int, heaviest long"), "packing-keys")
-    return keyed.repartitionByRange("centre", "heaviest", "salt").sortWithinPartitions("centre", "heaviest", "salt", "doc_id").select("doc_id", "text")
+
+def _slices(batch, column: int):
+    """Parts of a batch with about a million ids, or one document."""
+    import pyarrow.compute as pc
+
+    for i, j in slices(pc.binary_length(batch.column(column)).to_pylist(), 1 << 21):
+        yield batch.slice(i, j - i)
+
+
+def counted(ids: DataFrame, tokens: Tokens) -> Corpus:
+    """Counts over all documents, exactly: a row for each id of the vocabulary at most."""
+    size, dtype = tokens.size, tokens.dtype
+
+    def count(batches):
+        import pyarrow as pa
+
+        df, n, total = np.zeros(size, np.int64), 0, 0
+        for batch in batches:
+            for own in _arrays(batch.column(0), dtype):
+                df[np.unique(own)] += 1
+                n, total = n + 1, total + len(own)
+        has = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-2, -1], has])), pa.array(np.concatenate([[n, total], df[has]]))], names=["id", "n"])
+
+    df, sums = np.zeros(size, np.int64), {}
+    for r in ids.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toLocalIterator():
+        if r.id < 0:
+            sums[r.id] = r.n
+        else:
+            df[r.id] = r.n
+    n = sums.get(-2, 0)
+    return Corpus(n, sums.get(-1, 0) / max(n, 1), df)
+
+
+def gathered(ids: DataFrame, corpus: Corpus, dtype: np.dtype) -> DataFrame:
+    """(doc_id, ids) with lexically close documents next to each other. ids: (doc_id, salt, ids)."""
+    context = ids.sparkSession.sparkContext
+    shared = context.broadcast(corpus)
+    share = min(1, FITTED_TO / max(corpus.n, 1))
+
+    def vectors(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for part in _slices(batch, 1):
+                v = shared.value.lexical(_arrays(part.column(1), dtype))[0]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in v], pa.binary())], names=["salt", "v"])
+
+    sample = ids.where(F.pmod("salt", F.lit(1 << 30)) < int(share * (1 << 30))).select("salt", "ids").mapInArrow(vectors, "salt long, v binary").dropDuplicates(["salt"])
+    rows = sorted(sample.collect(), key=lambda r: r.salt)  # about FITTED_TO
+    fitted = context.broadcast(centres(np.array([np.frombuffer(r.v, np.float32) for r in rows]), max(1, min(CLUSTERS, corpus.n // PER_CLUSTER))))
+
+    def keys(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for part in _slices(batch, 2):
+                v, heaviest = shared.value.lexical(_arrays(part.column(2), dtype))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.argmax(v @ fitted.value.T, 1).astype(np.int32)), pa.array(heaviest)], names=["doc_id", "salt", "ids", "centre", "heaviest"])
+
+    id_type = ids.schema["doc_id"].dataType.simpleString()
+    keyed = written(ids.mapInArrow(keys, f"doc_id {id_type}, salt long, ids binary, centre int, heaviest long"), "packing-keyed")
+    return keyed.repartitionByRange("centre", "heaviest", "salt").sortWithinPartitions("centre", "heaviest", "salt", "doc_id").select("doc_id", "ids")
 
 
 def packed(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW) -> DataFrame:
-    """A row for each piece of each document. tokenizer: the path of a byte-level BPE for `tokenizers`."""
+    """A row for each piece of each document. tokenizer: the path of a file for `tokenizers`, which the executors have too."""
+    import public_tokenizers
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    id_type = source.schema["doc_id"].dataType.simpleString()
-    fields = f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    arrow = to_arrow_schema(StructType.fromDDL(fields))
     if window & (window - 1):
         raise ValueError("the window must be a power of two")
+    path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
+    tokens = Tokens(path)
+    dtype = tokens.dtype
+    ids = written(tokenised(docs, path), "packing-ids")
+    corpus = counted(ids, tokens)
+    shared = docs.sparkSession.sparkContext.broadcast(corpus)
+    id_type = ids.schema["doc_id"].dataType.simpleString()
+    fields = f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    arrow = to_arrow_schema(StructType.fromDDL(fields))
 
     def run(batches):
-        import public_tokenizers
         import pyarrow as pa
         from pyspark import TaskContext
 
-        tokens = ByteBpe(tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
+        idf, mean = shared.value.idf, shared.value.mean
         following = TaskContext.get().partitionId() << 36
         units: list[Unit] = []
         size = 0
@@ -269,21 +393,23 @@ def packed(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW)
             for sequence in sequences:
                 offset = 0
                 for u, start, n in sequence:
-                    out.append((u.doc_id, start, n, crc32(u.ids[start : start + n].tobytes()), len(u.ids), following, offset))
+                    out.append((u.doc_id, start, n, crc32(u.ids[start : start + n].astype("<u4").tobytes()), len(u.ids), following, offset))
                     offset += n
                 following += 1
             columns = list(zip(*out, strict=True)) or [()] * len(arrow)
             return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                units.append(Unit(doc_id, np.append(tokens.ids(text.as_py()), _END), 0))
+            for doc_id, own in zip(batch.column(0).to_pylist(), _arrays(batch.column(1), dtype), strict=True):
+                units.append(Unit(doc_id, own, 0))
                 size += units[-1].left
                 if len(units) >= SHARD_DOCS or size >= SHARD_TOKENS:
-                    sequences, units = packed_shard(units, window)
+                    sequences, units = packed_shard(units, idf, mean, window)
                     size = sum(u.left for u in units)
                     yield rows(sequences)
-        sequences, units = packed_shard(units, window)
+        sequences, units = packed_shard(units, idf, mean, window)
         yield rows(sequences + packed_rest(units, window))
 
-    return gathered(source).mapInArrow(run, fields)
+    gather = gathered(ids, corpus, dtype)
+    dropped(ids)
+    return gather.mapInArrow(run, fields)
