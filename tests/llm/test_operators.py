@@ -3,7 +3,7 @@
 import hashlib
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
@@ -195,7 +195,6 @@ def test_packing(docs, odd, none):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     pieces, sequences = defaultdict(list), defaultdict(list)
     rows = packing.packed(docs.dropDuplicates(["doc_id"])).collect()
     for r in rows:
@@ -218,33 +217,81 @@ def test_packing(docs, odd, none):
     assert packing.packed(none).count() == 0
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_tokens_are_those_of_the_library(name):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    whole, own = Tokenizer.from_file(public_tokenizers.path(name)), packing.Tokens(public_tokenizers.path(name))
+    texts = ["", " a  b\n\n c", "<|endoftext|> x", "x<|endoftext|><|startoftext|>y", "é ß 漢字 🙂  x\t", "don't I'LL we've 1234 #$%", "\u00a0\u3000 z", "long word " * 500]
+    for text in texts:
+        assert own.ids(text).tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_gathers_close_documents(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
     rng = np.random.default_rng(2)
-    common = [f"common{i}" for i in range(40)]
-    texts = [" ".join([*rng.choice(common, 20), *rng.choice([f"topic{i % 300}x{j}" for j in range(5)], 10)]) for i in range(2400)]
+    common = ["".join(chr(97 + x) for x in rng.integers(0, 26, 5)) for _ in range(40)]
+    topics = [["".join(chr(97 + x) for x in rng.integers(0, 26, 9)) for _ in range(5)] for _ in range(300)]
+    texts = [" ".join([*rng.choice(common, 20), *rng.choice(topics[i % 300], 10)]) for i in range(2400)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartitionByRange(8, "doc_id")
+    tokens = packing.Tokens(path)
+    ids = packing.tokenised(docs, path).cache()
+    corpus = packing.counted(ids, tokens)
+    assert corpus.n == 2400 and corpus.df.max() <= 2400
     blocks = defaultdict(set)
-    rows = packing.gathered(docs).collect()
+    rows = packing.gathered(ids, corpus, tokens.dtype).collect()
     for place, r in enumerate(rows):
         blocks[r.doc_id % 300].add(place // 300)
     assert sorted(r.doc_id for r in rows) == list(range(2400))
     assert np.mean([len(b) for b in blocks.values()]) < 3  # each topic's 8 documents come from 8 partitions
 
 
+def brute_bm25(given, seed, df, n, mean):
+    expected = np.zeros(len(given))
+    for term in set(given[seed].tolist()):
+        idf = np.log((n - df[term] + 0.5) / (df[term] + 0.5))
+        for j, d in enumerate(given):
+            tf = int((d == term).sum())
+            if idf > 0:
+                expected[j] += idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / mean))
+    return expected
+
+
 def test_bm25_scores():
     rng = np.random.default_rng(3)
     given = [rng.integers(0, 50, rng.integers(1, 60)).astype("<u4") for _ in range(40)]
-    index, mean = packing.Index(given), np.mean([len(d) for d in given])
+    mean = np.mean([len(d) for d in given])
+    df = np.array([sum(t in d for d in given) for t in range(50)])
+    index = packing.Index(given, packing.Corpus(40, mean, df).idf, mean)
     for seed in (0, 7, 39):
-        expected = np.zeros(40)
-        for term in set(given[seed].tolist()):
-            df = sum(term in d for d in given)
-            idf = np.log((40 - df + 0.5) / (df + 0.5))
-            for j, d in enumerate(given):
-                tf = int((d == term).sum())
-                if idf > 0:
-                    expected[j] += idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / mean))
-        assert np.allclose(index.scores(seed), expected)
+        expected = brute_bm25(given, seed, df, 40, mean)
+        assert np.allclose(index.scores(seed), expected, rtol=1e-5)
+        unused = np.arange(40) % 3 > 0
+        found = list(index.best(seed, unused))
+        assert sorted(found) == np.flatnonzero(unused).tolist() and (np.diff(expected[found]) < 1e-4).all()
+
+
+def test_windows_hold_the_best_unused_neighbours():
+    """Each window against brute force: after its seed come the unused documents by BM25 score."""
+    rng = np.random.default_rng(5)
+    topics = [rng.integers(0, 400, 30) for _ in range(12)]
+    given = [rng.choice(np.concatenate([topics[i % 12], rng.integers(0, 400, 10)]), rng.integers(20, 90)).astype("<u4") for i in range(150)]
+    df, mean = np.array([sum(t in d for d in given) for t in range(400)]), np.mean([len(d) for d in given])
+    units = [packing.Unit(i, d, 0) for i, d in enumerate(given)]
+    sequences, left = packing.packed_shard(units, packing.Corpus(150, mean, df).idf, mean, 256)
+    unused = set(range(150))
+    for sequence in sequences:
+        assert sum(n for _, _, n in sequence) == 256
+        seed = sequence[0][0].doc_id
+        unused.discard(seed)
+        score = brute_bm25(given, seed, df, 150, mean)
+        for u, start, n in sequence[1:]:
+            assert start == 0 and score[u.doc_id] >= max(score[j] for j in unused) - 1e-3
+            unused.discard(u.doc_id)
+    assert unused == {u.doc_id for u in left} - {s[-1][0].doc_id for s in sequences[-1:]}
 
 
 def test_syncmers(docs, odd, none, spark):
@@ -295,6 +342,51 @@ def test_template_is_found_without_marks(spark):
     assert sorted(r.text for r in found) == [f"story {i}" for i in range(8)]
 
 
+def test_skeletons_are_template_without_lists(spark):
+    """Bare divs whose text differs from page to page: only their recurring place outside the densest part tells menus and footers."""
+    page = "<body><div><div><a href='/%d'>menu %d</a></div></div><div><div>Story %d</div><div>%s</div></div><div>Seen by %d people</div></body>"
+    rows = [(i, f"http://h/{i}", page % (i, i, i, f"long text {i} " * 20, i)) for i in range(12)]
+    rows += [(100 + i, "http://small/", page % (i, i, i, f"long text {i} " * 20, i)) for i in range(2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r.page_id: r.text for r in html.extracted(pages, lists=False).collect()}
+    assert all(found[i] == f"Story {i} " + " ".join([f"long text {i}"] * 20) for i in range(12))
+    assert found[100].startswith("menu 0 Story 0")  # too few pages to tell
+
+
+def test_template_decides_on_whole_table(spark):
+    """Over all pages of sf0.01, with the lists off: the template alone changes every text, to what the lists give too."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    both, alone, none = ({r.page_id: r.text for r in html.extracted(pages, **k).collect()} for k in ({}, {"lists": False}, {"lists": False, "least": 1 << 30}))
+    hosts = Counter(re.sub(r"^[^/]*//([^/]*).*", r"\1", r.url) for r in pages.collect())
+    judged = [r.page_id for r in pages.collect() if hosts[re.sub(r"^[^/]*//([^/]*).*", r"\1", r.url)] >= 8]
+    assert len(judged) > 20 and all(alone[i] != none[i] for i in judged)
+    assert np.mean([alone[i] == both[i] for i in judged]) > 0.95
+
+
+def brute_templates(pages):
+    """What template removal says, with plain loops: per host, hashes on enough distinct pages."""
+    own = {i: html.template_candidates(h) for i, _, h in pages}
+    host = {i: re.sub(r"^[^/]*//([^/?#]*).*", r"\1", u or "\0", flags=re.S).lower() for i, u, _ in pages}
+    found = {}
+    for name in set(host.values()):
+        distinct = {h: i for i, _, h in pages if host[i] == name}
+        votes = defaultdict(list)
+        for i in distinct.values():
+            for k, v in own[i]:
+                votes[k].append(v)
+        found[name] = {k for k, v in votes.items() if len(v) >= 4 and len(v) >= min(0.5 * len(distinct), 32) and sum(v) >= 0.6 * len(v)}
+    return {i: html.main_text(h, found[host[i]] & {k for k, _ in own[i]}) for i, _, h in pages}
+
+
+def test_html_equals_brute_force(spark):
+    """The whole result on sf0.001, and one very long page."""
+    pages = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url", "html").collect()]
+    long = "<html><body><nav>menu</nav><article>" + "<p>many words here</p>" * 60_000 + "</article></body></html>"
+    pages += [(10_000, pages[0][1], long), (10_001, None, None)]
+    found = {r.page_id: r.text for r in html.extracted(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert found == brute_templates(pages) and found[10_000] == " ".join(["many words here"] * 60_000)
+
+
 def test_copies_of_a_page_are_no_template(spark):
     pages = ["<body><div><p>Only page %s</p><ul><li>text %s</li></ul></div></body>" % (k, k) for k in "abcde"]
     rows = [(i, "http://h/%d" % i, pages[max(0, i - 7)]) for i in range(12)]

@@ -1,19 +1,26 @@
 """HTML extraction by site template removal.
 
-Every page is parsed leniently into elements. The subtree of an element (its tag, class, text and children) is
-hashed; Spark counts for each host on how many distinct pages (equal html counts once) a subtree occurs, and
-subtrees that recur on at least `LEAST_PAGES` of them are template if they are `SHARE` of the host's distinct pages or
-`ENOUGH_PAGES`, whatever the host's size: they are deleted wherever they stand outside the page's main element, and inside it if they are containers and not paragraphs, headings or lists of text. What
-structure or class names mark as no part of an article (menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles, comments) goes too, which also serves hosts with few pages. If a page has a main element, or else
-articles, only these are kept.
+Every page is parsed leniently into elements. Two things are hashed of each subtree: all of it (tag, class, children and
+text), and its skeleton, the tags and classes on the way to it and below it, without text, digits, inline elements other
+than links, and repetition. Spark counts for each host on
+how many distinct pages (equal html counts once) a hash occurs. A hash is template if it recurs on at least
+`LEAST_PAGES` pages that are `SHARE` of the host's distinct pages or `ENOUGH_PAGES`, whatever the host's size; a skeleton,
+whose text may differ from page to page, only if it lies outside the page's densest part on `OUTSIDE` of them. The
+densest part is found from the root by going down into the block that holds `DENSE` of the text that is no link.
+
+Template subtrees are deleted wherever they stand outside the page's main element, and inside it if they are containers
+and not paragraphs, headings or lists of text. What structure or class names mark as no part of an article (menus,
+headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments) goes too, which serves hosts with few
+pages and what recurs on few pages; `lists=False` turns that off, then only the template decides. If a page has a main
+element, or else articles, only these are kept.
 
 Only hashes are counted by host, so a host with a third of all pages is no hot group: counting combines before
 the shuffle, and a page meets the few recurring hashes of its own by page, not by host.
 
 Defined results: a null or empty page gives an empty text; a null url is a host of its own; repeated rows and copies
-of a page count once and get equal results; an unclosed element ends with its parent, a page cut off
-in a tag loses that tag; an empty table gives an empty result; extra columns are ignored.
+of a page count once and get equal results; of blocks that hold equally much text the first is gone into; a page of any
+length is parsed whole; an unclosed element ends with its parent, a page cut off in a tag loses that tag; an empty
+table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +36,8 @@ from .common import written
 LEAST_PAGES = 4
 SHARE = 0.5
 ENOUGH_PAGES = 32
+OUTSIDE = 0.6
+DENSE = 0.75
 
 #: Fixed sets of element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,6 +49,8 @@ BLOCK = frozenset(
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th tr tbody figcaption".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var br img wbr".split())
 DROPPED = frozenset("head script style title textarea xmp iframe noembed noframes noscript template nav aside footer form button select option input dialog menu object embed svg canvas audio video map fieldset".split())
+#: Elements whose text is never shown as text.
+NEVER = frozenset("head script style title template noscript xmp iframe noembed noframes".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Words of class names and ids that mark what is no part of an article.
 MARKS = frozenset(
@@ -62,18 +73,19 @@ SCOPES = frozenset("ul ol dl table select body article section div main".split()
 _token = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(>|\Z)", re.S)
 _attribute = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|(\bhidden\b)", re.S)
 _words = re.compile(r"[a-z0-9]+")
+_digits = re.compile(r"\d+")
 _raw_end: dict[str, re.Pattern] = {}
 #: Loose text may stand before or after a tag that is cut off.
 _TEXT = 0
 
 
 class Element:
-    __slots__ = ("tag", "key", "parent", "children", "dropped", "hash")
+    __slots__ = ("tag", "key", "parent", "children", "dropped", "hash", "path", "shape", "mass")
 
     def __init__(self, tag: str, key: str, parent, dropped: bool):
         self.tag, self.key, self.parent, self.dropped = tag, key, parent, dropped
         self.children: list = []  # elements and strings
-        self.hash = 0
+        self.hash = self.path = self.shape = self.mass = 0  # mass: the letters of text that is no link
 
 
 def _described(tag: str, source: str) -> tuple[str, bool]:
@@ -170,18 +182,38 @@ def _hash_all(root: Element) -> list[Element]:
     import xxhash
 
     nodes = _in_order(root)
+    for node in nodes[1:]:
+        up = node.parent
+        node.path = xxhash.xxh64_intdigest(f"{up.path:x}\x1f{node.tag}\x1f{_digits.sub('', node.key)}".encode("utf-8", "surrogatepass"), 1)
     for node in reversed(nodes):
         parts = [node.tag, node.key]
+        mass, below = 0, []
         for c in node.children:
             if c.__class__ is str:
                 if text := " ".join(c.split()):
                     parts.append(text)
+                    mass += len(text)
             else:
                 parts.append(f"\x00{c.hash:x}")
+                mass += c.mass
+                if (c.tag == "a" or c.tag not in INLINE) and below[-1:] != [c.shape]:
+                    below.append(c.shape)
+        node.shape = xxhash.xxh64_intdigest(",".join(map(str, (node.path, *below))), 1) - (1 << 63) or 1
+        node.mass = 0 if node.tag == "a" or node.tag in NEVER else mass
         node.hash = xxhash.xxh64_intdigest("\x1f".join(parts).encode("utf-8", "surrogatepass")) - (1 << 63) or 1
     return nodes
 
 
+def _densest(root: Element) -> Element:
+    node = root
+    while True:
+        inner = [c for c in node.children if c.__class__ is Element and c.tag not in INLINE and c.tag not in PARAGRAPHS]
+        most = max(inner, key=lambda c: c.mass, default=None)
+        if most is None or not most.mass or most.mass < DENSE * node.mass:
+            return node
+        node = most
+
+
 def _mains(nodes: list[Element]) -> list[Element]:
     """The page's main elements: main, or else the outermost articles; none if it has neither."""
 
@@ -207,30 +239,45 @@ def _mains(nodes: list[Element]) -> list[Element]:
     return []
 
 
-def template_candidates(html: str | None) -> list[int]:
-    """The hashes of the page's subtrees that may be template, each once."""
+def template_candidates(html: str | None) -> list[tuple[int, int]]:
+    """The hashes of the page's subtrees and skeletons that may be template, each once, with 1 for those that the page speaks for."""
     root = parse(html or "")
     nodes = _hash_all(root)
     mains = set(map(id, _mains(nodes)))
-    found, inside = set(), {}
+    dense = _densest(root)
+    around = set()
+    up = dense
+    while up is not None:
+        around.add(id(up))
+        up = up.parent
+    found: dict[int, int] = {}
+    inside, within = {}, {}  # the main element, the densest part
     for node in nodes:
-        inside[id(node)] = node.parent is not None and (inside[id(node.parent)] or id(node.parent) in mains)
-        if node.parent is None or node.tag in INLINE or node.tag in ("html", "body", "head", "main", "article") or not node.children:
+        above = node.parent
+        inside[id(node)] = above is not None and (inside[id(above)] or id(above) in mains)
+        within[id(node)] = node is dense or above is not None and within[id(above)]
+        if above is None or node.tag in INLINE or node.tag in ("html", "body", "head", "main", "article") or not node.children:
             continue
-        if inside[id(node)] and node.tag in PARAGRAPHS:
-            continue
-        found.add(node.hash)
-    return sorted(found)
+        outside = not within[id(node)] and id(node) not in around
+        found[node.shape] = min(found.get(node.shape, 1), int(outside))
+        if not (inside[id(node)] and node.tag in PARAGRAPHS):
+            found[node.hash] = 1
+    return sorted(found.items())
 
 
-def main_text(html: str | None, template: set[int]) -> str:
-    """The page's main text without the template subtrees."""
+def main_text(html: str | None, template: set[int], lists: bool = True) -> str:
+    """The page's main text without the template subtrees. lists: whether element and class names decide too."""
     if not html:
         return ""
     root = parse(html)
     nodes = _hash_all(root) if template else _in_order(root)
-    mains = _mains(nodes)
+    mains = _mains(nodes) if lists else []
     chosen = set(map(id, mains))
+    holds = set()  # elements around a chosen one
+    for node in mains:
+        while node is not None:
+            holds.add(id(node))
+            node = node.parent
     out: list[str] = []
     stack: list = [(root, not mains, False)]
     while stack:
@@ -244,9 +291,11 @@ def main_text(html: str | None, template: set[int]) -> str:
         if id(node) in chosen:
             kept = inside = True
         # a header in the article holds its heading
-        elif node.dropped or node.tag == "header" and not inside:
+        elif node.tag in NEVER or lists and (node.dropped or node.tag == "header" and not inside):
             continue
-        elif template and node.hash in template and node.tag not in INLINE and not (inside and node.tag in PARAGRAPHS):
+        elif template and node.tag not in INLINE and not (inside and node.tag in PARAGRAPHS) and (
+            node.hash in template or node.shape in template and not inside and id(node) not in holds and 2 * node.mass < root.mass
+        ):
             continue
         block = node.tag in BLOCK
         if block:
@@ -257,10 +306,8 @@ def main_text(html: str | None, template: set[int]) -> str:
     return " ".join("".join(out).split())
 
 
-def extracted(pages: DataFrame, least: int = LEAST_PAGES, share: float = SHARE, enough: int = ENOUGH_PAGES) -> DataFrame:
-    """(page_id, url, text, n_chars) of every page."""
-    host = F.xxhash64(F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)", 1)), F.lit("\x00")))
-    keyed = pages.select("page_id", "url", "html", host.alias("host"), F.xxhash64("page_id", "url", "html").alias("page"), F.xxhash64("html").alias("content"))
+def site_templates(pages: DataFrame, least: int = LEAST_PAGES, share: float = SHARE, enough: int = ENOUGH_PAGES) -> tuple[DataFrame, DataFrame]:
+    """(page, host, hash) of every page's candidates, and the template: (host, hash). pages: (page, host, content, html)."""
 
     def candidates(batches):
         import pyarrow as pa
@@ -268,18 +315,28 @@ def extracted(pages: DataFrame, least: int = LEAST_PAGES, share: float = SHARE,
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 part = batch.slice(i, 64)
-                rows = [(p, h, c, s) for p, h, c, html in zip(*(part.column(k).to_pylist() for k in range(4)), strict=True) for s in (0, *template_candidates(html))]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], names=["page", "host", "content", "subtree"])
+                own = [[(0, 1), *template_candidates(html)] for html in part.column(3).to_pylist()]
+                rows = pa.array([k for k, found in enumerate(own) for _ in found], pa.int64())
+                made = [pa.array([found[k] for each in own for found in each], t) for k, t in enumerate((pa.int64(), pa.int8()))]
+                yield pa.RecordBatch.from_arrays([*(part.column(k).take(rows) for k in range(3)), *made], names=["page", "host", "content", "hash", "vote"])
 
-    subtrees = written(keyed.select("page", "host", "content", "html").mapInArrow(candidates, "page long, host long, content long, subtree long"), "subtrees")
+    hashes = written(pages.select("page", "host", "content", "html").mapInArrow(candidates, "page long, host long, content long, hash long, vote byte"), "html-hashes")
     # rows are counted first, as only what they repeat can recur on distinct pages
-    recurring = written(subtrees.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("host", "subtree"), "recurring")
-    of_content = subtrees.join(recurring, ["host", "subtree"]).groupBy("host", "content").agg(F.collect_set("subtree").alias("subtrees"))
-    # subtree 0 stands once for each page, so its count is the host's number of distinct pages
-    counts = written(of_content.select("host", F.explode("subtrees").alias("subtree")).groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= least), "subtree-counts")
-    hosts = counts.where("subtree = 0").select("host", F.col("n").alias("pages"))
-    template = written(counts.where("subtree <> 0").join(hosts, "host").where(F.col("n") >= F.least(share * F.col("pages"), F.lit(enough))).select("host", "subtree"), "template")
-    of_page = subtrees.where("subtree <> 0").select("page", "host", "subtree").join(template, ["host", "subtree"]).groupBy("page").agg(F.collect_set("subtree").alias("template"))
+    repeated = hashes.groupBy("host", "hash").agg(F.count("*").alias("n"), F.sum("vote").alias("votes")).where((F.col("n") >= least) & (F.col("votes") > 0)).select("host", "hash")
+    once = hashes.join(written(repeated, "html-repeated"), ["host", "hash"]).select("host", "content", "hash", "vote").distinct()
+    # hash 0 stands once for each page, so its count is the host's number of distinct pages
+    counts = written(once.groupBy("host", "hash").agg(F.count("*").alias("n"), F.sum("vote").alias("votes")).where((F.col("n") >= least) & (F.col("votes") >= OUTSIDE * F.col("n"))), "html-counts")
+    hosts = counts.where("hash = 0").select("host", F.col("n").alias("pages"))
+    template = counts.where("hash <> 0").join(hosts, "host").where(F.col("n") >= F.least(share * F.col("pages"), F.lit(enough))).select("host", "hash")
+    return hashes.where("hash <> 0").select("page", "host", "hash"), written(template, "html-template")
+
+
+def extracted(pages: DataFrame, least: int = LEAST_PAGES, share: float = SHARE, enough: int = ENOUGH_PAGES, lists: bool = True) -> DataFrame:
+    """(page_id, url, text, n_chars) of every page."""
+    host = F.xxhash64(F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)", 1)), F.lit("\x00")))
+    keyed = pages.select("page_id", "url", "html", host.alias("host"), F.xxhash64("page_id", "url", "html").alias("page"), F.xxhash64("html").alias("content"))
+    hashes, template = site_templates(keyed, least, share, enough)
+    of_page = hashes.join(template, ["host", "hash"]).groupBy("page").agg(F.collect_set("hash").alias("template"))
 
     def texts(batches):
         import pyarrow as pa
@@ -287,7 +344,7 @@ def extracted(pages: DataFrame, least: int = LEAST_PAGES, share: float = SHARE,
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 part = batch.slice(i, 64)
-                found = [main_text(html, set(t or ())) for html, t in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+                found = [main_text(html, set(t or ()), lists) for html, t in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1).cast(pa.string()), pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     id_type = pages.schema["page_id"].dataType.simpleString()
