@@ -17,7 +17,7 @@ def op3_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mixed
 
-    return mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    return mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "expected")
 
 
 def op5_virtual_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
