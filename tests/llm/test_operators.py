@@ -143,6 +143,43 @@ def targets(sizes, weights=(3, 1, 2)):
     return full
 
 
+def brute_mix(rows, weight):
+    """rows: (id, size, source) -> {id: copies}, {id: expected}; the whole draw in plain loops, ids distinct."""
+    sizes = defaultdict(int)
+    for _, n, source in rows:
+        sizes[source] += n
+    copies, expected = {i: 0 for i, *_ in rows}, {i: 0.0 for i, *_ in rows}
+    for source, target in targets(sizes).items():
+        own = [(i, n, 2.0 ** (np.floor(8 * np.log2(weight(i, n)) + 0.5) / 8)) for i, n, s in rows if s == source and n]
+        low, high = 0.0, 1e9
+        for _ in range(200):  # c by bisection
+            c = (low + high) / 2
+            low, high = (c, high) if sum(n * min(2, c * w) for _, n, w in own) < target else (low, c)
+        ranked, gap = [], target
+        for i, n, w in own:
+            e = expected[i] = min(2.0, high * w)
+            e = round(e, 9)
+            copies[i] = int(e)
+            gap -= int(e) * n
+            u = (int(hashlib.md5(str(i).encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+            if 0 < (chance := e - int(e)):
+                ranked.append((u / (1 - u) / max(chance / (1 - chance), 1e-300), i, n))
+        ranked.sort()
+        after, most = -1, float("inf")
+        for _ in range(mixing.ROUNDS):
+            for at in range(after + 1, len(ranked)):
+                _, i, n = ranked[at]
+                if n > most:
+                    continue
+                if n > gap:
+                    break
+                copies[i] += 1
+                gap -= n
+                after = at
+            most = gap
+    return copies, expected
+
+
 def test_mixing(spark, docs, odd, none):
     rows = [(i, "w " * (1 + i * 7 % 40), f"s{i % 5}" if i % 11 else None) for i in range(2000)]
     for given in (rows, odd):
@@ -159,11 +196,39 @@ def test_mixing(spark, docs, odd, none):
             assert all(abs(taken[s] - expected[s]) <= 40 for s in sizes)
             again = mixing.mixed(make(spark, given).repartition(7)).collect()
             assert sorted((r.doc_id, r.taken) for r in again) == sorted((r.doc_id, r.taken) for r in found)
+            copies, chances = brute_mix([(i, 1 + i * 7 % 40, s) for i, _, s in given], lambda i, n: np.log2(n + 1.0))
+            assert {r.doc_id: r.copies for r in found} == copies
+            assert all(abs(r.expected - chances[r.doc_id]) < 1e-6 for r in found) and len({round(r.expected % 1, 3) for r in found}) > 10
+            assert sorted(r.doc_id for r in mixing.mixed_documents(make(spark, given)).collect()) == sorted(i for i, n in copies.items() for _ in range(n))
     assert mixing.mixed(none).count() == 0 and mixing.mixed_documents(none).count() == 0
     copies = mixing.mixed_documents(docs)
     assert copies.columns == docs.columns
 
 
+def test_mixing_equals_brute_force(spark):
+    """The whole draw over the documents of sf0.001."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    given = [(r.doc_id, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")), r.source) for r in docs.collect()]
+    assert {r.doc_id: r.copies for r in mixing.mixed(docs).collect()} == brute_mix(given, lambda i, n: np.log2(n + 1.0))[0]
+
+
+def test_mixing_cuts_large_sources(spark, monkeypatch):
+    """Many rows of one id and text, and ranges cut down to few rows: near the target all the same."""
+    monkeypatch.setattr(mixing, "SORTED", 8)
+    rows = [(i if i % 3 else 7, "w " * (1 + i * 7 % 40 if i % 3 else 5), "s" if i % 4 else "t") for i in range(6000)]
+    found = mixing.mixed(make(spark, rows)).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()
+    assert len(found) == 2 and all(abs(r.taken - r.target) <= 10 for r in found)
+
+
+def test_pareto_inclusion_meets_its_chances(spark):
+    """Over many draws (ids differ, all else is alike) documents of each weight are taken as often as expected."""
+    draws = [(d * 1000 + k, "w " * 10, f"{d:03d}", float(1 + k % 4)) for d in range(60) for k in range(80)]
+    docs = spark.createDataFrame(draws, "doc_id long, text string, source string, heavy double")
+    found = mixing.mixed(docs, weights=(1,), share=0.9, weight="heavy").groupBy((F.col("doc_id") % 4).alias("k")).agg(F.avg("copies").alias("taken"), F.avg("expected").alias("expected")).collect()
+    assert len(found) == 4 and len({round(r.expected, 3) for r in found}) == 4
+    assert all(abs(r.taken - r.expected) < 0.04 for r in found)
+
+
 def test_sharding(docs, odd, none, spark):
     found = sharding.sharded(docs).collect()
     by = defaultdict(list)
@@ -181,13 +246,67 @@ def test_sharding(docs, odd, none, spark):
 
 def test_sharding_rebalances_few_bytes(spark):
     loads = spark.range(1000).select(F.col("id").cast("int").alias("virtual_slot"), (F.col("id") % 7 + 1).alias("bytes"))
-    first = sharding.first_map(loads, 8)
+    first = sharding.rebalanced(sharding.first_map(spark, 8, 1000), loads, 8)
     more = sharding.rebalanced(first, loads, 9)
     before, after = ({r.virtual_slot: r.shard for r in m.collect()} for m in (first, more))
     size = {r.virtual_slot: r.bytes for r in loads.collect()}
     moved = sum(size[s] for s in after if after[s] != before[s])
     assert after.keys() == before.keys() and moved < sum(size.values()) / 9 * 1.1 and set(after.values()) == set(range(9))
-    assert {r.version for r in more.collect()} == {2}
+    assert {r.version for r in more.collect()} == {3}
+
+
+def brute_shards(rows, shards=16, slots=4096):
+    """rows: (id, text), ids distinct -> {id: (size, crc, shard, slot, virtual slot)}, in plain loops."""
+    own = {i: (len((t or "").encode()) + 1, zlib.crc32((t or "").encode()), int(hashlib.md5(str(i).encode()).hexdigest()[:8], 16) % slots) for i, t in rows}
+    load = defaultdict(int)
+    for size, _, v in own.values():
+        load[v] += size
+    mean, loads, at, moving = sum(load.values()) / shards, [0] * shards, {}, []
+    kept = [0] * shards
+    for v in sorted(load, key=lambda v: (-load[v], v)):  # what a shard of version 1 keeps
+        kept[v % shards] += load[v]
+        if kept[v % shards] <= max(mean, load[v]):
+            at[v] = v % shards
+            loads[v % shards] += load[v]
+        else:
+            moving.append(v)
+    for v in moving:
+        to = loads.index(min(loads))
+        at[v], loads[to] = to, loads[to] + load[v]
+    found, following = {}, [0] * shards
+    for i in sorted(own, key=lambda i: (own[i][2], i)):
+        size, crc, v = own[i]
+        found[i] = (size, crc, at[v], following[at[v]], v)
+        following[at[v]] += 1
+    return found
+
+
+def test_sharding_equals_brute_force(spark):
+    """The whole result on sf0.001."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    found = {r.doc_id: (r.size, r.text_crc32, r.shard, r.slot, r.virtual_slot) for r in sharding.sharded(docs).collect()}
+    assert found == brute_shards([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_sharding_edits_the_stored_map(spark, tmp_path):
+    """A second load of documents goes by the stored map: versions stay, few bytes move, records keep their slots."""
+    at = str(tmp_path / "map")
+    texts = [(i, "x" * (i * 37 % 500), "s") for i in range(9000)]
+    sharding.stored(sharding.first_map(spark, 16), at)
+    first = {r.doc_id: r for r in sharding.sharded(make(spark, texts[:6000]), map_at=at).collect()}
+    second = {r.doc_id: r for r in sharding.sharded(make(spark, texts), map_at=at).collect()}
+    assert {r.map_version for r in first.values()} == {2} and {r.map_version for r in second.values()} == {3}
+    assert sorted(r.version for r in spark.read.parquet(at).select("version").distinct().collect()) == [1, 2, 3]
+    assert all(first[i].virtual_slot == second[i].virtual_slot for i in first)
+    assert sum(first[i].size for i in first if first[i].shard != second[i].shard) < 0.1 * sum(r.size for r in first.values())
+
+
+def test_sharding_spreads_one_id(spark):
+    """A third of the rows without an id, another third with one id: shards are near equal all the same."""
+    rows = [((None, 5, i)[i % 3], "y" * 50 if i % 2 else "z" * (i % 90), "s") for i in range(30_000)]
+    found = sharding.sharded(make(spark, rows)).groupBy("shard").agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.max("slot").alias("last")).collect()
+    sizes = [r["size"] for r in found]
+    assert len(found) == 16 and max(sizes) < 1.02 * min(sizes) and all(r.last == r.n - 1 for r in found)
 
 
 def test_packing(docs, odd, none):

@@ -1,28 +1,40 @@
 """Sharding by fixed virtual slots, with DataFrame functions only.
 
-Records are hashed into `slots` virtual slots. The bytes of each slot are summed, a versioned map from slot
-to shard is derived from those sums and stored as a table, and rebalancing edits that map: only the slots
-that must move change their shard, and every other record stays where it is.
-
-Defined results: a null text has no bytes and counts 1; a null id hashes like any other value; repeated rows
-share a slot; an empty table gives an empty result; extra columns of the input are ignored.
+Records are hashed into `slots` virtual slots. The bytes of each slot are summed. A map from slot to shard is stored as
+a table with a version: version 1 deals the slots round robin, and rebalancing writes the next version, which is the
+newest one edited to the sums, in which only the slots that must move change their shard; every other record stays where
+it is. Records are placed by the newest version, as it is read back from where it is stored.
+
+A slot is the hash of the id. Where ids repeat so often that a slot holds many times the mean number of records, its
+records are dealt over all slots by a hash of the row, so even one id on a third of all rows leaves shards near equal.
+Equal texts aren't kept together: a group of them with a third of all bytes would fit none of 16 near equal shards.
+
+Defined results: a null text has no bytes and counts 1; a null id hashes like any other value; repeated rows share a slot
+unless it is crowded; rows that tie in id, size and checksum are numbered in any order; a text of any length is read
+whole; an empty table gives an empty result; extra columns of the input are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, shared_dir, written
 
 SLOTS = 4096
+#: A slot is crowded with more records than so many and CROWD times the mean.
+CROWD = 16
+#: Rows that are numbered in one group, about.
+GROUP = 4096
 
 
 def virtual_slot(key: str = "doc_id", slots: int = SLOTS) -> Column:
-    return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(slots)).cast("int")
+    return (F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("null"))), 1, 8), 16, 10).cast("bigint") % slots).cast("int")
 
 
-def slot_bytes(records: DataFrame, slots: int = SLOTS) -> DataFrame:
+def slot_bytes(records: DataFrame) -> DataFrame:
     """(virtual_slot, bytes, records) of the slots that hold records; `slots` rows at most, whatever the input."""
     return records.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("records"))
 
@@ -49,17 +61,18 @@ def _heaviest_first() -> Column:
     return F.array_sort(F.collect_list(F.struct((-F.col("bytes")).alias("less"), "virtual_slot"))).alias("slots")
 
 
-def first_map(loads: DataFrame, shards: int) -> DataFrame:
-    """Version 1 of the map: (version, virtual_slot, shard, bytes)."""
-    none = F.array(*[F.lit(0).cast("bigint")] * shards)
-    return _dealt(loads.agg(_heaviest_first()), none, shards).select(F.lit(1).alias("version"), "virtual_slot", "shard", "bytes")
+def first_map(spark: SparkSession, shards: int, slots: int = SLOTS) -> DataFrame:
+    """Version 1 of the map, made before any record is known: (version, virtual_slot, shard, bytes)."""
+    slot = F.col("id").cast("int")
+    return spark.range(slots).select(F.lit(1).alias("version"), slot.alias("virtual_slot"), (slot % shards).alias("shard"), F.lit(0).cast("bigint").alias("bytes"))
 
 
 def rebalanced(old: DataFrame, loads: DataFrame, shards: int) -> DataFrame:
     """The next version of the map, for new loads or another number of shards.
 
     A shard keeps its slots, heaviest first, up to the mean load; what lies above that, new slots and slots of
-    shards that are no more are dealt to the lightest shards. All other entries are copied unchanged.
+    shards that are no more are dealt to the lightest shards. All other entries are copied unchanged. Of equally heavy
+    slots the one with the smaller number comes first, of equally light shards the first.
     """
     by_shard = Window.partitionBy("shard").orderBy(F.desc("bytes"), "virtual_slot")
     have = (
@@ -76,28 +89,63 @@ def rebalanced(old: DataFrame, loads: DataFrame, shards: int) -> DataFrame:
     return kept.unionByName(moved).crossJoin(F.broadcast(version)).select("version", "virtual_slot", "shard", "bytes")
 
 
-def sharded(docs: DataFrame, shards: int = 16, slots: int = SLOTS) -> DataFrame:
+def stored(slot_map: DataFrame, at: str) -> None:
+    """Adds a version to the maps at `at`; those before stay."""
+    slot_map.coalesce(1).write.mode("append").partitionBy("version").parquet(at)
+
+
+def newest(spark: SparkSession, at: str) -> DataFrame:
+    """The newest version of the map that is stored at `at`."""
+    maps = spark.read.schema("virtual_slot int, shard int, bytes bigint, version int").parquet(at)
+    return maps.where(F.col("version") == maps.agg(F.max("version")).first()[0])
+
+
+def _spread(records: DataFrame, slots: int) -> DataFrame:
+    """records with the virtual slot of those in crowded slots by a hash of the row."""
+    loads = slot_bytes(records)
+    mean = loads.agg(F.greatest(F.lit(CROWD), CROWD * F.sum("records") / slots).alias("most"))  # one row
+    crowded = loads.crossJoin(F.broadcast(mean)).where("records > most").select(F.col("virtual_slot").alias("crowded"))
+    at = F.when(F.col("crowded").isNotNull(), F.pmod(F.xxhash64("doc_id", "text_crc32", "row"), F.lit(slots)).cast("int")).otherwise(F.col("virtual_slot"))
+    return records.join(F.broadcast(crowded), F.col("virtual_slot") == F.col("crowded"), "left").withColumn("virtual_slot", at).drop("crowded")  # `slots` rows at most
+
+
+def sharded(docs: DataFrame, shards: int = 16, slots: int = SLOTS, map_at: str | None = None) -> DataFrame:
     """Every document with its shard and its place there.
 
-    `slot` numbers the rows of a shard from 0 without a gap: the rows of the shard's virtual slots before its
-    own, plus its rank in its virtual slot. So no task sorts more than one virtual slot's rows.
+    map_at: where the map is stored; its newest version is edited. Without one, a new map is begun.
+
+    `slot` numbers the rows of a shard from 0 without a gap: the rows of its groups before, plus the rank in the
+    group. Groups are parts of virtual slots, of about GROUP rows, so no task sorts more than that.
     """
+    spark = docs.sparkSession
     records = docs.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("bigint").alias("size"),
         F.coalesce(F.crc32(F.encode("text", "UTF-8")), F.lit(0)).cast("bigint").alias("text_crc32"),
         virtual_slot("doc_id", slots).alias("virtual_slot"),
+        F.monotonically_increasing_id().alias("row"),
     )
-    records = written(records, "shard-records")
-    loads = slot_bytes(records, slots)
-    placed = written(first_map(loads, shards), "shard-map")  # the stored map; readers take its newest version
+    hashed = written(records, "shard-records")
+    records = written(_spread(hashed, slots), "shard-spread")
+    dropped(hashed)
+    loads = slot_bytes(records)
+    if map_at is None:
+        map_at = f"{shared_dir(spark)}/tomeflow/shard-map-{uuid.uuid4().hex}"
+        stored(first_map(spark, shards, slots), map_at)
+    stored(rebalanced(newest(spark, map_at), loads, shards), map_at)
+    placed = newest(spark, map_at).select("virtual_slot", "version", "shard")
+
+    parts = max(1, records.count() // (GROUP * slots))
+    grouped = records.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int"))
     before = (
-        placed.join(loads.select("virtual_slot", "records"), "virtual_slot")
-        .withColumn("first", F.coalesce(F.sum("records").over(Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .select("virtual_slot", "version", "shard", "first")
+        grouped.groupBy("virtual_slot", "part")
+        .agg(F.count("*").alias("records"))
+        .join(F.broadcast(placed), "virtual_slot")  # `slots` rows at most
+        .withColumn("first", F.coalesce(F.sum("records").over(Window.partitionBy("shard").orderBy("virtual_slot", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        .select("virtual_slot", "part", "version", "shard", "first")
     )
-    ranked = records.withColumn("rank", F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "size", "text_crc32")))
-    return ranked.join(F.broadcast(before), "virtual_slot").select(  # `slots` rows at most
+    ranked = grouped.withColumn("rank", F.row_number().over(Window.partitionBy("virtual_slot", "part").orderBy("doc_id", "size", "text_crc32", "row")))
+    return ranked.join(before, ["virtual_slot", "part"]).select(
         "doc_id",
         "size",
         "text_crc32",
