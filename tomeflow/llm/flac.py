@@ -1,15 +1,15 @@
 """Media columns: FLAC, written and read frame by frame in numpy.
 
 Reading: Rice residuals (both parameter widths, partitions, escapes), constant, verbatim, fixed and linear
-predictors and wasted bits are decoded; header CRC-8, frame CRC-16 and the stream's MD5 are verified. Frames are
+predictors, wasted bits, several channels and their differences are decoded; header CRC-8, frame CRC-16 and the stream's MD5 are verified. Frames are
 decoded side by side: step t reads sample t of every frame at hand, so the work per sample is a few numpy
 operations however the bits lie. Writing: blocks of 192 samples, mono, 8 bits, each by the cheapest of constant,
 verbatim, fixed predictors of order 0 to 2 and a linear predictor of order 2; a seek table gives sample and byte
-offsets. Decoded PCM comes in blocks that carry their first sample.
+offsets. Decoded PCM is written in blocks that carry their first sample.
 
-Only a bounded slice of frames is in memory besides the media value itself.
+Only a bounded slice of frames is in memory besides the media value itself and its samples.
 
-Defined results: a null text is an empty one; an empty text is stored as 192 blanks; equal texts give equal
+Defined results: a null text is an empty one; a text of any length is stored whole; repeated rows get equal results; an empty text is stored as 192 blanks; equal texts give equal
 bytes; a damaged stream raises FlacError in decode() and gives a row with the message in pcm_blocks(); an empty
 table gives an empty result; extra columns are ignored.
 """
@@ -25,8 +25,11 @@ from pyspark.sql import DataFrame
 from .common import crc32, map_texts
 
 BLOCK = 192
-SEEK_EVERY = 4  # frames
+#: Frames from one seek point to the next, and how many points there are at most: a table has 18 bytes for each, 2^24 at most.
+SEEK_EVERY = 4
+MOST_SEEK = 900_000
 RATE = 8000
+PCM_BLOCK = 4608  # samples
 _SLICE = 1 << 11  # frames that are written at once
 
 
@@ -194,8 +197,9 @@ def encode_many(payloads: list[bytes]) -> list[bytes]:
         total = int(own.sum())
         md5 = hashlib.md5(samples[frame : frame + n].tobytes()).digest()
         info = struct.pack(">HH", BLOCK, BLOCK) + int(own.min()).to_bytes(3, "big") + int(own.max()).to_bytes(3, "big") + (RATE << 44 | 7 << 36 | len(payload)).to_bytes(8, "big") + md5
-        starts = np.concatenate([[0], np.cumsum(own)[:-1]])[::SEEK_EVERY]
-        seek = b"".join(struct.pack(">QQH", i * SEEK_EVERY * BLOCK, int(s), BLOCK) for i, s in enumerate(starts))
+        every = SEEK_EVERY * max(1, -(-n // (SEEK_EVERY * MOST_SEEK)))
+        starts = np.concatenate([[0], np.cumsum(own)[:-1]])[::every]
+        seek = b"".join(struct.pack(">QQH", i * every * BLOCK, int(s), BLOCK) for i, s in enumerate(starts))
         out.append(b"fLaC" + b"\x00\x00\x00\x22" + info + b"\x83" + len(seek).to_bytes(3, "big") + seek + data[byte : byte + total])
         byte, frame = byte + total, frame + n
     return out
@@ -281,21 +285,19 @@ def _sign(v: np.ndarray, bits) -> np.ndarray:
 
 
 def decode_many(streams: list[bytes]) -> list[np.ndarray]:
-    """The samples of mono FLAC streams, with all checksums verified.
+    """The samples of FLAC streams, with all checksums verified: a vector for one channel, else a column a channel.
 
     Frame k of every stream is decoded in round k: where a frame ends is known once it is decoded. Streams with
     a seek table start at all of their seek points at once.
     """
     infos = [metadata(s) for s in streams]
-    out = [np.zeros(i["samples"], np.int32) for i in infos]
+    out = [np.zeros((i["samples"], i["channels"]), np.int32) for i in infos]
     joined = b"".join(streams)
     base = np.concatenate([[0], np.cumsum([len(s) for s in streams])]).astype(np.int64)
     bits = _Bits(joined)
     # chains of frames: (stream, byte, end byte, sample)
     of, at, stop, sample = [], [], [], []
     for i, info in enumerate(infos):
-        if info["channels"] != 1:
-            raise FlacError("only mono is decoded")
         points = [(p[0], p[1]) for p in info["seek"] if p[0] < info["samples"] or p[0] == 0] or [(0, 0)]
         first = base[i] + info["first_frame"]
         ends = [first + p[1] for p in points[1:]] + [base[i + 1]]
@@ -304,14 +306,15 @@ def decode_many(streams: list[bytes]) -> list[np.ndarray]:
     of, at, stop, sample = (np.array(v, np.int64) for v in (of, at, stop, sample))
     depth = np.array([i["bits"] for i in infos], np.int64)
     fixed_block = np.array([i["max_block"] for i in infos], np.int64)
+    channels = np.array([i["channels"] for i in infos], np.int64)
     live = np.flatnonzero(at < stop)
     while len(live):
-        values, blocks, ends = _decode_frames(bits, at[live], of[live], depth, sample[live], fixed_block)
+        values, blocks, ends = _decode_frames(bits, at[live], of[live], depth, sample[live], fixed_block, channels)
         for row, j in enumerate(live):
             s, n = sample[j], blocks[row]
             if s + n > len(out[of[j]]):
                 raise FlacError("more samples than announced")
-            out[of[j]][s : s + n] = values[row, :n]
+            out[of[j]][s : s + n] = values[: channels[of[j]], row, :n].T
         sample[live] += blocks
         at[live] = ends
         live = live[at[live] < stop[live]]
@@ -319,45 +322,17 @@ def decode_many(streams: list[bytes]) -> list[np.ndarray]:
         raise FlacError("a frame crosses a seek point")
     for o, info in zip(out, infos, strict=True):
         width = (info["bits"] + 7) // 8
-        raw = o.astype("<i4").view(np.uint8).reshape(-1, 4)[:, :width].tobytes()
+        raw = np.ascontiguousarray(o.astype("<i4").reshape(-1, 1)).view(np.uint8)[:, :width].tobytes()
         if info["md5"] != bytes(16) and hashlib.md5(raw).digest() != info["md5"]:
             raise FlacError("MD5 differs")
-    return out
+    return [o[:, 0] if o.shape[1] == 1 else o for o in out]
 
 
-def _decode_frames(bits: _Bits, start: np.ndarray, of: np.ndarray, depth: np.ndarray, sample: np.ndarray, fixed_block: np.ndarray):
-    """One frame from each start: samples (a row a frame), block sizes, and the bytes where the frames end."""
-    head = bits.peek(start * 8, 16)
-    if (head >> 1 != 0x7FFC).any():
-        raise FlacError("no frame where one should begin")
-    variable = head & 1
-    codes = bits.peek(start * 8 + 16, 16)
-    size_code, rate_code, channels, depth_code = codes >> 12, codes >> 8 & 15, codes >> 4 & 15, codes >> 1 & 7
-    if channels.any():
-        raise FlacError("only mono is decoded")
-    lead = bits.bytes[start + 4].astype(np.int64)
-    coded = np.select([lead < 0x80, lead < 0xE0, lead < 0xF0, lead < 0xF8, lead < 0xFC, lead < 0xFE], [1, 2, 3, 4, 5, 6], 7)
-    number = np.where(coded == 1, lead, lead & ((1 << np.maximum(7 - coded, 0)) - 1))
-    for j in range(1, 7):
-        number = np.where(j < coded, (number << 6) | (bits.bytes[np.minimum(start + 4 + j, len(bits.bytes) - 1)] & 0x3F), number)
-    at = start + 4 + coded
-    block = np.zeros(len(start), np.int64)
-    for code, n in _BLOCK_SIZES.items():
-        block[size_code == code] = n
-    block = np.where(size_code == 6, bits.bytes[at].astype(np.int64) + 1, np.where(size_code == 7, bits.peek(at * 8, 16) + 1, block))
-    at = at + np.select([size_code == 6, size_code == 7], [1, 2], 0) + np.select([rate_code == 12, (rate_code == 13) | (rate_code == 14)], [1, 2], 0)
-    if not block.all():
-        raise FlacError("a reserved block size")
-    if (_crcs(bits.bytes, start, at - start, 8) != bits.bytes[at]).any():
-        raise FlacError("a header's CRC-8 differs")
-    if (np.where(variable, number, number * fixed_block[of]) != sample).any():
-        raise FlacError("a frame is out of place")
-    given = np.array([0, 8, 12, 0, 16, 20, 24, 32])[depth_code]
-    depth = np.where(given > 0, given, depth[of])
-    pos = (at + 1) * 8
+def _subframes(bits: _Bits, pos: np.ndarray, block: np.ndarray, depth: np.ndarray):
+    """One subframe from each bit position: samples (a row each), and the positions where they end."""
     sub = bits.peek(pos, 8)
     pos = pos + 8
-    kind, wasted = sub >> 1 & 63, np.zeros(len(start), np.int64)
+    kind, wasted = sub >> 1 & 63, np.zeros(len(pos), np.int64)
     has = np.flatnonzero(sub & 1)
     if len(has):
         wasted[has] = bits.zeros(pos[has]) + 1
@@ -370,7 +345,7 @@ def _decode_frames(bits: _Bits, start: np.ndarray, of: np.ndarray, depth: np.nda
     if (order > block).any():
         raise FlacError("a predictor longer than its block")
     longest = int(block.max())
-    x = np.zeros((len(start), longest), np.int64)
+    x = np.zeros((len(pos), longest), np.int64)
     raw = np.where(verbatim, block, np.where(constant, 1, order))  # samples that stand as they are
     for t in range(int(raw.max())):
         r = np.flatnonzero(t < raw)
@@ -378,8 +353,8 @@ def _decode_frames(bits: _Bits, start: np.ndarray, of: np.ndarray, depth: np.nda
         pos[r] += depth[r]
     x[constant] = x[constant, :1]
     # predictors: coefficients by distance, and a shift
-    coefficients = np.zeros((len(start), max(1, int(order.max()))), np.int64)
-    shift = np.zeros(len(start), np.int64)
+    coefficients = np.zeros((len(pos), max(1, int(order.max()))), np.int64)
+    shift = np.zeros(len(pos), np.int64)
     for o, c in ((1, (1,)), (2, (2, -1)), (3, (3, -3, 1)), (4, (4, -6, 4, -1))):
         coefficients[np.ix_(np.flatnonzero(fixed & (order == o)), np.arange(o))] = c
     r = np.flatnonzero(lpc)
@@ -467,6 +442,54 @@ def _decode_frames(bits: _Bits, start: np.ndarray, of: np.ndarray, depth: np.nda
         pos[rows] = here
         x[rows] = y.T
     x <<= wasted[:, None]
+    return x, pos
+
+
+def _decode_frames(bits: _Bits, start: np.ndarray, of: np.ndarray, depth: np.ndarray, sample: np.ndarray, fixed_block: np.ndarray, count: np.ndarray):
+    """One frame from each start: samples (by channel, a row a frame), block sizes, and the bytes where the frames end."""
+    head = bits.peek(start * 8, 16)
+    if (head >> 1 != 0x7FFC).any():
+        raise FlacError("no frame where one should begin")
+    variable = head & 1
+    codes = bits.peek(start * 8 + 16, 16)
+    size_code, rate_code, channels, depth_code = codes >> 12, codes >> 8 & 15, codes >> 4 & 15, codes >> 1 & 7
+    lead = bits.bytes[start + 4].astype(np.int64)
+    coded = np.select([lead < 0x80, lead < 0xE0, lead < 0xF0, lead < 0xF8, lead < 0xFC, lead < 0xFE], [1, 2, 3, 4, 5, 6], 7)
+    number = np.where(coded == 1, lead, lead & ((1 << np.maximum(7 - coded, 0)) - 1))
+    for j in range(1, 7):
+        number = np.where(j < coded, (number << 6) | (bits.bytes[np.minimum(start + 4 + j, len(bits.bytes) - 1)] & 0x3F), number)
+    at = start + 4 + coded
+    block = np.zeros(len(start), np.int64)
+    for code, n in _BLOCK_SIZES.items():
+        block[size_code == code] = n
+    block = np.where(size_code == 6, bits.bytes[at].astype(np.int64) + 1, np.where(size_code == 7, bits.peek(at * 8, 16) + 1, block))
+    at = at + np.select([size_code == 6, size_code == 7], [1, 2], 0) + np.select([rate_code == 12, (rate_code == 13) | (rate_code == 14)], [1, 2], 0)
+    if not block.all():
+        raise FlacError("a reserved block size")
+    if (_crcs(bits.bytes, start, at - start, 8) != bits.bytes[at]).any():
+        raise FlacError("a header's CRC-8 differs")
+    if (np.where(variable, number, number * fixed_block[of]) != sample).any():
+        raise FlacError("a frame is out of place")
+    given = np.array([0, 8, 12, 0, 16, 20, 24, 32])[depth_code]
+    depth = np.where(given > 0, given, depth[of])
+    pos = (at + 1) * 8
+    # one subframe a channel; a difference of both has a bit more
+    stereo = channels >= 8
+    own = np.where(stereo, 2, channels + 1)
+    if (channels > 10).any() or (own != count[of]).any():
+        raise FlacError("a frame's channels differ from the stream's")
+    x = np.zeros((int(own.max()), len(start), int(block.max())), np.int64)
+    for c in range(len(x)):
+        rows = np.flatnonzero(c < own)
+        difference = np.where(c == 0, channels[rows] == 9, (channels[rows] == 8) | (channels[rows] == 10)) & (c < 2)
+        values, pos[rows] = _subframes(bits, pos[rows], block[rows], depth[rows] + difference)
+        x[c, rows, : values.shape[1]] = values
+    if stereo.any():
+        a, b = x[0].copy(), x[1].copy()
+        mode = channels[:, None]
+        mid = (a << 1) | (b & 1)
+        x[0] = np.select([mode == 9, mode == 10], [a + b, (mid + b) >> 1], a)
+        x[1] = np.select([mode == 8, mode == 10], [a - b, (mid - b) >> 1], b)
     end = (pos + 7) >> 3
     if (end * 8 + 16 > bits.size).any():
         raise FlacError("a frame ends early")
@@ -480,20 +503,26 @@ def payload(text: str | None) -> bytes:
     return raw + b" " * (-len(raw) % BLOCK if raw else BLOCK)
 
 
-def _bytes_of(samples: np.ndarray) -> bytes:
-    return (samples.astype(np.int8).view(np.uint8) ^ 128).tobytes()
-
-
 def encoded(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns `keep` and `media`, each text's FLAC stream."""
     return map_texts(docs, keep, lambda texts: [encode_many([payload(x) for x in texts])], "media binary", most_chars=1 << 20)
 
 
-def pcm_blocks(media: DataFrame, keep: list[str], samples: int = 4608) -> DataFrame:
+def blocks_of(x: np.ndarray, bits: int, samples: int = PCM_BLOCK):
+    """(first sample, number of samples, PCM) of a decoded stream's blocks: any of them is found by its first sample. PCM as WAV has it: signed, at 8 bits unsigned, channels side by side."""
+    width = (bits + 7) // 8
+    for at in range(0, max(1, len(x)), samples):
+        part = x[at : at + samples]
+        if width == 1:
+            yield at, len(part), (part + (1 << (bits - 1))).astype(np.uint8).tobytes()
+        else:
+            yield at, len(part), np.ascontiguousarray(part.astype("<i4").reshape(-1, 1)).view(np.uint8)[:, :width].tobytes()
+
+
+def pcm_blocks(media: DataFrame, keep: list[str], samples: int = PCM_BLOCK) -> DataFrame:
     """A row for each block of `samples` samples of each stream: keep, block, first_sample, n_samples, pcm, error.
 
-    pcm: the samples, 1 byte each at 8 bits, 4 bytes (little-endian) else. A damaged stream gives one row with
-    an error and no pcm.
+    A damaged stream gives one row with an error and no pcm.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -510,15 +539,11 @@ def pcm_blocks(media: DataFrame, keep: list[str], samples: int = 4608) -> DataFr
                 try:
                     if stream is None:
                         raise FlacError("no stream")
-                    x, error = decode_many([stream])[0], None
-                    x = x.astype(np.int8 if metadata(stream)["bits"] == 8 else "<i4")
+                    made = [(b, *block, None) for b, block in enumerate(blocks_of(decode_many([stream])[0], metadata(stream)["bits"], samples))]
                 except FlacError as e:
-                    x, error = np.zeros(0, np.int8), str(e)
-                for b in range(max(1, -(-len(x) // samples))):
-                    part = x[b * samples : (b + 1) * samples]
-                    own = [batch.column(c).slice(i, 1).cast(arrow.field(c).type) for c in range(len(keep))]
-                    made = (b, b * samples, len(part), None if error else part.tobytes(), error)
-                    yield pa.RecordBatch.from_arrays(own + [pa.array([m], type=f.type) for m, f in zip(made, list(arrow)[len(keep) :], strict=True)], schema=arrow)
+                    made = [(0, 0, 0, None, str(e))]
+                own = [batch.column(c).take(pa.array([i] * len(made))).cast(arrow.field(c).type) for c in range(len(keep))]
+                yield pa.RecordBatch.from_arrays(own + [pa.array(m, type=f.type) for m, f in zip(zip(*made, strict=True), list(arrow)[len(keep) :], strict=True)], schema=arrow)
 
     return source.mapInArrow(run, schema)
 
@@ -530,13 +555,14 @@ def feature(x: np.ndarray, media_bytes: int) -> str:
 
 
 def digested(docs: DataFrame) -> DataFrame:
-    """Of every document: its stored stream, read back, as digests."""
+    """Of every document: its stored stream, read back into PCM blocks, as digests. pcm_blocks: their number; pcm_offsets: a CRC of their first samples."""
 
     def work(texts):
         payloads = [payload(x) for x in texts]
         media = encode_many(payloads)
         back = decode_many(media)
-        raw = [_bytes_of(x) for x in back]
+        blocks = [list(blocks_of(x, 8)) for x in back]
+        raw = [b"".join(pcm for _, _, pcm in own) for own in blocks]
         return [
             [len((x or "").encode("utf-8", "surrogatepass")) for x in texts],
             [len(x) for x in raw],
@@ -545,6 +571,8 @@ def digested(docs: DataFrame) -> DataFrame:
             [len(x) for x in media],
             [hashlib.sha256(x).hexdigest() for x in media],
             [feature(x, len(m)) for x, m in zip(back, media, strict=True)],
+            [len(own) for own in blocks],
+            [crc32(np.array([at for at, _, _ in own], "<u8").tobytes()) for own in blocks],
         ]
 
-    return map_texts(docs, ["doc_id"], work, "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", most_chars=1 << 21)
+    return map_texts(docs, ["doc_id"], work, "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_blocks long, pcm_offsets long", most_chars=1 << 21)
