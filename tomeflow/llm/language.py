@@ -2,7 +2,9 @@
 
 Texts are lower-cased and every run of other characters than letters becomes one blank. The n-grams of 1 to 4
 characters are hashed into `DIMS` slots. Counts by language give a matrix of log-probabilities, which is
-broadcast (DIMS rows, a column a language); scoring sums its rows over all n-grams of the whole text.
+broadcast (a row a slot, a column a language); scoring sums its rows over all n-grams of the whole text. With many
+languages there are fewer slots, so the matrix has at most `MOST_CELLS` cells of 4 bytes; more than `MOST_LANGS`
+languages are refused.
 
 Defined results: `und` with score 0 for a null text or one without a letter; with no language to learn from, all
 are `und`; a null label is not learned from; repeated rows get equal results; ties go to the first language by
@@ -20,6 +22,9 @@ from pyspark.sql import functions as F
 from .common import DIGIT, LOWER, NEWLINE, SPACE, UPPER, bounded_sample, char_classes, code_points, held_out, map_texts
 
 DIMS = 1 << 16
+LEAST_DIMS = 1 << 12
+MOST_CELLS = 1 << 24
+MOST_LANGS = MOST_CELLS // LEAST_DIMS
 ORDERS = (1, 2, 3, 4)
 #: Learned from at most about so many documents.
 MOST_ROWS = 20_000
@@ -32,11 +37,18 @@ del DIGIT, NEWLINE, SPACE
 @dataclass
 class LanguageModel:
     langs: list[str]
-    log_p: np.ndarray  # DIMS x languages
+    log_p: np.ndarray  # slots x languages
     prior: np.ndarray
 
 
-def hashed_ngrams(texts: list[str | None]):
+def slots_for(langs: int) -> int:
+    """How many slots the matrix has: a power of two."""
+    if langs > MOST_LANGS:
+        raise ValueError(f"{langs} languages, more than {MOST_LANGS}")
+    return min(DIMS, 1 << ((MOST_CELLS // max(langs, 1)).bit_length() - 1))
+
+
+def hashed_ngrams(texts: list[str | None], dims: int = DIMS):
     """For each order: (slots, the documents' offsets in them)."""
     codes, at = code_points([(x or "").lower() for x in texts])
     classes = char_classes(codes)
@@ -60,13 +72,14 @@ def hashed_ngrams(texts: list[str | None]):
             continue
         h = (h[:m] * _B + chars[n - 1 :]) * np.uint64(0xD6E8FEB86659FD93)
         inside = position[:m] + n <= end_of[:m]
-        slots = ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(48)).astype(np.int64)[inside]
+        slots = ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(48)).astype(np.int64)[inside] & (dims - 1)
         yield slots, np.concatenate([[0], np.cumsum(inside)])[np.minimum(ends, m)]
 
 
 def fitted(docs: DataFrame, most: int = MOST_ROWS) -> LanguageModel:
     """Learns from documents with a language that aren't held out, about `most` at most."""
     may = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id")).select("doc_id", "lang", "text")
+    dims = slots_for(may.select("lang").distinct().count())
     sample = bounded_sample(may, "doc_id", most).repartition(8)  # so few rows come back, however many files there are
 
     def count(batches):
@@ -78,11 +91,11 @@ def fitted(docs: DataFrame, most: int = MOST_ROWS) -> LanguageModel:
             langs = batch.column(1).to_pylist()
             texts = batch.column(2).to_pylist()
             for i in range(0, len(texts), 256):
-                for slots, at in hashed_ngrams(texts[i : i + 256]):
+                for slots, at in hashed_ngrams(texts[i : i + 256], dims):
                     for k, lang in enumerate(langs[i : i + 256]):
-                        have = total.setdefault(lang, np.zeros(DIMS, np.int64))
-                        have += np.bincount(slots[at[k] : at[k + 1]], minlength=DIMS) if at[k + 1] - at[k] > DIMS // 8 else 0
-                        if at[k + 1] - at[k] <= DIMS // 8:
+                        have = total.setdefault(lang, np.zeros(dims, np.int64))
+                        have += np.bincount(slots[at[k] : at[k + 1]], minlength=dims) if at[k + 1] - at[k] > dims // 8 else 0
+                        if at[k + 1] - at[k] <= dims // 8:
                             np.add.at(have, slots[at[k] : at[k + 1]], 1)
             for lang in langs:
                 rows[lang] = rows.get(lang, 0) + 1
@@ -91,12 +104,12 @@ def fitted(docs: DataFrame, most: int = MOST_ROWS) -> LanguageModel:
 
     counts: dict[str, np.ndarray] = {}
     rows: dict[str, int] = {}
-    for r in sample.mapInArrow(count, "lang string, n long, counts binary").collect():
+    for r in sample.mapInArrow(count, "lang string, n long, counts binary").toLocalIterator():  # 8 tasks' counts, each no larger than the matrix twice
         counts[r.lang] = counts.get(r.lang, 0) + np.frombuffer(r.counts, np.int64)
         rows[r.lang] = rows.get(r.lang, 0) + r.n
     langs = sorted(counts)
     if not langs:
-        return LanguageModel([], np.zeros((DIMS, 0), np.float32), np.zeros(0))
+        return LanguageModel([], np.zeros((dims, 0), np.float32), np.zeros(0))
     smoothed = np.stack([counts[x] for x in langs], 1) + 0.5
     n = np.array([rows[x] for x in langs], float)
     return LanguageModel(langs, np.log(smoothed / smoothed.sum(0)).astype(np.float32), np.log(n / n.sum()))
@@ -110,7 +123,7 @@ def identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
         m = shared.value
         sums, n = np.zeros((len(texts), max(1, len(m.langs)))), np.zeros(len(texts))
         if m.langs:
-            for slots, at in hashed_ngrams(texts):
+            for slots, at in hashed_ngrams(texts, len(m.log_p)):
                 has = np.flatnonzero(np.diff(at))
                 if len(has):
                     sums[has] += np.add.reduceat(m.log_p[slots], at[:-1][has], axis=0, dtype=np.float64)
