@@ -1,9 +1,10 @@
 """Document fingerprints from closed syncmers.
 
 A k-mer of code points is an anchor if the smallest hash among its s-mers is its first or last: whether it is one
-depends on the k-mer alone, so an edit moves no anchor that it doesn't touch. Of a document's anchors, the `KEPT`
-with the smallest hashes are its fingerprint, written in the order of their first places in the text. Two
-fingerprints are alike by the share of the smallest hashes of both that both have, in the same order (the longest
+depends on the k-mer alone, so an edit moves no anchor that it doesn't touch. Of a document's anchors, those with a hash
+below 1/`SAMPLED` of all, and the `KEPT` with the smallest hashes at least, are its fingerprint, written in the order
+of their first places in the text: it grows with the text, and all anchors of a text with few are in it. Two
+fingerprints are alike by the share of the hashes below the bound of both that both have, in the same order (the longest
 common run of places that grows in both).
 
 next_texts() gives each document the one that follows it by id without sorting the table in one place: ids are cut
@@ -31,6 +32,7 @@ S = 5
 #: Texts of fewer than 2 * K code points are too short for syncmers; all their runs of so many code points are anchors.
 SHORT = 4
 KEPT = 128
+SAMPLED = 16
 _B = 0x9E3779B97F4A7C15
 #: Ids are cut into at most GROUP * GROUP ranges of about RANGE rows or more.
 GROUP = 128
@@ -84,7 +86,8 @@ def fingerprints(texts: list[str]) -> list[np.ndarray]:
             runs = [text[j : j + SHORT] for j in range(max(1, len(text) - SHORT + 1))] if text else []
             found = np.array([int.from_bytes(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "big") for x in runs], np.uint32)
         own, place = np.unique(found, return_index=True)
-        out.append(own[:KEPT][np.argsort(place[:KEPT])])
+        kept = max(KEPT, int(np.searchsorted(own, (1 << 32) // SAMPLED)))
+        out.append(own[:kept][np.argsort(place[:kept])])
     return out
 
 
@@ -97,14 +100,13 @@ def from_string(fingerprint: str) -> np.ndarray:
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """0 to 1: the share of the smallest hashes of both that both have in the same order."""
+    """0 to 1: the share of the hashes below the bound of both that both have in the same order."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
     x, y = a.tolist(), b.tolist()
     place = {h: i for i, h in enumerate(y)}
-    union = set(x) | place.keys()
-    if len(x) >= KEPT or len(y) >= KEPT:  # beyond these, a fingerprint may lack a hash that its text has
-        union = set(sorted(union)[:KEPT])
+    below = min(_bound(x), _bound(y))
+    union = {h for h in x if h < below} | {h for h in y if h < below}
     ends: list[int] = []
     for h in x:
         i = place.get(h)
@@ -114,6 +116,11 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return len(ends) / len(union)
 
 
+def _bound(fingerprint: list[int]) -> int:
+    """Below it a fingerprint has all hashes that its text has."""
+    return 1 << 32 if len(fingerprint) < KEPT else max((1 << 32) // SAMPLED, max(fingerprint) + 1)
+
+
 def next_texts(docs: DataFrame) -> DataFrame:
     """(bucket, helper, doc_id, text), each bucket's rows together in one task, in order.
 
