@@ -126,7 +126,101 @@ def test_flac_pcm_blocks(spark):
     rows = flac.pcm_blocks(spark.createDataFrame([(1, bytearray(good)), (2, bytearray(b"no")), (3, None)], "id long, media binary"), ["id"]).collect()
     own = sorted((r for r in rows if r.id == 1), key=lambda r: r.block)
     assert [r.first_sample for r in own] == [0, 4608] and sum(r.n_samples for r in own) == 5760
-    assert all(r.error for r in rows if r.id != 1)
+    assert all(r.error for r in rows if r.id != 1) and b"".join(r.pcm for r in own) == bytes(range(192)) * 30
+
+
+class FlacWriter:
+    """Frames by hand: bits one after the other, CRCs added."""
+
+    def __init__(self):
+        self.bits = ""
+
+    def put(self, value, n):
+        self.bits += format(value & ((1 << n) - 1), f"0{n}b") if n else ""
+        return self
+
+    def rice(self, r, k):
+        u = 2 * r if r >= 0 else -2 * r - 1
+        self.bits += "0" * (u >> k) + "1"
+        return self.put(u, k)
+
+    def bytes(self):
+        return bytes(int(self.bits[i : i + 8].ljust(8, "0"), 2) for i in range(0, len(self.bits), 8))
+
+
+def crc(data, bits, poly):
+    r = 0
+    for byte in data:
+        r ^= byte << (bits - 8)
+        for _ in range(8):
+            r = ((r << 1) ^ poly if r >> (bits - 1) & 1 else r << 1) & ((1 << bits) - 1)
+    return r.to_bytes(bits // 8, "big")
+
+
+def frame(first, n, channels, body, variable=True):
+    head = FlacWriter().put(0x7FFC, 15).put(variable, 1).put(7, 4).put(0, 4).put(channels, 4).put(0, 3).put(0, 1)
+    coded = [first] if first < 128 else [0xC0 | first >> 6, 0x80 | first & 63]
+    head = head.bytes() + bytes(coded) + (n - 1).to_bytes(2, "big")
+    data = head + crc(head, 8, 0x07) + body.bytes()
+    return data + crc(data, 16, 0x8005)
+
+
+def stream(frames, samples, channels, bits):
+    """samples: rows of ints, one a moment."""
+    raw = b"".join(v.to_bytes(bits // 8, "little", signed=True) for moment in samples for v in moment)
+    info = (16).to_bytes(2, "big") * 2 + bytes(6) + (8000 << 44 | (channels - 1) << 41 | (bits - 1) << 36 | len(samples)).to_bytes(8, "big") + hashlib.md5(raw).digest()
+    return b"fLaC\x80\x00\x00\x22" + info + b"".join(frames)
+
+
+def test_flac_reads_hand_made_frames():
+    """16 bits, blocks of changing sizes: a linear predictor of order 3 with partitions and an escape, wasted bits with a fixed one of order 4, wide Rice parameters."""
+    rng = np.random.default_rng(8)
+    x = [int(v) for v in rng.integers(-900, 900, 24)]
+    c, shift = (5, -3, 2), 2
+    r = [x[t] - ((c[0] * x[t - 1] + c[1] * x[t - 2] + c[2] * x[t - 3]) >> shift) for t in range(3, 24)]
+    body = FlacWriter().put(0, 1).put(34, 6).put(0, 1)
+    for v in x[:3]:
+        body.put(v, 16)
+    body.put(4 - 1, 4).put(shift, 5)
+    for v in c:
+        body.put(v, 4)
+    body.put(0, 2).put(1, 4).put(9, 4)  # two partitions of 12
+    for v in r[:9]:
+        body.rice(v, 9)
+    body.put(15, 4).put(14, 5)  # the other as it stands, in 14 bits
+    for v in r[9:]:
+        body.put(v, 14)
+    y = [4 * int(v) for v in rng.integers(-300, 300, 16)]
+    z = [v >> 2 for v in y]
+    q = [z[t] - 4 * z[t - 1] + 6 * z[t - 2] - 4 * z[t - 3] + z[t - 4] for t in range(4, 16)]
+    second = FlacWriter().put(0, 1).put(12, 6).put(1, 1).put(1, 2)  # two wasted bits
+    for v in z[:4]:
+        second.put(v, 14)
+    second.put(1, 2).put(0, 4).put(7, 5)
+    for v in q:
+        second.rice(v, 7)
+    media = stream([frame(0, 24, 0, body), frame(24, 16, 0, second)], [(v,) for v in x + y], 1, 16)
+    assert flac.decode_many([media])[0].tolist() == x + y
+    blocks = list(flac.blocks_of(flac.decode_many([media])[0], 16, 16))
+    assert [(at, n) for at, n, _ in blocks] == [(0, 16), (16, 16), (32, 8)]
+    assert np.frombuffer(b"".join(p for _, _, p in blocks), "<i2").tolist() == x + y
+
+
+@pytest.mark.parametrize("mode", [1, 8, 9, 10])
+def test_flac_reads_two_channels(mode):
+    left, right = ([int(v) for v in np.random.default_rng(k).integers(-30_000, 30_000, 16)] for k in (1, 2))
+    side = [a - b for a, b in zip(left, right, strict=True)]
+    pair = {1: (left, right), 8: (left, side), 9: (side, right), 10: ([(a + b) >> 1 for a, b in zip(left, right, strict=True)], side)}[mode]
+    body = FlacWriter()
+    for k, channel in enumerate(pair):
+        body.put(0, 1).put(1, 6).put(0, 1)
+        for v in channel:
+            body.put(v, 16 + (mode in (8, 10) and k == 1 or mode == 9 and k == 0))
+    media = stream([frame(0, 16, mode, body)], list(zip(left, right, strict=True)), 2, 16)
+    assert flac.decode_many([media])[0].tolist() == [list(m) for m in zip(left, right, strict=True)]
+    damaged = media[:-5] + bytes([media[-5] ^ 1]) + media[-4:]
+    with pytest.raises(flac.FlacError):
+        flac.decode_many([damaged])
 
 
 def targets(sizes, weights=(3, 1, 2)):
@@ -440,6 +534,12 @@ def test_syncmers_are_closed_and_context_free():
         if min(inner) in (inner[0], inner[-1]):
             expected.add(hashed(mer, syncmers.K) >> 32)
     assert set(syncmers.fingerprints([text])[0].tolist()) == set(sorted(expected)[: syncmers.KEPT])
+    long = "".join(chr(97 + x) for x in np.random.default_rng(6).integers(0, 26, 60_000))
+    kept = syncmers.fingerprints([long])[0]
+    assert len(kept) > 5 * syncmers.KEPT and kept.max() < (1 << 32) // syncmers.SAMPLED
+    passage = long[20_000:26_000]
+    other = "".join(chr(97 + x) for x in np.random.default_rng(7).integers(0, 26, 40_000)) + passage
+    assert syncmers.likeness(*syncmers.fingerprints([long, other])) > 0.03  # 6,000 of 100,000 characters are shared
     assert syncmers.likeness(*syncmers.fingerprints([text, text[:300] + "x" * 100])) > 0.6
 
 

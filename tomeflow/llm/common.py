@@ -114,18 +114,28 @@ def map_texts(df: DataFrame, keep: list[str], fn, fields: str, text: str = "text
             for i, j in slices(sizes, most_chars):
                 made = fn(column.slice(i, j - i).to_pylist())
                 kept = [batch.column(k).slice(i, j - i) for k in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(kept, arrow, strict=False)] + [pa.array(m, type=f.type) for m, f in zip(made, list(arrow)[len(keep) :], strict=True)], schema=arrow)
+                yield pa.RecordBatch.from_arrays([a if a.type == f.type else a.cast(f.type) for a, f in zip(kept, arrow, strict=False)] + [pa.array(m, type=f.type) for m, f in zip(made, list(arrow)[len(keep) :], strict=True)], schema=arrow)
 
     return source.mapInArrow(run, schema)
 
 
+def rows_and_texts(docs: DataFrame) -> DataFrame:
+    """(row, text): each row whole, as a struct, beside its text."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
+
+
 def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
     """(doc_id, text, label) of at most about `most` documents whose labels may be learned from.
 
-    The sampled labels are few, so documents meet them by broadcast and no text is shuffled.
+    The sampled labels are few, so documents meet them by broadcast and no text is shuffled. Rows that repeat id and
+    text count once, and if ids repeat so often that there are more than `most` all the same, they are sampled again.
     """
     may = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
-    return written(docs.select("doc_id", "text").join(F.broadcast(bounded_sample(may, "doc_id", most)), "doc_id"), "labelled")
+    found = written(docs.select("doc_id", "text").join(F.broadcast(bounded_sample(may, "doc_id", most)), "doc_id").withColumn("row_key", F.xxhash64("doc_id", "text")), "labelled")
+    once = found
+    if found.select("row_key").distinct().count() < found.count():
+        once = written(found.dropDuplicates(["row_key"]), "labelled-once")
+    return bounded_sample(once, "row_key", 2 * most).select("doc_id", "text", "label")
 
 
 def code_points(texts: list[str]):
@@ -139,6 +149,8 @@ def code_points(texts: list[str]):
 
 
 _classes = None
+#: Beyond these code points, the ideographs' last block, no letters are.
+_CODES = 0x33500
 
 SPACE, LOWER, UPPER, DIGIT, SYMBOL, NEWLINE = range(6)
 
@@ -149,7 +161,7 @@ def char_classes(codes):
 
     global _classes
     if _classes is None:
-        of = [LOWER if (c := chr(i)).isalpha() and not c.isupper() else UPPER if c.isupper() else DIGIT if c.isdigit() else SPACE if c.isspace() else SYMBOL for i in range(0x30000)]
+        of = [LOWER if (c := chr(i)).isalpha() and not c.isupper() else UPPER if c.isupper() else DIGIT if c.isdigit() else SPACE if c.isspace() else SYMBOL for i in range(_CODES)]
         _classes = np.array(of, np.uint8)
         _classes[10] = NEWLINE
-    return _classes[np.minimum(codes, 0x2FFFF)]
+    return _classes[np.minimum(codes, _CODES - 1)]

@@ -8,9 +8,10 @@ logistic fit over the labelled documents turns that share into a score.
 
 The model is some hundred numbers and travels in the closure; texts are read whole.
 
-Defined results: a null text, or one with blank lines only, gets the share of good documents among those learned
-from (0.5 without any); with one class only to learn from, all get that share; repeated rows get equal results;
-extra columns are ignored.
+Defined results: a null text, or one with blank lines only, has no good line and scores as one whose lines are all bad
+(0 without a field); with one class only to learn from, all others get the share of good documents among those
+learned from (0.5 without any); a text of any length is scored whole; repeated rows get equal results; an empty table
+gives an empty result; extra columns are kept by scored_documents() and ignored by scored().
 """
 
 from __future__ import annotations
@@ -20,13 +21,15 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import DIGIT, LOWER, NEWLINE, SPACE, SYMBOL, UPPER, char_classes, code_points, crc32, held_out, labelled, map_texts, mix64
+from .common import DIGIT, LOWER, NEWLINE, SPACE, SYMBOL, UPPER, char_classes, code_points, crc32, held_out, labelled, map_texts, mix64, rows_and_texts
 
 OWN = 13
-#: Learned from at most about so many labelled documents, and of each from CHAINS chains of CHAIN lines, hashed over the whole document.
+#: Learned from at most about so many labelled documents, and of each from up to CHAINS chains of CHAIN lines, hashed over
+#: the whole document: as many chains as keep all of them to about MOST_LINES lines, and one at least.
 MOST_ROWS = 8_000
 CHAIN = 64
 CHAINS = 8
+MOST_LINES = 1 << 20
 THRESHOLD = 0.5
 _B = np.uint64(0x9E3779B97F4A7C15)
 _BINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -195,21 +198,22 @@ class QualityModel:
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         if self.field is None:
-            return np.full(len(texts), self.base)
-        q = _share_good(*line_features(texts), self.field)
-        return np.where(np.isnan(q), self.base, 1 / (1 + np.exp(-np.clip(self.field.slope * np.nan_to_num(q) + self.field.offset, -35, 35))))
+            return np.array([self.base if x and not x.isspace() else 0.0 for x in texts])
+        q = np.nan_to_num(_share_good(*line_features(texts), self.field))  # a text without lines has no good one
+        return 1 / (1 + np.exp(-np.clip(self.field.slope * q + self.field.offset, -35, 35)))
 
 
-def _sampled(n: int, seed: int) -> np.ndarray:
-    """Which of a document's n lines are learned from: all, or those of CHAINS chains that a hash chooses."""
+def _sampled(n: int, seed: int, chains: int = CHAINS) -> np.ndarray:
+    """Which of a document's n lines are learned from: all, or those of some chains that a hash chooses."""
     chain = np.arange(n) // CHAIN
-    if n <= CHAIN * CHAINS:
+    if n <= CHAIN * chains:
         return np.ones(n, bool)
-    return np.isin(chain, np.argsort(mix64(np.arange(chain[-1] + 1, dtype=np.uint64) + np.uint64(seed << 24)), kind="stable")[:CHAINS])
+    return np.isin(chain, np.argsort(mix64(np.arange(chain[-1] + 1, dtype=np.uint64) + np.uint64(seed << 24)), kind="stable")[:chains])
 
 
 def fitted(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> QualityModel:
     sample = labelled(docs, labels, "quality", most)
+    chains_each = max(1, min(CHAINS, MOST_LINES // (CHAIN * max(1, sample.count()))))
 
     def keys(texts):
         return [crc32((x or "").encode("utf-8", "surrogatepass")) for x in texts]
@@ -217,7 +221,7 @@ def fitted(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Quality
     def encode(texts):
         f, _, lines = line_features(texts)
         key = keys(texts)
-        at = [a + np.flatnonzero(_sampled(b - a, k)) for a, b, k in zip(lines[:-1], lines[1:], key, strict=True)]
+        at = [a + np.flatnonzero(_sampled(b - a, k, chains_each)) for a, b, k in zip(lines[:-1], lines[1:], key, strict=True)]
         # where lines that don't follow one another meet, a piece begins
         pieces = [np.flatnonzero(np.diff(x, prepend=-2) != 1) for x in at]
         return [[f[x].astype(np.float32).tobytes() for x in at], [x.astype(np.int64).tobytes() for x in pieces], key]
@@ -272,5 +276,5 @@ def scored(docs: DataFrame, model: QualityModel) -> DataFrame:
 
 
 def scored_documents(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """The documents, with _score and _predicted beside their columns."""
-    return map_texts(docs, docs.columns, _scorer(docs, model), "_score double, _predicted int", most_chars=1 << 20)
+    """(row, score, predicted): the documents' own rows beside their scores, so no column's name clashes."""
+    return map_texts(rows_and_texts(docs), ["row"], _scorer(docs, model), "score double, predicted int", most_chars=1 << 20)

@@ -8,8 +8,9 @@ and let two terms mean more, or less, than each alone. The model has at most `MO
 scoring reads whole texts.
 
 Defined results: a null or empty text scores as one without known terms; with no labels to learn from, or
-one class only, the score is the share of toxic ones (0 without labels); repeated rows get equal results;
-extra columns are ignored.
+one class only, the score is the share of toxic ones (0 without labels); a text of any length is scored whole; of
+slots that tell as much the smaller is chosen first; repeated rows get equal results; an empty table gives an empty
+result; extra columns are kept by scored_documents() and ignored by scored().
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled, map_texts
+from .common import held_out, labelled, map_texts, rows_and_texts
 
 SLOT_BITS = 20
 BEGINNINGS = (4, 5, 6, 7, 8)
@@ -202,5 +203,5 @@ def scored(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
 
 
 def scored_documents(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
-    """The documents, with _score and _predicted beside their columns."""
-    return map_texts(docs, docs.columns, _scorer(docs, model), "_score double, _predicted int")
+    """(row, score, predicted): the documents' own rows beside their scores, so no column's name clashes."""
+    return map_texts(rows_and_texts(docs), ["row"], _scorer(docs, model), "score double, predicted int")
