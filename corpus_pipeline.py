@@ -15,29 +15,40 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line field takes for good. It learns from the labelled ones of those it is given."""
+    """Documents that the line field takes for good. It learns from the labelled ones of those it is given.
+
+    Null and blank texts go; very long ones are judged by all their lines; repeated rows go or stay together; of an empty
+    table nothing is left, and without labels all texts that aren't blank stay.
+    """
     model = quality.fitted(docs, table(spark, sf_dir, "labels"))
-    return quality.scored_documents(docs, model).where("_predicted = 1").select(*docs.columns)
+    return quality.scored_documents(docs, model).where("predicted = 1").select("row.*")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the factorization machine doesn't take for toxic."""
+    """Documents that the factorization machine doesn't take for toxic.
+
+    Null and empty texts stay, and without labels all do; very long texts are judged whole; repeated rows go or stay together.
+    """
     model = toxicity.fitted(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored_documents(docs, model).where("_predicted = 0").select(*docs.columns)
+    return toxicity.scored_documents(docs, model).where("predicted = 0").select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose sets of five-word shingles are alike by 0.8 or more."""
+    """One document of each group whose sets of five-word shingles are alike by 0.8 or more: the one with the least id.
+
+    Ids that are null come last, and of rows that tie in id the text with the smaller hash stays; rows that repeat id and text
+    are one. Texts without a word are alike only if they have the same id. Very long texts are compared whole.
+    """
     return jaccard.deduplicated(docs, n=5, num=80, den=100)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it, 0 to 2 times."""
+    """Every document as often as the mix takes it, 0 to 2 times; one without a word never. Null sources are one, the last."""
     return mixing.mixed_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the sequences that hold the documents."""
+    """The pieces of the sequences that hold the documents; a null or empty text is the end's id alone."""
     return packing.packed(docs)
 
 
