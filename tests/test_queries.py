@@ -25,7 +25,8 @@ def test_every_oracle_has_a_query():
 
 
 def test_entry_has_rows(spark):
-    assert __spark_entry__.entry(spark).columns == ["subject_id", "title"]
+    found = __spark_entry__.entry(spark)
+    assert found.columns == ["subject_id", "title"] and found.count() > 0
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))

@@ -1,17 +1,20 @@
 """Normalising of observed metadata values, as column expressions.
 
-normalized() gives a struct (valid, value, type, confidence, problem). Absent input (null) is invalid, as empty is.
+with_facts() adds (valid, value, type, confidence, problem). Absent input (null) is invalid, as empty is.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rewritten language tags.
-LEGACY_LANGUAGES = {"iw": "he", "in": "id", "ji": "yi", "art-lojban": "jbo"}
-#: Contributor roles.
-ROLES = ("AUTHOR", "EDITOR", "TRANSLATOR", "ILLUSTRATOR", "NARRATOR", "OTHER")
+#: Tags that are rewritten whole, and languages that are, before they are read.
+WHOLE_TAGS = {"art-lojban": "jbo", "no-bok": "nb", "no-nyn": "nn", "zh-guoyu": "cmn", "zh-hakka": "hak", "zh-min-nan": "nan", "zh-xiang": "hsn"}
+LEGACY_LANGUAGES = {"iw": "he", "in": "id", "ji": "yi"}
+#: Contributor roles; any other is OTHER.
+ROLES = ("AUTHOR", "EDITOR", "TRANSLATOR", "ILLUSTRATOR")
+#: Identifier schemes and the types they stand for; any other is OTHER.
+SCHEMES = {"isbn": "ISBN_10", "isbn10": "ISBN_10", "isbn-10": "ISBN_10", "isbn13": "ISBN_13", "isbn-13": "ISBN_13", "doi": "DOI", "uuid": "UUID", "uri": "URI", "url": "URI", "source": "SOURCE_LOCAL", "source-local": "SOURCE_LOCAL", "source_local": "SOURCE_LOCAL"}
 
 # Java's strip() keeps these; (?U)\s matches them
 _STRIP = r"[\t-\r\x1c-\x20  -  -    　]+"
@@ -28,102 +31,126 @@ def collapsed_ascii(x: Column) -> Column:
     return F.when(y != "", y)
 
 
+def _mapped(x: Column, to: dict[str, str], otherwise: Column) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in to.items() for v in kv]), x), otherwise)
+
+
 def contributor_role(field: Column) -> Column:
-    role = F.upper(F.trim(F.split_part(field, F.lit(":"), F.lit(2))))
-    return F.when(role == "", "AUTHOR").when(role.isin(*ROLES), role).otherwise("OTHER")
+    """What stands after the first colon; a field without one is an author's."""
+    at = F.instr(field, ":")
+    return F.when(at == 0, "AUTHOR").otherwise(_mapped(F.upper(F.substr(field, at + 1)), {r: r for r in ROLES}, F.lit("OTHER")))
+
+
+#: A tag's parts in order: language, up to three extended ones, script, region, variants. What doesn't fit ends the tag.
+_TAG = r"^([a-z]{2,3})((?:-[a-z]{3}(?=-|$)){0,3})((?:-[a-z]{4}(?=-|$))?)((?:-(?:[a-z]{2}|[0-9]{3})(?=-|$))?)((?:-(?:[a-z0-9]{5,8}|[0-9][a-z0-9]{3})(?=-|$))*)"
 
 
 def language_tag(x: Column) -> Column:
-    """A BCP-47 tag in canonical case, null if the shape is wrong or the language undetermined."""
-    tag = F.replace(F.lower(F.trim(x)), F.lit("_"), F.lit("-"))
-    for old, new in LEGACY_LANGUAGES.items():
-        tag = F.when(tag == old, new).when(F.startswith(tag, F.lit(old + "-")) if "-" not in old else F.lit(False), F.concat(F.lit(new), F.substring(tag, len(old) + 1, 1000))).otherwise(tag)
-    parts = F.split(tag, "-")
-    cased = F.transform(parts, lambda p, i: F.when((i > 0) & (F.length(p) == 4) & p.rlike("^[a-z]"), F.initcap(p)).when((i > 0) & (F.length(p) == 2), F.upper(p)).otherwise(p))
-    return F.when(tag.rlike(r"^[a-z]{2,3}(-[a-z0-9]{2,8})*$") & (parts[0] != "und"), F.array_join(cased, "-"))
+    """A BCP-47 tag in canonical case, null if the shape is wrong or the language undetermined. An extended language replaces the language."""
+    tag = _mapped(F.lower(x), WHOLE_TAGS, F.lower(x))
+    part = [F.regexp_extract(tag, _TAG, k) for k in range(1, 6)]
+    language = F.when(part[1] != "", F.substring(part[1], 2, 3)).otherwise(_mapped(part[0], LEGACY_LANGUAGES, part[0]))
+    script = F.concat(F.substring(part[2], 1, 1), F.initcap(F.substring(part[2], 2, 4)))
+    whole = F.concat(language, script, F.upper(part[3]), part[4])
+    return F.when(x.rlike(r"^[a-zA-Z]{2,3}(?:-[a-zA-Z0-9]{2,8})*$") & (whole != "und"), whole)
 
 
 def _compact(x: Column) -> Column:
     return F.upper(F.regexp_replace(x, r"[-\s]", ""))
 
 
-def _digit(s: Column, i: int) -> Column:
-    c = F.substring(s, i, 1)
-    return F.when(c == "X", 10).otherwise(F.expr("1") * c.try_cast("int"))
+def _weighed(digits: Column, weights: list[int]) -> Column:
+    """The weighed sum of a string's digits; X counts ten."""
+    values = F.transform(F.split(digits, ""), lambda d: F.when(d == "X", 10).otherwise(d.try_cast("int")))
+    return F.aggregate(F.zip_with(values, F.array(*map(F.lit, weights)), lambda v, w: v * w), F.lit(0), lambda total, v: total + F.coalesce(v, F.lit(0)))
 
 
 def isbn10(x: Column) -> Column:
     """The compact ISBN-10, null if shape or checksum is wrong."""
     s = _compact(x)
-    total = sum((_digit(s, i) * (11 - i) for i in range(1, 11)), F.lit(0))
-    return F.when(s.rlike(r"^[0-9]{9}[0-9X]$") & (total % 11 == 0), s)
+    return F.when(s.rlike(r"^[0-9]{9}[0-9X]$") & (_weighed(s, list(range(10, 0, -1))) % 11 == 0), s)
 
 
 def isbn13(x: Column) -> Column:
+    """The compact 13 digits, whatever they begin with; null if shape or checksum is wrong."""
     s = _compact(x)
-    total = sum((_digit(s, i) * (1 if i % 2 else 3) for i in range(1, 14)), F.lit(0))
-    return F.when(s.rlike(r"^97[89][0-9]{10}$") & (total % 10 == 0), s)
+    return F.when(s.rlike(r"^[0-9]{13}$") & (_weighed(s, [1, 3] * 6 + [1]) % 10 == 0), s)
 
 
 def doi(x: Column) -> Column:
-    y = F.lower(F.trim(x))
-    return F.when(y.rlike(r"^10\.[0-9]{4,9}/\S+$"), y)
+    return F.when(x.rlike(r"^(?i)10\.[0-9]{4,9}/\S+$"), F.lower(x))
 
 
 def uuid(x: Column) -> Column:
-    """Canonical lower case; short groups are padded on the left, as lenient parsers do."""
-    y = F.lower(F.trim(x))
-    widths = (8, 4, 4, 4, 12)
-    groups = F.split(y, "-")
-    return F.when(y.rlike(r"^[0-9a-f]{1,8}-[0-9a-f]{1,4}-[0-9a-f]{1,4}-[0-9a-f]{1,4}-[0-9a-f]{1,12}$"), F.concat_ws("-", *[F.lpad(groups[i], w, "0") for i, w in enumerate(widths)]))
+    """Canonical lower case. Groups may be shorter than they should, or longer, of which the last digits count."""
+    groups = F.split(F.lower(x), "-")
+    each = [F.right(F.lpad(groups[i], 16, "0"), F.lit(w)) for i, w in enumerate((8, 4, 4, 4, 12))]
+    return F.when(x.rlike(r"^[0-9a-fA-F]{1,15}(?:-[0-9a-fA-F]{1,15}){4}$") & (F.length(x) <= 36), F.concat_ws("-", *each))
+
+
+def _clean_path(path: Column) -> Column:
+    """A path without `.`, empty and, where something stands before them, `..` segments."""
+    none = F.expr("cast(array() as array<string>)")
+
+    def step(seen: Column, part: Column) -> Column:
+        back = (part == "..") & (F.size(seen) > 0) & (F.element_at(seen, -1) != "..")
+        return F.when(part.isin("", "."), seen).when(back, F.slice(seen, F.lit(1), F.size(seen) - 1)).otherwise(F.concat(seen, F.array(part)))
+
+    kept = F.array_join(F.aggregate(F.split(path, "/"), none, step), "/")
+    ends = path.rlike(r"(/|/\.|[^/.][^/]*/\.\.)$") & (kept != "")
+    return F.concat(F.when(F.startswith(path, F.lit("/")), "/").otherwise(""), kept, F.when(ends, "/").otherwise(""))
+
+
+#: Scheme, authority, path, and query with fragment; and what an address may hold besides letters, digits and characters beyond ASCII.
+_URI = r"^([A-Za-z][A-Za-z0-9+.\-]*:)((?://[^/?#]*)?)([^?#]*)(.*)$"
+_URI_CHARACTERS = r"^(?:[^\x00-\x20\x7f-\xa0\"<>\\^`{|}%]|%[0-9A-Fa-f]{2})+$"
 
 
 def uri(x: Column) -> Column:
-    """An absolute URI without `.` segments; null if it isn't absolute or has blanks. `..` is resolved one level at a time."""
-    y = F.trim(x)
-    for _ in range(8):
-        y = F.regexp_replace(y, r"/\./", "/")
-        y = F.regexp_replace(y, r"(?<=[^/:])/(?!\.\./)[^/]+/\.\./", "/")
-    return F.when(y.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:[^\s]+$"), y)
+    """An absolute address with a clean path, characters beyond ASCII as escapes; null if it isn't absolute or holds what it mustn't."""
+    part = [F.regexp_extract(x, _URI, k) for k in range(1, 5)]
+    hierarchical = (part[1] != "") | F.startswith(part[2], F.lit("/"))
+    needs = part[2].rlike(r"//|(^|/)\.\.?(/|$)")
+    whole = F.when(hierarchical & needs, F.concat(part[0], part[1], _clean_path(part[2]), part[3])).otherwise(x)
+    escaped = F.array_join(F.transform(F.split(whole, ""), lambda ch: F.when(ch > "\x7f", F.url_encode(ch)).otherwise(ch)), "")
+    ascii_only = F.when(whole.rlike(r"[^\x00-\x7f]"), escaped).otherwise(whole)
+    return F.when(x.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:[^#]") & x.rlike(_URI_CHARACTERS) & ~x.rlike("#.*#"), ascii_only)
 
 
 def identifier_scheme(field: Column) -> Column:
-    s = F.lower(F.trim(F.substring(field, len("identifier:") + 1, 1000)))
-    return (
-        F.when(s.isin("isbn", "isbn10", "isbn-10"), "ISBN_10")
-        .when(s.isin("isbn13", "isbn-13"), "ISBN_13")
-        .when(s == "doi", "DOI")
-        .when(s == "uuid", "UUID")
-        .when(s.isin("uri", "url") | F.startswith(s, F.lit("source")), "URI")
-        .otherwise("OTHER")
-    )
+    return _mapped(F.lower(F.trim(F.substring(field, len("identifier:") + 1, 1000))), SCHEMES, F.lit("OTHER"))
 
 
-def _outcome(value: Column, kind: Column, confidence: str, problem: Column) -> Column:
-    ok = value.isNotNull()
-    return F.struct(
-        ok.alias("valid"),
-        value.alias("value"),
-        F.when(ok, kind).alias("type"),
-        F.when(ok, F.lit(confidence)).alias("confidence"),
-        F.when(~ok, problem).alias("problem"),
+def fact_type(field: Column, text: Column) -> Column:
+    """What a field's values are taken for, valid or not; nothing at all is text."""
+    return (
+        F.when(text.isNull(), "TEXT")
+        .when(field == "title", "TITLE")
+        .when(F.startswith(field, F.lit("contributor")), F.concat(F.lit("CONTRIBUTOR:"), contributor_role(field)))
+        .when(field == "language", "BCP47")
+        .when(F.startswith(field, F.lit("identifier:")), identifier_scheme(field))
+        .otherwise("TEXT")
     )
 
 
-def normalized(field: Column, value: Column) -> Column:
-    text = collapsed(value)
-    text = F.when(text != "", text)
-    scheme = identifier_scheme(field)
-    identifier = F.when(scheme == "ISBN_10", isbn10(value)).when(scheme == "ISBN_13", isbn13(value)).when(scheme == "DOI", doi(value)).when(scheme == "UUID", uuid(value)).when(scheme == "URI", uri(value)).otherwise(text)
-    problem = F.when(text.isNull(), "empty").otherwise("malformed")
-    checked = _outcome(identifier, scheme, "EXACT", F.when(text.isNull(), "empty").when(scheme.isin("ISBN_10", "ISBN_13"), "checksum or shape").otherwise("malformed"))
-    return (
-        F.when(field == "title", _outcome(text, F.lit("TITLE"), "EXACT", problem))
-        .when(field == "language", _outcome(language_tag(value), F.lit("LANGUAGE"), "EXACT", problem))
-        .when(field.rlike("^contributor(:|$)"), _outcome(text, F.concat(F.lit("CONTRIBUTOR:"), contributor_role(field)), "EXACT", problem))
-        .when(F.startswith(field, F.lit("identifier:")) & (scheme != "OTHER"), checked)
-        .otherwise(_outcome(text, F.when(F.startswith(field, F.lit("identifier:")), "OTHER").otherwise("TEXT"), "UNKNOWN", problem))
-    )
+def fact_value(kind: Column, text: Column) -> Column:
+    """The normalised value, null if the text isn't one of its type."""
+    checked = {"BCP47": language_tag, "ISBN_10": isbn10, "ISBN_13": isbn13, "DOI": doi, "UUID": uuid, "URI": uri}
+    value = F.when(F.lit(False), text)
+    for name, rule in checked.items():
+        value = value.when(kind == name, rule(text))
+    return value.otherwise(text)
+
+
+def with_facts(df: DataFrame, field: str = "field", observed: str = "observed") -> DataFrame:
+    """df with (valid, value, type, confidence, problem) of each observed value. Each step is a column of its own, so none is computed twice."""
+    ready = df.withColumn("_text", collapsed(F.col(observed))).withColumn("_text", F.when(F.col("_text") != "", F.col("_text")))
+    ready = ready.withColumn("type", fact_type(F.col(field), F.col("_text"))).withColumn("value", fact_value(F.col("type"), F.col("_text")))
+    valid = F.col("value").isNotNull()
+    kind = F.col("type")
+    confidence = F.when(~valid | kind.isin("TEXT", "OTHER"), "UNKNOWN").when(F.startswith(kind, F.lit("CONTRIBUTOR:")) | (kind == "SOURCE_LOCAL"), "HIGH").otherwise("EXACT")
+    problem = F.when(valid, F.lit(None)).when(F.col("_text").isNull(), "empty").when(kind.isin("ISBN_10", "ISBN_13"), "checksum or shape").otherwise("malformed")
+    return ready.withColumns({"valid": valid, "confidence": confidence, "problem": problem}).drop("_text")
 
 
 def title_from_path(path: Column) -> Column:

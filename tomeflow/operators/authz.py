@@ -3,13 +3,13 @@
 denies: (user_id, root_id). locations: (asset_id, root_id, availability). assets: (asset_id, edition_id, work_id,
 format). edges: (child, parent) of derivation; lineage: their closure (start, ancestor). users: (user_id).
 
-A work that has no denied root in reach is visible to all: only what a user is denied is computed per user, so the
-size follows the denies and not users times works, until the result itself is asked for.
+Users meet roots, which are few, and then what stands on the roots that they may see, by equi-joins; denied lineage is
+subtracted. users None asks for an unrestricted caller, who sees all: no deny is looked at.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .primitives import closure, union_all
@@ -29,18 +29,26 @@ def denied_by_lineage(locations: DataFrame, denies: DataFrame, closed: DataFrame
     return closed.join(_denied_assets(locations, denies), F.col("ancestor") == F.col("asset_id")).select("user_id", F.col("start").alias("asset_id")).distinct()
 
 
-def visible_assets(users: DataFrame, assets: DataFrame, locations: DataFrame, denies: DataFrame, closed: DataFrame, formats: list[str] | None = None, available: bool = True) -> DataFrame:
-    """(user_id, asset_id, work_id): a location on a root that isn't denied, and no denied ancestor."""
+def _on_allowed_roots(users: DataFrame, placed: DataFrame, denies: DataFrame, root: str = "root_id") -> DataFrame:
+    """placed for each user who isn't denied its root. Placed without a root are seen by all."""
+    roots = placed.select(F.col(root).alias("root_id")).distinct()
+    allowed = accessible_roots(users, roots, denies).withColumnRenamed("root_id", "_root")
+    return placed.join(allowed, F.col(root).eqNullSafe(F.col("_root"))).drop("_root")
+
+
+def visible_assets(users: DataFrame | None, assets: DataFrame, locations: DataFrame, denies: DataFrame, closed: DataFrame, formats: list[str] | None = None, available: bool = True) -> DataFrame:
+    """(user_id, asset_id, work_id): a location on a root that isn't denied, and no denied ancestor. Without users: (asset_id, work_id)."""
     places = locations.where("availability = 'AVAILABLE'") if available else locations
     wanted = assets.where(F.col("format").isin(*formats)) if formats else assets
     places = places.select("asset_id", "root_id").distinct().join(wanted.select("asset_id", "work_id"), "asset_id")
-    allowed = users.crossJoin(places).join(denies, ["user_id", "root_id"], "left_anti") if users is not None else places
-    return allowed.select("user_id", "asset_id", "work_id").distinct().join(denied_by_lineage(locations, denies, closed), ["user_id", "asset_id"], "left_anti")
+    if users is None:
+        return places.select("asset_id", "work_id").distinct()
+    return _on_allowed_roots(users, places, denies).select("user_id", "asset_id", "work_id").distinct().join(denied_by_lineage(locations, denies, closed), ["user_id", "asset_id"], "left_anti")
 
 
-def visible_works(users: DataFrame, works: DataFrame, assets: DataFrame, locations: DataFrame, denies: DataFrame, closed: DataFrame, formats: list[str] | None = None, unmerged: bool = True) -> DataFrame:
+def visible_works(users: DataFrame | None, works: DataFrame, assets: DataFrame, locations: DataFrame, denies: DataFrame, closed: DataFrame, formats: list[str] | None = None, unmerged: bool = True) -> DataFrame:
     """(user_id, work_id). Catalog search asks for unmerged works and formats, personal lists for neither."""
-    found = visible_assets(users, assets, locations, denies, closed, formats).select("user_id", "work_id").distinct()
+    found = visible_assets(users, assets, locations, denies, closed, formats).drop("asset_id").distinct()
     return found.join(works.where("merged_into_id is null").select("work_id"), "work_id", "left_semi") if unmerged else found
 
 
@@ -62,7 +70,10 @@ def curation_visible(users: DataFrame, assets: DataFrame, works: DataFrame, link
 
 
 def recovery_visible(users: DataFrame, assets: DataFrame, locations: DataFrame, denies: DataFrame) -> DataFrame:
-    """(user_id, work_id): stricter: an available location, and none of the work's assets anywhere on a denied root; lineage doesn't count."""
+    """(user_id, work_id): stricter: an available location, and none of the work's assets anywhere on a denied root; lineage doesn't count.
+
+    The result has a row for each user and work, but for the denied; what is denied is found by the roots.
+    """
     of_work = locations.join(assets.select("asset_id", "work_id"), "asset_id").groupBy("work_id", "root_id").agg(F.bool_or(F.col("availability") == "AVAILABLE").alias("available"))
     works = of_work.groupBy("work_id").agg(F.bool_or("available").alias("available")).where("available").select("work_id")
     denied = of_work.join(denies, "root_id").select("user_id", "work_id").distinct()
@@ -73,7 +84,7 @@ def content_locations(users: DataFrame, assets: DataFrame, locations: DataFrame,
     """(user_id, asset_id, root_id, path, availability): where to read an asset from: available places first, then by path."""
     from .primitives import first_per_group
 
-    allowed = users.crossJoin(locations.select("asset_id", "root_id", "path", "availability")).join(denies, ["user_id", "root_id"], "left_anti")
+    allowed = _on_allowed_roots(users, locations.select("asset_id", "root_id", "path", "availability"), denies)
     allowed = allowed.join(denied_by_lineage(locations, denies, closed), ["user_id", "asset_id"], "left_anti")
     return first_per_group(allowed, ["user_id", "asset_id"], [(F.col("availability") != "AVAILABLE").cast("int"), F.col("path")])
 
@@ -83,8 +94,7 @@ def cover_visible(users: DataFrame, covers: DataFrame, locations: DataFrame, den
     reflexive = closed.unionByName(covers.select(F.col("source_asset_id").alias("start"), F.col("source_asset_id").alias("ancestor"))).distinct()
     bad = denied_by_lineage(locations, denies, reflexive)
     return (
-        users.crossJoin(covers)
-        .join(denies, (users.user_id == denies.user_id) & (F.col("managed_root_id") == denies.root_id), "left_anti")
+        _on_allowed_roots(users, covers, denies, "managed_root_id")
         .join(bad.select(F.col("user_id").alias("_u"), F.col("asset_id").alias("_a")), (F.col("user_id") == F.col("_u")) & (F.col("source_asset_id") == F.col("_a")), "left_anti")
         .select("user_id", "cover_id")
     )
@@ -92,16 +102,9 @@ def cover_visible(users: DataFrame, covers: DataFrame, locations: DataFrame, den
 
 def conversion_visible(users: DataFrame, jobs: DataFrame, denies: DataFrame) -> DataFrame:
     """(user_id, job_id): jobs (job_id, source_root_id, output_root_id) of which neither root is denied."""
-    seen = users.crossJoin(jobs)
-    for column in ("source_root_id", "output_root_id"):
-        seen = seen.join(denies.select("user_id", F.col("root_id").alias(column)), ["user_id", column], "left_anti")
-    return seen.select("user_id", "job_id")
+    on_source = _on_allowed_roots(users, jobs, denies, "source_root_id")
+    return on_source.join(denies.select("user_id", F.col("root_id").alias("output_root_id")), ["user_id", "output_root_id"], "left_anti").select("user_id", "job_id")
 
 
 def accessible_roots(users: DataFrame, roots: DataFrame, denies: DataFrame) -> DataFrame:
     return users.crossJoin(roots.select("root_id")).join(denies, ["user_id", "root_id"], "left_anti")
-
-
-def unrestricted(condition: bool, df: DataFrame, restricted: Column) -> DataFrame:
-    """df, or where the caller is restricted only what `restricted` lets through: the branch is chosen when the plan is made."""
-    return df if condition else df.where(restricted)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.normalize import collapsed, contributor_role, normalized
-from .primitives import first_per_group, insert_absent, position, union_all
+from ..functions.normalize import collapsed, contributor_role, with_facts
+from .primitives import first_per_group, insert_absent, union_all
 
 SUBJECT = ["subject_type", "subject_id", "field"]
 MOST_OPEN_REVIEWS = 1000
@@ -36,8 +36,7 @@ def unpivot(extracted: DataFrame) -> DataFrame:
 
 def facts(observations: DataFrame) -> DataFrame:
     """Every observation with its normalised fact: valid, value, type, confidence, problem."""
-    n = normalized(F.col("field"), F.col("observed"))
-    return observations.withColumnRenamed("value", "observed").withColumn("fact", n).select("*", "fact.*").drop("fact")
+    return with_facts(observations.withColumnRenamed("value", "observed"))
 
 
 def resolved(fact: DataFrame) -> DataFrame:
@@ -102,21 +101,28 @@ def displayed(overrides: DataFrame, resolution: DataFrame, observations: DataFra
     return first_per_group(ranked, SUBJECT, [F.col("rank"), F.col("at").desc_nulls_last(), F.col("id").desc_nulls_last()]).select(*SUBJECT, "value", "source")
 
 
-def linked_contributors(observations: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(links, new contributors) of contributor observations (work_id, field, value, ordinal).
+def linked_contributors(observations: DataFrame, aliases: DataFrame, links: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(links, new contributors) after contributor observations (work_id, field, value, ordinal, observed_at, observation_id).
 
     A name is looked up among the aliases (work_id, normalized_name, contributor_id) of contributors on the same
-    work only; other names become new contributors, one for each work and name. A name twice on a work in one role
-    keeps its first place.
+    work only; other names become new contributors, one for each work and name. A place (work, role, observed ordinal)
+    belongs to the observation that names it last; each one counts as a version, after those that `links`, the
+    places there are, have already: (work_id, role, ordinal, contributor_id, observation_id, version).
     """
-    named = observations.select("work_id", contributor_role(F.col("field")).alias("role"), collapsed(F.col("value")).alias("display_name"), "ordinal").withColumn("normalized_name", F.lower("display_name"))
-    named = first_per_group(named, ["work_id", "role", "normalized_name"], [F.col("ordinal"), F.col("display_name")])
+    place = ["work_id", "role", "ordinal"]
+    named = observations.select("work_id", contributor_role(F.col("field")).alias("role"), collapsed(F.col("value")).alias("display_name"), "ordinal", "observed_at", "observation_id")
+    named = named.where("display_name <> ''").withColumn("normalized_name", F.lower("display_name"))
     known = first_per_group(aliases, ["work_id", "normalized_name"], [F.col("contributor_id")]).select("work_id", "normalized_name", F.col("contributor_id").alias("known"))
     fresh_id = F.sha2(F.concat_ws("|", F.lit("contributor"), F.col("work_id").cast("string"), "normalized_name"), 256)
     found = named.join(known, ["work_id", "normalized_name"], "left").withColumn("contributor_id", F.coalesce("known", fresh_id))
-    links = found.select("work_id", "contributor_id", "role", position(["work_id", "role"], [F.col("ordinal"), F.col("normalized_name")]).alias("ordinal"))
-    fresh = first_per_group(found.where("known is null"), ["contributor_id"], [F.col("ordinal"), F.col("role")]).select("contributor_id", "display_name", "normalized_name")
-    return links, fresh
+    last = F.max(F.struct("observed_at", "observation_id", "contributor_id")).alias("last")
+    placed = found.groupBy(*place).agg(last, F.count("*").alias("version")).select(*place, "last.contributor_id", "last.observation_id", "version")
+    if links is not None:
+        before = links.select(*place, F.col("version").alias("_before"))
+        placed = placed.join(before, place, "left").withColumn("version", F.col("version") + F.coalesce("_before", F.lit(0))).drop("_before")
+        placed = links.join(placed.select(*place), place, "left_anti").unionByName(placed)
+    fresh = first_per_group(found.where("known is null"), ["contributor_id"], [F.col("observed_at"), F.col("observation_id")]).select("contributor_id", "display_name", "normalized_name")
+    return placed, fresh
 
 
 def seen_range(observations: DataFrame, keys: list[str], at: str) -> DataFrame:

@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TERMINAL = ("SUCCEEDED", "FAILED", "CANCELLED", "COMPLETED_WITH_FAILURES")
-
-
 def manifest(spark: SparkSession, root: str) -> DataFrame:
     """(path, byte_size, sha256) of every file below root, by Spark's own file reader."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
@@ -22,14 +19,20 @@ def manifest_differences(expected: DataFrame, found: DataFrame) -> DataFrame:
     return both.where(~F.col("_a").eqNullSafe(F.col("_b"))).select("path", F.when(F.col("_b").isNull(), "MISSING").when(F.col("_a").isNull(), "EXTRA").otherwise("CHANGED").alias("problem"))
 
 
-def jobs_after_restore(jobs: DataFrame, at: Column) -> DataFrame:
-    """Jobs that were under way when the backup was taken end as failed."""
-    ends = ~F.col("state").isin(*TERMINAL)
-    return jobs.withColumn("code", F.when(ends, "RESTORED").otherwise(F.col("code"))).withColumn("finished_at", F.when(ends, at).otherwise(F.col("finished_at"))).withColumn("state", F.when(ends, "FAILED").otherwise(F.col("state")))
+def jobs_after_restore(jobs: DataFrame, at: Column, state: str = "CANCELLED") -> DataFrame:
+    """jobs or tasks after a restore: what was queued or under way ends, without its lease.
+
+    state: CANCELLED for scans and their tasks, FAILED_SAFE for the jobs of workers, whose staged files aren't in a backup.
+    """
+    ends = F.col("state").isin("QUEUED", "RUNNING")
+    gone = {c: F.when(~ends, F.col(c)) for c in ("lease_token", "lease_until", "heartbeat_at") if c in jobs.columns}
+    return jobs.withColumns(gone | {"code": F.when(ends, "RESTORE_INTERRUPTED").otherwise(F.col("code")), "finished_at": F.when(ends, at).otherwise(F.col("finished_at")), "state": F.when(ends, state).otherwise(F.col("state"))})
 
 
-def locations_after_restore(locations: DataFrame) -> DataFrame:
-    return locations.withColumn("availability", F.when(F.col("availability") == "AVAILABLE", "UNAVAILABLE").otherwise(F.col("availability")))
+def locations_after_restore(locations: DataFrame, roots: DataFrame) -> DataFrame:
+    """Whatever stands on a read-only source is unavailable until it is scanned again; managed roots were verified. roots: (root_id, mode)."""
+    sources = roots.where("mode = 'READ_ONLY_SOURCE'").select("root_id", F.lit(True).alias("_source"))
+    return locations.join(sources, "root_id", "left").withColumn("availability", F.when(F.col("_source"), "UNAVAILABLE").otherwise(F.col("availability"))).drop("_source")
 
 
 def exported_csv(df: DataFrame, path: str) -> None:

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """df as a table in the checkpoint folder, which driver and executors share."""
+    """df as a table in the checkpoint folder, which driver and executors share. Where it is unset, a local session gets a new one; a cluster can't do without it."""
     spark = df.sparkSession
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="tomeflow-")
         spark.sparkContext.setCheckpointDir(at)
     path = f"{at}/tomeflow/{name}-{uuid.uuid4().hex}"
@@ -77,6 +79,15 @@ def offset_page(df: DataFrame, order: list[Column], page: int, size: int) -> Dat
     return df.orderBy(*order).offset(page * size).limit(size)
 
 
+def global_places(df: DataFrame, order: list[Column], column: str = "place") -> DataFrame:
+    """df with each row's place in the whole order, from 1: rows are sorted within ranges, and ranges begin after the rows before them."""
+    ranges = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranges = written(ranges.withColumns({"_range": F.spark_partition_id(), "_nth": F.monotonically_increasing_id()}), "places")
+    sizes = ranges.groupBy("_range").agg(F.count("*").alias("_n"), F.min("_nth").alias("_least"))  # a row a range
+    before = sizes.select("_range", "_least", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return ranges.join(F.broadcast(before), "_range").withColumn(column, F.col("_before") + F.col("_nth") - F.col("_least") + 1).drop("_range", "_nth", "_least", "_before")
+
+
 def union_all(*parts: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 

@@ -58,24 +58,67 @@ def expired(tasks: DataFrame, now: Column, most_attempts: int) -> DataFrame:
     )
 
 
-def fair_claims(tasks: DataFrame, schedule: DataFrame, share: int, n: int) -> DataFrame:
-    """The next n queued tasks, one root after the other: (task_id, root_id, turn).
+def claimable(tasks: DataFrame, jobs: DataFrame, now: Column) -> DataFrame:
+    """Tasks that may be claimed: queued or with a lease that ran out, of jobs (job_id, state, cancel_requested) that run and aren't cancelled."""
+    live = jobs.where("state = 'RUNNING' and not cancel_requested").select("job_id")
+    return tasks.where((F.col("state") == "QUEUED") | (F.col("state") == "RUNNING") & (F.col("lease_until") < now)).join(live, "job_id", "left_semi")
 
-    Roots go by when they were last served (never first), then by the sequence and id of their oldest task. While
-    more than one root waits, a root that has `share` tasks running is passed over, and gets no more than fit. Only
-    the first n tasks of each root are considered.
+
+def fair_claims(tasks: DataFrame, jobs: DataFrame, schedule: DataFrame, now: Column, share: int, n: int, most_attempts: int) -> DataFrame:
+    """What the next n single claims at `now` take, in order: (task_id, root_id, turn, outcome CLAIMED or EXHAUSTED).
+
+    A claim serves the root that was served longest ago (never: first), then the one with the least claim_sequence, then
+    the least id, and takes its oldest task by (sequence, task_id). While more than one root has something to claim, a
+    root that runs `share` tasks under a valid lease is passed over. A task whose attempts are used up fails instead of
+    running, which counts as a claim.
+
+    schedule: (root_id, last_claimed_at, claim_sequence). Each claim sets the first to `now` and adds one to the second,
+    so a root's claims have rising keys, and the single claims' order is that of all roots' keys. Roots whose share
+    holds them back stay so while another has something to claim; a root that is alone in this goes on after
+    all others. Of each root only the first n tasks are ranked.
     """
-    running = tasks.where("state = 'RUNNING'").groupBy("root_id").agg(F.count("*").alias("running"))
-    queued = tasks.where("state = 'QUEUED'")
+    open_tasks = claimable(tasks, jobs, now)
+    running = tasks.where((F.col("state") == "RUNNING") & (F.col("lease_until") >= now)).groupBy("root_id").agg(F.count("*").alias("running"))
     by_root = Window.partitionBy("root_id").orderBy("sequence", "task_id")
-    ranked = queued.withColumn("nth", F.row_number().over(by_root)).where(F.col("nth") <= n)
-    roots = queued.groupBy("root_id").agg(F.min(F.struct("sequence", "task_id")).alias("oldest")).join(running, "root_id", "left").join(schedule, "root_id", "left")
-    waiting = roots.agg(F.count("*").alias("waiting"))
-    room = share - F.coalesce("running", F.lit(0))
-    fair = ranked.join(roots, "root_id").crossJoin(F.broadcast(waiting)).where((F.col("waiting") <= 1) | (F.col("nth") <= room))
-    order = [F.col("nth"), F.col("last_claimed_at").asc_nulls_first(), F.col("oldest.sequence"), F.col("oldest.task_id"), F.col("sequence"), F.col("task_id")]
-    chosen = fair.orderBy(*order).limit(n)
-    return chosen.select("task_id", "root_id", (F.row_number().over(Window.orderBy(*order)) - 1).alias("turn"))  # n rows
+    spent = (F.col("attempts") >= most_attempts).cast("int")
+    ranked = open_tasks.withColumn("nth", F.row_number().over(by_root)).where(F.col("nth") <= n)
+    before = F.coalesce(F.sum(1 - spent).over(by_root.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = ranked.select("root_id", "task_id", "sequence", "nth", spent.alias("spent"), before.alias("started"))
+    # a root is held back if its share ends before its tasks do: those beyond n aren't looked at, but count
+    roots = open_tasks.groupBy("root_id").agg(F.sum(1 - spent).alias("open")).join(running, "root_id", "left").withColumn("room", share - F.coalesce("running", F.lit(0)))
+    scheduled = schedule.select("root_id", F.lit(True).alias("scheduled"))
+    last = open_tasks.groupBy("root_id").agg(F.max_by(spent, F.struct("sequence", "task_id")).alias("last_spent"))
+    # one that isn't scheduled waits for ever
+    roots = roots.join(last, "root_id").join(scheduled, "root_id", "left").withColumn("held", F.col("scheduled").isNull() | (F.col("room") <= 0) | (F.col("open") > F.col("room")) | (F.col("open") == F.col("room")) & (F.col("last_spent") == 1))
+    held = roots.agg(F.count_if("held").alias("held_roots"))
+    fair = ranked.join(schedule, "root_id").join(roots.select("root_id", "room"), "root_id").crossJoin(F.broadcast(held))  # one row
+    within = F.col("started") < F.col("room")
+    fair = fair.where(within | (F.col("held_roots") == 1)).withColumn("late", (~within).cast("int"))
+    first = F.when(F.col("nth") == 1, F.col("last_claimed_at")).otherwise(now)
+    order = [F.col("late"), F.when(F.col("nth") == 1, F.col("last_claimed_at").isNotNull()).otherwise(F.lit(True)), first, F.col("claim_sequence") + F.col("nth") - 1, F.col("root_id")]
+    keyed = fair.select("task_id", "root_id", "nth", F.when(F.col("spent") == 1, "EXHAUSTED").otherwise("CLAIMED").alias("outcome"), F.struct(*[k.alias(f"k{i}") for i, k in enumerate(order)]).alias("key"))
+    chosen = keyed.orderBy("key", "nth").limit(n)
+    return chosen.select("task_id", "root_id", (F.row_number().over(Window.orderBy("key", "nth")) - 1).alias("turn"), "outcome")  # n rows
+
+
+def claimed(tasks: DataFrame, claims: DataFrame, now: Column, until: Column) -> DataFrame:
+    """tasks after claims: running under a lease with one more attempt, or failed."""
+    both = tasks.join(claims.select("task_id", F.col("outcome").alias("_outcome")), "task_id", "left")
+    ran, spent = F.col("_outcome") == "CLAIMED", F.col("_outcome") == "EXHAUSTED"
+    return both.withColumns(
+        {
+            "state": F.when(ran, "RUNNING").when(spent, "FAILED").otherwise(F.col("state")),
+            "attempts": F.col("attempts") + F.coalesce(ran, F.lit(False)).cast("int"),
+            "lease_until": F.when(ran, until).when(spent, F.lit(None)).otherwise(F.col("lease_until")),
+        }
+    ).drop("_outcome")
+
+
+def rescheduled(schedule: DataFrame, claims: DataFrame, now: Column) -> DataFrame:
+    """The schedule after claims."""
+    served = claims.groupBy("root_id").agg(F.count("*").alias("_n"))
+    both = schedule.join(served, "root_id", "left")
+    return both.select("root_id", F.when(F.col("_n").isNotNull(), now).otherwise(F.col("last_claimed_at")).alias("last_claimed_at"), (F.col("claim_sequence") + F.coalesce("_n", F.lit(0))).alias("claim_sequence"))
 
 
 def folded(events: DataFrame) -> DataFrame:
@@ -124,11 +167,6 @@ def cancelled(tasks: DataFrame, jobs: DataFrame) -> DataFrame:
     return tasks.join(hit, "job_id", "left").withColumn("state", F.when(F.col("_hit") & (F.col("state") == "QUEUED"), "CANCELLED").otherwise(F.col("state"))).drop("_hit")
 
 
-def worker_swept(jobs: DataFrame, now: Column, most_attempts: int = 3) -> DataFrame:
-    """The rule of the PDF, cover and conversion queues: expired leases go back, exhausted ones fail."""
-    return expired(jobs, now, most_attempts)
-
-
 def metrics(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("state", F.coalesce("code", F.lit("NONE")).alias("code")).agg(F.count("*").alias("n"))
 

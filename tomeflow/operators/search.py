@@ -11,13 +11,17 @@ from .primitives import offset_page, ordered_collect, text_contains, union_all
 MOST_QUERY = 200
 
 
-def matching_works(query: str, titles: DataFrame, locations: DataFrame, contributors: DataFrame, identifiers: DataFrame, tags: DataFrame) -> DataFrame:
+def matching_works(query: str, titles: DataFrame, locations: DataFrame, contributors: DataFrame, identifiers: DataFrame, tags: DataFrame, denied_roots: DataFrame | None = None) -> DataFrame:
     """(work_id) that match in any of five ways: display title, path, observed contributor, identifier key or value, tag.
 
     Each relation has work_id and the texts it is searched by; the arms are a union, so each is one filtered scan.
+    titles: the titles shown, provisional where there is no other. locations and contributors have the root_id they come
+    from; denied_roots (root_id): what the user may not see, so that no work is found by it. None: an unrestricted user.
     """
     if len(query) > MOST_QUERY:
         raise ValueError(f"a query has at most {MOST_QUERY} characters")
+    if denied_roots is not None:
+        locations, contributors = (df.join(denied_roots.select("root_id"), "root_id", "left_anti") for df in (locations, contributors))
     arms = [
         titles.where(text_contains(F.col("title"), query)),
         locations.where(text_contains(F.col("path"), query)),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import normalize as N
 from ..operators import authz, curation, evidence, ingest, ops, personal, primitives, queue, recovery, search
 from ..schemas import Expectation, counters_hold, path_is_clean, violations
-from .mapping import T3, DriverCatalog, at, oracle
+from .mapping import T1, T2, T3, DriverCatalog, at, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,15 +49,42 @@ def display_precedence(c):
 
 
 @query("""SELECT subject_id, coalesce(value, 'doc-' || subject_id || '.txt') AS title FROM display WHERE field = 'title' AND contains(lower(coalesce(value, 'doc-' || subject_id || '.txt')), 'the')
-    ORDER BY title, subject_id LIMIT 50 OFFSET 50""")
+    ORDER BY title, subject_id LIMIT 50""")
 def search_by_title(c):
     titles = _display(c).where("field = 'title'").select("subject_id", F.coalesce("value", F.concat(F.lit("doc-"), F.col("subject_id").cast("string"), F.lit(".txt"))).alias("title"))
-    return primitives.offset_page(titles.where(primitives.text_contains(F.col("title"), " The ")), [F.col("title"), F.col("subject_id")], 1, 50)
+    return primitives.offset_page(titles.where(primitives.text_contains(F.col("title"), " The ")), [F.col("title"), F.col("subject_id")], 0, 50)
 
 
-@query("SELECT observation_id, norm IS NOT NULL AS valid, norm AS value FROM fact")
+@query("""SELECT observation_id, norm IS NOT NULL AS valid, norm AS value, CASE WHEN trim(regexp_replace(value, '\\s+', ' ', 'g')) = '' THEN 'TEXT' WHEN field = 'title' THEN 'TITLE' WHEN field = 'language' THEN 'BCP47' ELSE 'ISBN_13' END AS type,
+    CASE WHEN norm IS NULL THEN 'UNKNOWN' ELSE 'EXACT' END AS confidence, CASE WHEN norm IS NOT NULL THEN NULL WHEN trim(regexp_replace(value, '\\s+', ' ', 'g')) = '' THEN 'empty' WHEN field = 'language' THEN 'malformed' ELSE 'checksum or shape' END AS problem FROM fact""")
 def normalized_facts(c):
-    return evidence.facts(c.observation).select("observation_id", "valid", "value")
+    return evidence.facts(c.observation).select("observation_id", "valid", "value", "type", "confidence", "problem")
+
+
+#: (field, observed, value or null, type, confidence): what the rules say of single values, valid ones and others.
+NORMALISED = (
+    ("title", " A\u00a0 b\n\tc ", "A b c", "TITLE", "EXACT"), ("title", " \n ", None, "TEXT", "UNKNOWN"), ("pages", " 12  a", "12 a", "TEXT", "UNKNOWN"),
+    ("contributor", "Ann  Lee", "Ann Lee", "CONTRIBUTOR:AUTHOR", "HIGH"), ("contributor:editor", "E  D", "E D", "CONTRIBUTOR:EDITOR", "HIGH"), ("contributor:narrator", "N", "N", "CONTRIBUTOR:OTHER", "HIGH"), ("contributor:", "N", "N", "CONTRIBUTOR:OTHER", "HIGH"),
+    ("language", "zh-hant-tw", "zh-Hant-TW", "BCP47", "EXACT"), ("language", "en_GB", None, "BCP47", "UNKNOWN"), ("language", "English", None, "BCP47", "UNKNOWN"), ("language", "und", None, "BCP47", "UNKNOWN"), ("language", "EN-us-x9", "en-US", "BCP47", "EXACT"),
+    ("language", "iw-IL", "he-IL", "BCP47", "EXACT"), ("language", "art-lojban", "jbo", "BCP47", "EXACT"), ("language", "zh-cmn-hans", "cmn-Hans", "BCP47", "EXACT"), ("language", "de-1996", "de-1996", "BCP47", "EXACT"), ("language", "es-419", "es-419", "BCP47", "EXACT"),
+    ("identifier:isbn", "0-306-40615-2", "0306406152", "ISBN_10", "EXACT"), ("identifier:isbn-10", "080442957x", "080442957X", "ISBN_10", "EXACT"), ("identifier:isbn", "9780306406157", None, "ISBN_10", "UNKNOWN"),
+    ("identifier:isbn13", "978 0306406157", "9780306406157", "ISBN_13", "EXACT"), ("identifier:isbn13", "9780000000000", None, "ISBN_13", "UNKNOWN"), ("identifier:isbn-13", "1234567890128", "1234567890128", "ISBN_13", "EXACT"),
+    ("identifier:doi", "10.1000/ABC", "10.1000/abc", "DOI", "EXACT"), ("identifier:doi", "11.1000/abc", None, "DOI", "UNKNOWN"), ("identifier:doi", "10.1000/a b", None, "DOI", "UNKNOWN"),
+    ("identifier:uuid", "1-2-3-4-ABC", "00000001-0002-0003-0004-000000000abc", "UUID", "EXACT"), ("identifier:uuid", "no-uuid", None, "UUID", "UNKNOWN"),
+    ("identifier:uri", "http://h/a/./b/../c", "http://h/a/c", "URI", "EXACT"), ("identifier:url", "http://h/../a//b", "http://h/../a/b", "URI", "EXACT"), ("identifier:uri", "relative/x", None, "URI", "UNKNOWN"), ("identifier:uri", "http://h/a b", None, "URI", "UNKNOWN"),
+    ("identifier:uri", "http://h/%zz", None, "URI", "UNKNOWN"), ("identifier:uri", "urn:isbn:1", "urn:isbn:1", "URI", "EXACT"), ("identifier:uri", "http://h/\u00e9", "http://h/%C3%A9", "URI", "EXACT"), ("identifier:uri", "http://h/a/b/..", "http://h/a/", "URI", "EXACT"),
+    ("identifier:source", "any  thing", "any thing", "SOURCE_LOCAL", "HIGH"), ("identifier:Source_Local", "x", "x", "SOURCE_LOCAL", "HIGH"), ("identifier:source:id", "x", "x", "OTHER", "UNKNOWN"), ("identifier:shelf", "x  1", "x 1", "OTHER", "UNKNOWN"),
+)
+
+
+def _literal(x: str | None) -> str:
+    return "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+
+
+@query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_literal, (f, o, v, t, c))) + ")" for f, o, v, t, c in NORMALISED) + ") AS rules(field, observed, value, type, confidence)")
+def normaliser_rules(c):
+    given = c.spark.createDataFrame([(f, o) for f, o, *_ in NORMALISED], "field string, value string")
+    return evidence.facts(given).select("field", "observed", "value", "type", "confidence")
 
 
 @query("SELECT subject_type, subject_id, field, outcome, value, alternatives FROM resolved")
@@ -89,12 +116,18 @@ def unpivoted_observations(c):
     return evidence.unpivot(records).select("set_id", "field", "value", "ordinal")
 
 
-@query("""SELECT work_id, role, ordinal, name FROM (SELECT doc_id // 4 AS work_id, 'AUTHOR' AS role, lower(source) AS name, row_number() OVER (PARTITION BY doc_id // 4 ORDER BY min(doc_id % 4), lower(source)) - 1 AS ordinal FROM documents GROUP BY doc_id // 4, lower(source))""")
+@query("""SELECT doc_id // 4 AS work_id, 'AUTHOR' AS role, CAST(doc_id % 4 AS INTEGER) AS ordinal, CASE WHEN doc_id % 3 = 0 THEN 'corrected ' ELSE '' END || lower(source) AS name, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END
+    + CASE WHEN doc_id % 8 = 1 THEN 5 ELSE 0 END AS version FROM documents UNION ALL SELECT -1, 'AUTHOR', 0, 'kept', 3""")
 def linked_contributors(c):
-    seen = c.documents.select(F.expr("doc_id div 4").alias("work_id"), F.lit("contributor").alias("field"), F.col("source").alias("value"), (F.col("doc_id") % 4).cast("int").alias("ordinal"))
+    i = F.col("doc_id")
+    seen = c.documents.select(F.expr("doc_id div 4").alias("work_id"), F.lit("contributor").alias("field"), F.col("source").alias("value"), (i % 4).cast("int").alias("ordinal"), at(T1).alias("observed_at"), i.cast("string").alias("observation_id"))
+    again = seen.where(F.col("observation_id").cast("long") % 3 == 0).withColumns({"value": F.concat(F.lit("Corrected  "), "value"), "observed_at": at(T2)})
+    places = c.documents.where(i % 8 == 1).select(F.expr("doc_id div 4").alias("work_id"), F.lit("AUTHOR").alias("role"), (i % 4).cast("int").alias("ordinal"), F.lit("c0").alias("contributor_id"), F.lit("o0").alias("observation_id"), F.lit(5).cast("bigint").alias("version"))
+    kept = c.spark.createDataFrame([(-1, "AUTHOR", 0, "kept", "o0", 3)], places.schema)
     none = c.spark.createDataFrame([], "work_id long, normalized_name string, contributor_id string")
-    links, fresh = evidence.linked_contributors(seen, none)
-    return links.join(fresh, "contributor_id").select("work_id", "role", "ordinal", F.col("normalized_name").alias("name"))
+    links, fresh = evidence.linked_contributors(seen.unionByName(again), none, places.unionByName(kept))
+    named = links.join(fresh, "contributor_id", "left")
+    return named.select("work_id", "role", "ordinal", F.coalesce("normalized_name", "contributor_id").alias("name"), F.col("version").cast("int").alias("version"))
 
 
 @query("""SELECT subject_id, min(t) OVER w AS first_seen, max(t) OVER w AS last_seen, observation_id FROM title_obs WINDOW w AS (PARTITION BY subject_id)""")
@@ -117,7 +150,7 @@ def superseded_values(c):
 
 @query("""SELECT doc_id, lower(lang) || '-' || CASE lang WHEN 'en' THEN 'GB' WHEN 'de' THEN 'Latn-DE' WHEN 'fr' THEN 'FR' ELSE '419' END AS tag FROM documents""")
 def language_tags(c):
-    given = F.concat(F.upper("lang"), F.when(F.col("lang") == "en", "_gb").when(F.col("lang") == "de", "-latn-de").when(F.col("lang") == "fr", "-FR").otherwise("-419"))
+    given = F.concat(F.upper("lang"), F.when(F.col("lang") == "en", "-gb").when(F.col("lang") == "de", "-latn-de").when(F.col("lang") == "fr", "-FR").otherwise("-419"))
     return c.documents.select("doc_id", N.language_tag(given).alias("tag"))
 
 
@@ -130,14 +163,14 @@ def isbn_checksums(c):
 @query("""SELECT l_orderkey, l_linenumber, lower('10.' || (1000 + l_suppkey) || '/ABC.' || l_partkey) AS doi,
     '0000' || lpad(printf('%x', l_orderkey), 4, '0') || '-' || lpad(printf('%x', l_linenumber), 4, '0') || '-0001-0002-' || lpad(printf('%x', l_partkey), 12, '0') AS uuid FROM lineitem""")
 def identifier_forms(c):
-    doi = F.concat(F.lit(" 10."), (1000 + F.col("l_suppkey")).cast("string"), F.lit("/ABC."), F.col("l_partkey").cast("string"))
+    doi = F.concat(F.lit("10."), (1000 + F.col("l_suppkey")).cast("string"), F.lit("/ABC."), F.col("l_partkey").cast("string"))
     uuid = F.concat_ws("-", F.hex("l_orderkey"), F.hex("l_linenumber"), F.lit("1"), F.lit("0002"), F.hex("l_partkey"))
     return c.table("lineitem").select("l_orderkey", "l_linenumber", N.doi(doi).alias("doi"), N.uuid(uuid).alias("uuid"))
 
 
-@query("""SELECT scheme, count(*) AS n FROM (SELECT CASE p_partkey % 8 WHEN 0 THEN 'ISBN_10' WHEN 1 THEN 'ISBN_13' WHEN 2 THEN 'DOI' WHEN 3 THEN 'UUID' WHEN 4 THEN 'URI' WHEN 5 THEN 'URI' WHEN 6 THEN 'URI' ELSE 'OTHER' END AS scheme FROM part) GROUP BY scheme""")
+@query("""SELECT scheme, count(*) AS n FROM (SELECT CASE p_partkey % 8 WHEN 0 THEN 'ISBN_10' WHEN 1 THEN 'ISBN_13' WHEN 2 THEN 'DOI' WHEN 3 THEN 'UUID' WHEN 4 THEN 'URI' WHEN 5 THEN 'URI' WHEN 6 THEN 'SOURCE_LOCAL' ELSE 'OTHER' END AS scheme FROM part) GROUP BY scheme""")
 def identifier_schemes(c):
-    names = F.array(*map(F.lit, ("ISBN", "isbn-13", "doi", "uuid", "url", "uri", "source:id", "identifier-1")))
+    names = F.array(*map(F.lit, ("ISBN", "isbn-13", "doi", "uuid", "url", "uri", "source-local", "identifier-1")))
     field = F.concat(F.lit("identifier:"), F.get(names, (F.col("p_partkey") % 8).cast("int")))
     return c.table("part").groupBy(N.identifier_scheme(field).alias("scheme")).agg(F.count("*").alias("n"))
 
@@ -339,10 +372,10 @@ def newest_history(c):
     return c.table("events").where("event_type = 'error'").orderBy(F.col("ts").desc(), "event_id").limit(100).select("event_id", "user_id", "event_type")
 
 
-@query("""SELECT subject_id, value, row_number() OVER (ORDER BY value NULLS LAST, subject_id) AS place FROM display WHERE field = 'title' AND subject_id < 100""")
+@query("""SELECT subject_id, value, row_number() OVER (ORDER BY value NULLS LAST, subject_id) AS place FROM display WHERE field = 'title'""")
 def nulls_last_order(c):
-    rows = _display(c).where("field = 'title' and subject_id < 100")  # the first hundred ids, whatever the table's size
-    return rows.select("subject_id", "value", F.row_number().over(Window.orderBy(F.col("value").asc_nulls_last(), "subject_id")).cast("bigint").alias("place"))
+    titles = _display(c).where("field = 'title'").select("subject_id", "value")
+    return primitives.global_places(titles, [F.col("value").asc_nulls_last(), F.col("subject_id")])
 
 
 @query("SELECT s_suppkey, lower(s_name) AS name FROM supplier ORDER BY lower(s_name), s_suppkey LIMIT 100")
@@ -409,16 +442,16 @@ def content_locations(c):
     return authz.content_locations(c.users, c.asset, c.location, c.deny, c.lineage).select("user_id", "asset_id", "root_id", "path", "availability")
 
 
-@query("""SELECT u.user_id, l.asset_id AS cover_id FROM users u, location l WHERE l.asset_id % 3 = 0 AND NOT EXISTS (SELECT 1 FROM deny d WHERE d.user_id = u.user_id AND d.root_id = 'src0')
+@query("""SELECT u.user_id, l.asset_id AS cover_id FROM users u, location l WHERE NOT EXISTS (SELECT 1 FROM deny d WHERE d.user_id = u.user_id AND d.root_id = 'src0')
     AND NOT EXISTS (SELECT 1 FROM denied_lineage d WHERE d.user_id = u.user_id AND d.asset_id = l.asset_id) AND NOT EXISTS (SELECT 1 FROM denied_asset d WHERE d.user_id = u.user_id AND d.asset_id = l.asset_id)""")
 def cover_visible(c):
-    covers = c.asset.where("asset_id % 3 = 0").select(F.col("asset_id").alias("cover_id"), F.col("asset_id").alias("source_asset_id"), F.lit("src0").alias("managed_root_id"))
+    covers = c.asset.select(F.col("asset_id").alias("cover_id"), F.col("asset_id").alias("source_asset_id"), F.lit("src0").alias("managed_root_id"))
     return authz.cover_visible(c.users, covers, c.location, c.deny, c.lineage)
 
 
-@query("""SELECT u.user_id, l.asset_id AS job_id FROM users u, location l WHERE l.asset_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM deny d WHERE d.user_id = u.user_id AND d.root_id IN (l.root_id, 'src1'))""")
+@query("""SELECT u.user_id, l.asset_id AS job_id FROM users u, location l WHERE NOT EXISTS (SELECT 1 FROM deny d WHERE d.user_id = u.user_id AND d.root_id IN (l.root_id, 'src1'))""")
 def conversion_visible(c):
-    jobs = c.location.where("asset_id % 2 = 0").select(F.col("asset_id").alias("job_id"), F.col("root_id").alias("source_root_id"), F.lit("src1").alias("output_root_id"))
+    jobs = c.location.select(F.col("asset_id").alias("job_id"), F.col("root_id").alias("source_root_id"), F.lit("src1").alias("output_root_id"))
     return authz.conversion_visible(c.users, jobs, c.deny)
 
 
@@ -427,44 +460,60 @@ def accessible_roots(c):
     return authz.accessible_roots(c.users, c.root, c.deny)
 
 
-def _matches(c: DriverCatalog, q: str) -> DataFrame:
+def _matches(c: DriverCatalog, q: str, user: int | None = None) -> DataFrame:
     work = F.expr("asset_id div 4").alias("work_id")
-    titles = _display(c).where("field = 'title'").select(F.expr("subject_id div 4").alias("work_id"), F.col("value").alias("title"))
+    provisional = F.concat(F.lit("doc-"), F.col("subject_id").cast("string"), F.lit(".txt"))
+    titles = _display(c).where("field = 'title'").select(F.expr("subject_id div 4").alias("work_id"), F.coalesce("value", provisional).alias("title"))
     identifiers = c.isbn_observation.select(F.expr("subject_id div 4").alias("work_id"), F.lit("isbn13").alias("key"), "value")
-    people = c.documents.select(F.expr("doc_id div 4").alias("work_id"), F.col("source").alias("value"))
-    return search.matching_works(q, titles, c.location.select(work, "path"), people, identifiers, c.tag)
+    people = c.documents.select(F.expr("doc_id div 4").alias("work_id"), F.col("source").alias("value"), F.col("source").alias("root_id"))
+    denied = None if user is None else c.deny.where(F.col("user_id") == user)
+    return search.matching_works(q, titles, c.location.select(work, "path", "root_id"), people, identifiers, c.tag, denied)
 
 
-_MATCH = """SELECT subject_id // 4 AS work_id FROM display WHERE field = 'title' AND contains(lower(value), '{q}') UNION SELECT asset_id // 4 FROM location WHERE contains(lower(path), '{q}')
-    UNION SELECT doc_id // 4 FROM documents WHERE contains(lower(source), '{q}') UNION SELECT subject_id // 4 FROM isbn_obs WHERE contains('isbn13', '{q}') OR contains(value, '{q}')
-    UNION SELECT work_id FROM tag WHERE contains(lower(name), '{q}')"""
+def _match(q: str, user: int | None = None) -> str:
+    denied = "" if user is None else f"AND {{root}} NOT IN (SELECT root_id FROM deny WHERE user_id = {user})"
+    return f"""SELECT subject_id // 4 AS work_id FROM display WHERE field = 'title' AND contains(lower(coalesce(value, 'doc-' || subject_id || '.txt')), '{q}')
+    UNION SELECT asset_id // 4 FROM location WHERE contains(lower(path), '{q}') {denied.format(root="root_id")} UNION SELECT doc_id // 4 FROM documents WHERE contains(lower(source), '{q}') {denied.format(root="source")}
+    UNION SELECT subject_id // 4 FROM isbn_obs WHERE contains('isbn13', '{q}') OR contains(value, '{q}') UNION SELECT work_id FROM tag WHERE contains(lower(name), '{q}')"""
 
 
-@query(_MATCH.format(q="src1"))
+@query(_match("src1"))
 def search_arms(c):
+    """As an unrestricted caller searches."""
     return _matches(c, " SRC1 ")
 
 
-@query(_MATCH.format(q="%%"))
+@query(_match("src1", 3))
+def search_arms_denied(c):
+    """As a user searches to whom roots are denied, src1 among them: nothing is found by its paths and contributors."""
+    return _matches(c, "src1", 3)
+
+
+@query("SELECT DISTINCT a.work_id FROM location l JOIN asset a USING (asset_id) JOIN work w USING (work_id) WHERE l.availability = 'AVAILABLE' AND w.merged_into_id IS NULL")
+def visible_unrestricted(c):
+    return authz.visible_works(None, c.work, c.asset, c.location, c.deny, c.lineage)
+
+
+@query(_match("%%"))
 def search_without_wildcards(c):
     return _matches(c, "%%")
 
 
 @query(f"""SELECT w.work_id, w.provisional_title AS title, (SELECT string_agg(asset_id, ',' ORDER BY asset_id) FROM asset a WHERE a.work_id = w.work_id) AS assets,
     (SELECT string_agg(contributor_id, ',' ORDER BY ordinal, contributor_id) FROM contributor p WHERE p.work_id = w.work_id) AS contributors
-    FROM work w WHERE w.merged_into_id IS NULL AND w.work_id IN (SELECT work_id FROM visible_asset WHERE user_id = 2) AND w.work_id IN ({_MATCH.format(q="en/")}) ORDER BY title, w.work_id LIMIT 20 OFFSET 20""")
+    FROM work w WHERE w.merged_into_id IS NULL AND w.work_id IN (SELECT work_id FROM visible_asset WHERE user_id = 2) AND w.work_id IN ({_match("en/", 2)}) ORDER BY title, w.work_id LIMIT 20 OFFSET 20""")
 def catalog_search(c):
     user = c.users.where("user_id = 2")
     visible = authz.visible_works(user, c.work, c.asset, c.location, c.deny.where("user_id = 2"), c.lineage)
     works = c.work.select("work_id", F.col("provisional_title").alias("title"))
-    found = search.search(works, visible, _matches(c, "en/"), 1, 20, c.contributor.withColumn("role", F.lit("AUTHOR")), c.asset)
+    found = search.search(works, visible, _matches(c, "en/", 2), 1, 20, c.contributor.withColumn("role", F.lit("AUTHOR")), c.asset)
     return found.select("work_id", "title", F.array_join(F.transform("assets", lambda a: a["asset_id"].cast("string")), ",").alias("assets"), F.array_join(F.transform("contributors", lambda p: p["contributor_id"].cast("string")), ",").alias("contributors"))
 
 
-@query(f"""SELECT count(*) AS total FROM work w WHERE w.merged_into_id IS NULL AND w.work_id IN (SELECT work_id FROM visible_asset WHERE user_id = 2) AND w.work_id IN ({_MATCH.format(q="en/")})""")
+@query(f"""SELECT count(*) AS total FROM work w WHERE w.merged_into_id IS NULL AND w.work_id IN (SELECT work_id FROM visible_asset WHERE user_id = 2) AND w.work_id IN ({_match("en/", 2)})""")
 def search_total(c):
     visible = authz.visible_works(c.users.where("user_id = 2"), c.work, c.asset, c.location, c.deny.where("user_id = 2"), c.lineage)
-    return search.total(c.work, visible, _matches(c, "en/"))
+    return search.total(c.work, visible, _matches(c, "en/", 2))
 
 
 @query("SELECT w.work_id, coalesce(r.value, w.provisional_title) AS title, r.work_id IS NULL AS provisional FROM work w LEFT JOIN (SELECT subject_id // 4 AS work_id, value FROM display WHERE field = 'title' AND subject_id % 8 = 0) r USING (work_id)")
@@ -506,9 +555,12 @@ def expectations(c):
     return broken.groupBy("rule").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 0 AS job_id WHERE false")
+@query("SELECT DISTINCT CAST(job_id AS INTEGER) AS job_id FROM final_outcome WHERE job_id % 5 = 0 OR job_id % 7 = 0")
 def counter_violations(c):
+    i = F.col("job_id")
     counts = ingest.job_counters(ingest.final_outcomes(c.outcome))
+    # some jobs count more than they discovered, others less than nothing
+    counts = counts.withColumns({"processed": F.when(i % 5 == 0, F.col("discovered") + 1).otherwise(F.col("processed")), "failed": F.when(i % 7 == 0, -1).otherwise(F.col("failed"))})
     broken = violations(counts, "job_id", [Expectation("counters", counters_hold(F.col("discovered"), F.col("processed"), F.col("skipped"), F.col("failed")))])
     return broken.select(F.col("key").cast("int").alias("job_id"))
 
@@ -530,11 +582,21 @@ def lease_expiry(c):
     return queue.expired(c.task, at(NOW), 3).select("task_id", "state", "code")
 
 
-@query("""SELECT task_id, root_id, row_number() OVER (ORDER BY nth, oldest, sequence) - 1 AS turn FROM (SELECT *, row_number() OVER (PARTITION BY root_id ORDER BY sequence) AS nth, min(sequence) OVER (PARTITION BY root_id) AS oldest FROM task WHERE state = 'QUEUED')
-    WHERE nth <= 1000000 - (SELECT count(*) FROM task t WHERE t.state = 'RUNNING' AND false) ORDER BY nth, oldest, sequence LIMIT 64""")
+_CLAIMS = f"""SELECT * FROM (WITH open AS (SELECT * FROM task WHERE (state = 'QUEUED' OR state = 'RUNNING' AND lease_until < TIMESTAMP '{NOW}') AND job_id % 7 <> 0),
+    room AS (SELECT root_id, 16 - (SELECT count(*) FROM task r WHERE r.root_id = o.root_id AND r.state = 'RUNNING' AND r.lease_until >= TIMESTAMP '{NOW}') AS room FROM (SELECT DISTINCT root_id FROM open) o),
+    ranked AS (SELECT *, row_number() OVER w AS nth, coalesce(sum(CASE WHEN attempts >= 3 THEN 0 ELSE 1 END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS started FROM open JOIN room USING (root_id) WINDOW w AS (PARTITION BY root_id ORDER BY sequence, task_id)),
+    held AS (SELECT count(DISTINCT root_id) AS n FROM ranked WHERE started >= room)
+    SELECT task_id, root_id, CASE WHEN attempts >= 3 THEN 'EXHAUSTED' ELSE 'CLAIMED' END AS outcome, row_number() OVER (ORDER BY started >= room, nth > 1 OR root_id > 0, CASE WHEN nth > 1 THEN 9 ELSE root_id END, 10 * root_id + nth, root_id) - 1 AS turn
+    FROM ranked, held WHERE started < room OR held.n = 1 ORDER BY turn LIMIT 64)"""
+
+
+@query(_CLAIMS)
 def fair_claims(c):
-    never = c.spark.createDataFrame([], "root_id long, last_claimed_at timestamp")
-    return queue.fair_claims(c.task, never, 1_000_000_000, 64).select("task_id", "root_id", F.col("turn").cast("bigint").alias("turn"))
+    """Some roots run nearly as many tasks as their share; one was never served, the others at different times."""
+    jobs = c.task.select("job_id").distinct().select("job_id", F.lit("RUNNING").alias("state"), (F.col("job_id") % 7 == 0).alias("cancel_requested"))
+    day = F.expr("timestamp '2024-01-01 00:00:00' + make_interval(0, 0, 0, cast(id as int))")
+    schedule = c.spark.range(5).select(F.col("id").alias("root_id"), F.when(F.col("id") > 0, day).alias("last_claimed_at"), (10 * F.col("id")).alias("claim_sequence"))
+    return queue.fair_claims(c.task, jobs, schedule, at(NOW), 16, 64, 3).select("task_id", "root_id", "outcome", F.col("turn").cast("bigint").alias("turn"))
 
 
 @query("SELECT DISTINCT ON (root_id) root_id, task_id FROM task WHERE state = 'QUEUED' ORDER BY root_id, sequence, task_id")
@@ -584,10 +646,10 @@ def outcome_metrics(c):
 # --- curation, recovery, personal -------------------------------------------------------------------------------
 
 
-@query("""SELECT user_id AS subject_id, CASE WHEN n % 3 = 0 THEN NULL WHEN n % 3 = 1 THEN 'first' ELSE 'first' END AS value, CAST(CASE n % 3 WHEN 0 THEN 1 WHEN 1 THEN 1 ELSE 3 END AS BIGINT) AS version, n % 3 <> 0 AS active FROM (SELECT DISTINCT user_id, user_id AS n FROM events)""")
+@query("""SELECT user_id AS subject_id, CASE WHEN n % 3 = 0 THEN NULL ELSE 'first' END AS value, CAST(CASE n % 3 WHEN 2 THEN 3 ELSE 1 END AS BIGINT) AS version, n % 3 <> 0 AS active, CASE WHEN n % 3 = 0 THEN 2 ELSE 0 END AS conflicts FROM (SELECT DISTINCT user_id, user_id AS n FROM events)""")
 def title_overrides(c):
     users = c.table("events").select(F.col("user_id").alias("subject_id")).distinct()
-    log = F.when(F.col("subject_id") % 3 == 0, F.lit("SET:first,UNDO:")).when(F.col("subject_id") % 3 == 1, F.lit("SET:first")).otherwise(F.lit("SET:first,SET:second,UNDO:"))
+    log = F.when(F.col("subject_id") % 3 == 0, F.lit("UNDO:,SET:first,UNDO:,UNDO:")).when(F.col("subject_id") % 3 == 1, F.lit("SET:first")).otherwise(F.lit("SET:first,SET:second,UNDO:"))
     edits = users.select("subject_id", F.posexplode(F.split(log, ",")).alias("sequence", "e")).select("subject_id", "sequence", F.split_part("e", F.lit(":"), F.lit(1)).alias("kind"), F.split_part("e", F.lit(":"), F.lit(2)).alias("value"))
     return curation.folded_overrides(edits)
 
@@ -602,7 +664,7 @@ def optimistic_versions(c):
 def replaced_tags(c):
     named = c.tag.select("name").distinct().select(F.sha2("name", 256).alias("tag_id"), "name", F.lower("name").alias("normalized_name"))
     held = c.tag.join(named.select("tag_id", "name"), "name").select("work_id", "tag_id")
-    commands = c.table("part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("work_id"), F.array(F.concat(F.lit("  "), F.upper("p_type")), F.col("p_type"), F.col("p_brand"), F.lit(" ")).alias("names"))
+    commands = c.table("part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("work_id"), F.array(F.concat(F.lit("  "), F.upper("p_type")), F.col("p_type"), F.col("p_brand"), F.col("p_type")).alias("names"))
     tags, links = curation.replaced_tags(named, held, commands)
     return links.join(tags, "tag_id").select("work_id", F.lower("name").alias("name"))
 
@@ -616,13 +678,25 @@ def renamed_contributors(c):
     return names.join(left.groupBy("contributor_id").agg(F.count("*").cast("int").alias("aliases")), "contributor_id").select("contributor_id", "normalized_name", "aliases")
 
 
-@query("SELECT p_partkey AS work_id, (SELECT count(*) FROM contributor c WHERE c.work_id = p_partkey) AS contributors, CAST(2 AS BIGINT) AS tags FROM part")
+@query("""SELECT p_partkey AS work_id, p_name AS title, (SELECT string_agg(contributor_id, ',' ORDER BY ordinal) FROM contributor c WHERE c.work_id = p_partkey) AS contributors,
+    (SELECT string_agg(name, ',' ORDER BY name) FROM tag t WHERE t.work_id = p_partkey) AS tags, (SELECT string_agg(field || ':' || kind, ',' ORDER BY field) FROM (SELECT DISTINCT subject_id, field, 'INVALID_VALUE' AS kind FROM fact WHERE norm IS NULL AND field = 'language') r WHERE r.subject_id = p_partkey) AS reviews,
+    CASE WHEN p_partkey % 2 = 0 THEN '2:true,1:false' ELSE '1:true' END AS history, (SELECT string_agg(o_orderkey, ',' ORDER BY o_orderdate DESC, CAST(o_orderkey AS VARCHAR)) FROM (SELECT * FROM orders WHERE o_custkey = p_partkey ORDER BY o_orderdate DESC, CAST(o_orderkey AS VARCHAR) LIMIT 100)) AS audit FROM part""")
 def curation_documents(c):
-    works = c.table("part").select(F.col("p_partkey").alias("work_id"))
-    titles = c.table("part").select(F.col("p_partkey").alias("work_id"), F.col("p_name").alias("title"))
-    reviews = c.language_observation.select(F.col("subject_id").alias("work_id"), "field", F.lit("INVALID_VALUE").alias("kind")).where("false")
-    docs = curation.curation_documents(works, titles, c.contributor.withColumn("role", F.lit("AUTHOR")), c.tag, reviews)
-    return docs.select("work_id", F.coalesce(F.size("contributors"), F.lit(0)).cast("bigint").alias("contributors"), F.size("tags").cast("bigint").alias("tags"))
+    part = c.table("part")
+    work = F.col("p_partkey").alias("work_id")
+    reviews = evidence.facts(c.language_observation).where("not valid").select(F.col("subject_id").alias("work_id"), "field", F.lit("INVALID_VALUE").alias("kind")).distinct()
+    versions = F.when(F.col("p_partkey") % 2 == 0, 2).otherwise(1)
+    history = part.select(work, F.explode(F.sequence(F.lit(1), versions)).alias("version"), F.col("p_name").alias("value"), versions.alias("last")).withColumn("active", F.col("version") == F.col("last"))
+    audit = c.table("orders").select(F.col("o_custkey").alias("work_id"), F.col("o_orderdate").alias("at"), F.col("o_orderkey").cast("string").alias("event"))
+    docs = curation.curation_documents(part.select(work), part.select(work, F.col("p_name").alias("title")), c.contributor.withColumn("role", F.lit("AUTHOR")), c.tag, reviews, history, audit)
+
+    def listed(column, text):
+        return F.when(F.col(column).isNotNull(), F.array_join(F.transform(column, text), ",")).alias(column)
+
+    return docs.select(
+        "work_id", "title", listed("contributors", lambda p: p["contributor_id"].cast("string")), listed("tags", lambda t: t["name"]), listed("reviews", lambda r: F.concat_ws(":", r["field"], r["kind"])),
+        listed("history", lambda h: F.concat_ws(":", h["version"].cast("string"), h["active"].cast("string"))), listed("audit", lambda e: e["event"]),
+    )
 
 
 def _merges(c: DriverCatalog) -> DataFrame:
@@ -640,11 +714,13 @@ def merged_works(c):
     return recovery.merged_works(works, _merges(c))
 
 
-@query("SELECT work_id, contributor_id FROM contributor")
+@query("""SELECT 'merged' AS phase, CASE WHEN c.work_id % 10 = 2 AND s.work_id IS NULL THEN c.work_id - 1 ELSE c.work_id END AS work_id, c.contributor_id FROM contributor c LEFT JOIN contributor s ON s.work_id = c.work_id - 1 AND s.contributor_id = c.contributor_id
+    UNION ALL SELECT 'undone', work_id, contributor_id FROM contributor""")
 def merge_and_undo(c):
     merges, keys = _merges(c), ["contributor_id"]
     after = recovery.moved(c.contributor, "work_id", keys, merges)
-    return recovery.restored(after, "work_id", keys, merges, c.contributor).select("work_id", "contributor_id")
+    undone = recovery.restored(after, "work_id", keys, merges, c.contributor)
+    return after.select(F.lit("merged").alias("phase"), "work_id", "contributor_id").unionByName(undone.select(F.lit("undone").alias("phase"), "work_id", "contributor_id"))
 
 
 @query("SELECT p_partkey AS operation_id, p_partkey % 20 <> 2 AS allowed FROM part WHERE p_partkey % 10 = 2 AND EXISTS (SELECT 1 FROM contributor c WHERE c.work_id = p_partkey - 1)")
@@ -754,15 +830,18 @@ def manifest_differences(c):
     return ops.manifest_differences(expected, found.unionByName(extra))
 
 
-@query("SELECT task_id, CASE WHEN state IN ('QUEUED', 'RUNNING') THEN 'FAILED' ELSE state END AS state, CASE WHEN state IN ('QUEUED', 'RUNNING') THEN 'RESTORED' END AS code FROM task")
+@query("SELECT task_id, CASE WHEN state IN ('QUEUED', 'RUNNING') THEN CASE WHEN task_id % 2 = 0 THEN 'CANCELLED' ELSE 'FAILED_SAFE' END ELSE state END AS state, CASE WHEN state IN ('QUEUED', 'RUNNING') THEN 'RESTORE_INTERRUPTED' END AS code, state IN ('QUEUED', 'RUNNING') AS finished, state NOT IN ('QUEUED', 'RUNNING') AS leased FROM task")
 def restored_jobs(c):
     jobs = c.task.withColumns({"code": F.lit(None).cast("string"), "finished_at": F.lit(None).cast("timestamp")})
-    return ops.jobs_after_restore(jobs, at(NOW)).select("task_id", "state", "code")
+    tasks, workers = jobs.where("task_id % 2 = 0"), jobs.where("task_id % 2 = 1")
+    after = ops.jobs_after_restore(tasks, at(NOW)).unionByName(ops.jobs_after_restore(workers, at(NOW), "FAILED_SAFE"))
+    return after.select("task_id", "state", "code", F.col("finished_at").isNotNull().alias("finished"), F.col("lease_until").isNotNull().alias("leased"))
 
 
-@query("SELECT asset_id, CASE WHEN availability = 'AVAILABLE' THEN 'UNAVAILABLE' ELSE availability END AS availability FROM location")
+@query("SELECT asset_id, CASE WHEN root_id <> 'src0' THEN 'UNAVAILABLE' ELSE availability END AS availability FROM location")
 def restored_locations(c):
-    return ops.locations_after_restore(c.location).select("asset_id", "availability")
+    roots = c.root.withColumn("mode", F.when(F.col("root_id") == "src0", "MANAGED").otherwise("READ_ONLY_SOURCE"))
+    return ops.locations_after_restore(c.location, roots).select("asset_id", "availability")
 
 
 @query("SELECT asset_id, 'covers/' || substr(content_hash, 1, 2) || '/' || content_hash || '.jpg' AS path, sha256(content_hash || '|v1|{}') AS route FROM asset")

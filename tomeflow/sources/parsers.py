@@ -8,11 +8,13 @@ of five codes.
 from __future__ import annotations
 
 import io
+import lzma
 import os
 import re
 import struct
 import time
 import zipfile
+import zlib
 from xml.etree import ElementTree
 
 #: Fixed limits.
@@ -43,6 +45,7 @@ class BoundedFile(io.RawIOBase):
         self.size = os.fstat(self.file.fileno()).st_size
         self.left, self.until, self.read_bytes = most, time.monotonic() + seconds, 0
         if self.size > MOST_SOURCE:
+            self.file.close()
             raise ParseError("LIMIT", "the file is too large")
 
     def readable(self):
@@ -79,6 +82,10 @@ class BoundedFile(io.RawIOBase):
         super().close()
 
 
+#: What damaged entries of an archive raise, by their packing.
+_DAMAGED = (zipfile.BadZipFile, NotImplementedError, EOFError, OSError, RuntimeError, zlib.error, lzma.LZMAError)
+
+
 def _record(title=None, contributors=(), language=None, identifiers=None, extra=None) -> dict:
     return {"title": title, "contributors": list(contributors), "language": language, "identifiers": identifiers or {}, "extra": extra or {}}
 
@@ -139,7 +146,7 @@ def _entry(z: zipfile.ZipFile, name: str, most: int = MOST_XML) -> bytes:
             data = f.read(most + 1)
     except KeyError:
         raise ParseError("MALFORMED", f"{name} is missing") from None
-    except (zipfile.BadZipFile, NotImplementedError, EOFError, OSError) as e:
+    except _DAMAGED as e:
         raise ParseError("MALFORMED", str(e)) from None
     if len(data) > most:
         raise ParseError("LIMIT", f"{name} is too large")
@@ -195,17 +202,17 @@ def fb2(file: BoundedFile) -> dict:
                 continue
             path = "/".join(names[1:])
             if path == "description/title-info/book-title":
-                title = title or _scalar("".join(node.itertext()))
+                title = _scalar("".join(node.itertext())) or title
             elif path == "description/title-info/lang":
-                language = language or _scalar(node.text)
+                language = _scalar(node.text) or language
             elif path == "description/title-info/author":
                 parts = [_scalar("".join(p.itertext())) for k in ("first-name", "middle-name", "last-name", "nickname") for p in node.findall(ns + k)]
                 if whole := " ".join(filter(None, parts)):
                     people.append(whole)
             elif path == "description/document-info/id" and (v := _scalar(node.text)):
-                ids["fb2-document-id"] = v
+                ids.setdefault("fb2-document-id", v)
             elif path == "description/publish-info/isbn" and (v := _scalar(node.text)):
-                ids["isbn"] = v
+                ids.setdefault("isbn", v)
             names.pop()
             if path == "description":
                 return _record(title, people, language, ids)
@@ -257,6 +264,10 @@ def mobi(file: BoundedFile) -> dict:
     return _record(one.get("title", name), found.get("author", ()), one.get("language"), {k: one[k] for k in ("isbn", "asin") if k in one})
 
 
+#: Fixed names of a package's core properties, and what they are observed as.
+DOCX_CORE = {k: k for k in ("title", "creator", "language", "identifier", "subject", "description", "keywords", "category")} | {"lastModifiedBy": "last-modified-by"}
+
+
 def docx(file: BoundedFile) -> dict:
     z = _zip(file)
     names = set(z.namelist())
@@ -270,28 +281,28 @@ def docx(file: BoundedFile) -> dict:
     for n in names:
         if n.endswith(".rels") and any(e.get("TargetMode") == "External" for e in _xml(_entry(z, n)).iter()):
             raise ParseError("UNSAFE", "external relations aren't allowed")
-    extra: dict[str, list[str]] = {}
+    core: dict[str, str] = {}
     if "docProps/core.xml" in names:
         for e in _xml(_entry(z, "docProps/core.xml")):
-            if v := _scalar("".join(e.itertext())):
-                extra.setdefault("docx:core:" + e.tag.rpartition("}")[2], []).append(v)
+            if (own := DOCX_CORE.get(e.tag.rpartition("}")[2])) and (v := _scalar("".join(e.itertext()))):
+                core.setdefault(own, v)
+    extra = {f"docx:core:{k}": [v] for k, v in core.items()}
     if "docProps/custom.xml" in names:
-        for e in _xml(_entry(z, "docProps/custom.xml")):
-            if e.get("name") and (v := _scalar("".join(e.itertext()))):
-                extra.setdefault("docx:custom:" + e.get("name"), []).append(v)
-    core = {k: v[0] for k, v in extra.items()}
-    ids = {"source": core["docx:core:identifier"]} if "docx:core:identifier" in core else {}
-    return _record(core.get("docx:core:title"), extra.get("docx:core:creator", ()), core.get("docx:core:language"), ids, extra)
+        pairs = ((_scalar(e.get("name")), _scalar("".join(e.itertext()))) for e in _xml(_entry(z, "docProps/custom.xml")))
+        if custom := [f"{k}={v}" for k, v in pairs if k and v]:
+            extra["docx:custom"] = custom
+    ids = {"docx-core": core["identifier"]} if "identifier" in core else {}
+    return _record(core.get("title"), [core["creator"]] if "creator" in core else (), core.get("language"), ids, extra)
 
 
 def djvu(file: BoundedFile) -> dict:
     """Walks the chunks' headers; of their contents only the first page's measures and plain annotations."""
     if file.at(0, 8)[:8] != b"AT&TFORM":
         raise ParseError("UNSUPPORTED", "no DjVu file")
-    pages, info, notes, walked = 0, None, {}, 0
+    pages, components, info, notes, walked, packed = 0, 0, None, {}, 0, False
 
     def walk(at: int, end: int, depth: int) -> None:
-        nonlocal pages, info, walked
+        nonlocal pages, components, info, walked, packed
         while at + 8 <= end:
             walked += 1
             if walked > MOST_ENTRIES or depth > MOST_DEPTH:
@@ -313,16 +324,25 @@ def djvu(file: BoundedFile) -> dict:
                     raise ParseError("LIMIT", "an annotation is too long")
                 for k, v in re.findall(r'\(\s*([A-Za-z]+)\s+"((?:[^"\\]|\\.)*)"\s*\)', file.at(body, n).decode("utf-8", "replace")):
                     if v := _scalar(re.sub(r"\\(.)", r"\1", v)):
-                        notes.setdefault(k.lower(), v)
+                        notes.setdefault(k.lower(), []).append(v)
+            elif name == b"DIRM":
+                components = components or struct.unpack(">H", file.at(body + 1, 2))[0]
+            packed |= name in (b"ANTz", b"TXTa", b"TXTz")
             at = body + n + (n & 1)
 
     walk(4, file.size, 0)
     if not pages:
         raise ParseError("MALFORMED", "no page")
-    extra = {"djvu:pages": [str(pages)]}
+    extra = {"djvu:page-count": [str(pages)]}
+    if components:
+        extra["djvu:component-count"] = [str(components)]
     if info:
-        extra |= {k: [str(v)] for k, v in zip(("djvu:width", "djvu:height", "djvu:dpi"), info, strict=True)}
-    return _record(notes.get("title"), [notes["author"]] if "author" in notes else (), notes.get("language"), {"isbn": notes["isbn"]} if "isbn" in notes else {}, extra)
+        extra |= {f"djvu:first-page-{k}": [str(v)] for k, v in zip(("width", "height", "dpi"), info, strict=True)}
+    if packed:
+        extra["djvu:compressed-metadata"] = ["present-not-decoded"]
+    extra |= {f"djvu:metadata:{k}": v for k, v in notes.items()}
+    one = {k: v[0] for k, v in notes.items()}
+    return _record(one.get("title"), [one["author"]] if "author" in one else (), one.get("language"), {"isbn": one["isbn"]} if "isbn" in one else {}, extra)
 
 
 PARSERS = {"EPUB": epub, "FB2": fb2, "MOBI": mobi, "DOCX": docx, "DJVU": djvu}
@@ -344,7 +364,7 @@ def parse(path: str, fmt: str) -> tuple[dict | None, str | None, str | None, int
             return PARSERS[fmt](file), None, None, file.read_bytes
         except ParseError as e:
             return None, e.code, str(e)[:200], file.read_bytes
-        except (struct.error, UnicodeError, zipfile.BadZipFile, RecursionError) as e:
+        except (struct.error, UnicodeError, *_DAMAGED) as e:
             return None, "MALFORMED", str(e)[:200], file.read_bytes
 
 
@@ -371,6 +391,6 @@ def epub_violations(path: str) -> list[str]:
                 found.append("the package document is missing")
             else:
                 _xml(_entry(z, root))
-    except (ParseError, zipfile.BadZipFile, OSError) as e:
+    except (ParseError, *_DAMAGED) as e:
         found.append(str(e)[:200])
     return found
