@@ -693,3 +693,128 @@ def test_language(spark, docs, odd, none):
     assert len(found) == len(odd) and {r.doc_id: r.lang_pred for r in found}[1] == "und" == {r.doc_id: r.lang_pred for r in found}[3]
     assert language.identified(none, model).count() == 0
     assert {r.lang_pred for r in language.identified(given, language.fitted(none)).collect()} == {"und"}
+
+
+def test_jaccard_equals_its_sql(spark):
+    import duckdb
+
+    from tomeflow.llm import queries
+
+    con = duckdb.connect()
+    con.execute("create view documents as select * from '/root/testdata/sf0.001/documents.parquet'")
+    found = queries.op1_ngram_jaccard_join(spark, "/root/testdata/sf0.001").select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, found)) == sorted(con.execute(queries.ORACLES["op1_ngram_jaccard_join"]).fetchall())
+
+
+def test_pairs_decide_where_a_linear_model_fails(spark):
+    """a with b and c with d are toxic, a with d and c with b aren't: no sum of four weights says so."""
+    rng = np.random.default_rng(12)
+    kinds = [("alba", "brom", 1)] * 200 + [("cero", "dulo", 1)] * 200 + [("alba", "dulo", 0)] * 100 + [("cero", "brom", 0)] * 100 + [("", "", 0)] * 400
+    rows, labels, terms = [], [], []
+    for i, (x, y, toxic) in enumerate(kinds):
+        rows.append((i, " ".join(rng.permutation([x, y, *(f"w{v}" for v in rng.integers(0, 50, 8))]))))
+        labels.append((i, toxic))
+        terms.append([w in (x, y) for w in ("alba", "brom", "cero", "dulo")])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fitted(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    held = [r for r in toxicity.scored(docs, model).collect() if r.held_out]
+    assert len(held) > 200 and np.mean([r.predicted == labels[r.doc_id][1] for r in held]) > 0.98
+    x, y, w = np.hstack([np.array(terms, float), np.ones((len(terms), 1))]), np.array([v for _, v in labels]), np.zeros(5)
+    for _ in range(500):
+        w += 0.5 * x.T @ (y - 1 / (1 + np.exp(-x @ w))) / len(y) * 5
+    assert max(np.mean((x @ w > t) == y) for t in np.linspace(-9, 9, 200)) < 0.92
+
+
+def labelled_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    return docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"), {r.doc_id: r.text or "" for r in docs.collect()}
+
+
+def test_toxicity_equals_brute_force(spark):
+    """Every score of sf0.001 again, by loops over words and pairs of terms, from the fitted numbers."""
+    docs, labels, texts = labelled_tables(spark)
+    m = toxicity.fitted(docs, labels)
+    for r in toxicity.scored(docs, m).collect():
+        known = {m.slots[s] for token in texts[r.doc_id].lower().split() for s in toxicity.term_slots(token) if s in m.slots}
+        logit = m.bias + sum(m.weights[k] for k in known) + sum(float(m.factors[a] @ m.factors[b]) for a, b in combinations(sorted(known), 2))
+        assert abs(r.score - 1 / (1 + np.exp(-np.clip(logit, -35, 35)))) < 1e-9 and r.predicted == int(r.score >= 0.7)
+
+
+def brute_line(line):
+    """A line's features, by loops over its characters and words."""
+    letters = [c for c in line]
+    upper = sum(c.isupper() for c in letters)
+    lower = sum(c.isalpha() and not c.isupper() for c in letters)
+    digit = sum(c.isdigit() and not c.isalpha() for c in letters)
+    space = sum(c.isspace() for c in letters)
+    symbol = len(letters) - upper - lower - digit - space
+    words = line.split()
+
+    def is_symbol(c):
+        return not (c.isalpha() or c.isupper() or c.isdigit() or c.isspace())
+
+    n, size = max(len(words), 1), max(len(letters), 1)
+    return [
+        np.log1p(len(letters)) / 5, upper / max(upper + lower, 1), symbol / size, digit / size, space / size,
+        sum(len(w) == 1 and is_symbol(w) for w in words) / n, sum(len(w) > 1 and is_symbol(w[-1]) and is_symbol(w[-2]) for w in words) / n,
+        sum(a == b for a, b in zip(words[1:], words, strict=False)) / n, 1 - len(set(words)) / n, min((len(letters) - space) / n, 40) / 10,
+        float(letters[-1] in ".!?\u2026\u3002"), float(letters[0].isupper()), np.log1p(len(words)) / 5,
+    ]
+
+
+def test_quality_equals_brute_force(spark):
+    """Every score of sf0.001 again: features by loops, marginals by forward and backward sums of one chain, from the fitted numbers."""
+    docs, labels, texts = labelled_tables(spark)
+    m = quality.fitted(docs, labels)
+    w, t = m.field.emission, m.field.transition
+    for r in quality.scored(docs, m).collect():
+        lines = [x for x in texts[r.doc_id].split("\n") if x.split()]
+        f = [(np.array(brute_line(x)) - m.field.centre) / m.field.scale for x in lines]
+        none = np.zeros(quality.OWN)
+        e = [float(np.concatenate([f[i], f[i - 1] if i else none, f[i + 1] if i + 1 < len(f) else none, [1]]) @ w) for i in range(len(f))]
+        forward, backward = [[0.0, e[0]]], [[0.0, 0.0]]
+        for x in e[1:]:
+            forward.append([np.logaddexp(forward[-1][0] + t[0, k], forward[-1][1] + t[1, k]) + k * x for k in (0, 1)])
+        for x in e[:0:-1]:
+            backward.insert(0, [np.logaddexp(t[k, 0] + backward[0][0], t[k, 1] + x + backward[0][1]) for k in (0, 1)])
+        good = [1 / (1 + np.exp(forward[i][0] + backward[i][0] - forward[i][1] - backward[i][1])) for i in range(len(e))]
+        share = np.average(good, weights=[len(x) for x in lines])
+        assert abs(r.score - 1 / (1 + np.exp(-np.clip(m.field.slope * share + m.field.offset, -35, 35)))) < 1e-6
+
+
+def test_blank_texts_are_of_low_quality(spark, labelled):
+    given, labels = labelled
+    for model in (quality.fitted(given, labels), quality.fitted(given, labels.where("false"))):
+        assert (model.score([None, "", " \n\t\n"]) < 0.5).all()
+
+
+def test_language_equals_brute_force(spark):
+    """Every prediction of sf0.001 again: counts of whole n-grams in dicts, without hashing."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = docs.collect()
+
+    def grams(text):
+        clean = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+        clean = re.sub(" +", " ", clean).lstrip()
+        return [clean[i : i + n] for n in language.ORDERS for i in range(len(clean) - n + 1)]
+
+    counts, n = defaultdict(Counter), Counter()
+    for r in rows:
+        if r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1:
+            counts[r.lang].update(grams(r.text))
+            n[r.lang] += 1
+    totals = {k: sum(v.values()) + 0.5 * language.DIMS for k, v in counts.items()}
+    found = {r.doc_id: r for r in language.identified(docs, language.fitted(docs)).collect()}
+    for r in rows:
+        own = grams(r.text)
+        weight = min(1, language.WEIGHED / max(len(own), 1))
+        score = {k: weight * sum(np.log((counts[k][g] + 0.5) / totals[k]) for g in own) + np.log(n[k] / sum(n.values())) for k in counts}
+        top = sorted(score.values())[-2:]
+        if top[1] - top[0] > 0.5:  # hashing moves close calls
+            assert found[r.doc_id].lang_pred == max(score, key=score.get)
+
+
+def test_rare_ideographs_are_letters():
+    from tomeflow.llm.common import LOWER, char_classes
+
+    assert char_classes(np.array([0x30000, 0x31350], np.uint32)).tolist() == [LOWER, LOWER]

@@ -441,9 +441,10 @@ def deduplicated(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) ->
     kept = of_words.union(of_empty.select("doc_id", "node")).withColumnsRenamed({"doc_id": "jaccard_id", "node": "jaccard_node"})
     rows = rows.withColumnsRenamed({"doc_id": "of_id", "node": "of_node"})
     kept = written(kept.join(rows, (F.col("jaccard_node") == F.col("of_node")) & F.col("jaccard_id").eqNullSafe(F.col("of_id"))).select("jaccard_id", "jaccard_node", "jaccard_rows"), "jaccard-kept")
-    keyed = docs.withColumn("jaccard_key", text_key())
-    chosen = keyed.join(kept, (F.col("jaccard_key") == F.col("jaccard_node")) & F.col("doc_id").eqNullSafe(F.col("jaccard_id")))
-    once = chosen.where("jaccard_rows = 1").select(*docs.columns)
-    again = chosen.where("jaccard_rows > 1").dropDuplicates(["jaccard_id", "jaccard_node"]).select(*docs.columns)
+    # each row whole beside its key, so no column's name clashes
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", text_key().alias("key"))
+    chosen = keyed.join(kept, (F.col("key") == F.col("jaccard_node")) & F.col("doc_id").eqNullSafe(F.col("jaccard_id")))
+    once = chosen.where("jaccard_rows = 1").select("row.*")
+    again = chosen.where("jaccard_rows > 1").dropDuplicates(["jaccard_id", "jaccard_node"]).select("row.*")
     blank = docs.where(F.col("doc_id").isNull() & ~F.coalesce("text", F.lit("")).rlike(WORD))
     return once.unionByName(again).unionByName(blank)

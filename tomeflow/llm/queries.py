@@ -86,4 +86,13 @@ QUERIES = {
         op10_quality_line_crf,
     )
 }
-ORACLES: dict[str, str] = {}
+#: SQL compares all pairs of documents that share a shingle, so it suits small tables; tests hold the operator against brute force, too.
+ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard_join": r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+    s AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')] ELSE list_distinct([words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] FOR i IN range(1, len(words) - 1)]) END AS shingles FROM w),
+    g AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s),
+    pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common, max(a.n) + max(b.n) AS n FROM g a JOIN g b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+    links AS (SELECT a, b FROM pairs WHERE 100 * common >= 90 * (n - common)), edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    reached AS (SELECT a AS node, a AS least FROM edges UNION SELECT e.b, r.least FROM reached r JOIN edges e ON e.a = r.node)
+    SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, coalesce((SELECT min(least) FROM reached WHERE node = doc_id), doc_id) AS component_id FROM s""",
+}
