@@ -31,6 +31,11 @@ def collapsed_ascii(x: Column) -> Column:
     return F.when(y != "", y)
 
 
+def _let(x: Column, then) -> Column:
+    """then(x), where x is computed once however often it is used: expressions stay small, which plans fast."""
+    return F.get(F.transform(F.array(x), then), F.lit(0))
+
+
 def _mapped(x: Column, to: dict[str, str], otherwise: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in to.items() for v in kv]), x), otherwise)
 
@@ -47,12 +52,14 @@ _TAG = r"^([a-z]{2,3})((?:-[a-z]{3}(?=-|$)){0,3})((?:-[a-z]{4}(?=-|$))?)((?:-(?:
 
 def language_tag(x: Column) -> Column:
     """A BCP-47 tag in canonical case, null if the shape is wrong or the language undetermined. An extended language replaces the language."""
-    tag = _mapped(F.lower(x), WHOLE_TAGS, F.lower(x))
-    part = [F.regexp_extract(tag, _TAG, k) for k in range(1, 6)]
-    language = F.when(part[1] != "", F.substring(part[1], 2, 3)).otherwise(_mapped(part[0], LEGACY_LANGUAGES, part[0]))
-    script = F.concat(F.substring(part[2], 1, 1), F.initcap(F.substring(part[2], 2, 4)))
-    whole = F.concat(language, script, F.upper(part[3]), part[4])
-    return F.when(x.rlike(r"^[a-zA-Z]{2,3}(?:-[a-zA-Z0-9]{2,8})*$") & (whole != "und"), whole)
+
+    def canonical(part: Column) -> Column:
+        language = F.when(part[1] != "", F.substring(part[1], 2, 3)).otherwise(_mapped(part[0], LEGACY_LANGUAGES, part[0]))
+        return F.concat(language, F.substring(part[2], 1, 1), F.initcap(F.substring(part[2], 2, 4)), F.upper(part[3]), part[4])
+
+    parts = _let(_let(F.lower(x), lambda t: _mapped(t, WHOLE_TAGS, t)), lambda t: F.array(*[F.regexp_extract(t, _TAG, k) for k in range(1, 6)]))
+    whole = F.when(x.rlike(r"^[a-zA-Z]{2,3}(?:-[a-zA-Z0-9]{2,8})*$"), _let(parts, canonical))
+    return F.nullif(whole, F.lit("und"))
 
 
 def _compact(x: Column) -> Column:
@@ -67,14 +74,12 @@ def _weighed(digits: Column, weights: list[int]) -> Column:
 
 def isbn10(x: Column) -> Column:
     """The compact ISBN-10, null if shape or checksum is wrong."""
-    s = _compact(x)
-    return F.when(s.rlike(r"^[0-9]{9}[0-9X]$") & (_weighed(s, list(range(10, 0, -1))) % 11 == 0), s)
+    return _let(_compact(x), lambda s: F.when(s.rlike(r"^[0-9]{9}[0-9X]$") & (_weighed(s, list(range(10, 0, -1))) % 11 == 0), s))
 
 
 def isbn13(x: Column) -> Column:
     """The compact 13 digits, whatever they begin with; null if shape or checksum is wrong."""
-    s = _compact(x)
-    return F.when(s.rlike(r"^[0-9]{13}$") & (_weighed(s, [1, 3] * 6 + [1]) % 10 == 0), s)
+    return _let(_compact(x), lambda s: F.when(s.rlike(r"^[0-9]{13}$") & (_weighed(s, [1, 3] * 6 + [1]) % 10 == 0), s))
 
 
 def doi(x: Column) -> Column:
@@ -83,9 +88,9 @@ def doi(x: Column) -> Column:
 
 def uuid(x: Column) -> Column:
     """Canonical lower case. Groups may be shorter than they should, or longer, of which the last digits count."""
-    groups = F.split(F.lower(x), "-")
-    each = [F.right(F.lpad(groups[i], 16, "0"), F.lit(w)) for i, w in enumerate((8, 4, 4, 4, 12))]
-    return F.when(x.rlike(r"^[0-9a-fA-F]{1,15}(?:-[0-9a-fA-F]{1,15}){4}$") & (F.length(x) <= 36), F.concat_ws("-", *each))
+    widths = F.array(*map(F.lit, (8, 4, 4, 4, 12)))
+    each = F.zip_with(F.split(F.lower(x), "-"), widths, lambda g, w: F.right(F.lpad(g, 16, "0"), w))
+    return F.when(x.rlike(r"^[0-9a-fA-F]{1,15}(?:-[0-9a-fA-F]{1,15}){4}$") & (F.length(x) <= 36), F.array_join(each, "-"))
 
 
 def _clean_path(path: Column) -> Column:
@@ -108,13 +113,18 @@ _URI_CHARACTERS = r"^(?:[^\x00-\x20\x7f-\xa0\"<>\\^`{|}%]|%[0-9A-Fa-f]{2})+$"
 
 def uri(x: Column) -> Column:
     """An absolute address with a clean path, characters beyond ASCII as escapes; null if it isn't absolute or holds what it mustn't."""
-    part = [F.regexp_extract(x, _URI, k) for k in range(1, 5)]
-    hierarchical = (part[1] != "") | F.startswith(part[2], F.lit("/"))
-    needs = part[2].rlike(r"//|(^|/)\.\.?(/|$)")
-    whole = F.when(hierarchical & needs, F.concat(part[0], part[1], _clean_path(part[2]), part[3])).otherwise(x)
-    escaped = F.array_join(F.transform(F.split(whole, ""), lambda ch: F.when(ch > "\x7f", F.url_encode(ch)).otherwise(ch)), "")
-    ascii_only = F.when(whole.rlike(r"[^\x00-\x7f]"), escaped).otherwise(whole)
-    return F.when(x.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:[^#]") & x.rlike(_URI_CHARACTERS) & ~x.rlike("#.*#"), ascii_only)
+
+    def cleaned(part: Column) -> Column:
+        hierarchical = (part[1] != "") | F.startswith(part[2], F.lit("/"))
+        needs = part[2].rlike(r"//|(^|/)\.\.?(/|$)")
+        return F.concat(part[0], part[1], F.when(hierarchical & needs, _clean_path(part[2])).otherwise(part[2]), part[3])
+
+    def escaped(whole: Column) -> Column:
+        return F.array_join(F.transform(F.split(whole, ""), lambda ch: F.when(ch > "\x7f", F.url_encode(ch)).otherwise(ch)), "")
+
+    whole = _let(F.array(*[F.regexp_extract(x, _URI, k) for k in range(1, 5)]), cleaned)
+    fits = x.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:[^#]") & x.rlike(_URI_CHARACTERS) & ~x.rlike("#.*#")
+    return F.when(fits, _let(whole, lambda w: F.when(w.rlike(r"[^\x00-\x7f]"), escaped(w)).otherwise(w)))
 
 
 def identifier_scheme(field: Column) -> Column:

@@ -57,6 +57,20 @@ def merged_works(works: DataFrame, merges: DataFrame) -> DataFrame:
     return both.withColumn("merged_into_id", F.coalesce("_to", "merged_into_id")).withColumn("version", F.col("version") + touched.cast("int")).select(works.columns)
 
 
+def merged_editions(assets: DataFrame, identifiers: DataFrame, read_states: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(assets, identifiers, read states) after editions were merged.
+
+    All assets (asset_id, edition_id, ...) become the survivor's; an identifier (edition_id, key, value) and a user's state
+    (user_id, edition_id, ...) only where the survivor has none for the key or the user, others stay behind.
+    """
+    return repointed(assets, "edition_id", merges), moved(identifiers, "edition_id", ["key"], merges), moved(read_states, "edition_id", ["user_id"], merges)
+
+
+def merged_contributors(aliases: DataFrame, links: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(aliases, links) after contributors were merged: an alias moves unless the survivor goes by that name already, a link (work_id, contributor_id, role, ordinal) unless the survivor has that role on the work."""
+    return moved(aliases, "contributor_id", ["normalized_name"], merges), moved(links, "contributor_id", ["work_id", "role"], merges)
+
+
 def impact(relations: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     """(subject_id, metric, n): how many rows of each relation (name -> table, column of the subject) a merge would touch."""
     rows = union_all(*[df.select(F.lit(name).alias("metric"), F.col(column).cast("string").alias("subject_id")) for name, (df, column) in relations.items()])

@@ -122,13 +122,16 @@ class DriverCatalog:
     def isbn_observation(self) -> DataFrame:
         i = F.col("doc_id")
         body = F.concat(F.lit("978"), F.lpad(i.cast("string"), 9, "0"))
-        total = sum((F.substring(body, k, 1).cast("int") * (1 if k % 2 else 3) for k in range(1, 13)), F.lit(0))
-        digit = (10 - total % 10 + F.when(i % 3 == 0, 1).otherwise(0)) % 10
+
+        def with_digit(code):
+            total = F.aggregate(F.zip_with(F.split(code, ""), F.array(*[F.lit(w) for w in [1, 3] * 6]), lambda d, w: d.cast("int") * w), F.lit(0), lambda t, v: t + v)
+            return F.concat(code, ((10 - total % 10 + F.when(i % 3 == 0, 1).otherwise(0)) % 10).cast("string"))
+
         return self.documents.select(
             F.lit("ASSET").alias("subject_type"),
             i.alias("subject_id"),
             F.lit("identifier:isbn13").alias("field"),
-            F.concat(body, digit.cast("string")).alias("value"),
+            F.get(F.transform(F.array(body), with_digit), F.lit(0)).alias("value"),
             F.concat(F.lit("i-"), i.cast("string")).alias("observation_id"),
             at(T1).alias("observed_at"),
             F.lit("PRESENT").alias("state"),

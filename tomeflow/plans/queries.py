@@ -708,6 +708,31 @@ def merged_contributors(c):
     return recovery.moved_in_order(c.contributor.withColumn("role", F.lit("AUTHOR")), "work_id", ["contributor_id"], _merges(c), ["role"]).select("work_id", "contributor_id")
 
 
+@query("""SELECT 'asset' AS kind, asset_id AS id, edition_id - edition_id % 2 AS edition_id, '' AS key FROM asset
+    UNION ALL SELECT 'identifier', a.asset_id, CASE WHEN a.edition_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM asset b WHERE b.edition_id = a.edition_id - 1 AND b.asset_id % 3 = a.asset_id % 3) THEN a.edition_id - 1 ELSE a.edition_id END, 'k' || a.asset_id % 3 FROM asset a
+    UNION ALL SELECT 'state', a.asset_id, CASE WHEN a.edition_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM asset b WHERE b.edition_id = a.edition_id - 1 AND b.asset_id % 5 = a.asset_id % 5) THEN a.edition_id - 1 ELSE a.edition_id END, '' FROM asset a""")
+def merged_editions(c):
+    """Of each work's two editions the second is merged into the first."""
+    i = F.col("asset_id")
+    merges = c.asset.select("edition_id").distinct().where("edition_id % 2 = 1").select(F.col("edition_id").alias("source_id"), (F.col("edition_id") - 1).alias("survivor_id"))
+    identifiers = c.asset.select("edition_id", F.concat(F.lit("k"), (i % 3).cast("string")).alias("key"), i.alias("id"))
+    states = c.asset.select((i % 5).alias("user_id"), "edition_id", i.alias("id"))
+    assets, names, read = recovery.merged_editions(c.asset.select("asset_id", "edition_id"), identifiers, states, merges)
+    parts = [("asset", assets.withColumnRenamed("asset_id", "id"), F.lit("")), ("identifier", names, F.col("key")), ("state", read, F.lit(""))]
+    return primitives.union_all(*[df.select(F.lit(kind).alias("kind"), "id", "edition_id", key.alias("key")) for kind, df, key in parts])
+
+
+@query("""SELECT CASE WHEN c.contributor_id % 10 = 2 AND s.contributor_id IS NULL THEN c.contributor_id - 1 ELSE c.contributor_id END AS contributor_id, CAST(c.work_id AS VARCHAR) AS held FROM contributor c LEFT JOIN contributor s ON s.work_id = c.work_id AND s.contributor_id = c.contributor_id - 1
+    UNION ALL SELECT CASE WHEN s_suppkey % 10 = 2 THEN s_suppkey - 1 ELSE s_suppkey END, lower(s_name) FROM supplier UNION ALL SELECT s_suppkey, 'same' FROM supplier""")
+def merged_contributor_names(c):
+    """Every tenth contributor is merged into the one before: its own name moves, the one that both go by and links that both have stay."""
+    people = c.table("supplier").select(F.col("s_suppkey").alias("contributor_id"), F.lower("s_name").alias("name"))
+    aliases = people.select("contributor_id", F.explode(F.array("name", F.lit("same"))).alias("normalized_name"))
+    merges = people.where("contributor_id % 10 = 2").select(F.col("contributor_id").alias("source_id"), (F.col("contributor_id") - 1).alias("survivor_id"))
+    names, links = recovery.merged_contributors(aliases, c.contributor.withColumn("role", F.lit("AUTHOR")), merges)
+    return links.select("contributor_id", F.col("work_id").cast("string").alias("held")).unionByName(names.select("contributor_id", F.col("normalized_name").alias("held")))
+
+
 @query("SELECT p_partkey AS work_id, CASE WHEN p_partkey % 10 = 2 THEN p_partkey - 1 END AS merged_into_id, CAST(CASE WHEN p_partkey % 10 IN (1, 2) THEN 2 ELSE 1 END AS BIGINT) AS version FROM part")
 def merged_works(c):
     works = c.table("part").select(F.col("p_partkey").alias("work_id"), F.lit(None).cast("bigint").alias("merged_into_id"), F.lit(1).cast("bigint").alias("version"))
