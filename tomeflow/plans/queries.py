@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import normalize as N
 from ..operators import authz, curation, evidence, ingest, ops, personal, primitives, queue, recovery, search
-from ..schemas import Expectation, counters_hold, path_is_clean, violations
+from ..schemas import Expectation, counters_hold, image_within_bounds, lease_iff_running, path_is_clean, violations
+from ..sources import files
 from .mapping import T1, T2, T3, DriverCatalog, at, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -254,6 +255,14 @@ def overlapping_roots(c):
     return inner.select("inner_path", F.explode(begins).alias("outer_path")).join(outer, "outer_path").select("outer_path", "inner_path")
 
 
+@query("""SELECT asset_id, CASE WHEN root_id = 'src0' THEN 'UNKNOWN_ROOT' WHEN asset_id % 4 IN (1, 2, 3) THEN 'PATH_ESCAPE' END AS problem, CASE WHEN root_id <> 'src0' AND asset_id % 4 = 0 THEN '/mnt/' || root_id || '/' || path END AS whole FROM location""")
+def contained_paths(c):
+    i = F.col("asset_id")
+    path = F.when(i % 4 == 1, F.concat(F.lit("../"), "path")).when(i % 4 == 2, F.concat(F.lit("/"), "path")).when(i % 4 == 3, F.concat("path", F.lit("/./x"))).otherwise(F.col("path"))
+    mounts = c.root.where("root_id <> 'src0'").select(F.col("root_id").alias("alias"), F.concat(F.lit("/mnt/"), "root_id").alias("mount"))
+    return files.contained_paths(c.location.select("asset_id", F.col("root_id").alias("alias"), path.alias("path")), mounts).select("asset_id", "problem", "whole")
+
+
 @query("SELECT start, ancestor FROM lineage")
 def lineage_closure(c):
     return c.lineage
@@ -528,16 +537,16 @@ def provisional_titles(c):
 @query("""SELECT asset_id, CASE WHEN asset_id % 5 <> 0 AND asset_id % 7 <> 0 AND asset_id % 9 <> 0 THEN 'SKIP' WHEN format = 'PDF' THEN 'PDF_QUEUE' ELSE 'EXTRACT' END AS action FROM asset""")
 def change_detection(c):
     i = F.col("asset_id")
-    files = c.location.join(c.asset.select("asset_id", "format"), "asset_id").select("asset_id", "root_id", F.concat("path", F.lit("."), F.lower("format")).alias("path"), "byte_size", at(T3).alias("modified_at"))
-    known = files.select("root_id", "path", (F.col("byte_size") + F.when(i % 5 == 0, 1).otherwise(0)).alias("byte_size"), F.when(i % 2 == 0, F.expr("modified_at + interval 1 microsecond")).otherwise(F.col("modified_at")).alias("modified_at"), F.when(i % 7 == 0, "0").otherwise("1").alias("extraction_version"), F.when(i % 9 == 0, "FAILED_SAFE").otherwise("PROCESSED").alias("outcome"))
-    return ingest.detected_changes(files, known, "1").select("asset_id", "action")
+    found = c.location.join(c.asset.select("asset_id", "format"), "asset_id").select("asset_id", "root_id", F.concat("path", F.lit("."), F.lower("format")).alias("path"), "byte_size", at(T3).alias("modified_at"))
+    known = found.select("root_id", "path", (F.col("byte_size") + F.when(i % 5 == 0, 1).otherwise(0)).alias("byte_size"), F.when(i % 2 == 0, F.expr("modified_at + interval 1 microsecond")).otherwise(F.col("modified_at")).alias("modified_at"), F.when(i % 7 == 0, "0").otherwise("1").alias("extraction_version"), F.when(i % 9 == 0, "FAILED_SAFE").otherwise("PROCESSED").alias("outcome"))
+    return ingest.detected_changes(found, known, "1").select("asset_id", "action")
 
 
 @query("""SELECT kind, count(*) AS n FROM (SELECT 'location' AS kind FROM location UNION ALL SELECT unnest(['work', 'edition', 'asset']) FROM location WHERE asset_id % 2 = 0 AND asset_id % 4 = 0 UNION ALL SELECT 'observation_set' FROM location WHERE asset_id % 2 = 0) GROUP BY kind""")
 def reconciled_batch(c):
-    files = c.location.select("asset_id", F.col("asset_id").cast("string").alias("location_id"), "root_id", "path", "byte_size", at(T3).alias("modified_at"))
-    known = files.select("location_id", F.col("asset_id").cast("string").alias("asset_id"), "root_id", "path", "byte_size", "modified_at", F.lit("1").alias("extraction_version"), F.lit("PROCESSED").alias("outcome"), F.lit("AVAILABLE").alias("availability"), F.lit("j0").alias("last_seen"))
-    batch = files.where("asset_id % 2 = 0").select("root_id", "path", (F.col("byte_size") + F.when(F.col("asset_id") % 4 == 0, 1).otherwise(0)).alias("byte_size"), "modified_at", F.lit("2").alias("extraction_version"), F.lit("EPUB").alias("format"), F.lit(None).cast("string").alias("title"))
+    seen = c.location.select("asset_id", F.col("asset_id").cast("string").alias("location_id"), "root_id", "path", "byte_size", at(T3).alias("modified_at"))
+    known = seen.select("location_id", F.col("asset_id").cast("string").alias("asset_id"), "root_id", "path", "byte_size", "modified_at", F.lit("1").alias("extraction_version"), F.lit("PROCESSED").alias("outcome"), F.lit("AVAILABLE").alias("availability"), F.lit("j0").alias("last_seen"))
+    batch = seen.where("asset_id % 2 = 0").select("root_id", "path", (F.col("byte_size") + F.when(F.col("asset_id") % 4 == 0, 1).otherwise(0)).alias("byte_size"), "modified_at", F.lit("2").alias("extraction_version"), F.lit("EPUB").alias("format"), F.lit(None).cast("string").alias("title"))
     after = ingest.reconciled(known, batch, "j1")
     return primitives.union_all(*[df.select(F.lit(k).alias("kind")) for k, df in after.items()]).groupBy("kind").agg(F.count("*").alias("n"))
 
@@ -555,6 +564,14 @@ def expectations(c):
     return broken.groupBy("rule").agg(F.count("*").alias("n"))
 
 
+@query("""SELECT rule, count(*) AS n FROM (SELECT CASE WHEN (state = 'RUNNING') <> (task_id % 3 = 0) THEN 'lease' END AS rule FROM task
+    UNION ALL SELECT CASE WHEN NOT (attempts * 900 BETWEEN 1 AND 1600 AND sequence % 3000 BETWEEN 1 AND 2400) THEN 'image' END FROM task) WHERE rule IS NOT NULL GROUP BY rule""")
+def row_rules(c):
+    given = c.task.withColumn("token", F.when(F.col("task_id") % 3 == 0, "t"))
+    rules = [Expectation("lease", lease_iff_running(F.col("state"), F.col("token"))), Expectation("image", image_within_bounds(F.col("attempts") * 900, F.col("sequence") % 3000))]
+    return violations(given, "task_id", rules).groupBy("rule").agg(F.count("*").alias("n"))
+
+
 @query("SELECT DISTINCT CAST(job_id AS INTEGER) AS job_id FROM final_outcome WHERE job_id % 5 = 0 OR job_id % 7 = 0")
 def counter_violations(c):
     i = F.col("job_id")

@@ -11,62 +11,76 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from ..operators.primitives import union_all, written
+from ..schemas import path_is_clean
 
 SUFFIXES = {".epub": "EPUB", ".fb2": "FB2", ".mobi": "MOBI", ".pdf": "PDF", ".docx": "DOCX", ".djvu": "DJVU", ".djv": "DJVU"}
 DISCOVERED = "path string, format string, byte_size long, modified_at timestamp, file_key string, problem string"
 
 
-class _Part(InputPartition):
-    def __init__(self, root: str, entries: list[str]):
-        self.root, self.entries = root, entries
-
-
-class LibraryFiles(DataSource):
-    """spark.read.format("library_files").option("path", root): every file with a known suffix, whatever its case.
+def _listed(root: str, folder: str) -> Iterator[tuple]:
+    """What stands in one folder below root: (path, folder, format, byte_size, modified_at, file_key, problem); folder: whether it is one."""
+    import datetime
+
+    try:
+        entries = list(os.scandir(os.path.join(root, folder)))
+    except OSError:
+        yield folder, False, None, None, None, None, "UNREADABLE"
+        return
+    for entry in sorted(entries, key=lambda e: e.name):
+        path, fmt = os.path.join(folder, entry.name), SUFFIXES.get(os.path.splitext(entry.name)[1].lower())
+        try:
+            if entry.is_symlink():
+                yield path, False, fmt, None, None, None, "PATH_ESCAPE"
+            elif entry.is_dir():
+                yield path, True, None, None, None, None, None
+            elif fmt:
+                s = os.stat(entry.path)
+                at = datetime.datetime.fromtimestamp(s.st_mtime_ns // 1000 / 1e6, datetime.UTC)
+                yield path, False, fmt, s.st_size, at, f"{s.st_dev}:{s.st_ino}", None
+        except OSError:
+            yield path, False, fmt, None, None, None, "UNREADABLE"
+
+
+def discovered(spark: SparkSession, root: str, parallelism: int = 8, most_depth: int = 256) -> DataFrame:
+    """Every file below root with a known suffix, whatever its case: (path, format, byte_size, modified_at, file_key, problem).
 
     Hidden names are read, symbolic links aren't followed but reported as PATH_ESCAPE, and what can't be read is
-    UNREADABLE. A root's entries are dealt to `parallelism` tasks, which walk below them.
+    UNREADABLE. Folders are listed level by level: those of one level are rows that are dealt anew, so a root with one large
+    folder keeps all tasks busy; each level is written, so no folder is listed twice.
     """
 
-    @classmethod
-    def name(cls) -> str:
-        return "library_files"
-
-    def schema(self) -> str:
-        return DISCOVERED
-
-    def reader(self, schema):
-        return _Reader(self.options["path"], int(self.options.get("parallelism", "8")))
+    def work(batches):
+        import pyarrow as pa
 
+        types = [pa.string(), pa.bool_(), pa.string(), pa.int64(), pa.timestamp("us", "UTC"), pa.string(), pa.string()]
+        names = ["path", "folder", "format", "byte_size", "modified_at", "file_key", "problem"]
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                rows = list(_listed(root, folder))
+                for i in range(0, len(rows), 10_000):
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[i : i + 10_000]], t) for k, t in enumerate(types)], names=names)
 
-class _Reader(DataSourceReader):
-    def __init__(self, root: str, parallelism: int):
-        self.root, self.parallelism = root, parallelism
+    folders, levels = spark.createDataFrame([("",)], "path string"), []
+    for _ in range(most_depth):
+        level = written(folders.repartition(parallelism).mapInArrow(work, f"path string, folder boolean, {DISCOVERED.split(', ', 1)[1]}"), "listed")
+        levels.append(level.where("not folder").drop("folder"))
+        folders = level.where("folder").select("path")
+        if folders.isEmpty():
+            return union_all(*levels)
+    raise ValueError(f"folders are nested more than {most_depth} deep")
 
-    def partitions(self):
-        entries = sorted(os.listdir(self.root))
-        return [_Part(self.root, entries[i :: self.parallelism]) for i in range(min(self.parallelism, max(1, len(entries))))]
 
-    def read(self, partition: _Part) -> Iterator[tuple]:
-        import datetime
+def contained_paths(requests: DataFrame, aliases: DataFrame) -> DataFrame:
+    """requests (alias, path) with `whole`, the place below the mount that goes by the alias, or a `problem`. aliases: (alias, mount).
 
-        stack = [os.path.join(partition.root, e) for e in reversed(partition.entries)]
-        while stack:
-            path = stack.pop()
-            relative = os.path.relpath(path, partition.root)
-            fmt = SUFFIXES.get(os.path.splitext(path)[1].lower())
-            try:
-                if os.path.islink(path):
-                    yield relative, fmt, None, None, None, "PATH_ESCAPE"
-                elif os.path.isdir(path):
-                    stack.extend(os.path.join(path, e) for e in sorted(os.listdir(path), reverse=True))
-                elif fmt:
-                    s = os.stat(path)
-                    at = datetime.datetime.fromtimestamp(s.st_mtime_ns // 1000 / 1e6, datetime.UTC).replace(tzinfo=None)
-                    yield relative, fmt, s.st_size, at, f"{s.st_dev}:{s.st_ino}", None
-            except OSError:
-                yield relative, fmt, None, None, None, "UNREADABLE"
+    A path is relative and has no empty, `.` or `..` segment, so it can't leave its mount.
+    """
+    mounts = aliases.select("alias", "mount", F.lit(True).alias("_known"))
+    both = requests.join(mounts, "alias", "left")
+    problem = F.when(F.col("_known").isNull(), "UNKNOWN_ROOT").when(~F.coalesce(path_is_clean(F.col("path")), F.lit(False)), "PATH_ESCAPE")
+    return both.withColumn("problem", problem).withColumn("whole", F.when(F.col("problem").isNull(), F.concat_ws("/", "mount", "path"))).drop("mount", "_known")
 
 
 def verified_root(root: str, marker: str, digest: str) -> None:
@@ -76,11 +90,6 @@ def verified_root(root: str, marker: str, digest: str) -> None:
             raise ValueError("the root isn't the one that was registered")
 
 
-def discovered(spark: SparkSession, root: str, parallelism: int = 8) -> DataFrame:
-    spark.dataSource.register(LibraryFiles)
-    return spark.read.format("library_files").option("path", root).option("parallelism", str(parallelism)).load()
-
-
 def coverage_complete(files: DataFrame) -> Column:
     """Whether a scan saw everything; aggregate of discovered()."""
     return ~F.bool_or(F.coalesce(F.col("problem") == "UNREADABLE", F.lit(False)))
