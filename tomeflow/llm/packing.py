@@ -34,6 +34,7 @@ from .common import crc32, dropped, map_texts, mix64, slices, written
 WINDOW = 1024
 SHARD_DOCS = 8192
 SHARD_TOKENS = 1 << 22
+PART_TOKENS = 1 << 23
 #: An id that more than a share of 1 in so many of a shard's documents have gets a row of weights, others a list.
 DENSE = 8
 K1, B = 1.2, 0.75
@@ -357,7 +358,11 @@ def gathered(ids: DataFrame, corpus: Corpus, dtype: np.dtype) -> DataFrame:
 
     id_type = ids.schema["doc_id"].dataType.simpleString()
     keyed = written(ids.mapInArrow(keys, f"doc_id {id_type}, salt long, ids binary, centre int, heaviest long"), "packing-keyed")
-    return keyed.repartitionByRange("centre", "heaviest", "salt").sortWithinPartitions("centre", "heaviest", "salt", "doc_id").select("doc_id", "ids")
+    # a partition holds about PART_TOKENS ids, however many there are; where Spark's own number is enough, it joins small ones
+    parts = int(np.ceil(corpus.n * corpus.mean / PART_TOKENS))
+    by = ["centre", "heaviest", "salt"]
+    ranges = keyed.repartitionByRange(parts, *by) if parts > int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions")) else keyed.repartitionByRange(*by)
+    return ranges.sortWithinPartitions("centre", "heaviest", "salt", "doc_id").select("doc_id", "ids")
 
 
 def packed(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW) -> DataFrame:
