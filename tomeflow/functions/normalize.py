@@ -143,19 +143,24 @@ def fact_type(field: Column, text: Column) -> Column:
     )
 
 
-def fact_value(kind: Column, text: Column) -> Column:
-    """The normalised value, null if the text isn't one of its type."""
+def fact_value(kind: Column, text: Column, fields: list[str] | None = None) -> Column:
+    """The normalised value, null if the text isn't one of its type. fields: what occurs, so no rule for others is planned."""
     checked = {"BCP47": language_tag, "ISBN_10": isbn10, "ISBN_13": isbn13, "DOI": doi, "UUID": uuid, "URI": uri}
     value = F.when(F.lit(False), text)
+    occur = set(checked)
+    if fields is not None:
+        occur = {"BCP47" for f in fields if f == "language"} | {SCHEMES.get(f.removeprefix("identifier:").strip().lower()) for f in fields if f.startswith("identifier:")}
     for name, rule in checked.items():
+        if name not in occur:
+            continue
         value = value.when(kind == name, rule(text))
     return value.otherwise(text)
 
 
-def with_facts(df: DataFrame, field: str = "field", observed: str = "observed") -> DataFrame:
-    """df with (valid, value, type, confidence, problem) of each observed value. Each step is a column of its own, so none is computed twice."""
+def with_facts(df: DataFrame, field: str = "field", observed: str = "observed", fields: list[str] | None = None) -> DataFrame:
+    """df with (valid, value, type, confidence, problem) of each observed value. fields: all that occur, if known. Each step is a column of its own, so none is computed twice."""
     ready = df.withColumn("_text", collapsed(F.col(observed))).withColumn("_text", F.when(F.col("_text") != "", F.col("_text")))
-    ready = ready.withColumn("type", fact_type(F.col(field), F.col("_text"))).withColumn("value", fact_value(F.col("type"), F.col("_text")))
+    ready = ready.withColumn("type", fact_type(F.col(field), F.col("_text"))).withColumn("value", fact_value(F.col("type"), F.col("_text"), fields))
     valid = F.col("value").isNotNull()
     kind = F.col("type")
     confidence = F.when(~valid | kind.isin("TEXT", "OTHER"), "UNKNOWN").when(F.startswith(kind, F.lit("CONTRIBUTOR:")) | (kind == "SOURCE_LOCAL"), "HIGH").otherwise("EXACT")

@@ -34,9 +34,10 @@ def unpivot(extracted: DataFrame) -> DataFrame:
     return rows.where(F.length(F.trim("value")) > 0)
 
 
-def facts(observations: DataFrame) -> DataFrame:
-    """Every observation with its normalised fact: valid, value, type, confidence, problem."""
-    return with_facts(observations.withColumnRenamed("value", "observed"))
+def facts(observations: DataFrame, fields: list[str] | None = None) -> DataFrame:
+    """Every observation, or those of `fields`, with its normalised fact: valid, value, type, confidence, problem."""
+    wanted = observations if fields is None else observations.where(F.col("field").isin(fields))
+    return with_facts(wanted.withColumnRenamed("value", "observed"), fields=fields)
 
 
 def resolved(fact: DataFrame) -> DataFrame:

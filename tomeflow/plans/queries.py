@@ -35,13 +35,17 @@ def long(column: str):
 # --- facts and display ------------------------------------------------------------------------------------------
 
 
-def _resolved(c: DriverCatalog) -> DataFrame:
-    return evidence.resolved(evidence.facts(c.observation))
+def _resolved(c: DriverCatalog, fields: list[str] | None = None) -> DataFrame:
+    return evidence.resolved(evidence.facts(_observed(c, fields), fields))
 
 
-def _display(c: DriverCatalog) -> DataFrame:
-    resolution = _resolved(c).select("*", F.lit(1).cast("bigint").alias("version"), F.lit(True).alias("active"), at(T3).alias("resolved_at"))
-    return evidence.displayed(c.override, resolution, c.observation)
+def _observed(c: DriverCatalog, fields: list[str] | None = None) -> DataFrame:
+    return c.title_observation if fields == ["title"] else c.observation
+
+
+def _display(c: DriverCatalog, fields: list[str] | None = None) -> DataFrame:
+    resolution = _resolved(c, fields).select("*", F.lit(1).cast("bigint").alias("version"), F.lit(True).alias("active"), at(T3).alias("resolved_at"))
+    return evidence.displayed(c.override, resolution, _observed(c, fields))
 
 
 @query("SELECT subject_type, subject_id, field, value, source FROM display")
@@ -52,7 +56,7 @@ def display_precedence(c):
 @query("""SELECT subject_id, coalesce(value, 'doc-' || subject_id || '.txt') AS title FROM display WHERE field = 'title' AND contains(lower(coalesce(value, 'doc-' || subject_id || '.txt')), 'the')
     ORDER BY title, subject_id LIMIT 50""")
 def search_by_title(c):
-    titles = _display(c).where("field = 'title'").select("subject_id", F.coalesce("value", F.concat(F.lit("doc-"), F.col("subject_id").cast("string"), F.lit(".txt"))).alias("title"))
+    titles = _display(c, ["title"]).select("subject_id", F.coalesce("value", F.concat(F.lit("doc-"), F.col("subject_id").cast("string"), F.lit(".txt"))).alias("title"))
     return primitives.offset_page(titles.where(primitives.text_contains(F.col("title"), " The ")), [F.col("title"), F.col("subject_id")], 0, 50)
 
 
@@ -140,7 +144,7 @@ def observation_seen_range(c):
 @query("""SELECT subject_id, CAST(2 AS BIGINT) AS version, outcome, value FROM (SELECT subject_type, subject_id, field, outcome, value FROM resolved WHERE field = 'title') r
     WHERE r.subject_id % 7 = 0 OR r.subject_id % 100 = 1""")
 def superseded_values(c):
-    now = _resolved(c).where("field = 'title'")
+    now = _resolved(c, ["title"])
     first = F.when(F.col("subject_id") % 100 == 1, F.lit("another title")).otherwise(F.col("value"))
     before = now.select(*evidence.SUBJECT, F.when(F.col("subject_id") % 7 == 0, "PRESENT").otherwise(F.col("outcome")).alias("outcome"), first.alias("value"), "alternatives", F.lit(1).cast("bigint").alias("version"), F.lit(True).alias("active"), at(T3).alias("resolved_at"))
     return evidence.superseded(before, now, at(T3)).where("active and version > 1").select("subject_id", "version", "outcome", "value")
@@ -383,7 +387,7 @@ def newest_history(c):
 
 @query("""SELECT subject_id, value, row_number() OVER (ORDER BY value NULLS LAST, subject_id) AS place FROM display WHERE field = 'title'""")
 def nulls_last_order(c):
-    titles = _display(c).where("field = 'title'").select("subject_id", "value")
+    titles = _display(c, ["title"]).select("subject_id", "value")
     return primitives.global_places(titles, [F.col("value").asc_nulls_last(), F.col("subject_id")])
 
 
@@ -472,7 +476,7 @@ def accessible_roots(c):
 def _matches(c: DriverCatalog, q: str, user: int | None = None) -> DataFrame:
     work = F.expr("asset_id div 4").alias("work_id")
     provisional = F.concat(F.lit("doc-"), F.col("subject_id").cast("string"), F.lit(".txt"))
-    titles = _display(c).where("field = 'title'").select(F.expr("subject_id div 4").alias("work_id"), F.coalesce("value", provisional).alias("title"))
+    titles = _display(c, ["title"]).select(F.expr("subject_id div 4").alias("work_id"), F.coalesce("value", provisional).alias("title"))
     identifiers = c.isbn_observation.select(F.expr("subject_id div 4").alias("work_id"), F.lit("isbn13").alias("key"), "value")
     people = c.documents.select(F.expr("doc_id div 4").alias("work_id"), F.col("source").alias("value"), F.col("source").alias("root_id"))
     denied = None if user is None else c.deny.where(F.col("user_id") == user)
@@ -527,7 +531,7 @@ def search_total(c):
 
 @query("SELECT w.work_id, coalesce(r.value, w.provisional_title) AS title, r.work_id IS NULL AS provisional FROM work w LEFT JOIN (SELECT subject_id // 4 AS work_id, value FROM display WHERE field = 'title' AND subject_id % 8 = 0) r USING (work_id)")
 def provisional_titles(c):
-    display = _display(c).where("field = 'title' and subject_id % 8 = 0").select(F.lit("WORK").alias("subject_type"), F.expr("cast(subject_id div 4 as string)").alias("subject_id"), "field", "value")
+    display = _display(c, ["title"]).where("subject_id % 8 = 0").select(F.lit("WORK").alias("subject_type"), F.expr("cast(subject_id div 4 as string)").alias("subject_id"), "field", "value")
     return search.display_titles(c.work, display).select("work_id", "title", "provisional")
 
 
@@ -701,7 +705,7 @@ def renamed_contributors(c):
 def curation_documents(c):
     part = c.table("part")
     work = F.col("p_partkey").alias("work_id")
-    reviews = evidence.facts(c.language_observation).where("not valid").select(F.col("subject_id").alias("work_id"), "field", F.lit("INVALID_VALUE").alias("kind")).distinct()
+    reviews = evidence.facts(c.language_observation, ["language"]).where("not valid").select(F.col("subject_id").alias("work_id"), "field", F.lit("INVALID_VALUE").alias("kind")).distinct()
     versions = F.when(F.col("p_partkey") % 2 == 0, 2).otherwise(1)
     history = part.select(work, F.explode(F.sequence(F.lit(1), versions)).alias("version"), F.col("p_name").alias("value"), versions.alias("last")).withColumn("active", F.col("version") == F.col("last"))
     audit = c.table("orders").select(F.col("o_custkey").alias("work_id"), F.col("o_orderdate").alias("at"), F.col("o_orderkey").cast("string").alias("event"))
