@@ -71,6 +71,12 @@ def op10_quality_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(docs, fitted(docs, table(spark, sf_dir, "labels")))
 
 
+def op13_lobpcg_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whitened
+
+    return whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -84,6 +90,7 @@ QUERIES = {
         op8_syncmer_fingerprints,
         op9_site_template_extraction,
         op10_quality_line_crf,
+        op13_lobpcg_whitening,
     )
 }
 #: SQL compares all pairs of documents that share a shingle, so it suits small tables; tests hold the operator against brute force, too.
