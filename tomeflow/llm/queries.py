@@ -71,6 +71,12 @@ def op10_quality_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(docs, fitted(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_aho_corasick_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import grouped
+
+    return grouped(table(spark, sf_dir, "documents"))
+
+
 def op13_lobpcg_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .whitening import whitened
 
@@ -90,6 +96,7 @@ QUERIES = {
         op8_syncmer_fingerprints,
         op9_site_template_extraction,
         op10_quality_line_crf,
+        op11_aho_corasick_variants,
         op13_lobpcg_whitening,
     )
 }
