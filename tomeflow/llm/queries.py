@@ -77,6 +77,12 @@ def op11_aho_corasick_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped(table(spark, sf_dir, "documents"))
 
 
+def op12_suffix_bucket_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixes import deduplicated
+
+    return deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op13_lobpcg_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .whitening import whitened
 
@@ -97,6 +103,7 @@ QUERIES = {
         op9_site_template_extraction,
         op10_quality_line_crf,
         op11_aho_corasick_variants,
+        op12_suffix_bucket_dedup,
         op13_lobpcg_whitening,
     )
 }
