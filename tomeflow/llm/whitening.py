@@ -2,8 +2,8 @@
 
 Entries become whole numbers x = floor(64 c) + 1000000; the covariance V is that of the distinct x-vectors. Nothing of
 the size of V is made: each iteration hands the orthonormal basis Q of the last block of iterates, their residuals and
-the direction before to the executors, which sum X'(XQ) over their centred rows; partial sums meet in Spark by ranges of
-dimensions, and the driver holds matrices of dimension x 3 blocks. Rayleigh-Ritz on Q gives the next iterates. The block
+the direction before to the executors, which sum X'(XQ) over their centred rows; partial sums are added up in Spark,
+and the driver holds matrices of dimension x 3 blocks. Rayleigh-Ritz on Q gives the next iterates. The block
 has `GUARD` vectors more than are asked for, so that the last component isn't slowed down by its neighbour. It ends when
 the residuals |Vu - eu| of all components, from a product over all rows, are below `CERTIFIED` of the largest
 eigenvalue and fall no more; otherwise it raises.
@@ -35,11 +35,10 @@ GUARD = 8
 CERTIFIED = 1e-12
 RANK = 1e-11
 MOST_ITERATIONS = 1000
-#: The driver holds a few matrices of so many rows at most and 3 * (COMPONENTS + GUARD) columns: 38 MB each.
-MOST_DIMENSIONS = 1 << 16
+#: The driver holds ADDERS matrices, and a few more, of so many rows at most and 3 * (COMPONENTS + GUARD) columns: 9 MB each.
+MOST_DIMENSIONS = 1 << 14
+ADDERS = 8
 _ROWS = 4096
-#: Dimensions whose partial sums meet in one row.
-_RANGE = 32
 
 
 class Centre(NamedTuple):
@@ -110,7 +109,7 @@ def centre_of(fit: DataFrame) -> Centre | None:
 
 
 def summed(fit: DataFrame, centre: Centre, of: Callable[[np.ndarray], np.ndarray], height: int, width: int) -> np.ndarray:
-    """The sum of of(rows) over all blocks of centred rows: a matrix of height x width, added up by ranges of its lines."""
+    """The sum of of(rows), a matrix of height x width, over all blocks of centred rows. Tasks' sums are added up by ADDERS tasks, and those by the driver."""
 
     def part(batches):
         import pyarrow as pa
@@ -120,23 +119,19 @@ def summed(fit: DataFrame, centre: Centre, of: Callable[[np.ndarray], np.ndarray
             for at in range(0, batch.num_rows, _ROWS):
                 total += of(centre.centred(_matrix(batch.column(0).slice(at, _ROWS))))
         if total.any():
-            lines = range(0, height, _RANGE)
-            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.int32()), pa.array([total[i : i + _RANGE].tobytes() for i in lines])], names=["line", "sums"])
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["sums"])
 
     def add(batches):
         import pyarrow as pa
 
-        sums: dict[int, np.ndarray] = {}
+        total = np.zeros(height * width)
         for batch in batches:
-            for line, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[line] = sums.get(line, 0) + np.frombuffer(own)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["line", "sums"])
-
-    out = np.zeros((height, width))
-    kind = "line int, sums binary"
-    for r in fit.mapInArrow(part, kind).repartition(-(-height // _RANGE), "line").mapInArrow(add, kind).toLocalIterator():
-        out[r.line : r.line + _RANGE] = np.frombuffer(r.sums).reshape(-1, width)
-    return out
+            for own in batch.column(0):
+                total += np.frombuffer(own.as_buffer())
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["sums"])
+
+    sums = fit.mapInArrow(part, "sums binary").repartition(ADDERS).mapInArrow(add, "sums binary")
+    return sum(np.frombuffer(r.sums) for r in sums.collect()).reshape(height, width)  # ADDERS rows
 
 
 def _independent(columns: np.ndarray, beside: np.ndarray) -> np.ndarray:
