@@ -1,15 +1,11 @@
-"""Recovery: merging works, previewing and undoing merges, decisions that two subjects differ.
-
-Everything is a function of whole tables and a table of merges (survivor_id, source_id); no row is locked and no
-merge depends on another's, so merges whose subjects overlap are refused.
-"""
+"""What is known of merges before they are made (see merging.py), fingerprints, and decisions that two subjects differ."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .primitives import next_ordinal, union_all, upsert_latest
+from .primitives import union_all
 
 
 def independent(merges: DataFrame) -> DataFrame:
@@ -21,62 +17,6 @@ def independent(merges: DataFrame) -> DataFrame:
     return named.join(bad, "merge_id", "left").withColumn("accepted", F.col("_bad").isNull() & (F.col("survivor_id") != F.col("source_id"))).drop("_bad")
 
 
-def repointed(children: DataFrame, column: str, merges: DataFrame) -> DataFrame:
-    """Children of the sources become the survivors'."""
-    m = merges.select(F.col("source_id").alias("_source"), F.col("survivor_id").alias("_survivor"))
-    return children.join(m, F.col(column) == F.col("_source"), "left").withColumn(column, F.coalesce("_survivor", column)).select(children.columns)
-
-
-def moved(links: DataFrame, owner: str, keys: list[str], merges: DataFrame) -> DataFrame:
-    """Associations of the sources move where the survivor lacks their key; the others stay behind on the source."""
-    m = merges.select(F.col("source_id").alias("_source"), F.col("survivor_id").alias("_survivor"))
-    have = links.select(F.col(owner).alias("_survivor"), *keys, F.lit(True).alias("_have"))
-    return (
-        links.join(m, F.col(owner) == F.col("_source"), "left")
-        .join(have, ["_survivor", *keys], "left")
-        .withColumn(owner, F.when(F.col("_survivor").isNotNull() & F.col("_have").isNull(), F.col("_survivor")).otherwise(F.col(owner)))
-        .select(links.columns)
-    )
-
-
-def moved_in_order(links: DataFrame, owner: str, keys: list[str], merges: DataFrame, groups: list[str]) -> DataFrame:
-    """As moved(), and what moves gets the places after the survivor's last one in its group."""
-    after = moved(links.withColumn("_was", F.col(owner)), owner, keys, merges)
-    stay = after.where(F.col(owner) == F.col("_was"))
-    go = after.where(F.col(owner) != F.col("_was"))
-    placed = next_ordinal(stay.select(owner, *groups, "ordinal"), go, [owner, *groups], [F.col("ordinal"), *[F.col(k) for k in keys]])
-    return stay.unionByName(placed.select(stay.columns)).select(links.columns)
-
-
-def merged_works(works: DataFrame, merges: DataFrame) -> DataFrame:
-    """Survivor and source get a new version, the source points to the survivor."""
-    as_source = merges.select(F.col("source_id").alias("work_id"), F.col("survivor_id").alias("_to"))
-    as_survivor = merges.select(F.col("survivor_id").alias("work_id"), F.lit(True).alias("_survives"))
-    both = works.join(as_source, "work_id", "left").join(as_survivor, "work_id", "left")
-    touched = F.col("_to").isNotNull() | F.col("_survives").isNotNull()
-    return both.withColumn("merged_into_id", F.coalesce("_to", "merged_into_id")).withColumn("version", F.col("version") + touched.cast("int")).select(works.columns)
-
-
-def merged_editions(assets: DataFrame, identifiers: DataFrame, read_states: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(assets, identifiers, read states) after editions were merged.
-
-    All assets (asset_id, edition_id, ...) become the survivor's; an identifier (edition_id, key, value) and a user's state
-    (user_id, edition_id, ...) only where the survivor has none for the key or the user, others stay behind.
-    """
-    return repointed(assets, "edition_id", merges), moved(identifiers, "edition_id", ["key"], merges), moved(read_states, "edition_id", ["user_id"], merges)
-
-
-def merged_contributors(aliases: DataFrame, links: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(aliases, links) after contributors were merged: an alias moves unless the survivor goes by that name already, a link (work_id, contributor_id, role, ordinal) unless the survivor has that role on the work."""
-    return moved(aliases, "contributor_id", ["normalized_name"], merges), moved(links, "contributor_id", ["work_id", "role"], merges)
-
-
-def impact(relations: dict[str, tuple[DataFrame, str]]) -> DataFrame:
-    """(subject_id, metric, n): how many rows of each relation (name -> table, column of the subject) a merge would touch."""
-    rows = union_all(*[df.select(F.lit(name).alias("metric"), F.col(column).cast("string").alias("subject_id")) for name, (df, column) in relations.items()])
-    return rows.groupBy("subject_id", "metric").agg(F.count("*").alias("n"))
-
-
 def conflicting_editions(merges: DataFrame, editions: DataFrame) -> DataFrame:
     """Merges of editions that don't share a work."""
     a = editions.select(F.col("edition_id").alias("survivor_id"), F.col("work_id").alias("_a"))
@@ -84,37 +24,14 @@ def conflicting_editions(merges: DataFrame, editions: DataFrame) -> DataFrame:
     return merges.join(a, "survivor_id").join(b, "source_id").where("_a <> _b").select(*merges.columns)
 
 
-def snapshot(links: DataFrame, owner: str, columns: list[str]) -> DataFrame:
-    """(owner, rows, hash): an owner's associations in order, and a hash by which two snapshots are compared."""
-    rows = F.array_sort(F.collect_list(F.struct(*columns)))
-    return links.groupBy(owner).agg(rows.alias("rows")).withColumn("hash", F.sha2(F.to_json("rows"), 256))
-
-
 def fingerprints(df: DataFrame, owner: str, parts: list[Column], order: list[str]) -> DataFrame:
     """(owner, fingerprint): the rows as `a|b|...`, nulls left out, in order, a line each."""
     row = F.struct(*order, F.concat_ws("|", *parts).alias("_line"))
     return df.groupBy(owner).agg(F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["_line"]), "\n").alias("fingerprint"))
 
 
-def undoable(operations: DataFrame, now: DataFrame) -> DataFrame:
-    """operations (operation_id, status, survivor_id, after_hash) with `allowed`: applied, and the survivor's snapshot (owner, hash) is still the recorded one."""
-    current = now.select(F.col(now.columns[0]).alias("survivor_id"), F.col("hash").alias("_now"))
-    return operations.join(current, "survivor_id", "left").withColumn("allowed", (F.col("status") == "APPLIED") & F.col("_now").eqNullSafe(F.col("after_hash"))).drop("_now")
-
-
-def restored(links: DataFrame, owner: str, keys: list[str], merges: DataFrame, before: DataFrame) -> DataFrame:
-    """Gives back to the source what the survivor holds now and didn't hold before. before: the survivor's links then (owner, keys)."""
-    m = merges.select(F.col("survivor_id").alias(owner), F.col("source_id").alias("_source"))
-    had = before.select(owner, *keys, F.lit(True).alias("_had"))
-    return links.join(m, owner, "left").join(had, [owner, *keys], "left").withColumn(owner, F.when(F.col("_source").isNotNull() & F.col("_had").isNull(), F.col("_source")).otherwise(F.col(owner))).select(links.columns)
-
-
 def not_same(decisions: DataFrame, requests: DataFrame) -> DataFrame:
     """Decisions after requests (first_id, second_id, rule, rule_version): pairs in order, each once per rule and version."""
     ordered = requests.select(F.least("first_id", "second_id").alias("first_id"), F.greatest("first_id", "second_id").alias("second_id"), "rule", "rule_version").where("first_id <> second_id").distinct()
     keys = ["first_id", "second_id", "rule", "rule_version"]
     return decisions.unionByName(ordered.join(decisions.select(*keys), keys, "left_anti"))
-
-
-def recorded(operations: DataFrame, incoming: DataFrame) -> DataFrame:
-    return upsert_latest(operations, incoming, ["operation_id"])

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
-from ..operators import authz, curation, evidence, ingest, ops, personal, primitives, queue, recovery, search
+from ..operators import authz, curation, evidence, ingest, merging, ops, personal, primitives, queue, recovery, search
 from ..schemas import Expectation, counters_hold, image_within_bounds, lease_iff_running, path_is_clean, violations
 from ..sources import files
+from .library import Library, listed
 from .mapping import T1, T2, T3, DriverCatalog, at, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -300,10 +301,17 @@ def next_ordinals(c):
     return c.contributor.groupBy("work_id").agg((F.max("ordinal") + 1).alias("next_ordinal"), F.min("contributor_id").alias("least"))
 
 
-@query("""SELECT subject_id, metric, count(*) AS n FROM (SELECT CAST(work_id AS VARCHAR) AS subject_id, 'asset' AS metric FROM asset UNION ALL SELECT CAST(work_id AS VARCHAR), 'contributor' FROM contributor
-    UNION ALL SELECT CAST(work_id AS VARCHAR), 'tag' FROM tag UNION ALL SELECT CAST(subject_id AS VARCHAR), 'observation' FROM lang_obs) GROUP BY ALL""")
+@query("""SELECT 'WORK' AS subject_type, * FROM (SELECT work_id AS subject_id, 'editions' AS metric, count(*) AS n FROM lib_line GROUP BY 1 UNION ALL SELECT work_id, 'assets', count(*) + count(*) FILTER (edition_id % 10 = 1) FROM lib_line GROUP BY 1
+        UNION ALL SELECT work_id, 'contributors', count(*) FROM lib_work_contributor GROUP BY 1 UNION ALL SELECT work_id, 'tags', count(*) FROM tag GROUP BY 1 UNION ALL SELECT work_id, 'read_states', count(*) FROM lib_read GROUP BY 1
+        UNION ALL SELECT work_id, 'collections', count(*) FROM lib_collection GROUP BY 1 UNION ALL SELECT p_partkey, 'observations', 1 FROM part)
+    UNION ALL SELECT 'EDITION', edition_id, metric, n FROM (SELECT edition_id, 'editions' AS metric, 1 AS n FROM lib_line UNION ALL SELECT edition_id, 'assets', CASE WHEN edition_id % 10 = 1 THEN 2 ELSE 1 END FROM lib_line
+        UNION ALL SELECT edition_id, 'contributors', count(*) FROM lib_edition_contributor GROUP BY 1 UNION ALL SELECT completed_edition_id, 'read_states', count(*) FROM lib_read WHERE completed_edition_id IS NOT NULL GROUP BY 1
+        UNION ALL SELECT edition_id, 'observations', 1 FROM lib_line WHERE edition_id % 2 = 0)
+    UNION ALL SELECT 'CONTRIBUTOR', contributor_id, metric, n FROM (SELECT contributor_id, 'contributors' AS metric, count(*) AS n FROM (SELECT contributor_id FROM lib_work_contributor UNION ALL SELECT contributor_id FROM lib_edition_contributor) GROUP BY 1
+        UNION ALL SELECT contributor_id, 'favorites', count(*) FROM lib_favorite GROUP BY 1 UNION ALL SELECT s_suppkey, 'observations', 1 FROM supplier)""")
 def merge_impact(c):
-    return recovery.impact({"asset": (c.asset, "work_id"), "contributor": (c.contributor, "work_id"), "tag": (c.tag, "work_id"), "observation": (c.language_observation, "subject_id")})
+    tables = Library(c).tables
+    return primitives.union_all(*[merging.impact(tables, kind).select(F.lit(kind).alias("subject_type"), "subject_id", "metric", "n") for kind in merging.SUBJECTS])
 
 
 @query("SELECT job_id, count(*) AS discovered, count(*) FILTER (state = 'PROCESSED') AS processed, count(*) FILTER (state = 'SKIPPED') AS skipped, count(*) FILTER (state = 'FAILED') AS failed FROM final_outcome GROUP BY job_id")
@@ -720,64 +728,98 @@ def curation_documents(c):
     )
 
 
-def _merges(c: DriverCatalog) -> DataFrame:
-    return c.table("part").where("p_partkey % 10 = 2").select(F.col("p_partkey").alias("source_id"), (F.col("p_partkey") - 1).alias("survivor_id"))
+def _merged(c: DriverCatalog, subject_type: str) -> DataFrame:
+    lib = Library(c)
+    return listed(lib.tables | merging.merged(lib.tables, subject_type, lib.merges(subject_type)), subject_type)
 
 
-@query("""SELECT CASE WHEN c.work_id % 10 = 2 AND s.work_id IS NULL THEN c.work_id - 1 ELSE c.work_id END AS work_id, c.contributor_id FROM contributor c LEFT JOIN contributor s ON s.work_id = c.work_id - 1 AND s.contributor_id = c.contributor_id""")
-def merged_contributors(c):
-    return recovery.moved_in_order(c.contributor.withColumn("role", F.lit("AUTHOR")), "work_id", ["contributor_id"], _merges(c), ["role"]).select("work_id", "contributor_id")
+_LISTED = "SELECT relation, owner, key, CAST(place AS INTEGER) AS place, CAST(version AS BIGINT) AS version FROM"
+
+
+@query(f"{_LISTED} merged_work")
+def merged_works(c):
+    """Works with all that names them after every tenth was merged into the one before."""
+    return _merged(c, "WORK")
 
 
-@query("""SELECT 'asset' AS kind, asset_id AS id, edition_id - edition_id % 2 AS edition_id, '' AS key FROM asset
-    UNION ALL SELECT 'identifier', a.asset_id, CASE WHEN a.edition_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM asset b WHERE b.edition_id = a.edition_id - 1 AND b.asset_id % 3 = a.asset_id % 3) THEN a.edition_id - 1 ELSE a.edition_id END, 'k' || a.asset_id % 3 FROM asset a
-    UNION ALL SELECT 'state', a.asset_id, CASE WHEN a.edition_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM asset b WHERE b.edition_id = a.edition_id - 1 AND b.asset_id % 5 = a.asset_id % 5) THEN a.edition_id - 1 ELSE a.edition_id END, '' FROM asset a""")
+@query(f"{_LISTED} merged_edition")
 def merged_editions(c):
-    """Of each work's two editions the second is merged into the first."""
-    i = F.col("asset_id")
-    merges = c.asset.select("edition_id").distinct().where("edition_id % 2 = 1").select(F.col("edition_id").alias("source_id"), (F.col("edition_id") - 1).alias("survivor_id"))
-    identifiers = c.asset.select("edition_id", F.concat(F.lit("k"), (i % 3).cast("string")).alias("key"), i.alias("id"))
-    states = c.asset.select((i % 5).alias("user_id"), "edition_id", i.alias("id"))
-    assets, names, read = recovery.merged_editions(c.asset.select("asset_id", "edition_id"), identifiers, states, merges)
-    parts = [("asset", assets.withColumnRenamed("asset_id", "id"), F.lit("")), ("identifier", names, F.col("key")), ("state", read, F.lit(""))]
-    return primitives.union_all(*[df.select(F.lit(kind).alias("kind"), "id", "edition_id", key.alias("key")) for kind, df, key in parts])
+    """Editions, with what names them, after each second one of a work was merged into the one before."""
+    return _merged(c, "EDITION")
+
+
+@query(f"{_LISTED} merged_contributor")
+def merged_contributors(c):
+    return _merged(c, "CONTRIBUTOR")
 
 
 @query("""SELECT CASE WHEN c.contributor_id % 10 = 2 AND s.contributor_id IS NULL THEN c.contributor_id - 1 ELSE c.contributor_id END AS contributor_id, CAST(c.work_id AS VARCHAR) AS held FROM contributor c LEFT JOIN contributor s ON s.work_id = c.work_id AND s.contributor_id = c.contributor_id - 1
     UNION ALL SELECT CASE WHEN s_suppkey % 10 = 2 THEN s_suppkey - 1 ELSE s_suppkey END, lower(s_name) FROM supplier UNION ALL SELECT s_suppkey, 'same' FROM supplier""")
 def merged_contributor_names(c):
     """Every tenth contributor is merged into the one before: its own name moves, the one that both go by and links that both have stay."""
-    people = c.table("supplier").select(F.col("s_suppkey").alias("contributor_id"), F.lower("s_name").alias("name"))
-    aliases = people.select("contributor_id", F.explode(F.array("name", F.lit("same"))).alias("normalized_name"))
-    merges = people.where("contributor_id % 10 = 2").select(F.col("contributor_id").alias("source_id"), (F.col("contributor_id") - 1).alias("survivor_id"))
-    names, links = recovery.merged_contributors(aliases, c.contributor.withColumn("role", F.lit("AUTHOR")), merges)
-    return links.select("contributor_id", F.col("work_id").cast("string").alias("held")).unionByName(names.select("contributor_id", F.col("normalized_name").alias("held")))
+    lib = Library(c)
+    after = merging.merged(lib.tables | {"work_contributor": c.contributor.withColumn("role", F.lit("AUTHOR"))}, "CONTRIBUTOR", lib.merges("CONTRIBUTOR"))
+    return after["work_contributor"].select("contributor_id", F.col("work_id").cast("string").alias("held")).unionByName(after["contributor_alias"].select("contributor_id", F.col("normalized_alias").alias("held")))
 
 
-@query("SELECT p_partkey AS work_id, CASE WHEN p_partkey % 10 = 2 THEN p_partkey - 1 END AS merged_into_id, CAST(CASE WHEN p_partkey % 10 IN (1, 2) THEN 2 ELSE 1 END AS BIGINT) AS version FROM part")
-def merged_works(c):
-    works = c.table("part").select(F.col("p_partkey").alias("work_id"), F.lit(None).cast("bigint").alias("merged_into_id"), F.lit(1).cast("bigint").alias("version"))
-    return recovery.merged_works(works, _merges(c))
-
-
-@query("""SELECT 'merged' AS phase, CASE WHEN c.work_id % 10 = 2 AND s.work_id IS NULL THEN c.work_id - 1 ELSE c.work_id END AS work_id, c.contributor_id FROM contributor c LEFT JOIN contributor s ON s.work_id = c.work_id - 1 AND s.contributor_id = c.contributor_id
-    UNION ALL SELECT 'undone', work_id, contributor_id FROM contributor""")
+@query(f"SELECT 'WORK' AS subject_type, * FROM ({_LISTED} undone_work) UNION ALL SELECT 'EDITION', * FROM ({_LISTED} undone_edition) UNION ALL SELECT 'CONTRIBUTOR', * FROM ({_LISTED} undone_contributor)")
 def merge_and_undo(c):
-    merges, keys = _merges(c), ["contributor_id"]
-    after = recovery.moved(c.contributor, "work_id", keys, merges)
-    undone = recovery.restored(after, "work_id", keys, merges, c.contributor)
-    return after.select(F.lit("merged").alias("phase"), "work_id", "contributor_id").unionByName(undone.select(F.lit("undone").alias("phase"), "work_id", "contributor_id"))
+    """Merges of each type, undone: all is as before but for the versions of what was moved."""
+    lib, parts = Library(c), []
+    for kind in merging.SUBJECTS:
+        merges = lib.merges(kind)
+        after, images = merging.applied(lib.tables, kind, merges)
+        parts.append(listed(after | merging.undone(after, kind, merges, images), kind).withColumn("subject_type", F.lit(kind)))
+    return primitives.union_all(*parts)
+
+
+@query("""SELECT 'WORK' AS subject_type, p_partkey AS operation_id, CASE WHEN p_partkey % 30 = 2 THEN 'UNDONE' WHEN p_partkey % 20 = 2 THEN 'CHANGED' END AS reason FROM part WHERE p_partkey % 10 = 2
+    UNION ALL SELECT 'CONTRIBUTOR', s_suppkey, CASE WHEN s_suppkey % 20 = 2 THEN 'CHANGED' END FROM supplier WHERE s_suppkey % 10 = 2
+    UNION ALL SELECT 'EDITION', source_id, CASE WHEN survivor_id % 3 = 0 OR source_id % 3 = 0 THEN 'CHANGED' END FROM lib_edition_merge""")
+def undo_allowed(c):
+    """Since the merges some works got a tag, some contributors a favourite, and editions another version; some merges were undone already."""
+    lib, parts = Library(c), []
+    for kind in merging.SUBJECTS:
+        merges = lib.merges(kind).withColumn("status", F.when(F.lit(kind == "WORK") & (F.col("source_id") % 30 == 2), "UNDONE").otherwise("APPLIED"))
+        after, images = merging.applied(lib.tables, kind, merges)
+        if kind == "WORK":
+            after["work_tag"] = after["work_tag"].unionByName(merges.where("source_id % 20 = 2").select(F.col("survivor_id").alias("work_id"), F.lit("a new tag").alias("tag_id")))
+        elif kind == "CONTRIBUTOR":
+            after["user_contributor_favorite"] = after["user_contributor_favorite"].unionByName(merges.where("source_id % 20 = 2").select(F.lit(-1).cast("bigint").alias("user_id"), F.col("source_id").alias("contributor_id")))
+        else:
+            after["edition"] = after["edition"].withColumn("version", F.col("version") + (F.col("edition_id") % 3 == 0).cast("int"))
+        parts.append(merging.undo_previews(after, kind, merges, images).select(F.lit(kind).alias("subject_type"), "operation_id", "reason"))
+    return primitives.union_all(*parts)
+
+
+@query("SELECT p_partkey AS operation_id, CASE p_partkey % 8 WHEN 1 THEN 'REPEATED' WHEN 2 THEN 'INVALID_MERGE' WHEN 3 THEN 'INVALID_MERGE' WHEN 4 THEN 'SUBJECT_NOT_FOUND' WHEN 5 THEN 'VERSION_CONFLICT' WHEN 6 THEN 'INVALID_REASON' END AS problem FROM part")
+def checked_merges(c):
+    """A request for each work, of a kind by its id: key in use, equal subjects, unseen source, old version, blank reason."""
+    i = F.col("p_partkey")
+    part = c.table("part")
+    kind = i % 8
+    works = part.select(i.alias("work_id"), F.lit(1).cast("bigint").alias("version"), F.lit(None).cast("bigint").alias("merged_into_id"))
+    # each request has subjects of its own
+    works = works.unionByName(works.withColumn("work_id", -1 - F.col("work_id")))
+    requests = part.select(
+        i.alias("operation_id"), i.alias("survivor_id"), F.when(kind == 3, i).otherwise(-1 - i).alias("source_id"), F.when(kind == 5, 7).otherwise(1).cast("bigint").alias("survivor_version"),
+        F.lit(1).cast("bigint").alias("source_version"), F.when(kind == 6, "  ").otherwise("same book").alias("reason"), F.concat(F.lit("k"), i.cast("string")).alias("idempotency_key"),
+    )
+    used = part.where(kind.isin(1, 2)).select(F.lit("WORK").alias("subject_type"), F.concat(F.lit("k"), i.cast("string")).alias("idempotency_key"), i.alias("survivor_id"), F.when(kind == 1, -1 - i).otherwise(i).alias("source_id"))
+    visible = works.where("not (work_id < 0 and (-1 - work_id) % 8 = 4)").select(F.col("work_id").alias("subject_id"))
+    return merging.checked({"work": works}, "WORK", requests, visible, used).select("operation_id", "problem")
 
 
-@query("SELECT p_partkey AS operation_id, p_partkey % 20 <> 2 AS allowed FROM part WHERE p_partkey % 10 = 2 AND EXISTS (SELECT 1 FROM contributor c WHERE c.work_id = p_partkey - 1)")
-def undo_allowed(c):
-    merges = _merges(c)
-    after = recovery.moved(c.contributor, "work_id", ["contributor_id"], merges)
-    then = recovery.snapshot(after, "work_id", ["contributor_id"])
-    # in every other operation the survivor has changed since
-    now = recovery.snapshot(after.withColumn("contributor_id", F.col("contributor_id") + F.when(F.col("work_id") % 20 == 1, 1).otherwise(0)), "work_id", ["contributor_id"])
-    operations = merges.join(then, F.col("survivor_id") == F.col("work_id")).select(F.col("source_id").alias("operation_id"), F.lit("APPLIED").alias("status"), "survivor_id", F.col("hash").alias("after_hash"))
-    return recovery.undoable(operations, now).select("operation_id", "allowed")
+@query("""SELECT former_id, canonical_id, active, version FROM (SELECT p_partkey AS former_id, p_partkey - 1 AS canonical_id, p_partkey % 20 = 2 AS active, CAST(CASE WHEN p_partkey % 20 = 2 THEN 0 ELSE 1 END AS BIGINT) AS version FROM part WHERE p_partkey % 10 = 2
+    UNION ALL SELECT p_partkey, p_partkey - 2, true, 1 + 1 FROM part WHERE p_partkey % 20 = 12)""")
+def redirects(c):
+    """Merges redirect, undos retire the redirect, and a source that is merged again gets one of the next version."""
+    merges = Library(c).merges("WORK")
+    none = c.spark.createDataFrame([], "subject_type string, former_id long, canonical_id long, active boolean, version long")
+    first = merging.redirects_after(none, "WORK", merges, merges.where("false"))
+    undone = merging.redirects_after(first, "WORK", merges.where("false"), merges.where("source_id % 20 = 12"))
+    again = merges.where("source_id % 20 = 12").withColumn("survivor_id", F.col("survivor_id") - 1)
+    return merging.redirects_after(undone, "WORK", again, merges.where("false")).drop("subject_type")
 
 
 @query("SELECT edition_id AS source_id, edition_id + 1 AS survivor_id FROM (SELECT DISTINCT edition_id, work_id FROM asset) a WHERE edition_id % 2 = 1 AND EXISTS (SELECT 1 FROM asset b WHERE b.edition_id = a.edition_id + 1)")
@@ -790,7 +832,7 @@ def conflicting_merges(c):
 @query("SELECT survivor_id, source_id, false AS accepted FROM (SELECT p_partkey AS survivor_id, p_partkey AS source_id FROM part WHERE p_partkey % 10 = 5) UNION ALL SELECT p_partkey - 1, p_partkey, true FROM part WHERE p_partkey % 10 = 2")
 def independent_merges(c):
     itself = c.table("part").where("p_partkey % 10 = 5").select(F.col("p_partkey").alias("source_id"), F.col("p_partkey").alias("survivor_id"))
-    return recovery.independent(_merges(c).unionByName(itself)).select("survivor_id", "source_id", "accepted")
+    return recovery.independent(Library(c).merges("WORK").select("source_id", "survivor_id").unionByName(itself)).select("survivor_id", "source_id", "accepted")
 
 
 @query("SELECT DISTINCT least(l_partkey, l_suppkey) AS first_id, greatest(l_partkey, l_suppkey) AS second_id, 'r' AS rule, '1' AS rule_version FROM lineitem WHERE l_partkey <> l_suppkey")
