@@ -6,22 +6,26 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """df as a table in the checkpoint folder, which driver and executors share. Where it is unset, a local session gets a new one; a cluster can't do without it."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path below the checkpoint folder, which driver and executors share. Where it is unset, a local session gets a new one; a cluster can't do without it."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="tomeflow-")
         spark.sparkContext.setCheckpointDir(at)
-    path = f"{at}/tomeflow/{name}-{uuid.uuid4().hex}"
+    return f"{at}/tomeflow/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """df as a table in the shared folder."""
+    path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def first_per_group(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
-from ..operators import authz, curation, evidence, ingest, merging, ops, personal, primitives, queue, recovery, search
+from ..operators import authz, curation, evidence, ingest, merging, ops, personal, primitives, queue, recovery, search, views
 from ..schemas import Expectation, counters_hold, image_within_bounds, lease_iff_running, path_is_clean, violations
 from ..sources import files
 from .library import Library, listed
@@ -54,6 +54,20 @@ def display_precedence(c):
     return _display(c)
 
 
+@query("SELECT subject_type, subject_id, field, value, source FROM display")
+def display_refreshed(c):
+    """The same, stored and brought up to date as evidence and curated values come in: half of the subjects first, then the others, then overrides."""
+    store = views.Views(c.spark, primitives.shared_folder(c.spark, "views"))
+    half = F.col("subject_id") % 2 == 0
+    store.observe(c.observation.where(half))
+    store.refresh(at(T3))
+    store.observe(c.observation.where(~half))
+    store.refresh(at(T3))
+    store.override(c.override)
+    store.refresh(at(T3))
+    return store.display()
+
+
 @query("""SELECT subject_id, coalesce(value, 'doc-' || subject_id || '.txt') AS title FROM display WHERE field = 'title' AND contains(lower(coalesce(value, 'doc-' || subject_id || '.txt')), 'the')
     ORDER BY title, subject_id LIMIT 50""")
 def search_by_title(c):
