@@ -108,9 +108,10 @@ def segments(texts: list[bytes], length: int, classes: bool = True) -> Iterator[
         own = np.flatnonzero(inside[at[:-1]])
         low, high = at[own], at[own + 1]
         index, offset = np.array([i for i, *_ in held]), np.array([a for _, a, _ in held])
+        gram = mix64(ids[anchor[low]])  # anchors have small identifiers; mixed again, they are spread over all ranges
         view = memoryview(raw)
         found = [xxh3_64_intdigest(view[i:j]) for i, j in zip(low.tolist(), (high + length - 1).tolist(), strict=True)] if classes else []
-        yield index[of[low]], offset[of[low]] + low - (ends - sizes)[of[low]], high - low, ids[anchor[low]], np.array(found, np.uint64)
+        yield index[of[low]], offset[of[low]] + low - (ends - sizes)[of[low]], high - low, gram, np.array(found, np.uint64)
 
 
 def _first_of(*keys: np.ndarray) -> np.ndarray:
