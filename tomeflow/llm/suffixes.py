@@ -36,7 +36,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, mix64, written
+from .common import dropped, mix64, slices, written
 from .jaccard import Sift
 from .syncmers import _window_min
 
@@ -48,7 +48,7 @@ MOST_BITS = 18
 CROWDED = 4
 MOST_PARTITIONS = 4096
 #: Bytes whose identifiers are made at once, windows of one text among them, and rows that a task settles at once.
-_BLOCK, _CHUNK, _HELD = 1 << 21, 1 << 20, 1 << 19
+_BLOCK, _CHUNK, _HELD = 1 << 17, 1 << 17, 1 << 18
 _M = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = np.uint64((1 << 24) - 1)
 #: Below it in a dealt row's key stands the part of a crowded range.
@@ -89,6 +89,14 @@ def _blocks(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, by
         yield held
 
 
+def _parts(batch, text: int) -> Iterator:
+    """The batch in slices of about 16 * _BLOCK bytes of text, so that not all texts of a batch are held twice."""
+    import pyarrow.compute as pc
+
+    for i, j in slices(pc.binary_length(batch.column(text)).to_pylist(), 16 * _BLOCK):
+        yield batch.slice(i, j - i)
+
+
 def segments(texts: list[bytes], length: int, classes: bool = True) -> Iterator[tuple[np.ndarray, ...]]:
     """(text's index, start, windows, q-gram of the anchor, class) of all segments, block by block."""
     from xxhash import xxh3_64_intdigest
@@ -153,7 +161,7 @@ def _bits(rows: int) -> int:
     return min(MOST_BITS, max(0, (max(rows, 1) // PER_RANGE).bit_length()))
 
 
-def _parts(counts: list, bits: int) -> np.ndarray:
+def _dealt_into(counts: list, bits: int) -> np.ndarray:
     """Into how many parts each range is dealt, from its number of rows."""
     sizes = np.zeros(1 << bits, np.int64)
     for at, n in counts:
@@ -187,8 +195,9 @@ def _range_sizes(docs: DataFrame, bits: int, length: int) -> list:
 
         sizes = np.zeros(1 << bits, np.int64)
         for batch in batches:
-            for *_, gram, _ in segments(batch.column(0).to_pylist(), length, classes=False):
-                sizes += np.bincount(_range_of(gram, bits), minlength=1 << bits)
+            for part in _parts(batch, 0):
+                for *_, gram, _ in segments(part.column(0).to_pylist(), length, classes=False):
+                    sizes += np.bincount(_range_of(gram, bits), minlength=1 << bits)
         at = np.flatnonzero(sizes)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sizes[at])], names=["at", "n"])
 
@@ -224,13 +233,14 @@ def _dealt_segments(docs: DataFrame, bits: int, parts: np.ndarray, length: int)
 
         size = 0
         for batch in batches:
-            numbers = batch.column(0).to_numpy()
-            for index, start, windows, gram, kind in segments(batch.column(1).to_pylist(), length):
-                held.append((gram, kind, numbers[index], start, windows))
-                size += len(gram)
-                if size > _HELD:
-                    yield flushed()
-                    size = 0
+            for part in _parts(batch, 1):
+                numbers = part.column(0).to_numpy()
+                for index, start, windows, gram, kind in segments(part.column(1).to_pylist(), length):
+                    held.append((gram, kind, numbers[index], start, windows))
+                    size += len(gram)
+                    if size > _HELD:
+                        yield flushed()
+                        size = 0
         if held:
             yield flushed()
 
@@ -268,7 +278,7 @@ def settled_segments(docs: DataFrame, length: int) -> DataFrame:
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = _bits(size * 3 // length)  # about; an anchor has some length / 3 windows
-    parts = _parts(_range_sizes(docs, bits, length), bits)
+    parts = _dealt_into(_range_sizes(docs, bits, length), bits)
 
     def settle(at: int, rows: list):
         gram, kind = (np.frombuffer(b"".join(r[k] for r in rows), np.uint64) for k in range(2))
@@ -295,20 +305,18 @@ def _masked(values: np.ndarray, nulls: int) -> np.ma.MaskedArray:
     return np.ma.array(values, mask=np.arange(len(values)) < nulls)
 
 
-def texts_of(numbers: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The documents that may be among the numbers, and those that surely aren't, told apart without a shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(Sift(numbers))
+def _told_apart(numbers: DataFrame, docs: DataFrame) -> tuple[Sift, DataFrame]:
+    """(a sift that all the numbers pass, the documents that pass it), found without a shuffle."""
+    sift = Sift(numbers)
+    shared = docs.sparkSession.sparkContext.broadcast(sift)
 
-    def sifted(held: bool):
-        def run(batches):
-            import pyarrow as pa
-
-            for batch in batches:
-                yield batch.filter(pa.array(shared.value.holds(batch.column(0).to_numpy()) == held))
+    def passing(batches):
+        import pyarrow as pa
 
-        return docs.mapInArrow(run, docs.schema)
+        for batch in batches:
+            yield batch.filter(pa.array(shared.value.holds(batch.column(0).to_numpy())))
 
-    return sifted(True), sifted(False)
+    return sift, docs.mapInArrow(passing, docs.schema)
 
 
 def settled_windows(unsure: DataFrame, docs: DataFrame, length: int) -> DataFrame:
@@ -317,18 +325,18 @@ def settled_windows(unsure: DataFrame, docs: DataFrame, length: int) -> DataFram
     total = unsure.agg(F.sum(F.col("span").bitwiseAND(0xFFFFFFFF))).first()[0] or 0
     bits = _bits(total)
     at = F.shiftrightunsigned("gram", 64 - bits) if bits else F.lit(0).cast("long")
-    parts = _parts(unsure.groupBy(at.alias("at")).agg(F.sum(F.col("span").bitwiseAND(0xFFFFFFFF))).collect(), bits)  # 2^MOST_BITS rows at most
+    parts = _dealt_into(unsure.groupBy(at.alias("at")).agg(F.sum(F.col("span").bitwiseAND(0xFFFFFFFF))).collect(), bits)  # 2^MOST_BITS rows at most
     shared = docs.sparkSession.sparkContext.broadcast(parts)
     spans = unsure.groupBy("number").agg(F.collect_list(F.struct("gram", "span")).alias("spans"))
-    may, _ = texts_of(unsure.select("number").distinct(), docs.select("number", "text"))
+    _, may = _told_apart(unsure.select("number").distinct(), docs.select("number", "text"))
     rows = may.join(spans, "number")
 
     def deal(batches):
         import pyarrow as pa
 
-        def dealt(slices: list[bytes], gram, number, start, windows):
-            """The rows of some segments, whose bytes are the slices."""
-            raw = b"".join(slices)
+        def dealt(cut: list[bytes], gram, number, start, windows):
+            """The rows of some segments, whose bytes are cut out."""
+            raw = b"".join(cut)
             ids = refined(identifiers(raw, q), q, length)
             begin = np.cumsum(windows + length - 1) - (windows + length - 1)
             own = ids[np.repeat(begin - np.cumsum(windows) + windows, windows) + np.arange(windows.sum())]
@@ -350,21 +358,22 @@ def settled_windows(unsure: DataFrame, docs: DataFrame, length: int) -> DataFram
                 out.append((int(key[o[0]]), gram[each[o]].tobytes(), own[at].tobytes(), _packed(number[each[o]], (start[each] + nth)[o], n)))
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.binary() if k else pa.int64()) for k in range(4)], names=["at", "grams", "windows", "places"])
 
-        slices, held, size = [], [], 0
+        cut, held, size = [], [], 0
         for batch in batches:
-            for number, text, gram_and_span in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                for x in sorted(gram_and_span, key=lambda x: x["span"]):
-                    start, windows = x["span"] >> 32, x["span"] & 0xFFFFFFFF
-                    slices.append(text[start : start + windows + length - 1])
-                    held.append((x["gram"], number, start, windows))
-                    size += windows
-                    if size > _HELD:
-                        gram, *more = (np.array(c, np.int64) for c in zip(*held, strict=True))
-                        yield dealt(slices, gram.view(np.uint64), *more)
-                        slices, held, size = [], [], 0
+            for part in _parts(batch, 1):
+                for number, text, gram_and_span in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                    for x in sorted(gram_and_span, key=lambda x: x["span"]):
+                        start, windows = x["span"] >> 32, x["span"] & 0xFFFFFFFF
+                        cut.append(text[start : start + windows + length - 1])
+                        held.append((x["gram"], number, start, windows))
+                        size += windows
+                        if size > _HELD:
+                            gram, *more = (np.array(c, np.int64) for c in zip(*held, strict=True))
+                            yield dealt(cut, gram.view(np.uint64), *more)
+                            cut, held, size = [], [], 0
         if held:
             gram, *more = (np.array(c, np.int64) for c in zip(*held, strict=True))
-            yield dealt(slices, gram.view(np.uint64), *more)
+            yield dealt(cut, gram.view(np.uint64), *more)
 
     def settle(_: int, rows: list):
         gram, window = (np.frombuffer(b"".join(r[k] for r in rows), np.uint64) for k in range(2))
@@ -401,18 +410,28 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spans = found.where("gram is null").select("number", "span").union(settled_windows(found.where("gram is not null"), docs, length))
     spans = written(spans.groupBy("number").agg(F.collect_list("span").alias("spans")), "suffix-spans")
     dropped(found)
-    touched, others = texts_of(spans.select("number"), docs)
+    sift, touched = _told_apart(spans.select("number"), docs)
+    shared = docs.sparkSession.sparkContext.broadcast(sift)
     kind = docs.schema["doc_id"].dataType.simpleString()
     fields = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
-    def run(batches):
+    def measured(ids, texts: list[bytes], spans: list):
+        import pyarrow as pa
+
+        done = [removed(t, s, length) for t, s in zip(texts, spans, strict=True)]
+        columns = [pa.array([len(t) for t in texts], pa.int64()), *(pa.array([d[k] for d in done], pa.string() if k == 2 else pa.int64()) for k in range(3))]
+        return pa.RecordBatch.from_arrays([ids, *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    def cut(batches):
+        for part in (p for batch in batches for p in _parts(batch, 1)):
+            yield measured(part.column(0), part.column(1).to_pylist(), part.column(2).to_pylist())
+
+    def whole(batches):
         import pyarrow as pa
 
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            done = [removed(t, s, length) for t, s in zip(texts, batch.column(2).to_pylist(), strict=True)]
-            columns = [pa.array([len(t) for t in texts], pa.int64()), *(pa.array([d[k] for d in done], pa.string() if k == 2 else pa.int64()) for k in range(3))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            for part in _parts(batch.filter(pa.array(~shared.value.holds(batch.column(0).to_numpy()))), 2):
+                yield measured(part.column(1), part.column(2).to_pylist(), [None] * part.num_rows)
 
     joined = touched.join(spans, "number", "left").select("doc_id", "text", "spans")
-    return joined.unionByName(others.select("doc_id", "text", F.lit(None).cast("array<bigint>").alias("spans"))).mapInArrow(run, fields)
+    return joined.mapInArrow(cut, fields).unionByName(docs.mapInArrow(whole, fields))
