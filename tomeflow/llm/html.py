@@ -38,6 +38,7 @@ SHARE = 0.5
 ENOUGH_PAGES = 32
 OUTSIDE = 0.6
 DENSE = 0.75
+LEFT = 0.25
 
 #: Fixed sets of element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -47,6 +48,7 @@ BLOCK = frozenset(
     " head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th tr tbody figcaption".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var br img wbr".split())
 DROPPED = frozenset("head script style title textarea xmp iframe noembed noframes noscript template nav aside footer form button select option input dialog menu object embed svg canvas audio video map fieldset".split())
 #: Elements whose text is never shown as text.
@@ -239,45 +241,71 @@ def _mains(nodes: list[Element]) -> list[Element]:
     return []
 
 
+class Article:
+    """The part of a page that is taken for its article: the main elements, or else the densest part."""
+
+    def __init__(self, root: Element, nodes: list[Element]):
+        parts = _mains(nodes) or [_densest(root)]
+        chosen = set(map(id, parts))
+        self.around = set()  # elements that hold a part, and the parts
+        for node in parts:
+            while node is not None:
+                self.around.add(id(node))
+                node = node.parent
+        self.inside: dict[int, bool] = {}
+        for node in nodes:
+            above = node.parent
+            self.inside[id(node)] = above is not None and (self.inside[id(above)] or id(above) in chosen)
+
+
 def template_candidates(html: str | None) -> list[tuple[int, int]]:
     """The hashes of the page's subtrees and skeletons that may be template, each once, with 1 for those that the page speaks for."""
     root = parse(html or "")
     nodes = _hash_all(root)
-    mains = set(map(id, _mains(nodes)))
-    dense = _densest(root)
-    around = set()
-    up = dense
-    while up is not None:
-        around.add(id(up))
-        up = up.parent
+    article = Article(root, nodes)
     found: dict[int, int] = {}
-    inside, within = {}, {}  # the main element, the densest part
     for node in nodes:
-        above = node.parent
-        inside[id(node)] = above is not None and (inside[id(above)] or id(above) in mains)
-        within[id(node)] = node is dense or above is not None and within[id(above)]
-        if above is None or node.tag in INLINE or node.tag in ("html", "body", "head", "main", "article") or not node.children:
+        if node.parent is None or node.tag in INLINE or node.tag in ("html", "body", "head", "main", "article") or not node.children:
             continue
-        outside = not within[id(node)] and id(node) not in around
-        found[node.shape] = min(found.get(node.shape, 1), int(outside))
-        if not (inside[id(node)] and node.tag in PARAGRAPHS):
+        inside = article.inside[id(node)]
+        found[node.shape] = min(found.get(node.shape, 1), int(not inside and id(node) not in article.around))
+        if not (inside and node.tag in PARAGRAPHS):
             found[node.hash] = 1
     return sorted(found.items())
 
 
-def main_text(html: str | None, template: set[int], lists: bool = True) -> str:
-    """The page's main text without the template subtrees. lists: whether element and class names decide too."""
+def _recurring(nodes: list[Element], article: Article, template: set[int]) -> set[int]:
+    """The elements of the article (by id) that are template: none if what would be left of its text besides headings is less than LEFT of what goes."""
+    found, gone, left = set(), 0, 0
+    under: dict[int, bool] = {}  # in an element that goes, or in a heading
+    for node in nodes:
+        above = node.parent
+        covered = above is not None and under[id(above)]
+        goes = not covered and article.inside[id(node)] and node.tag not in INLINE and node.tag not in PARAGRAPHS and node.hash in template
+        if goes:
+            found.add(id(node))
+            gone += node.mass
+        under[id(node)] = covered or goes or node.tag in HEADINGS
+        if not under[id(node)] and (article.inside[id(node)] or id(node) in article.around) and node.tag not in NEVER and node.tag != "a":
+            left += sum(len(" ".join(c.split())) for c in node.children if c.__class__ is str)
+    return found if left >= LEFT * gone else set()
+
+
+def main_text(html: str | None, template: set[int] | None, lists: bool = True) -> str:
+    """The page's main text without the template subtrees.
+
+    Around the article only the template decides, and within it class and element names, too, unless `lists` is off. With no
+    template (None), on a host of few pages, names decide everywhere and only the main elements are kept.
+    """
     if not html:
         return ""
     root = parse(html)
-    nodes = _hash_all(root) if template else _in_order(root)
-    mains = _mains(nodes) if lists else []
+    alone = template is None and lists
+    nodes = _in_order(root) if template is None else _hash_all(root)
+    mains = _mains(nodes) if alone else []
     chosen = set(map(id, mains))
-    holds = set()  # elements around a chosen one
-    for node in mains:
-        while node is not None:
-            holds.add(id(node))
-            node = node.parent
+    article = None if template is None else Article(root, nodes)
+    recurring = set() if article is None else _recurring(nodes, article, template)
     out: list[str] = []
     stack: list = [(root, not mains, False)]
     while stack:
@@ -286,17 +314,20 @@ def main_text(html: str | None, template: set[int], lists: bool = True) -> str:
             if kept:
                 out.append(unescape(node))
             continue
-        if node is None:
-            continue
-        if id(node) in chosen:
-            kept = inside = True
-        # a header in the article holds its heading
-        elif node.tag in NEVER or lists and (node.dropped or node.tag == "header" and not inside):
-            continue
-        elif template and node.tag not in INLINE and not (inside and node.tag in PARAGRAPHS) and (
-            node.hash in template or node.shape in template and not inside and id(node) not in holds and 2 * node.mass < root.mass
-        ):
+        if node.tag in NEVER:
             continue
+        if alone:
+            if id(node) in chosen:
+                kept = inside = True
+            # a header in the article holds its heading
+            elif node.dropped or node.tag == "header" and not inside:
+                continue
+        elif article is not None and node.parent is not None:
+            if article.inside[id(node)]:
+                if lists and node.dropped or id(node) in recurring:
+                    continue
+            elif id(node) not in article.around and node.tag not in INLINE and (node.hash in template or node.shape in template):
+                continue
         block = node.tag in BLOCK
         if block:
             stack.append((" ", True, inside))
@@ -327,8 +358,8 @@ def site_templates(pages: DataFrame, least: int = LEAST_PAGES, share: float = SH
     # hash 0 stands once for each page, so its count is the host's number of distinct pages
     counts = written(once.groupBy("host", "hash").agg(F.count("*").alias("n"), F.sum("vote").alias("votes")).where((F.col("n") >= least) & (F.col("votes") >= OUTSIDE * F.col("n"))), "html-counts")
     hosts = counts.where("hash = 0").select("host", F.col("n").alias("pages"))
-    template = counts.where("hash <> 0").join(hosts, "host").where(F.col("n") >= F.least(share * F.col("pages"), F.lit(enough))).select("host", "hash")
-    return hashes.where("hash <> 0").select("page", "host", "hash"), written(template, "html-template")
+    template = counts.join(hosts, "host").where((F.col("hash") == 0) | (F.col("n") >= F.least(share * F.col("pages"), F.lit(enough)))).select("host", "hash")
+    return hashes.select("page", "host", "hash"), written(template, "html-template")
 
 
 def extracted(pages: DataFrame, least: int = LEAST_PAGES, share: float = SHARE, enough: int = ENOUGH_PAGES, lists: bool = True) -> DataFrame:
@@ -344,7 +375,7 @@ def extracted(pages: DataFrame, least: int = LEAST_PAGES, share: float = SHARE,
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 part = batch.slice(i, 64)
-                found = [main_text(html, set(t or ()), lists) for html, t in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+                found = [main_text(html, set(t) if t else None, lists) for html, t in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1).cast(pa.string()), pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     id_type = pages.schema["page_id"].dataType.simpleString()
