@@ -2,7 +2,8 @@
 
 Texts are lower-cased and every run of other characters than letters becomes one blank. The n-grams of 1 to 4
 characters are hashed into `DIMS` slots. Counts by language give a matrix of log-probabilities, which is
-broadcast (a row a slot, a column a language); scoring sums its rows over all n-grams of the whole text. With many
+broadcast (a row a slot, a column a language); scoring sums its rows over all n-grams of the whole text, and the language
+of the greatest sum with its prior is predicted. With many
 languages there are fewer slots, so the matrix has at most `MOST_CELLS` cells of 4 bytes; more than `MOST_LANGS`
 languages are refused.
 
@@ -19,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import DIGIT, LOWER, NEWLINE, SPACE, UPPER, bounded_sample, char_classes, code_points, held_out, map_texts
+from .common import DIGIT, LOWER, NEWLINE, SPACE, UPPER, bounded_sample, char_classes, code_points, held_out, map_texts, only
 
 DIMS = 1 << 16
 LEAST_DIMS = 1 << 12
@@ -28,7 +29,7 @@ MOST_LANGS = MOST_CELLS // LEAST_DIMS
 ORDERS = (1, 2, 3, 4)
 #: Learned from at most about so many documents.
 MOST_ROWS = 20_000
-#: The posterior counts so many n-grams at most, or it would be 0 or 1 for any text longer than a line.
+#: The score, not the prediction, counts so many n-grams at most, or it would be 0 or 1 for any text longer than a line.
 WEIGHED = 60
 _B = np.uint64(0x9E3779B97F4A7C15)
 del DIGIT, NEWLINE, SPACE
@@ -78,6 +79,7 @@ def hashed_ngrams(texts: list[str | None], dims: int = DIMS):
 
 def fitted(docs: DataFrame, most: int = MOST_ROWS) -> LanguageModel:
     """Learns from documents with a language that aren't held out, about `most` at most."""
+    docs = only(docs, "doc_id", "lang", "text")
     may = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id")).select("doc_id", "lang", "text")
     dims = slots_for(may.select("lang").distinct().count())
     sample = bounded_sample(may, "doc_id", most).repartition(8)  # so few rows come back, however many files there are
@@ -129,10 +131,13 @@ def identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
                     sums[has] += np.add.reduceat(m.log_p[slots], at[:-1][has], axis=0, dtype=np.float64)
                 n += np.diff(at)
         known = n > 0
-        weighed = sums * np.minimum(1, WEIGHED / np.maximum(n, 1))[:, None] + (m.prior if m.langs else 0)
-        e = np.exp(weighed - weighed.max(1, keepdims=True))
+        joint = sums + (m.prior if m.langs else 0)
+        best = joint.argmax(1)
+        # tempered by one factor a text, which leaves the order of languages as it is
+        weighed = (joint - joint.max(1, keepdims=True)) * np.minimum(1, WEIGHED / np.maximum(n, 1))[:, None]
+        e = np.exp(weighed)
         p = e / e.sum(1, keepdims=True)
-        best = p.argmax(1)
         return [[m.langs[b] if k else "und" for b, k in zip(best, known, strict=True)], np.where(known, p.max(1), 0.0)]
 
+    docs = only(docs, "doc_id", "text")
     return map_texts(docs.withColumn("held_out", held_out("doc_id")), ["doc_id", "held_out"], score, "lang_pred string, score double")
