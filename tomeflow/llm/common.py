@@ -50,6 +50,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def only(df: DataFrame, *columns: str) -> DataFrame:
+    """The columns of these names, however others are named: names that differ in case only are ambiguous to Spark."""
+    return df.toDF(*(c if c in columns else f"__{i}" for i, c in enumerate(df.columns))).select(*columns)
+
+
+#: Ranges that range_of() tells apart at most, and how many of them a row is compared with at once.
+MOST_RANGES, _GROUP = 1 << 14, 1 << 7
+
+
+def range_of(row: Column, kinds: str, bounds: list) -> tuple[Column, Column]:
+    """(the number of the range that a struct falls into, whether it is a bound): how many of the sorted bounds are no greater.
+
+    kinds: the struct's fields as DDL. bounds: rows with those fields, MOST_RANGES at most. They become constants of the
+    plan, in two levels, and structs compare as Spark sorts them, nulls first.
+    """
+    import json
+
+    def literal(values, depth: int) -> Column:
+        return F.from_json(F.lit(json.dumps(values, default=str)), "array<" * depth + f"struct<{kinds}>" + ">" * depth)
+
+    if not bounds:
+        return F.lit(0), F.lit(False)
+    if len(bounds) > MOST_RANGES:
+        raise ValueError(f"{len(bounds)} bounds, more than {MOST_RANGES}")
+    groups = [[b.asDict() for b in bounds[i : i + _GROUP]] for i in range(0, len(bounds), _GROUP)]
+    group = F.size(F.filter(literal([g[0] for g in groups], 1), lambda x: x <= row))
+    inside = F.element_at(literal(groups, 2), F.greatest(group, F.lit(1)))
+    number = F.when(group == 0, 0).otherwise((group - 1) * _GROUP + F.size(F.filter(inside, lambda x: x <= row)))
+    return number, (group > 0) & F.exists(inside, lambda x: x == row)
+
+
 def held_out(doc_id: Column | str) -> Column:
     """crc32(doc_id as text) mod 3 = 1: rows whose labels are never learned from. False for a null id."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % 3 == 1, F.lit(False))
@@ -121,7 +152,14 @@ def map_texts(df: DataFrame, keep: list[str], fn, fields: str, text: str = "text
 
 def rows_and_texts(docs: DataFrame) -> DataFrame:
     """(row, text): each row whole, as a struct, beside its text."""
-    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
+    return whole_rows(docs, "text")
+
+
+def whole_rows(df: DataFrame, *columns: str) -> DataFrame:
+    """Each row as a struct, `row`, beside the columns of these names."""
+    names = [f"__{i}" for i in range(len(df.columns))]
+    row = F.struct(*(F.col(n).alias(c) for n, c in zip(names, df.columns, strict=True))).alias("row")
+    return df.toDF(*names).select(row, *(F.col(names[df.columns.index(c)]).alias(c) for c in columns))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
@@ -130,6 +168,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataF
     The sampled labels are few, so documents meet them by broadcast and no text is shuffled. Rows that repeat id and
     text count once, and if ids repeat so often that there are more than `most` all the same, they are sampled again.
     """
+    docs, labels = only(docs, "doc_id", "text"), only(labels, "doc_id", label)
     may = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     found = written(docs.select("doc_id", "text").join(F.broadcast(bounded_sample(may, "doc_id", most)), "doc_id").withColumn("row_key", F.xxhash64("doc_id", "text")), "labelled")
     once = found

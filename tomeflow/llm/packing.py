@@ -3,18 +3,19 @@
 Documents are tokenised once and stored as ids. How many documents have an id is counted exactly over the corpus: the
 vocabulary bounds that table. BM25 weights by these counts, hashed into a vector of `DIMENSIONS`, place a document:
 up to `CLUSTERS` centres are fitted to a bounded sample of the vectors and put in an order in which neighbours are
-close; documents are partitioned by range of their centre, their heaviest id and a salt, which splits the documents
-of a large cluster, and sorted by them. Every document is placed.
+close; documents are sorted by their centre, their heaviest id and a salt, which splits the documents of a large cluster,
+and cut into parts of about equal numbers of ids: the cuts follow from the sums of all documents' ids by centre and heaviest
+id, so they are the same in every run. Every document is placed.
 
-A shard is a run of documents of one such partition, of at most `SHARD_DOCS` documents or `SHARD_TOKENS` ids. It has an
+A shard is a run of documents of one such part, of at most `SHARD_DOCS` documents or `SHARD_TOKENS` ids. It has an
 inverted index of all its documents with BM25 weights by the corpus' counts. Full sequences are cut off a document's
 start; what remains is a unit. The first unused unit is the seed of a window: the index returns the unused units by
 BM25 score against the seed's document, and they fill the window in that order. The one that no longer fits is cut at
 the window's end, and its rest is the next seed. A window that a shard can't fill goes back into the next shard; at the
-end of a partition, what is left is cut into powers of two, which need no padding.
+end of a part, what is left is cut into powers of two, which need no padding.
 
-A lost task is redone alike, as a partition's order is fixed by keys, salt and id: the sequence's id is the
-partition's number and a count. Neighbours may still lie in other shards; README states the recall against brute force.
+Reruns agree, whatever the number of Spark's partitions: a part's order is fixed by keys, salt and id, and a sequence's id is
+the part's number and a count. Neighbours may still lie in other shards; README states the recall against brute force.
 
 Defined results: a null or empty text is the id 0 alone; a text of any length is cut freely; of units with equal scores
 the one placed first is taken; repeated rows are packed as often as they come; an empty table gives an empty result;
@@ -26,10 +27,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from .common import crc32, dropped, map_texts, mix64, slices, written
+from .common import MOST_RANGES, crc32, dropped, map_texts, mix64, only, range_of, slices, written
 
 WINDOW = 1024
 SHARD_DOCS = 8192
@@ -282,7 +283,7 @@ def centres(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 def tokenised(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, salt, ids) of every document, with the 0 at its end. Salts tell documents apart, not copies that have one id."""
-    source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("salt", F.xxhash64("doc_id", "text"))
+    source = only(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("salt", F.xxhash64("doc_id", "text"))
     tokens: list[Tokens] = []
 
     def encode(texts):
@@ -331,7 +332,7 @@ def counted(ids: DataFrame, tokens: Tokens) -> Corpus:
 
 
 def gathered(ids: DataFrame, corpus: Corpus, dtype: np.dtype) -> DataFrame:
-    """(doc_id, ids) with lexically close documents next to each other. ids: (doc_id, salt, ids)."""
+    """(part, doc_id, ids) with lexically close documents next to each other, a part's in one task and in order. ids: (doc_id, salt, ids)."""
     context = ids.sparkSession.sparkContext
     shared = context.broadcast(corpus)
     share = min(1, FITTED_TO / max(corpus.n, 1))
@@ -358,11 +359,18 @@ def gathered(ids: DataFrame, corpus: Corpus, dtype: np.dtype) -> DataFrame:
 
     id_type = ids.schema["doc_id"].dataType.simpleString()
     keyed = written(ids.mapInArrow(keys, f"doc_id {id_type}, salt long, ids binary, centre int, heaviest long"), "packing-keyed")
-    # a partition holds about PART_TOKENS ids, however many there are; where Spark's own number is enough, it joins small ones
-    parts = int(np.ceil(corpus.n * corpus.mean / PART_TOKENS))
-    by = ["centre", "heaviest", "salt"]
-    ranges = keyed.repartitionByRange(parts, *by) if parts > int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions")) else keyed.repartitionByRange(*by)
-    return ranges.sortWithinPartitions("centre", "heaviest", "salt", "doc_id").select("doc_id", "ids")
+    # ids by centre and heaviest id, in order, and the salts at which a part of about PART_TOKENS ids ends
+    sizes = keyed.groupBy("centre", "heaviest").agg(F.sum(F.octet_length("ids")).alias("size"))
+    of_centre = sizes.groupBy("centre").agg(F.sum("size").alias("size")).withColumn("before", F.sum("size").over(Window.orderBy("centre")) - F.col("size")).select("centre", "before")  # CLUSTERS rows
+    total = int(corpus.n * corpus.mean) * dtype.itemsize
+    part = max(PART_TOKENS * dtype.itemsize, -(-total // (MOST_RANGES - 1)))
+    begin = F.col("before") + F.sum("size").over(Window.partitionBy("centre").orderBy("heaviest")) - F.col("size")
+    cuts = sizes.join(F.broadcast(of_centre), "centre").withColumn("begin", begin).withColumn("cut", F.explode(F.sequence(F.ceil(F.col("begin") / part), F.ceil((F.col("begin") + F.col("size")) / part) - 1)))
+    found = cuts.where("cut * {0} >= begin and cut * {0} < begin + size".format(part)).select("centre", "heaviest", ((F.col("cut") * part - F.col("begin")) / F.col("size")).alias("share")).collect()  # MOST_RANGES rows at most
+    bounds = sorted({(r.centre, r.heaviest, int(r.share * 2.0**64) - (1 << 63)) for r in found})
+    number, _ = range_of(F.struct("centre", "heaviest", "salt"), "centre:int,heaviest:bigint,salt:bigint", [Row(centre=c, heaviest=h, salt=x) for c, h, x in bounds])
+    placed = keyed.withColumn("part", number.cast("int")).repartitionByRange(len(bounds) + 1, "part")
+    return placed.sortWithinPartitions("part", "centre", "heaviest", "salt", "doc_id").select("part", "doc_id", "ids")
 
 
 def packed(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW) -> DataFrame:
@@ -385,10 +393,9 @@ def packed(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW)
 
     def run(batches):
         import pyarrow as pa
-        from pyspark import TaskContext
 
         idf, mean = shared.value.idf, shared.value.mean
-        following = TaskContext.get().partitionId() << 36
+        following, at = 0, -1
         units: list[Unit] = []
         size = 0
 
@@ -404,16 +411,22 @@ def packed(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW)
             columns = list(zip(*out, strict=True)) or [()] * len(arrow)
             return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
+        def ended():
+            sequences, left = packed_shard(units, idf, mean, window)
+            return rows(sequences + packed_rest(left, window))
+
         for batch in batches:
-            for doc_id, own in zip(batch.column(0).to_pylist(), _arrays(batch.column(1), dtype), strict=True):
+            for part, doc_id, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _arrays(batch.column(2), dtype), strict=True):
+                if part != at:
+                    yield ended()
+                    at, following, units, size = part, part << 36, [], 0
                 units.append(Unit(doc_id, own, 0))
                 size += units[-1].left
                 if len(units) >= SHARD_DOCS or size >= SHARD_TOKENS:
                     sequences, units = packed_shard(units, idf, mean, window)
                     size = sum(u.left for u in units)
                     yield rows(sequences)
-        sequences, units = packed_shard(units, idf, mean, window)
-        yield rows(sequences + packed_rest(units, window))
+        yield ended()
 
     gather = gathered(ids, corpus, dtype)
     dropped(ids)
