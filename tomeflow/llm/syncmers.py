@@ -7,35 +7,40 @@ of their first places in the text: it grows with the text, and all anchors of a
 fingerprints are alike by the share of the hashes below the bound of both that both have, in the same order (the longest
 common run of places that grows in both).
 
-next_texts() gives each document the one that follows it by id without sorting the table in one place: ids are cut
-into ranges at quantiles, each range's rows meet in one task, and the first row of a range also goes to the range
-before it.
+A text of fewer than `RUNS_BELOW` code points has few anchors or none, so its fingerprint also holds all of its runs of `SHORT`
+code points. Two such texts are compared by their runs, any other two by their anchors, always the same on both sides.
+
+next_texts() gives each document the one that follows it by id without sorting the table in one place: rows are cut
+into ranges by id and hash of the text, each range's rows meet in one task, and the first row of a range also goes to the
+range before it. So rows with one id, or none, are dealt over many ranges unless their texts are equal, too.
 
 Defined results: a null text is an empty one; an empty text's fingerprint is empty, and two empty ones are alike
-by 1; in a text of fewer than 2k code points all runs of 4 are anchors, or the text itself; null ids come first; rows with one id are ordered by
-text; a single row follows itself; an empty table gives an empty result; extra columns are ignored.
+by 1; a text of fewer than 4 code points is a run itself; ids of any type that can be sorted will do; null ids come first;
+rows with one id are ordered by their texts' hashes; a single row follows itself; an empty table gives an empty result; extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 from bisect import bisect_left
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import code_points, mix64
+from .common import MOST_RANGES, code_points, mix64, only, range_of
 
 K = 12
 S = 5
-#: Texts of fewer than 2 * K code points are too short for syncmers; all their runs of so many code points are anchors.
+#: Texts of fewer than RUNS_BELOW code points are also compared by their runs of SHORT code points.
 SHORT = 4
+RUNS_BELOW = 4 * K
 KEPT = 128
 SAMPLED = 16
 _B = 0x9E3779B97F4A7C15
-#: Ids are cut into at most GROUP * GROUP ranges of about RANGE rows or more.
-GROUP = 128
+#: Rows are cut into at most MOST_RANGES ranges of about RANGE rows or more.
 RANGE = 2000
 _CHARS = 1 << 20
 
@@ -65,8 +70,20 @@ def _window_min(x: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(out[: len(x) - n + 1], out[n - have : n - have + len(x) - n + 1])
 
 
-def fingerprints(texts: list[str]) -> list[np.ndarray]:
-    """Each text's fingerprint: distinct 32-bit hashes in the order of their places."""
+class Fingerprint(NamedTuple):
+    """Distinct 32-bit hashes of anchors, and of a short text's runs, each in the order of their first places."""
+
+    anchors: np.ndarray
+    runs: np.ndarray | None
+
+
+def _runs(text: str) -> np.ndarray:
+    runs = dict.fromkeys(text[j : j + SHORT] for j in range(max(1, len(text) - SHORT + 1))) if text else ()
+    return np.array([int.from_bytes(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "big") for x in runs], np.uint32)
+
+
+def fingerprints(texts: list[str]) -> list[Fingerprint]:
+    """Each text's fingerprint."""
     codes, at = code_points(texts)
     codes = codes.astype(np.uint64) + np.uint64(1)
     if len(codes) >= K:
@@ -81,29 +98,29 @@ def fingerprints(texts: list[str]) -> list[np.ndarray]:
     last = np.searchsorted(anchors, np.maximum(at[1:] - K + 1, at[:-1]))
     out = []
     for i, text in enumerate(texts):
-        found = hashes[first[i] : last[i]]
-        if len(text) < 2 * K:
-            runs = [text[j : j + SHORT] for j in range(max(1, len(text) - SHORT + 1))] if text else []
-            found = np.array([int.from_bytes(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "big") for x in runs], np.uint32)
-        own, place = np.unique(found, return_index=True)
+        own, place = np.unique(hashes[first[i] : last[i]], return_index=True)
         kept = max(KEPT, int(np.searchsorted(own, (1 << 32) // SAMPLED)))
-        out.append(own[:kept][np.argsort(place[:kept])])
+        out.append(Fingerprint(own[:kept][np.argsort(place[:kept])], _runs(text) if len(text) < RUNS_BELOW else None))
     return out
 
 
-def as_string(fingerprint: np.ndarray) -> str:
-    return fingerprint.astype(">u4").tobytes().hex()
+def as_string(fingerprint: Fingerprint) -> str:
+    """The anchors in hex; a short text's runs follow a hyphen."""
+    anchors, runs = (None if x is None else x.astype(">u4").tobytes().hex() for x in fingerprint)
+    return anchors if not runs else f"{anchors}-{runs}"
 
 
-def from_string(fingerprint: str) -> np.ndarray:
-    return np.frombuffer(bytes.fromhex(fingerprint), ">u4").astype(np.uint32)
+def from_string(fingerprint: str) -> Fingerprint:
+    anchors, short, runs = fingerprint.partition("-")
+    return Fingerprint(*(np.frombuffer(bytes.fromhex(x), ">u4").astype(np.uint32) if x or short or not fingerprint else None for x in (anchors, runs)))
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
+def likeness(a: Fingerprint, b: Fingerprint) -> float:
     """0 to 1: the share of the hashes below the bound of both that both have in the same order."""
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    x, y = a.tolist(), b.tolist()
+    short = a.runs is not None and b.runs is not None
+    x, y = ((f.runs if short else f.anchors).tolist() for f in (a, b))
+    if not x or not y:
+        return float(short and len(x) == len(y))
     place = {h: i for i, h in enumerate(y)}
     below = min(_bound(x), _bound(y))
     union = {h for h in x if h < below} | {h for h in y if h < below}
@@ -126,35 +143,27 @@ def next_texts(docs: DataFrame) -> DataFrame:
 
     A bucket's rows by id, then helper rows, of which the first is what follows the bucket's last row.
     """
-    ids = docs.select("doc_id")
-    n = ids.count()
-    ranges = max(1, min(GROUP * GROUP, n // RANGE))
-    shares = [i / ranges for i in range(1, ranges)]
-    cuts = ids.agg(F.percentile_approx("doc_id", shares, 20 * ranges).alias("cuts"), F.min("doc_id").alias("least"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first() if n else None
-    least = cuts.least if cuts and not cuts.nulls else None
-    bounds = sorted({c for c in (cuts.cuts or [] if cuts else [])} - ({least} if least is not None else set()))
-    groups = [bounds[i : i + GROUP] for i in range(0, len(bounds), GROUP)]
-    doc_id = F.col("doc_id")
-    if groups:
-        starts = F.lit([g[0] for g in groups])
-        group = F.size(F.filter(starts, lambda x: x <= doc_id))
-        inside = F.element_at(F.array(*[F.lit(g) for g in groups]), F.greatest(group, F.lit(1)))
-        bucket = F.when(doc_id.isNull() | (group == 0), 0).otherwise((group - 1) * GROUP + F.size(F.filter(inside, lambda x: x <= doc_id)))
-        is_bound = F.array_contains(inside, doc_id) & doc_id.isNotNull()
-    else:
-        bucket, is_bound = F.lit(0), F.lit(False)
-    bucket = F.coalesce(bucket, F.lit(0)).cast("int")
-    is_first = doc_id.eqNullSafe(F.lit(least))
+    docs = only(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    row = F.struct(F.col("doc_id").alias("d"), F.col("hash").alias("h"))
+    n = docs.count()
+    ranges = max(1, min(MOST_RANGES, n // RANGE))
+    dealt = docs.select("doc_id", "hash").repartitionByRange(ranges, F.col("doc_id").asc_nulls_first(), "hash")
+    starts = sorted((r.least for r in dealt.groupBy(F.spark_partition_id()).agg(F.min(row).alias("least")).collect()), key=lambda x: (x.d is not None, *(v for v in x if v is not None)))  # a row a range
+    least, bounds = starts[:1], starts[1:]
+    fields = f"d:{kind},h:bigint"
+    bucket, is_bound = range_of(row, fields, bounds)
+    is_first = range_of(row, fields, least)[1]
     own = F.struct(F.col("b").alias("bucket"), F.lit(False).alias("helper"))
     places = F.array_compact(
         F.array(
             own,
-            F.when(F.coalesce(is_bound, F.lit(False)), F.struct((F.col("b") - 1).alias("bucket"), F.lit(True).alias("helper"))),
+            F.when(is_bound, F.struct((F.col("b") - 1).alias("bucket"), F.lit(True).alias("helper"))),
             F.when(is_first, F.struct(F.lit(len(bounds)).alias("bucket"), F.lit(True).alias("helper"))),
         )
     )
-    placed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("b", bucket).select(F.inline(places), "doc_id", "text")
-    return placed.repartition("bucket").sortWithinPartitions("bucket", "helper", F.col("doc_id").asc_nulls_first(), "text")
+    placed = docs.withColumn("b", bucket.cast("int")).select(F.inline(places), "doc_id", "text", "hash")
+    return placed.repartition("bucket").sortWithinPartitions("bucket", "helper", F.col("doc_id").asc_nulls_first(), "hash", "text").drop("hash")
 
 
 def fingerprinted(docs: DataFrame) -> DataFrame:
