@@ -5,13 +5,14 @@ a table with a version: version 1 deals the slots round robin, and rebalancing w
 newest one edited to the sums, in which only the slots that must move change their shard; every other record stays where
 it is. Records are placed by the newest version, as it is read back from where it is stored.
 
-A slot is the hash of the id. Where ids repeat so often that a slot holds many times the mean number of records, its
-records are dealt over all slots by a hash of the row, so even one id on a third of all rows leaves shards near equal.
-Equal texts aren't kept together: a group of them with a third of all bytes would fit none of 16 near equal shards.
+A slot is the hash of the text, so equal texts go together. Only a slot with more than half a shard's share of all bytes, or
+of all records, can't stay whole in near equal shards: its records are dealt over all slots by a hash of the row, so even one
+text on a third of all rows leaves shards near equal.
 
-Defined results: a null text has no bytes and counts 1; a null id hashes like any other value; repeated rows share a slot
+Defined results: a null text has no bytes and counts 1, and hashes like the text `null`; equal texts share a slot
 unless it is crowded; rows that tie in id, size and checksum are numbered in any order; a text of any length is read
-whole; an empty table gives an empty result; extra columns of the input are ignored.
+whole; an empty table gives an empty result; extra columns of the
+input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,16 +22,16 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, shared_dir, written
+from .common import dropped, only, shared_dir, written
 
 SLOTS = 4096
-#: A slot is crowded with more records than so many and CROWD times the mean.
-CROWD = 16
+#: A slot is crowded with more than 1 in so many of the bytes, or records, that a shard gets on average.
+CROWD = 2
 #: Rows that are numbered in one group, about.
 GROUP = 4096
 
 
-def virtual_slot(key: str = "doc_id", slots: int = SLOTS) -> Column:
+def virtual_slot(key: str = "text", slots: int = SLOTS) -> Column:
     return (F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("null"))), 1, 8), 16, 10).cast("bigint") % slots).cast("int")
 
 
@@ -100,11 +101,11 @@ def newest(spark: SparkSession, at: str) -> DataFrame:
     return maps.where(F.col("version") == maps.agg(F.max("version")).first()[0])
 
 
-def _spread(records: DataFrame, slots: int) -> DataFrame:
+def _spread(records: DataFrame, slots: int, shards: int) -> DataFrame:
     """records with the virtual slot of those in crowded slots by a hash of the row."""
     loads = slot_bytes(records)
-    mean = loads.agg(F.greatest(F.lit(CROWD), CROWD * F.sum("records") / slots).alias("most"))  # one row
-    crowded = loads.crossJoin(F.broadcast(mean)).where("records > most").select(F.col("virtual_slot").alias("crowded"))
+    most = loads.agg(*(F.greatest(F.lit(1), F.sum(c) / (CROWD * shards)).alias(f"most_{c}") for c in ("bytes", "records")))  # one row
+    crowded = loads.crossJoin(F.broadcast(most)).where("(bytes > most_bytes or records > most_records) and records > 1").select(F.col("virtual_slot").alias("crowded"))
     at = F.when(F.col("crowded").isNotNull(), F.pmod(F.xxhash64("doc_id", "text_crc32", "row"), F.lit(slots)).cast("int")).otherwise(F.col("virtual_slot"))
     return records.join(F.broadcast(crowded), F.col("virtual_slot") == F.col("crowded"), "left").withColumn("virtual_slot", at).drop("crowded")  # `slots` rows at most
 
@@ -115,18 +116,18 @@ def sharded(docs: DataFrame, shards: int = 16, slots: int = SLOTS, map_at: str |
     map_at: where the map is stored; its newest version is edited. Without one, a new map is begun.
 
     `slot` numbers the rows of a shard from 0 without a gap: the rows of its groups before, plus the rank in the
-    group. Groups are parts of virtual slots, of about GROUP rows, so no task sorts more than that.
+    group. Groups are parts of virtual slots, of about GROUP rows each, so no task sorts more than that at once.
     """
     spark = docs.sparkSession
-    records = docs.select(
+    records = only(docs, "doc_id", "text").select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("bigint").alias("size"),
         F.coalesce(F.crc32(F.encode("text", "UTF-8")), F.lit(0)).cast("bigint").alias("text_crc32"),
-        virtual_slot("doc_id", slots).alias("virtual_slot"),
+        virtual_slot("text", slots).alias("virtual_slot"),
         F.monotonically_increasing_id().alias("row"),
     )
     hashed = written(records, "shard-records")
-    records = written(_spread(hashed, slots), "shard-spread")
+    records = written(_spread(hashed, slots, shards), "shard-spread")
     dropped(hashed)
     loads = slot_bytes(records)
     if map_at is None:
@@ -135,8 +136,8 @@ def sharded(docs: DataFrame, shards: int = 16, slots: int = SLOTS, map_at: str |
     stored(rebalanced(newest(spark, map_at), loads, shards), map_at)
     placed = newest(spark, map_at).select("virtual_slot", "version", "shard")
 
-    parts = max(1, records.count() // (GROUP * slots))
-    grouped = records.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int"))
+    parts = loads.select(F.col("virtual_slot").alias("of"), F.ceil(F.col("records") / GROUP).alias("parts"))
+    grouped = records.join(F.broadcast(parts), F.col("virtual_slot") == F.col("of")).withColumn("part", F.pmod(F.xxhash64("row"), "parts").cast("int")).drop("of", "parts")  # `slots` rows at most
     before = (
         grouped.groupBy("virtual_slot", "part")
         .agg(F.count("*").alias("records"))
