@@ -22,7 +22,7 @@ import struct
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import crc32, map_texts
+from .common import crc32, map_texts, only
 
 BLOCK = 192
 #: Frames from one seek point to the next, and how many points there are at most: a table has 18 bytes for each, 2^24 at most.
@@ -575,4 +575,4 @@ def digested(docs: DataFrame) -> DataFrame:
             [crc32(np.array([at for at, _, _ in own], "<u8").tobytes()) for own in blocks],
         ]
 
-    return map_texts(docs, ["doc_id"], work, "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_blocks long, pcm_offsets long", most_chars=1 << 21)
+    return map_texts(only(docs, "doc_id", "text"), ["doc_id"], work, "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_blocks long, pcm_offsets long", most_chars=1 << 21)

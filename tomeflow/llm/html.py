@@ -31,7 +31,7 @@ from html import unescape
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import only, written
 
 LEAST_PAGES = 4
 SHARE = 0.5
@@ -364,6 +364,7 @@ def site_templates(pages: DataFrame, least: int = LEAST_PAGES, share: float = SH
 
 def extracted(pages: DataFrame, least: int = LEAST_PAGES, share: float = SHARE, enough: int = ENOUGH_PAGES, lists: bool = True) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
+    pages = only(pages, "page_id", "url", "html")
     host = F.xxhash64(F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)", 1)), F.lit("\x00")))
     keyed = pages.select("page_id", "url", "html", host.alias("host"), F.xxhash64("page_id", "url", "html").alias("page"), F.xxhash64("html").alias("content"))
     hashes, template = site_templates(keyed, least, share, enough)

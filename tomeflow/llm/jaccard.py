@@ -41,7 +41,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, dropped, mix64, slices, words, written
+from .common import WORD, dropped, mix64, only, slices, whole_rows, words, written
 
 #: The counters are about an eighth of the n-grams, as a power of two between these: 16 MB as they are broadcast.
 LEAST_SKETCH_BITS, MOST_SKETCH_BITS = 16, 24
@@ -369,7 +369,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def _classes(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """The documents (doc_id, node, size, digest), and the classes of equal sets (digest, least_id, component); a component is named by a node."""
-    docs = docs.select("doc_id", "text")
+    docs = only(docs, "doc_id", "text")
     base = written(prefixes(docs, counted(docs, n), n, num, den).withColumn("row", F.monotonically_increasing_id()), "jaccard-prefixes")
     classes = written(base.where("size > 0").groupBy("digest").agg(F.min_by("node", "row").alias("node"), F.min("row").alias("row"), F.min("doc_id").alias("least_id")), "jaccard-classes")
     nodes = written(base.select("row", "node", "size", "matches", "prefix").join(classes.select("row"), "row", "left_semi").drop("row"), "jaccard-nodes")
@@ -442,9 +442,10 @@ def deduplicated(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) ->
     rows = rows.withColumnsRenamed({"doc_id": "of_id", "node": "of_node"})
     kept = written(kept.join(rows, (F.col("jaccard_node") == F.col("of_node")) & F.col("jaccard_id").eqNullSafe(F.col("of_id"))).select("jaccard_id", "jaccard_node", "jaccard_rows"), "jaccard-kept")
     # each row whole beside its key, so no column's name clashes
-    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", text_key().alias("key"))
+    whole = whole_rows(docs, "doc_id", "text")
+    keyed = whole.select("row", "doc_id", text_key().alias("key"))
     chosen = keyed.join(kept, (F.col("key") == F.col("jaccard_node")) & F.col("doc_id").eqNullSafe(F.col("jaccard_id")))
     once = chosen.where("jaccard_rows = 1").select("row.*")
     again = chosen.where("jaccard_rows > 1").dropDuplicates(["jaccard_id", "jaccard_node"]).select("row.*")
-    blank = docs.where(F.col("doc_id").isNull() & ~F.coalesce("text", F.lit("")).rlike(WORD))
+    blank = whole.where(F.col("doc_id").isNull() & ~F.coalesce("text", F.lit("")).rlike(WORD)).select("row.*")
     return once.unionByName(again).unionByName(blank)

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, dropped, written
+from .common import WORD, dropped, only, whole_rows, written
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -148,18 +148,18 @@ def _decided(rows: DataFrame, ends: DataFrame, most: int) -> DataFrame:
 
 def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, weight: str | None = None) -> DataFrame:
     """(doc_id, source, size, source_size, target, expected, copies, taken) of every document. weight: a column with the weights."""
-    sized = written(_measured(docs, weight), "mix-sizes")
+    sized = written(_measured(only(docs, "doc_id", "source", "text", *([weight] if weight else [])), weight), "mix-sizes")
     decided = _decided(sized, _ends(sized, _shares(sized, weights, share, most), most), most)
     return decided.select("doc_id", "source", "size", "source_size", "target", "expected", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, weight: str | None = None) -> DataFrame:
     """The documents' own rows, each as often as the mix takes it: a second narrow pass over them."""
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    docs = whole_rows(docs, "doc_id", "source", "text", *([weight] if weight else []))
     sized = written(_measured(docs, weight), "mix-sizes")
     ends = _ends(sized, _shares(sized, weights, share, most), most)
     dropped(sized)
-    taken = _decided(_measured(docs, weight, row), ends, most).where("copies > 0")
+    taken = _decided(_measured(docs, weight, F.col("row")), ends, most).where("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select("row.*")
 
 

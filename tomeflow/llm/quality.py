@@ -21,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import DIGIT, LOWER, NEWLINE, SPACE, SYMBOL, UPPER, char_classes, code_points, crc32, held_out, labelled, map_texts, mix64, rows_and_texts
+from .common import DIGIT, LOWER, NEWLINE, SPACE, SYMBOL, UPPER, char_classes, code_points, crc32, held_out, labelled, map_texts, mix64, only, rows_and_texts
 
 OWN = 13
 #: Learned from at most about so many labelled documents, and of each from up to CHAINS chains of CHAIN lines, hashed over
@@ -272,6 +272,7 @@ def _scorer(docs: DataFrame, model: QualityModel):
 
 def scored(docs: DataFrame, model: QualityModel) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
+    docs = only(docs, "doc_id", "text")
     return map_texts(docs.withColumn("held_out", held_out("doc_id")), ["doc_id", "held_out"], _scorer(docs, model), "score double, predicted int", most_chars=1 << 20)
 
 

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, written
+from .common import dropped, only, written
 
 LETTERS = "A-Za-zÀ-ÿ"
 LEAST_LENGTH = 6
@@ -45,7 +45,7 @@ _HELD, _AT_ONCE, _SCANNED = 1 << 18, 1 << 22, 1 << 13
 
 def counted_words(docs: DataFrame) -> DataFrame:
     """(word, n) of all words of LEAST_LENGTH code points or more, n being how often each occurs."""
-    source = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key"), "text").where("text is not null")
+    source = only(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key"), "text").where("text is not null")
 
     def run(batches):
         import pyarrow as pa

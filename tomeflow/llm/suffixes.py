@@ -36,7 +36,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, mix64, slices, written
+from .common import dropped, mix64, only, slices, written
 from .jaccard import Sift
 from .syncmers import _window_min
 
@@ -172,7 +172,7 @@ def _dealt_into(counts: list, bits: int) -> np.ndarray:
 
 def numbered(docs: DataFrame) -> DataFrame:
     """(number, doc_id, text): numbers grow in the order of the documents, and each row has its own."""
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    docs = only(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     if kind in ("bigint", "int", "smallint", "tinyint"):
         # distinct ids are counted without moving texts

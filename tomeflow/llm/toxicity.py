@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled, map_texts, rows_and_texts
+from .common import held_out, labelled, map_texts, only, rows_and_texts
 
 SLOT_BITS = 20
 BEGINNINGS = (4, 5, 6, 7, 8)
@@ -199,6 +199,7 @@ def _scorer(docs: DataFrame, model: FactorizationMachine):
 
 def scored(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
+    docs = only(docs, "doc_id", "text")
     return map_texts(docs.withColumn("held_out", held_out("doc_id")), ["doc_id", "held_out"], _scorer(docs, model), "score double, predicted int")
 
 

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, written
+from .common import dropped, only, written
 
 COMPONENTS = 16
 GUARD = 8
@@ -204,7 +204,7 @@ def fitted(fit: DataFrame, components: int = COMPONENTS) -> Whitening | None:
 
 def whitened(rows: DataFrame, components: int = COMPONENTS) -> DataFrame:
     """(vec_id, component, n, deviation, whitened, explained, identity_error) of every remaining row and component."""
-    rows = rows.select("vec_id", "embedding")
+    rows = only(rows, "vec_id", "embedding")
     vectors = whole_vectors(rows)
     fit = written(vectors.select("x").distinct(), "whitening-fit")
     model = fitted(fit, components)
