@@ -122,7 +122,7 @@ def test_equal_texts_share_a_shard(spark):
 
 def test_toxicity_stage_drops_what_its_model_says(spark):
     """The stage again by hand: rows go if the machine, fitted to the same rows, scores them 0.7 or more."""
-    docs, sf = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "/root/testdata/sf0.01"
+    docs, sf = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), "/root/testdata/sf0.1"
     known = {r.doc_id: r for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["toxicity"](spark, docs, sf).collect()}
     scores = {r.doc_id: r.score for r in toxicity.scored(docs, toxicity.fitted(docs, spark.read.parquet(f"{sf}/labels.parquet"))).collect()}
