@@ -345,7 +345,9 @@ def djvu(file: BoundedFile) -> dict:
     return _record(one.get("title"), [one["author"]] if "author" in one else (), one.get("language"), {"isbn": one["isbn"]} if "isbn" in one else {}, extra)
 
 
-PARSERS = {"EPUB": epub, "FB2": fb2, "MOBI": mobi, "DOCX": docx, "DJVU": djvu}
+from .pdf import pdf  # noqa: E402  it builds on what stands above
+
+PARSERS = {"EPUB": epub, "FB2": fb2, "MOBI": mobi, "DOCX": docx, "DJVU": djvu, "PDF": pdf}
 VERSIONS = {k: "1" for k in PARSERS}
 
 
