@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
-from ..operators import authz, curation, evidence, ingest, merging, ops, personal, primitives, queue, recovery, search, views
+from ..operators import authz, curation, evidence, ingest, merging, ops, personal, primitives, queue, recovery, search, views, workers
 from ..schemas import Expectation, counters_hold, image_within_bounds, lease_iff_running, path_is_clean, violations
 from ..sources import files
 from .library import Library, listed
@@ -686,6 +686,34 @@ def outcome_metrics(c):
     return queue.metrics(c.outcome.withColumn("code", F.when(F.col("state") == "FAILED", F.concat(F.lit("E"), (F.col("sequence") % 3).cast("string")))))
 
 
+def _worker_log(c: DriverCatalog) -> DataFrame:
+    """Events as commands of a queue for each user: signups and views enqueue files, clicks claim, purchases complete what the click before them claimed."""
+    e = c.table("events")
+    kind = F.when(F.col("event_type").isin("signup", "view"), "ENQUEUE").when(F.col("event_type") == "click", "CLAIM").when(F.col("event_type") == "purchase", "COMPLETE")
+    queue = F.concat(F.element_at(F.array(F.lit("PDF"), F.lit("COVER"), F.lit("CONVERSION")), (F.col("user_id") % 3 + 1).cast("int")), F.lit("/"), F.col("user_id").cast("string"))
+    return e.select(
+        queue.alias("queue"), F.col("event_id").alias("sequence"), F.col("ts").alias("at"), F.coalesce(kind, F.lit("CANCEL")).alias("kind"), F.col("event_id").alias("job_id"),
+        F.concat(F.lit("f"), (F.col("event_id") % 7).cast("string")).alias("key"), F.lit("t").alias("token"), F.when(F.col("event_id") % 2 == 0, "CORRUPT_ASSET").alias("code"),
+    )
+
+
+@query("""SELECT 'enqueued' AS what, count(*) AS n FROM (SELECT DISTINCT user_id, event_id % 7 FROM events WHERE event_type IN ('signup', 'view'))
+    UNION ALL SELECT 'known or put back', count(*) - (SELECT count(*) FROM (SELECT DISTINCT user_id, event_id % 7 FROM events WHERE event_type IN ('signup', 'view'))) FROM events WHERE event_type IN ('signup', 'view')
+    UNION ALL SELECT 'claims', count(*) FROM events WHERE event_type = 'click' UNION ALL SELECT 'other commands', count(*) FROM events WHERE event_type NOT IN ('signup', 'view', 'click')""")
+def worker_outcomes(c):
+    """What a fold of all commands says adds up to the commands; tests/test_workers.py has each outcome."""
+    what = F.when(F.col("outcome") == "QUEUED", "enqueued").when(F.col("outcome").isin("KNOWN", "REQUEUED"), "known or put back").when(F.col("outcome").isin("CLAIMED", "EMPTY"), "claims").when(F.col("outcome") != "EXHAUSTED", "other commands")
+    return workers.folded_workers(_worker_log(c)).select(what.alias("what")).where("what is not null").groupBy("what").agg(F.count("*").alias("n"))
+
+
+def worker_jobs(c):
+    """Every outcome of every command. A fold over strictly ordered commands has no SQL; tests hold it against loops."""
+    return workers.folded_workers(_worker_log(c))
+
+
+QUERIES["worker_jobs"] = lambda spark, sf_dir: worker_jobs(DriverCatalog(spark, sf_dir))
+
+
 # --- curation, recovery, personal -------------------------------------------------------------------------------
 
 
