@@ -2,13 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-def manifest(spark: SparkSession, root: str) -> DataFrame:
-    """(path, byte_size, sha256) of every file below root, by Spark's own file reader."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return files.select("path", F.col("length").alias("byte_size"), F.sha2("content", 256).alias("sha256"))
+
+#: Bytes that are read and hashed at once.
+_SLICE = 1 << 22
+
+
+def _digest(path: str) -> tuple[int, str]:
+    import hashlib
+
+    digest, n = hashlib.sha256(), 0
+    with open(path, "rb") as f:
+        while data := f.read(_SLICE):
+            digest.update(data)
+            n += len(data)
+    return n, digest.hexdigest()
+
+
+def manifest(files: DataFrame, root: str) -> DataFrame:
+    """(path, byte_size, sha256) of files (path) below root, which all executors share: each is read in slices, however large it is. One that can't be read has nulls."""
+
+    def work(batches):
+        import os
+
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = []
+            for path in batch.column(0).to_pylist():
+                try:
+                    rows.append((path, *_digest(os.path.join(root, path))))
+                except OSError:
+                    rows.append((path, None, None))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string()))], names=["path", "byte_size", "sha256"])
+
+    return files.select("path").mapInArrow(work, "path string, byte_size long, sha256 string")
 
 
 def manifest_differences(expected: DataFrame, found: DataFrame) -> DataFrame:
@@ -43,34 +73,52 @@ def content_path(kind: str, sha: Column, extension: str) -> Column:
     return F.concat(F.lit(f"{kind}/"), F.substring(sha, 1, 2), F.lit("/"), sha, F.lit(f".{extension}"))
 
 
+def publish(whole: str, content: bytes) -> None:
+    """Puts the content at its place: written beside it, then linked, which never replaces what is there. The same content there is fine, other content raises."""
+    import os
+    import uuid
+
+    os.makedirs(os.path.dirname(whole), exist_ok=True)
+    part = f"{whole}.{uuid.uuid4().hex}.part"
+    try:
+        with open(part, "xb") as f:
+            f.write(content)
+            f.flush()
+            os.fsync(f.fileno())
+        try:
+            os.link(part, whole)
+        except FileExistsError:
+            at = 0
+            with open(whole, "rb") as f:
+                while data := f.read(_SLICE):
+                    if content[at : at + len(data)] != data:
+                        break
+                    at += len(data)
+                else:
+                    if at == len(content):
+                        return
+            raise ValueError(f"other content at {whole}") from None
+    finally:
+        os.unlink(part)
+
+
 def published(items: DataFrame, folder: str, kind: str, extension: str) -> DataFrame:
-    """Writes the distinct contents (content) to their content-addressed places below folder and returns (sha256, path, byte_size).
+    """Puts the distinct contents (content) at their content-addressed places below folder; (sha256, path, byte_size).
 
-    Written to a temporary name first and then moved, so a reader never sees half a file; the same bytes at the place
-    already are fine, other bytes are an error. folder must be one that all executors share.
+    Tasks that run twice, one after the other or at once, leave one file and no part of one. folder must be one that all
+    executors share.
     """
     named = items.select(F.sha2("content", 256).alias("sha256"), "content").dropDuplicates(["sha256"]).withColumn("path", content_path(kind, F.col("sha256"), extension))
 
     def write(batches):
         import os
-        import uuid
 
         import pyarrow as pa
 
         for batch in batches:
             out = []
             for sha, content, path in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                to = os.path.join(folder, path)
-                os.makedirs(os.path.dirname(to), exist_ok=True)
-                if os.path.exists(to):
-                    with open(to, "rb") as f:
-                        if f.read() != content:
-                            raise ValueError(f"other content at {path}")
-                else:
-                    part = f"{to}.{uuid.uuid4().hex}.part"
-                    with open(part, "wb") as f:
-                        f.write(content)
-                    os.replace(part, to)
+                publish(os.path.join(folder, path), content)
                 out.append((sha, path, len(content)))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["sha256", "path", "byte_size"])
 

@@ -5,9 +5,11 @@ The root must be mounted at the same path on all executors, as a library's root
 
 from __future__ import annotations
 
+import errno
 import hashlib
 import os
-from collections.abc import Iterator
+import stat
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,31 +100,35 @@ def coverage_complete(files: DataFrame) -> Column:
 EXTRACTED = "path string, format string, state string, title string, contributors array<string>, language string, identifiers map<string,string>, extra map<string,array<string>>, error_code string, diagnostic string, bytes_read long"
 
 
+def _facts(path: str) -> tuple | None:
+    try:
+        s = os.stat(path)
+        return s.st_size, s.st_mtime_ns, s.st_ino
+    except OSError:
+        return None
+
+
+def read_stable(whole: str, fmt: str, read: Callable | None = None) -> tuple:
+    """(state, record, error code, diagnostic, bytes read): EXTRACTED, FAILED, or DEFERRED if the file isn't after reading what it was before."""
+    from .parsers import parse
+
+    before = _facts(whole)
+    record, code, text, n = (read or parse)(whole, fmt)
+    if before is None or before != _facts(whole):
+        return "DEFERRED", None, "FILE_UNSTABLE", "the file changed while it was read", n
+    return ("EXTRACTED" if record else "FAILED"), record, code, text, n
+
+
 def extracted(files: DataFrame, root: str) -> DataFrame:
     """The metadata of files (path, format, byte_size, modified_at): state EXTRACTED, FAILED, or DEFERRED if the file changed meanwhile."""
 
     def work(batches):
         import pyarrow as pa
 
-        from .parsers import parse
-
-        def facts(path):
-            try:
-                s = os.stat(path)
-                return s.st_size, s.st_mtime_ns, s.st_ino
-            except OSError:
-                return None
-
         for batch in batches:
             rows = []
             for path, fmt in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                whole = os.path.join(root, path)
-                before = facts(whole)
-                record, code, text, n = parse(whole, fmt)
-                if before is None or before != facts(whole):
-                    record, code, text, state = None, "FILE_UNSTABLE", "the file changed while it was read", "DEFERRED"
-                else:
-                    state = "EXTRACTED" if record else "FAILED"
+                state, record, code, text, n = read_stable(os.path.join(root, path), fmt)
                 r = record or {}
                 rows.append((path, fmt, state, r.get("title"), r.get("contributors"), r.get("language"), list(r["identifiers"].items()) if record else None, list(r["extra"].items()) if record else None, code, text, n))
             text_list = pa.list_(pa.string())
@@ -133,6 +139,65 @@ def extracted(files: DataFrame, root: str) -> DataFrame:
     return files.where("problem is null").select("path", "format").mapInArrow(work, EXTRACTED)
 
 
+def opened(root: str, path: str) -> int:
+    """A descriptor of a file below root. Each component is opened in the one before, and none is a link; so what is checked is what is read.
+
+    Raises PermissionError for a link or a path that leaves the root, and another OSError for what isn't there.
+    """
+    parts = path.split("/")
+    if any(p in ("", ".", "..") for p in parts) or "\0" in path:
+        raise PermissionError(errno.EPERM, "the path leaves its root")
+    at = os.open(root, os.O_RDONLY | os.O_DIRECTORY)
+    try:
+        for k, name in enumerate(parts):
+            last = k == len(parts) - 1
+            try:
+                below = os.open(name, os.O_RDONLY | os.O_NOFOLLOW | (os.O_NONBLOCK if last else os.O_DIRECTORY), dir_fd=at)
+            except OSError as e:
+                if stat.S_ISLNK(os.lstat(name, dir_fd=at).st_mode):
+                    raise PermissionError(errno.EPERM, "a link isn't followed") from e
+                raise
+            os.close(at)
+            at = below
+        return at
+    except BaseException:
+        os.close(at)
+        raise
+
+
+def checked_fact(root: str, path: str, byte_size: int, modified_us: int, file_key: str | None) -> str:
+    """OK, PATH_ESCAPE, UNAVAILABLE, or UNSTABLE if size, time (by more than a microsecond) or file key aren't those that were recorded."""
+    try:
+        at = opened(root, path)
+    except PermissionError as e:
+        return "PATH_ESCAPE" if e.errno == errno.EPERM else "UNAVAILABLE"
+    except (OSError, ValueError):
+        return "UNAVAILABLE"
+    try:
+        s = os.fstat(at)
+        if not stat.S_ISREG(s.st_mode):
+            return "UNAVAILABLE"
+        same = s.st_size == byte_size and abs(s.st_mtime_ns - modified_us * 1000) <= 1000 and (file_key is None or file_key == f"{s.st_dev}:{s.st_ino}")
+        return "OK" if same else "UNSTABLE"
+    finally:
+        os.close(at)
+
+
+def checked_facts(locations: DataFrame, root: str) -> DataFrame:
+    """(path, fact) of locations (path, byte_size, modified_at, file_key): whether each may be read as what was catalogued."""
+    source = locations.select("path", F.col("byte_size").cast("long"), F.unix_micros(F.col("modified_at").cast("timestamp")).alias("modified"), "file_key")
+
+    def work(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            facts = ["UNAVAILABLE" if path is None or size is None or at is None else checked_fact(root, path, size, at, key) for path, size, at, key in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(facts, pa.string())], names=["path", "fact"])
+
+    return source.mapInArrow(work, "path string, fact string")
+
+
 def validated_epubs(files: DataFrame, root: str) -> DataFrame:
     """(path, problem): a row for each reason not to publish a converted EPUB."""
 

@@ -78,7 +78,8 @@ class BoundedFile(io.RawIOBase):
         return data
 
     def close(self):
-        self.file.close()
+        if hasattr(self, "file"):
+            self.file.close()
         super().close()
 
 
