@@ -173,3 +173,22 @@ def metrics(outcomes: DataFrame) -> DataFrame:
 
 def oldest_first(tasks: DataFrame, key: str) -> DataFrame:
     return first_per_group(tasks.where("state = 'QUEUED'"), [key], [F.col("sequence"), F.col("task_id")])
+
+
+def exhausted(jobs: DataFrame, now: Column, most_attempts: int) -> DataFrame:
+    """(job_id, root_id, path) of running jobs whose lease has run out with their attempts used up."""
+    return jobs.where((F.col("state") == "RUNNING") & (F.col("lease_until") <= now) & (F.col("attempts") >= most_attempts)).select("job_id", "root_id", "path")
+
+
+def jobs_failed(jobs: DataFrame, changed: DataFrame, code: str) -> DataFrame:
+    """jobs after those in `changed` (job_id) failed: without a lease, with the code."""
+    hit = changed.select("job_id", F.lit(True).alias("_hit"))
+    both = jobs.join(hit, "job_id", "left")
+    return both.withColumns({"state": F.when(F.col("_hit"), "FAILED_SAFE").otherwise(F.col("state")), "lease_until": F.when(F.col("_hit").isNull(), F.col("lease_until")), "code": F.when(F.col("_hit"), code).otherwise(F.col("code"))}).drop("_hit").select(jobs.columns)
+
+
+def assets_failed(assets: DataFrame, locations: DataFrame, changed: DataFrame) -> DataFrame:
+    """assets whose metadata_state is FAILED_SAFE where a location (asset_id, root_id, path) is that of a job in `changed`."""
+    hit = locations.join(changed.select("root_id", "path").distinct(), ["root_id", "path"], "left_semi").select("asset_id").distinct().withColumn("_hit", F.lit(True))
+    both = assets.join(hit, "asset_id", "left")
+    return both.withColumn("metadata_state", F.when(F.col("_hit"), "FAILED_SAFE").otherwise(F.col("metadata_state"))).select(assets.columns)

@@ -10,12 +10,13 @@ writers; a store that copies instead needs one writer at a time.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .primitives import first_per_group, insert_absent
+from .primitives import first_per_group, insert_absent, written
 
 _RECORD = "name string, folder string"
 #: The one table of replaced(), and of appended().
@@ -86,6 +87,18 @@ def current_all(spark: SparkSession, at: str, version: int | None = None) -> tup
     return version, {name: spark.read.parquet(f"{at}/{folder}") for name, folder in names.items()}
 
 
+def changed_once(spark: SparkSession, at: str, change: Callable[[dict[str, DataFrame]], DataFrame], results: dict[str, Callable[[DataFrame, DataFrame], DataFrame]]) -> DataFrame:
+    """Changes several tables at `at` by one set of rows, and returns it.
+
+    change(tables) says what changes. It is computed once and stored, so that however uncertain it is (a random token, the
+    time), results[name](table, changed) see the same rows; the tables become current together.
+    """
+    version, tables = current_all(spark, at)
+    changed = written(change(tables), "changed")
+    replaced_all({name: after(tables[name], changed) for name, after in results.items()}, at, expected=version)
+    return changed
+
+
 def replaced(df: DataFrame, at: str) -> int:
     """Writes df as the next version of the only table at `at` and makes it current; returns the version."""
     return replaced_all({_ONLY: df}, at)
