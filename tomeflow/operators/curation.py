@@ -109,3 +109,11 @@ def curation_documents(works: DataFrame, titles: DataFrame, contributors: DataFr
         newest = audit.withColumn("_nth", F.row_number().over(Window.partitionBy("work_id").orderBy(F.col("at").desc(), "event"))).where(F.col("_nth") <= MOST_AUDIT)
         documents = documents.join(nested(newest, ["_nth"], ["at", "event"], "audit"), "work_id", "left")
     return documents
+
+
+def open_reviews(reviews: DataFrame, visible: DataFrame, most: int) -> DataFrame:
+    """The oldest open reviews (review_id, state, subject_type, subject_id, created_at) of subjects that a user sees; most: 1 to 100."""
+    if not 1 <= most <= 100:
+        raise ValueError("a list of reviews has 1 to 100 entries")
+    seen = visible.select("subject_type", "subject_id").distinct()
+    return reviews.where("state = 'OPEN'").join(seen, ["subject_type", "subject_id"], "left_semi").orderBy("created_at", "review_id").limit(most)

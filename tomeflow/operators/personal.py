@@ -14,6 +14,51 @@ def favorites_added(favorites: DataFrame, requests: DataFrame, visible: DataFram
     return favorites.unionByName(insert_absent(favorites, allowed, ["user_id", "work_id"], [F.col("added_at")]))
 
 
+def favorites_removed(favorites: DataFrame, removals: DataFrame, key: str = "work_id") -> DataFrame:
+    """favorites without those of the removals (user_id, key); one that isn't there changes nothing."""
+    return favorites.join(removals.select("user_id", key).distinct(), ["user_id", key], "left_anti")
+
+
+def visible_contributors(visible: DataFrame, links: DataFrame) -> DataFrame:
+    """(user_id, contributor_id) of contributors of a work that the user sees (user_id, work_id)."""
+    return links.select("work_id", "contributor_id").distinct().join(visible, "work_id").select("user_id", "contributor_id").distinct()
+
+
+def favorite_contributors(favorites: DataFrame, contributors: DataFrame, visible: DataFrame, links: DataFrame) -> DataFrame:
+    """(user_id, contributor_id, display_name, added_at, place) of the favourites (user_id, contributor_id, added_at) that are shown, by name.
+
+    A favourite is shown while its user sees a work of the contributor; only the favourites' own works are looked at.
+    """
+    works = favorites.select("user_id", "contributor_id").distinct().join(links.select("work_id", "contributor_id").distinct(), "contributor_id")
+    seen = works.join(visible, ["user_id", "work_id"], "left_semi").select("user_id", "contributor_id").distinct()
+    shown = favorites.join(seen, ["user_id", "contributor_id"], "left_semi").join(contributors.select("contributor_id", "display_name"), "contributor_id")
+    return shown.withColumn("place", position(["user_id"], [F.lower("display_name"), F.col("contributor_id")]))
+
+
+def collections_updated(collections: DataFrame, members: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(collections, members, refused) after updates (collection_id, user_id, name, ordered, expected_version), one a collection.
+
+    An update is refused with NOT_FOUND for a collection that isn't the user's, CONFLICT for another version, NAME_EXISTS where
+    the user has a collection of that name, without case. A collection that becomes ordered gets places, one that no longer
+    is loses them.
+    """
+    now = collections.select("collection_id", "user_id", F.col("version").alias("_version"), F.col("ordered").alias("_ordered"))
+    known = updates.join(now, ["collection_id", "user_id"], "left")
+    name = F.lower(F.trim(F.regexp_replace("name", r"\s+", " ")))
+    others = collections.select("user_id", F.lower("name").alias("_name"), F.col("collection_id").alias("_other"))
+    taken = known.withColumn("_name", name).join(others, ["user_id", "_name"]).where("_other <> collection_id").select("collection_id", F.lit(True).alias("_taken")).distinct()
+    problem = F.when(F.col("_version").isNull(), "NOT_FOUND").when(F.col("_version") != F.col("expected_version"), "CONFLICT").when(F.col("_taken"), "NAME_EXISTS")
+    judged = known.join(taken, "collection_id", "left").withColumn("problem", problem)
+    fine = judged.where("problem is null")
+    fresh = fine.select("collection_id", F.trim(F.regexp_replace("name", r"\s+", " ")).alias("_name"), F.col("ordered").alias("_to"))
+    after = collections.join(fresh, "collection_id", "left").withColumns(
+        {"name": F.coalesce("_name", "name"), "ordered": F.coalesce("_to", "ordered"), "version": F.col("version") + F.col("_to").isNotNull().cast("int")}
+    )
+    placed = made_ordered(members, fine.where("ordered and not _ordered"))
+    placed = made_unordered(placed, fine.where("not ordered and _ordered"))
+    return after.select(collections.columns), placed, judged.where("problem is not null").select("collection_id", "problem")
+
+
 def read_states(states: DataFrame, changes: DataFrame, editions: DataFrame) -> DataFrame:
     """Read states (user_id, work_id, edition_id, state, version) after changes; an edition must be the work's."""
     fits = changes.join(editions.select("edition_id", F.col("work_id").alias("_work")), "edition_id", "left").where(F.col("edition_id").isNull() | (F.col("_work") == F.col("work_id"))).drop("_work")

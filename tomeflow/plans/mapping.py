@@ -247,6 +247,22 @@ CTES = {
     "turn_": "SELECT conv_id * 100 + turn AS child, conv_id * 100 + turn - 1 AS parent FROM conversations WHERE turn > 0",
     "turn_lineage": "SELECT child AS start, parent AS ancestor FROM turn_ UNION SELECT l.start, e.parent FROM turn_lineage l JOIN turn_ e ON l.ancestor = e.child",
     "member": "SELECT o_custkey AS collection_id, o_orderkey AS work_id, o_orderdate AS added_at, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS position FROM orders",
+    # of an extracted batch: each second file, of which each second one has grown
+    "batch_file": """SELECT *, asset_id % 4 = 0 AS fresh, root_id || '|' || path AS place, root_id || '|' || path || '|' || (byte_size + CASE WHEN asset_id % 4 = 0 THEN 1 ELSE 0 END) || '|1767398400000000' AS key FROM location WHERE asset_id % 2 = 0""",
+    # folds of commands, one after the other
+    "lease_event": """SELECT user_id * 8 + event_id % 8 AS task_id, row_number() OVER (PARTITION BY user_id * 8 + event_id % 8 ORDER BY event_id) AS n, 't' || event_id // 8 % 2 AS token, ts AS moment,
+        CASE WHEN event_type = 'view' OR event_type = 'signup' AND event_id % 3 <> 0 THEN 'CLAIM' WHEN event_type = 'signup' THEN 'CANCEL' WHEN event_type = 'click' THEN 'HEARTBEAT' WHEN event_type = 'purchase' THEN 'COMPLETE' ELSE 'FAIL' END AS kind FROM events""",
+    "lease_state": """SELECT DISTINCT task_id, CAST(0 AS BIGINT) AS n, 'QUEUED' AS state, CAST(NULL AS VARCHAR) AS token, 0 AS attempts, CAST(NULL AS TIMESTAMP) AS heartbeat, false AS cancelled FROM lease_event
+        UNION ALL SELECT s.task_id, e.n, CASE WHEN e.kind = 'CLAIM' AND s.state = 'QUEUED' THEN 'RUNNING' WHEN e.kind IN ('COMPLETE', 'FAIL') AND s.state = 'RUNNING' AND s.token = e.token THEN CASE WHEN e.kind = 'FAIL' THEN 'FAILED' WHEN s.cancelled THEN 'CANCELLED' ELSE 'SUCCEEDED' END
+                WHEN e.kind = 'CANCEL' AND s.state = 'QUEUED' THEN 'CANCELLED' ELSE s.state END,
+            CASE WHEN e.kind = 'CLAIM' AND s.state = 'QUEUED' THEN e.token ELSE s.token END, s.attempts + CASE WHEN e.kind = 'CLAIM' AND s.state = 'QUEUED' THEN 1 ELSE 0 END,
+            CASE WHEN e.kind = 'CLAIM' AND s.state = 'QUEUED' OR e.kind = 'HEARTBEAT' AND s.state = 'RUNNING' AND s.token = e.token THEN e.moment ELSE s.heartbeat END, s.cancelled OR e.kind = 'CANCEL' AND s.state = 'RUNNING'
+            FROM lease_state s JOIN lease_event e ON e.task_id = s.task_id AND e.n = s.n + 1""",
+    "edit_event": """SELECT user_id * 4 + event_id % 4 AS subject_id, row_number() OVER (PARTITION BY user_id * 4 + event_id % 4 ORDER BY event_id) AS n, event_type NOT IN ('purchase', 'click', 'view') AS undo, event_type || event_id AS value FROM events""",
+    "edit_state": """SELECT DISTINCT subject_id, CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS vals, CAST([] AS INTEGER[]) AS priors, -1 AS cur, 0 AS conflicts FROM edit_event
+        UNION ALL SELECT s.subject_id, e.n, CASE WHEN e.undo THEN CASE WHEN s.cur >= 0 AND s.priors[s.cur + 1] >= 0 THEN list_append(s.vals, s.vals[s.priors[s.cur + 1] + 1]) ELSE s.vals END ELSE list_append(s.vals, e.value) END,
+            CASE WHEN NOT e.undo OR s.cur >= 0 AND s.priors[s.cur + 1] >= 0 THEN list_append(s.priors, s.cur) ELSE s.priors END, CASE WHEN NOT e.undo OR s.cur >= 0 AND s.priors[s.cur + 1] >= 0 THEN CAST(len(s.vals) AS INTEGER) ELSE -1 END,
+            s.conflicts + CASE WHEN e.undo AND s.cur < 0 THEN 1 ELSE 0 END FROM edit_state s JOIN edit_event e ON e.subject_id = s.subject_id AND e.n = s.n + 1""",
     # visibility
     "denied_asset": "SELECT DISTINCT user_id, asset_id FROM location JOIN deny USING (root_id)",
     "denied_lineage": "SELECT DISTINCT user_id, start AS asset_id FROM lineage JOIN denied_asset ON ancestor = asset_id",

@@ -81,30 +81,23 @@ def normalized_facts(c):
     return evidence.facts(c.observation).select("observation_id", "valid", "value", "type", "confidence", "problem")
 
 
-#: (field, observed, value or null, type, confidence): what the rules say of single values, valid ones and others.
-NORMALISED = (
-    ("title", " A\u00a0 b\n\tc ", "A b c", "TITLE", "EXACT"), ("title", " \n ", None, "TEXT", "UNKNOWN"), ("pages", " 12  a", "12 a", "TEXT", "UNKNOWN"),
-    ("contributor", "Ann  Lee", "Ann Lee", "CONTRIBUTOR:AUTHOR", "HIGH"), ("contributor:editor", "E  D", "E D", "CONTRIBUTOR:EDITOR", "HIGH"), ("contributor:narrator", "N", "N", "CONTRIBUTOR:OTHER", "HIGH"), ("contributor:", "N", "N", "CONTRIBUTOR:OTHER", "HIGH"),
-    ("language", "zh-hant-tw", "zh-Hant-TW", "BCP47", "EXACT"), ("language", "en_GB", None, "BCP47", "UNKNOWN"), ("language", "English", None, "BCP47", "UNKNOWN"), ("language", "und", None, "BCP47", "UNKNOWN"), ("language", "EN-us-x9", "en-US", "BCP47", "EXACT"),
-    ("language", "iw-IL", "he-IL", "BCP47", "EXACT"), ("language", "art-lojban", "jbo", "BCP47", "EXACT"), ("language", "zh-cmn-hans", "cmn-Hans", "BCP47", "EXACT"), ("language", "de-1996", "de-1996", "BCP47", "EXACT"), ("language", "es-419", "es-419", "BCP47", "EXACT"),
-    ("identifier:isbn", "0-306-40615-2", "0306406152", "ISBN_10", "EXACT"), ("identifier:isbn-10", "080442957x", "080442957X", "ISBN_10", "EXACT"), ("identifier:isbn", "9780306406157", None, "ISBN_10", "UNKNOWN"),
-    ("identifier:isbn13", "978 0306406157", "9780306406157", "ISBN_13", "EXACT"), ("identifier:isbn13", "9780000000000", None, "ISBN_13", "UNKNOWN"), ("identifier:isbn-13", "1234567890128", "1234567890128", "ISBN_13", "EXACT"),
-    ("identifier:doi", "10.1000/ABC", "10.1000/abc", "DOI", "EXACT"), ("identifier:doi", "11.1000/abc", None, "DOI", "UNKNOWN"), ("identifier:doi", "10.1000/a b", None, "DOI", "UNKNOWN"),
-    ("identifier:uuid", "1-2-3-4-ABC", "00000001-0002-0003-0004-000000000abc", "UUID", "EXACT"), ("identifier:uuid", "no-uuid", None, "UUID", "UNKNOWN"),
-    ("identifier:uri", "http://h/a/./b/../c", "http://h/a/c", "URI", "EXACT"), ("identifier:url", "http://h/../a//b", "http://h/../a/b", "URI", "EXACT"), ("identifier:uri", "relative/x", None, "URI", "UNKNOWN"), ("identifier:uri", "http://h/a b", None, "URI", "UNKNOWN"),
-    ("identifier:uri", "http://h/%zz", None, "URI", "UNKNOWN"), ("identifier:uri", "urn:isbn:1", "urn:isbn:1", "URI", "EXACT"), ("identifier:uri", "http://h/\u00e9", "http://h/%C3%A9", "URI", "EXACT"), ("identifier:uri", "http://h/a/b/..", "http://h/a/", "URI", "EXACT"),
-    ("identifier:source", "any  thing", "any thing", "SOURCE_LOCAL", "HIGH"), ("identifier:Source_Local", "x", "x", "SOURCE_LOCAL", "HIGH"), ("identifier:source:id", "x", "x", "OTHER", "UNKNOWN"), ("identifier:shelf", "x  1", "x 1", "OTHER", "UNKNOWN"),
-)
-
-
-def _literal(x: str | None) -> str:
-    return "NULL" if x is None else "'" + x.replace("'", "''") + "'"
-
-
-@query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_literal, (f, o, v, t, c))) + ")" for f, o, v, t, c in NORMALISED) + ") AS rules(field, observed, value, type, confidence)")
+@query("""SELECT observation_id, value, type, confidence FROM (
+    SELECT 'c' || doc_id AS observation_id, source || ' ' || lang AS value, 'CONTRIBUTOR:' || CASE doc_id % 6 WHEN 0 THEN 'AUTHOR' WHEN 1 THEN 'EDITOR' WHEN 2 THEN 'TRANSLATOR' WHEN 3 THEN 'OTHER' WHEN 4 THEN 'OTHER' ELSE 'ILLUSTRATOR' END AS type, 'HIGH' AS confidence FROM documents
+    UNION ALL SELECT 'u' || doc_id, CASE doc_id % 4 WHEN 0 THEN 'http://' || source || '/' || lang || '/' || doc_id WHEN 1 THEN 'http://' || source || '/%C3%A9/' || doc_id || '?q=' || lang END, 'URI', CASE WHEN doc_id % 4 < 2 THEN 'EXACT' ELSE 'UNKNOWN' END FROM documents)""")
 def normaliser_rules(c):
-    given = c.spark.createDataFrame([(f, o) for f, o, *_ in NORMALISED], "field string, value string")
-    return evidence.facts(given).select("field", "observed", "value", "type", "confidence")
+    """Roles and addresses made of each document's columns: written in any case, with dots and letters beyond ASCII, relative, or with a blank."""
+    i = F.col("doc_id")
+    role = F.element_at(F.array(*map(F.lit, ("contributor", "contributor:editor", "contributor:TRANSLATOR", "contributor:ghost", "contributor:", "contributor:Illustrator"))), (i % 6 + 1).cast("int"))
+    people = c.documents.select(F.concat(F.lit("c"), i.cast("string")).alias("observation_id"), role.alias("field"), F.concat(F.lit(" "), "source", F.lit(" \n"), "lang").alias("value"))
+    whole = F.concat(F.lit("http://"), "source")
+    address = (
+        F.when(i % 4 == 0, F.concat(whole, F.lit("/./x/../"), "lang", F.lit("/"), i.cast("string")))
+        .when(i % 4 == 1, F.concat(whole, F.lit("/\u00e9/"), i.cast("string"), F.lit("?q="), "lang"))
+        .when(i % 4 == 2, F.concat("source", F.lit("/"), i.cast("string")))
+        .otherwise(F.concat(whole, F.lit("/a "), i.cast("string")))
+    )
+    links = c.documents.select(F.concat(F.lit("u"), i.cast("string")).alias("observation_id"), F.lit("identifier:uri").alias("field"), address.alias("value"))
+    return evidence.facts(people.unionByName(links)).select("observation_id", "value", "type", "confidence")
 
 
 @query("SELECT subject_type, subject_id, field, outcome, value, alternatives FROM resolved")
@@ -112,11 +105,22 @@ def resolved_values(c):
     return _resolved(c).withColumn("alternatives", F.array_join("alternatives", ","))
 
 
-@query("""SELECT kind, count(*) AS n FROM (SELECT 'INVALID_VALUE' AS kind, subject_type, subject_id, field, observation_id FROM fact WHERE norm IS NULL
-    UNION ALL SELECT 'CONFLICT', subject_type, subject_id, field, '' FROM resolved WHERE outcome = 'CONFLICT' ORDER BY subject_type, subject_id, field, observation_id, kind LIMIT 1000) GROUP BY kind""")
+@query("""SELECT * FROM (SELECT 'INVALID_VALUE' AS kind, subject_type, subject_id, field, observation_id FROM fact WHERE norm IS NULL
+    UNION ALL SELECT 'CONFLICT', subject_type, subject_id, field, '' FROM resolved WHERE outcome = 'CONFLICT') ORDER BY subject_type, subject_id, field, observation_id, kind LIMIT 1000""")
 def review_queue(c):
+    """The reviews that are opened by a first run: the queue holds 1,000."""
+    facts = evidence.facts(c.observation)
+    return evidence.reviews(facts, evidence.resolved(facts)).select("kind", "subject_type", "subject_id", "field", "observation_id")
+
+
+@query("""SELECT * FROM (SELECT 'INVALID_VALUE' AS kind, subject_type, subject_id, field, observation_id FROM fact WHERE norm IS NULL AND NOT (field = 'language' AND subject_id % 2 = 0)
+    UNION ALL SELECT 'CONFLICT', subject_type, subject_id, field, '' FROM resolved WHERE outcome = 'CONFLICT')
+    ORDER BY subject_type, subject_id, field, observation_id, kind LIMIT (SELECT greatest(0, 1000 - count(*)) FROM fact WHERE norm IS NULL AND field = 'language' AND subject_id % 2 = 0)""")
+def reviews_beside_open_ones(c):
+    """What a later run opens: open reviews, here those of every second work's languages, aren't opened again and take up room."""
     facts = evidence.facts(c.observation)
-    return evidence.reviews(facts, evidence.resolved(facts)).groupBy("kind").agg(F.count("*").alias("n"))
+    known = facts.where("not valid and field = 'language' and subject_id % 2 = 0").select(F.lit("INVALID_VALUE").alias("kind"), "subject_type", "subject_id", "field", "observation_id")
+    return evidence.reviews(facts, evidence.resolved(facts), known).select("kind", "subject_type", "subject_id", "field", "observation_id")
 
 
 @query("""SELECT 'a' || doc_id AS set_id, field, value, ordinal FROM (
@@ -456,13 +460,22 @@ def personal_visible(c):
     return authz.visible_works(c.users, c.work, c.asset, c.location, c.deny, c.lineage, unmerged=False)
 
 
-@query("""SELECT user_id, subject_type, count(DISTINCT subject_id) AS n FROM (
+@query("""SELECT DISTINCT user_id, subject_type, CAST(subject_id AS VARCHAR) AS subject_id FROM (
     SELECT v.user_id, 'WORK' AS subject_type, v.work_id AS subject_id FROM visible_asset v JOIN work w USING (work_id) WHERE w.merged_into_id IS NULL
     UNION ALL SELECT user_id, 'EDITION', edition_id FROM visible_asset JOIN asset USING (asset_id, work_id) UNION ALL SELECT user_id, 'ASSET', asset_id FROM visible_asset
-    UNION ALL SELECT user_id, 'CONTRIBUTOR', contributor_id FROM visible_asset JOIN contributor USING (work_id)) GROUP BY ALL""")
+    UNION ALL SELECT user_id, 'CONTRIBUTOR', contributor_id FROM visible_asset JOIN contributor USING (work_id))""")
 def curation_visible(c):
-    seen = authz.curation_visible(c.users, c.asset, c.work, c.contributor, c.location, c.deny, c.lineage)
-    return seen.groupBy("user_id", "subject_type").agg(F.count("*").alias("n"))
+    return authz.curation_visible(c.users, c.asset, c.work, c.contributor, c.location, c.deny, c.lineage)
+
+
+@query("""SELECT observation_id, subject_id, created_at FROM (SELECT f.observation_id, f.subject_id, d.n_chars AS created_at FROM fact f JOIN documents d ON 'l-' || d.doc_id = f.observation_id
+    WHERE f.norm IS NULL AND f.field = 'language' AND f.subject_id IN (SELECT work_id FROM visible_asset JOIN work USING (work_id) WHERE user_id = 2 AND merged_into_id IS NULL)) ORDER BY created_at, observation_id LIMIT 100""")
+def open_reviews(c):
+    """The oldest 100 open reviews of works that a user may see."""
+    created = c.documents.select(F.concat(F.lit("l-"), F.col("doc_id").cast("string")).alias("observation_id"), F.col("n_chars").alias("created_at"))
+    reviews = evidence.facts(c.language_observation, ["language"]).where("not valid").join(created, "observation_id").select(F.col("observation_id").alias("review_id"), F.lit("OPEN").alias("state"), "subject_type", F.col("subject_id").cast("string").alias("subject_id"), "created_at")
+    seen = authz.curation_visible(c.users.where("user_id = 2"), c.asset, c.work, c.contributor, c.location, c.deny.where("user_id = 2"), c.lineage)
+    return curation.open_reviews(reviews, seen, 100).select(F.col("review_id").alias("observation_id"), F.col("subject_id").cast("long").alias("subject_id"), "created_at")
 
 
 @query("""SELECT u.user_id, w.work_id FROM users u, (SELECT work_id FROM asset JOIN location USING (asset_id) GROUP BY work_id HAVING bool_or(availability = 'AVAILABLE')) w
@@ -568,13 +581,22 @@ def change_detection(c):
     return ingest.detected_changes(found, known, "1").select("asset_id", "action")
 
 
-@query("""SELECT kind, count(*) AS n FROM (SELECT 'location' AS kind FROM location UNION ALL SELECT unnest(['work', 'edition', 'asset']) FROM location WHERE asset_id % 2 = 0 AND asset_id % 4 = 0 UNION ALL SELECT 'observation_set' FROM location WHERE asset_id % 2 = 0) GROUP BY kind""")
+@query("""SELECT 'location' AS kind, CAST(l.asset_id AS VARCHAR) AS id, CASE WHEN b.fresh THEN sha256('asset|' || b.key) ELSE CAST(l.asset_id AS VARCHAR) END AS of, (l.byte_size + CASE WHEN b.fresh THEN 1 ELSE 0 END) || ':' || CASE WHEN b.place IS NULL THEN '1:j0' ELSE '2:j1' END AS detail FROM location l LEFT JOIN batch_file b USING (asset_id)
+    UNION ALL SELECT 'work', sha256('work|' || key), NULL, split_part(path, '/', 3) FROM batch_file WHERE fresh UNION ALL SELECT 'edition', sha256('edition|' || key), sha256('work|' || key), NULL FROM batch_file WHERE fresh
+    UNION ALL SELECT 'asset', sha256('asset|' || key), sha256('edition|' || key), 'EPUB:' || (byte_size + 1) FROM batch_file WHERE fresh
+    UNION ALL SELECT 'observation_set', sha256('set|j1|' || place), CASE WHEN fresh THEN sha256('asset|' || key) ELSE CAST(asset_id AS VARCHAR) END, NULL FROM batch_fileatch_file""")
 def reconciled_batch(c):
+    """The second of two files is in the batch; of these each second one has grown, and becomes a new asset."""
     seen = c.location.select("asset_id", F.col("asset_id").cast("string").alias("location_id"), "root_id", "path", "byte_size", at(T3).alias("modified_at"))
     known = seen.select("location_id", F.col("asset_id").cast("string").alias("asset_id"), "root_id", "path", "byte_size", "modified_at", F.lit("1").alias("extraction_version"), F.lit("PROCESSED").alias("outcome"), F.lit("AVAILABLE").alias("availability"), F.lit("j0").alias("last_seen"))
     batch = seen.where("asset_id % 2 = 0").select("root_id", "path", (F.col("byte_size") + F.when(F.col("asset_id") % 4 == 0, 1).otherwise(0)).alias("byte_size"), "modified_at", F.lit("2").alias("extraction_version"), F.lit("EPUB").alias("format"), F.lit(None).cast("string").alias("title"))
     after = ingest.reconciled(known, batch, "j1")
-    return primitives.union_all(*[df.select(F.lit(k).alias("kind")) for k, df in after.items()]).groupBy("kind").agg(F.count("*").alias("n"))
+    none = F.lit(None).cast("string")
+    shown = {
+        "location": ("location_id", F.col("asset_id"), F.concat_ws(":", F.col("byte_size").cast("string"), "extraction_version", "last_seen")), "work": ("work_id", none, F.col("provisional_title")), "edition": ("edition_id", F.col("work_id"), none),
+        "asset": ("asset_id", F.col("edition_id"), F.concat_ws(":", "format", F.col("byte_size").cast("string"))), "observation_set": ("set_id", F.col("asset_id"), none),
+    }
+    return primitives.union_all(*[after[k].select(F.lit(k).alias("kind"), F.col(i).alias("id"), of.alias("of"), detail.alias("detail")) for k, (i, of, detail) in shown.items()])
 
 
 @query("SELECT asset_id, CASE WHEN asset_id % 3 = 0 THEN availability ELSE 'MISSING' END AS availability FROM location")
@@ -671,14 +693,13 @@ def scan_claim(c):
     return queue.scan_claimed(jobs, at(NOW), F.expr("interval 1 hour")).select("job_id")
 
 
-@query("""SELECT user_id AS task_id, 'SUCCEEDED' AS state, 1 AS attempts FROM (SELECT DISTINCT user_id FROM events) WHERE user_id % 3 = 0
-    UNION ALL SELECT user_id, 'RUNNING', 1 FROM (SELECT DISTINCT user_id FROM events) WHERE user_id % 3 = 1 UNION ALL SELECT user_id, 'CANCELLED', 0 FROM (SELECT DISTINCT user_id FROM events) WHERE user_id % 3 = 2""")
+@query("SELECT DISTINCT ON (task_id) task_id, state, attempts, heartbeat, cancelled FROM lease_state ORDER BY task_id, n DESC")
 def lease_fold(c):
-    tasks = c.table("events").select(F.col("user_id").alias("task_id")).distinct()
-    steps = F.when(F.col("task_id") % 3 == 0, F.lit("CLAIM:a,HEARTBEAT:a,FAIL:stale,CANCEL:,COMPLETE:a")).when(F.col("task_id") % 3 == 1, F.lit("CLAIM:b,COMPLETE:stale,CLAIM:c")).otherwise(F.lit("CANCEL:,CLAIM:d"))
-    steps = F.when(F.col("task_id") % 3 == 0, F.lit("CLAIM:a,HEARTBEAT:a,FAIL:stale,COMPLETE:a,CANCEL:")).otherwise(steps)
-    events = tasks.select("task_id", F.posexplode(F.split(steps, ",")).alias("sequence", "e")).select("task_id", "sequence", F.split_part("e", F.lit(":"), F.lit(1)).alias("kind"), F.split_part("e", F.lit(":"), F.lit(2)).alias("token"), at(NOW).alias("at"))
-    return queue.folded(events).select("task_id", "state", "attempts")
+    """Events as commands of eight tasks a user: views and most signups claim, other signups cancel, clicks are heartbeats, purchases complete and errors fail, under one of two tokens."""
+    i, kind = F.col("event_id"), F.col("event_type")
+    name = F.when((kind == "view") | (kind == "signup") & (i % 3 != 0), "CLAIM").when(kind == "signup", "CANCEL").when(kind == "click", "HEARTBEAT").when(kind == "purchase", "COMPLETE").otherwise("FAIL")
+    events = c.table("events").select((F.col("user_id") * 8 + i % 8).alias("task_id"), i.alias("sequence"), name.alias("kind"), F.concat(F.lit("t"), (F.expr("event_id div 8") % 2).cast("string")).alias("token"), F.col("ts").alias("at"))
+    return queue.folded(events).select("task_id", "state", "attempts", "heartbeat", "cancelled")
 
 
 @query("SELECT state, CASE WHEN state = 'FAILED' THEN 'E' || (sequence % 3) ELSE 'NONE' END AS code, count(*) AS n FROM outcome GROUP BY ALL")
@@ -717,11 +738,12 @@ QUERIES["worker_jobs"] = lambda spark, sf_dir: worker_jobs(DriverCatalog(spark,
 # --- curation, recovery, personal -------------------------------------------------------------------------------
 
 
-@query("""SELECT user_id AS subject_id, CASE WHEN n % 3 = 0 THEN NULL ELSE 'first' END AS value, CAST(CASE n % 3 WHEN 2 THEN 3 ELSE 1 END AS BIGINT) AS version, n % 3 <> 0 AS active, CASE WHEN n % 3 = 0 THEN 2 ELSE 0 END AS conflicts FROM (SELECT DISTINCT user_id, user_id AS n FROM events)""")
+@query("""SELECT DISTINCT ON (subject_id) subject_id, CASE WHEN cur >= 0 THEN vals[cur + 1] END AS value, CAST(len(vals) AS BIGINT) AS version, cur >= 0 AS active, conflicts FROM edit_state ORDER BY subject_id, n DESC""")
 def title_overrides(c):
-    users = c.table("events").select(F.col("user_id").alias("subject_id")).distinct()
-    log = F.when(F.col("subject_id") % 3 == 0, F.lit("UNDO:,SET:first,UNDO:,UNDO:")).when(F.col("subject_id") % 3 == 1, F.lit("SET:first")).otherwise(F.lit("SET:first,SET:second,UNDO:"))
-    edits = users.select("subject_id", F.posexplode(F.split(log, ",")).alias("sequence", "e")).select("subject_id", "sequence", F.split_part("e", F.lit(":"), F.lit(1)).alias("kind"), F.split_part("e", F.lit(":"), F.lit(2)).alias("value"))
+    """Events as edits of four titles a user: purchases and clicks set it, all others undo."""
+    i = F.col("event_id")
+    sets = F.col("event_type").isin("purchase", "click", "view")
+    edits = c.table("events").select((F.col("user_id") * 4 + i % 4).alias("subject_id"), i.alias("sequence"), F.when(sets, "SET").otherwise("UNDO").alias("kind"), F.when(sets, F.concat("event_type", i.cast("string"))).otherwise(F.lit("")).alias("value"))
     return curation.folded_overrides(edits)
 
 
@@ -891,6 +913,33 @@ def favorites(c):
     return personal.favorites_added(asked.where("false"), asked, visible).select("user_id", "work_id")
 
 
+@query("""SELECT f.user_id, f.contributor_id, lower(s_name) AS name, CAST(row_number() OVER (PARTITION BY f.user_id ORDER BY lower(s_name), f.contributor_id) - 1 AS INTEGER) AS place FROM lib_favorite f JOIN supplier ON s_suppkey = f.contributor_id
+    WHERE (f.user_id + f.contributor_id) % 5 <> 0 AND EXISTS (SELECT 1 FROM lib_line l WHERE l.contributor_id = f.contributor_id AND (f.user_id + l.work_id) % 40 = 0)""")
+def favorite_contributors(c):
+    """Favourites by name: every fifth was removed, and those are shown of whose works the user sees one, here each fortieth."""
+    tables = Library(c).tables
+    favorites = tables["user_contributor_favorite"].withColumn("added_at", at(T1))
+    removed = favorites.where((F.col("user_id") + F.col("contributor_id")) % 5 == 0)
+    visible = c.table("customer").select(F.col("c_custkey").alias("user_id"), (F.col("c_custkey") % 40).alias("_class")).join(tables["work"].select("work_id", F.pmod(-F.col("work_id"), F.lit(40)).alias("_class")), "_class").select("user_id", "work_id")
+    people = c.table("supplier").select(F.col("s_suppkey").alias("contributor_id"), F.lower("s_name").alias("display_name"))
+    shown = personal.favorite_contributors(personal.favorites_removed(favorites, removed, "contributor_id"), people, visible, tables["work_contributor"])
+    return shown.select("user_id", "contributor_id", F.col("display_name").alias("name"), "place")
+
+
+@query("""SELECT m.collection_id, m.work_id, CASE collection_id % 4 WHEN 0 THEN CAST(row_number() OVER (PARTITION BY collection_id ORDER BY added_at, work_id) - 1 AS INTEGER) WHEN 1 THEN NULL WHEN 2 THEN CAST(position AS INTEGER) END AS position,
+    CASE WHEN collection_id % 4 = 2 THEN 'CONFLICT' WHEN collection_id % 4 = 3 THEN 'NAME_EXISTS' END AS problem FROM member m""")
+def collection_toggles(c):
+    """Of four collections the first becomes ordered, the second unordered; the third is asked for with an old version, the fourth with a name its user has."""
+    kind = F.col("collection_id") % 4
+    members = c.member.withColumn("position", F.when(~kind.isin(0, 3), F.col("position")))
+    mine = members.select("collection_id").distinct()
+    collections = mine.select("collection_id", F.col("collection_id").alias("user_id"), F.lit("List").alias("name"), kind.isin(1, 2).alias("ordered"), F.lit(1).cast("bigint").alias("version"))
+    collections = collections.unionByName(collections.withColumns({"collection_id": -1 - F.col("collection_id"), "name": F.lit("Other")}))
+    updates = mine.select("collection_id", F.col("collection_id").alias("user_id"), F.when(kind == 3, "  OTHER ").otherwise("List  two").alias("name"), kind.isin(0, 2).alias("ordered"), F.when(kind == 2, 7).otherwise(1).cast("bigint").alias("expected_version"))
+    _, after, refused = personal.collections_updated(collections, members, updates)
+    return after.join(refused, "collection_id", "left").select("collection_id", "work_id", "position", "problem")
+
+
 @query("SELECT o_custkey AS user_id, o_orderkey AS work_id, CASE WHEN o_orderkey % 2 = 0 THEN 'READ' ELSE 'NEW' END AS state, CAST(CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END AS BIGINT) AS version FROM orders")
 def read_states(c):
     states = c.table("orders").select(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("work_id"), F.lit(None).cast("bigint").alias("edition_id"), F.lit("NEW").alias("state"), F.lit(1).cast("bigint").alias("version"))
@@ -979,8 +1028,17 @@ def content_addresses(c):
     return c.asset_with_hash.select("asset_id", ops.content_path("covers", F.col("content_hash"), "jpg").alias("path"), ops.route_key(F.col("content_hash"), "v1", F.lit("{}")).alias("route"))
 
 
-@query("SELECT state, count(*) AS n FROM task WHERE state IN ('QUEUED', 'RUNNING') GROUP BY state UNION ALL SELECT 'changed', count(*) FROM task WHERE state = 'QUEUED'")
+_SWEPT = f"SELECT task_id, root_id, path FROM task WHERE state = 'RUNNING' AND lease_until <= TIMESTAMP '{NOW}' AND attempts >= 3"
+
+
+@query(f"""SELECT 'job' AS kind, task_id AS id, CASE WHEN task_id IN (SELECT task_id FROM ({_SWEPT})) THEN 'FAILED_SAFE' ELSE state END AS state, CASE WHEN task_id IN (SELECT task_id FROM ({_SWEPT})) THEN 'PARSE_LIMIT_EXCEEDED' END AS code FROM task
+    UNION ALL SELECT 'asset', asset_id, CASE WHEN EXISTS (SELECT 1 FROM ({_SWEPT}) s WHERE s.root_id = l.root_id AND s.path = l.path) THEN 'FAILED_SAFE' ELSE 'PENDING' END, NULL FROM (SELECT min(task_id) AS asset_id, root_id, path FROM task GROUP BY root_id, path) l""")
 def update_returning(c):
-    changed = c.task.where("state = 'QUEUED'").select("task_id", F.lit("CLAIMED").alias("new"))
-    active = c.task.where(F.col("state").isin("QUEUED", "RUNNING")).groupBy("state").agg(F.count("*").alias("n"))
-    return active.unionByName(changed.agg(F.lit("changed").alias("state"), F.count("*").alias("n")))
+    """One set of jobs whose attempts are used up, stored once, fails the jobs and marks the assets they were for."""
+    jobs = c.task.select(F.col("task_id").alias("job_id"), "root_id", "path", "state", "attempts", "lease_until", F.lit(None).cast("string").alias("code"))
+    places = c.task.groupBy("root_id", "path").agg(F.min("task_id").alias("asset_id"))
+    assets = places.select("asset_id", F.lit("PENDING").alias("metadata_state"))
+    changed = primitives.written(queue.exhausted(jobs, at(NOW), 3), "swept")
+    after = queue.jobs_failed(jobs, changed, "PARSE_LIMIT_EXCEEDED").select(F.lit("job").alias("kind"), F.col("job_id").alias("id"), "state", "code")
+    marked = queue.assets_failed(assets, places, changed).select(F.lit("asset").alias("kind"), F.col("asset_id").alias("id"), F.col("metadata_state").alias("state"), F.lit(None).cast("string").alias("code"))
+    return after.unionByName(marked)
