@@ -584,7 +584,7 @@ def change_detection(c):
 @query("""SELECT 'location' AS kind, CAST(l.asset_id AS VARCHAR) AS id, CASE WHEN b.fresh THEN sha256('asset|' || b.key) ELSE CAST(l.asset_id AS VARCHAR) END AS of, (l.byte_size + CASE WHEN b.fresh THEN 1 ELSE 0 END) || ':' || CASE WHEN b.place IS NULL THEN '1:j0' ELSE '2:j1' END AS detail FROM location l LEFT JOIN batch_file b USING (asset_id)
     UNION ALL SELECT 'work', sha256('work|' || key), NULL, split_part(path, '/', 3) FROM batch_file WHERE fresh UNION ALL SELECT 'edition', sha256('edition|' || key), sha256('work|' || key), NULL FROM batch_file WHERE fresh
     UNION ALL SELECT 'asset', sha256('asset|' || key), sha256('edition|' || key), 'EPUB:' || (byte_size + 1) FROM batch_file WHERE fresh
-    UNION ALL SELECT 'observation_set', sha256('set|j1|' || place), CASE WHEN fresh THEN sha256('asset|' || key) ELSE CAST(asset_id AS VARCHAR) END, NULL FROM batch_fileatch_file""")
+    UNION ALL SELECT 'observation_set', sha256('set|j1|' || place), CASE WHEN fresh THEN sha256('asset|' || key) ELSE CAST(asset_id AS VARCHAR) END, NULL FROM batch_file""")
 def reconciled_batch(c):
     """The second of two files is in the batch; of these each second one has grown, and becomes a new asset."""
     seen = c.location.select("asset_id", F.col("asset_id").cast("string").alias("location_id"), "root_id", "path", "byte_size", at(T3).alias("modified_at"))
