@@ -10,6 +10,8 @@ from .primitives import first_per_group, insert_absent, union_all
 
 SUBJECT = ["subject_type", "subject_id", "field"]
 MOST_OPEN_REVIEWS = 1000
+#: What facts are made by. Facts of another name or version stay in their table and count no more.
+NORMALIZER = ("metadata", "1")
 
 
 def unpivot(extracted: DataFrame) -> DataFrame:
@@ -35,18 +37,28 @@ def unpivot(extracted: DataFrame) -> DataFrame:
 
 
 def facts(observations: DataFrame, fields: list[str] | None = None) -> DataFrame:
-    """Every observation, or those of `fields`, with its normalised fact: valid, value, type, confidence, problem."""
+    """Every observation, or those of `fields`, with its normalised fact: valid, value, type, confidence, problem, and what it was made by."""
     wanted = observations if fields is None else observations.where(F.col("field").isin(fields))
-    return with_facts(wanted.withColumnRenamed("value", "observed"), fields=fields)
+    name, version = NORMALIZER
+    return with_facts(wanted.withColumnRenamed("value", "observed"), fields=fields).withColumns({"normalizer": F.lit(name), "normalizer_version": F.lit(version)})
+
+
+def facts_added(stored: DataFrame, observations: DataFrame) -> DataFrame:
+    """stored facts with those of the observations that the current normaliser hasn't seen: new ones, and all once its version changes."""
+    name, version = NORMALIZER
+    seen = stored.where((F.col("normalizer") == name) & (F.col("normalizer_version") == version)).select("observation_id")
+    return stored.unionByName(facts(observations.join(seen, "observation_id", "left_anti")).select(stored.columns))
 
 
 def resolved(fact: DataFrame) -> DataFrame:
-    """(subject_type, subject_id, field, outcome, value, alternatives): over the whole history of observations.
+    """(subject_type, subject_id, field, outcome, value, alternatives, confidence): over the whole history of observations.
 
-    No valid value: ABSENT; one: PRESENT; several: CONFLICT without a value, alternatives the latest observation of
-    each value, by value.
+    Facts of the current normaliser count. No valid value: ABSENT; one: PRESENT, of HIGH confidence; several: CONFLICT
+    without a value, alternatives the latest observation of each value, by value. Otherwise confidence is UNKNOWN.
     """
-    resolvable = fact.where("field in ('title', 'language') or startswith(field, 'identifier:')")
+    name, version = NORMALIZER
+    current = fact.where((F.col("normalizer") == name) & (F.col("normalizer_version") == version))
+    resolvable = current.where("field in ('title', 'language') or startswith(field, 'identifier:')")
     latest = resolvable.groupBy(*SUBJECT, F.when(F.col("valid"), F.col("value")).alias("value")).agg(F.max(F.struct("observed_at", "observation_id"))["observation_id"].alias("latest"))
     merged = latest.groupBy(*SUBJECT).agg(F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("value", "latest")))).alias("found"))
     n = F.size("found")
@@ -55,6 +67,7 @@ def resolved(fact: DataFrame) -> DataFrame:
         F.when(n == 0, "ABSENT").when(n == 1, "PRESENT").otherwise("CONFLICT").alias("outcome"),
         F.when(n == 1, F.col("found")[0]["value"]).alias("value"),
         F.when(n > 1, F.transform("found", lambda x: x["latest"])).alias("alternatives"),
+        F.when(n == 1, "HIGH").otherwise("UNKNOWN").alias("confidence"),
     )
 
 
@@ -75,8 +88,7 @@ def reviews(fact: DataFrame, resolution: DataFrame, open_reviews: DataFrame | No
     """New review items (kind, subject_type, subject_id, field, observation_id, sequence), as many as `most` leaves room for.
 
     INVALID_VALUE for each observation that isn't valid, CONFLICT for each conflicting subject and field. Items
-    are taken in order of subject, field and observation. Room is counted over ranges of subjects, so that no
-    task sorts all items.
+    are taken in order of subject, field and observation: each task keeps its first ones, and those meet.
     """
     invalid = fact.where("not valid").select(F.lit("INVALID_VALUE").alias("kind"), *SUBJECT, "observation_id")
     conflict = resolution.where("outcome = 'CONFLICT'").select(F.lit("CONFLICT").alias("kind"), *SUBJECT, F.lit("").alias("observation_id"))

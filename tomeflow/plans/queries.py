@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import normalize as N
 from ..operators import authz, curation, evidence, ingest, merging, ops, personal, primitives, queue, recovery, search, views, workers
-from ..schemas import Expectation, counters_hold, image_within_bounds, lease_iff_running, path_is_clean, violations
+from ..schemas import Expectation, alias_is_clean, counters_hold, cover_path_is_clean, image_within_bounds, is_sha256, lease_iff_running, path_is_clean, staged_name_is_clean, violations
 from ..sources import files
 from .library import Library, listed
 from .mapping import T1, T2, T3, DriverCatalog, at, oracle
@@ -100,7 +100,7 @@ def normaliser_rules(c):
     return evidence.facts(people.unionByName(links)).select("observation_id", "value", "type", "confidence")
 
 
-@query("SELECT subject_type, subject_id, field, outcome, value, alternatives FROM resolved")
+@query("SELECT subject_type, subject_id, field, outcome, value, alternatives, CASE outcome WHEN 'PRESENT' THEN 'HIGH' ELSE 'UNKNOWN' END AS confidence FROM resolved")
 def resolved_values(c):
     return _resolved(c).withColumn("alternatives", F.array_join("alternatives", ","))
 
@@ -735,6 +735,29 @@ def worker_jobs(c):
 QUERIES["worker_jobs"] = lambda spark, sf_dir: worker_jobs(DriverCatalog(spark, sf_dir))
 
 
+@query("""SELECT 'digest' AS rule, doc_id AS key FROM documents WHERE doc_id % 5 = 0 UNION ALL SELECT 'alias', doc_id FROM documents WHERE doc_id % 3 = 0 OR NOT regexp_full_match(source, '[a-z][a-z0-9-]{0,62}')
+    UNION ALL SELECT 'staged', doc_id FROM documents WHERE doc_id % 7 = 0 UNION ALL SELECT 'cover', doc_id FROM documents WHERE doc_id % 4 = 0 AND substr(sha256(text), 1, 2) <> 'ab' OR doc_id % 4 = 1""")
+def pattern_rules(c):
+    """Digests, aliases, names of staged files and covers' paths made of the documents, some of them spoiled."""
+    i, sha = F.col("doc_id"), F.sha2("text", 256)
+    made = c.documents.select(
+        i.alias("key"), F.when(i % 5 == 0, F.upper(F.concat(F.substring(sha, 1, 63), F.lit("f")))).otherwise(sha).alias("digest"), F.when(i % 3 == 0, F.concat(F.lit("9"), "source")).otherwise(F.col("source")).alias("alias"),
+        F.concat(F.lpad(F.hex(i).alias("h"), 36, "0"), F.when(i % 7 == 0, ".epub").otherwise(".pdf")).alias("name"),
+        F.concat(F.lit("covers/"), F.when(i % 4 == 0, "ab").otherwise(F.substring(sha, 1, 2)), F.lit("/"), sha, F.when(i % 4 == 1, ".gif").otherwise(".jpg")).alias("path"),
+    ).withColumn("name", F.lower("name"))
+    rules = [Expectation("digest", is_sha256(F.col("digest"))), Expectation("alias", alias_is_clean(F.col("alias"))), Expectation("staged", staged_name_is_clean(F.col("name"), "pdf")), Expectation("cover", cover_path_is_clean(F.col("path")))]
+    return violations(made, "key", rules)
+
+
+@query("SELECT subject_type, subject_id, field, outcome, value FROM resolved WHERE subject_id % 2 = 1 UNION ALL SELECT subject_type, subject_id, field, outcome, value FROM resolved WHERE subject_id % 2 = 0")
+def facts_of_another_version(c):
+    """Facts that an older normaliser made, wrong ones, stand beside the current ones of every second subject; a run adds what is missing and counts the current ones."""
+    old = evidence.facts(c.observation).withColumns({"normalizer_version": F.lit("0"), "value": F.lit("wrong"), "valid": F.lit(True)})
+    some = evidence.facts(c.observation.where("subject_id % 2 = 0"))
+    stored = old.unionByName(some)
+    return evidence.resolved(evidence.facts_added(stored, c.observation)).select("subject_type", "subject_id", "field", "outcome", "value")
+
+
 # --- curation, recovery, personal -------------------------------------------------------------------------------
 
 

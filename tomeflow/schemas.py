@@ -45,6 +45,25 @@ def path_is_clean(path: Column) -> Column:
     return (F.length(path) > 0) & ~path.rlike(r"(^/|/$|//|\\)") & ~path.rlike(r"(^|/)\.{1,2}(/|$)")
 
 
+def is_sha256(digest: Column) -> Column:
+    return digest.rlike(r"^[0-9a-f]{64}$")
+
+
+def alias_is_clean(alias: Column) -> Column:
+    """A mount's alias: small letters, digits and hyphens, a letter first, 63 characters at most."""
+    return alias.rlike(r"^[a-z][a-z0-9-]{0,62}$")
+
+
+def staged_name_is_clean(name: Column, extension: str) -> Column:
+    """A staged file's name: 36 digits and hyphens of an id, and the extension."""
+    return name.rlike(rf"^[0-9a-f-]{{36}}\.{extension}$")
+
+
+def cover_path_is_clean(path: Column) -> Column:
+    """A content-addressed cover: its folder is named by the first two digits of its digest."""
+    return path.rlike(r"^covers/([0-9a-f]{2})/\1[0-9a-f]{62}\.(jpg|png)$")
+
+
 def counters_hold(discovered: Column, processed: Column, skipped: Column, failed: Column) -> Column:
     return (processed >= 0) & (skipped >= 0) & (failed >= 0) & (processed + skipped + failed <= discovered)
 
