@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
-from ..operators import authz, curation, evidence, ingest, merging, ops, personal, primitives, queue, recovery, search, views, workers
+from ..operators import authz, curation, evidence, ingest, merging, ops, pages, personal, postings, primitives, queue, recovery, search, views, workers
 from ..schemas import Expectation, alias_is_clean, counters_hold, cover_path_is_clean, image_within_bounds, is_sha256, lease_iff_running, path_is_clean, staged_name_is_clean, violations
 from ..sources import files
 from .library import Library, listed
@@ -518,6 +518,19 @@ def _matches(c: DriverCatalog, q: str, user: int | None = None) -> DataFrame:
     return search.matching_works(q, titles, c.location.select(work, "path", "root_id"), people, identifiers, c.tag, denied)
 
 
+def _searched_texts(c: DriverCatalog, display: DataFrame) -> DataFrame:
+    """(work_id, root_id, text) of all that a search looks at; what has no root is seen by all."""
+    work, provisional = F.expr("asset_id div 4").alias("work_id"), F.concat(F.lit("doc-"), F.col("subject_id").cast("string"), F.lit(".txt"))
+    none, of_doc, of_subject = F.lit(None).cast("string").alias("root_id"), F.expr("doc_id div 4").alias("work_id"), F.expr("subject_id div 4").alias("work_id")
+    return primitives.union_all(
+        display.where("field = 'title'").select(of_subject, none, F.coalesce("value", provisional).alias("text")),
+        c.location.select(work, "root_id", F.col("path").alias("text")),
+        c.documents.select(of_doc, F.col("source").alias("root_id"), F.col("source").alias("text")),
+        c.isbn_observation.select(of_subject, none, F.explode(F.array(F.lit("isbn13"), "value")).alias("text")),
+        c.tag.select("work_id", none, F.col("name").alias("text")),
+    )
+
+
 def _match(q: str, user: int | None = None) -> str:
     denied = "" if user is None else f"AND {{root}} NOT IN (SELECT root_id FROM deny WHERE user_id = {user})"
     return f"""SELECT subject_id // 4 AS work_id FROM display WHERE field = 'title' AND contains(lower(coalesce(value, 'doc-' || subject_id || '.txt')), '{q}')
@@ -537,6 +550,32 @@ def search_arms_denied(c):
     return _matches(c, "src1", 3)
 
 
+@query(f"SELECT 'src1' AS query, work_id FROM ({_match('src1', 3)}) UNION ALL SELECT '/doc-1', work_id FROM ({_match('/doc-1', 3)}) UNION ALL SELECT 'n', work_id FROM ({_match('n', 3)})")
+def search_by_postings(c):
+    """Searches of a user to whom roots are denied, over postings of three letters that are stored once; the last query is too short for them."""
+    at_ = primitives.shared_folder(c.spark, "postings")
+    postings.indexed(_searched_texts(c, _display(c, ["title"])), at_)
+    denied = c.deny.where("user_id = 3")
+    return primitives.union_all(*[postings.matching(c.spark, at_, q, denied).select(F.lit(q.strip().lower()).alias("query"), "work_id") for q in (" SRC1 ", "/doc-1", "N")])
+
+
+@query("""SELECT subject_id, coalesce(value, 'doc-' || subject_id || '.txt') AS title FROM display WHERE field = 'title' AND contains(lower(coalesce(value, 'doc-' || subject_id || '.txt')), 'an')
+    ORDER BY title, subject_id LIMIT 20 OFFSET 40""")
+def search_stored_pages(c):
+    """The third page of a search by title over stored tables: the display view is kept up with evidence that comes in two batches, and the hits are sorted once."""
+    store = views.Views(c.spark, primitives.shared_folder(c.spark, "views"))
+    late = F.col("observation_id").startswith("t2-")
+    store.observe(c.title_observation.where(~late))
+    store.override(c.override)
+    store.refresh(at(T3))
+    store.observe(c.title_observation.where(late))
+    store.refresh(at(T3))
+    titles = store.display().where("field = 'title'").select("subject_id", F.coalesce("value", F.concat(F.lit("doc-"), F.col("subject_id").cast("string"), F.lit(".txt"))).alias("title"))
+    hits = primitives.shared_folder(c.spark, "hits")
+    pages.sorted_snapshot(titles.where(primitives.text_contains(F.col("title"), "an")), [F.col("title"), F.col("subject_id")], hits)
+    return pages.page_of(c.spark, hits, 2, 20)
+
+
 @query("SELECT DISTINCT a.work_id FROM location l JOIN asset a USING (asset_id) JOIN work w USING (work_id) WHERE l.availability = 'AVAILABLE' AND w.merged_into_id IS NULL")
 def visible_unrestricted(c):
     return authz.visible_works(None, c.work, c.asset, c.location, c.deny, c.lineage)
