@@ -55,30 +55,38 @@ def only(df: DataFrame, *columns: str) -> DataFrame:
     return df.toDF(*(c if c in columns else f"__{i}" for i, c in enumerate(df.columns))).select(*columns)
 
 
-#: Ranges that range_of() tells apart at most, and how many of them a row is compared with at once.
-MOST_RANGES, _GROUP = 1 << 14, 1 << 7
+#: Ranges that range_of() tells apart at most.
+MOST_RANGES = 1 << 14
 
 
-def range_of(row: Column, kinds: str, bounds: list) -> tuple[Column, Column]:
-    """(the number of the range that a struct falls into, whether it is a bound): how many of the sorted bounds are no greater.
+def range_of(row: Column, kinds: str, bounds: list) -> Column:
+    """A struct (number, bound): how many of the sorted bounds are no greater than the row, a struct, and whether it is one of them.
 
     kinds: the struct's fields as DDL. bounds: rows with those fields, MOST_RANGES at most. They become constants of the
     plan, in two levels, and structs compare as Spark sorts them, nulls first.
     """
     import json
 
-    def literal(values, depth: int) -> Column:
-        return F.from_json(F.lit(json.dumps(values, default=str)), "array<" * depth + f"struct<{kinds}>" + ">" * depth)
-
     if not bounds:
-        return F.lit(0), F.lit(False)
+        return F.struct(F.lit(0).alias("number"), F.lit(False).alias("bound"))
     if len(bounds) > MOST_RANGES:
         raise ValueError(f"{len(bounds)} bounds, more than {MOST_RANGES}")
-    groups = [[b.asDict() for b in bounds[i : i + _GROUP]] for i in range(0, len(bounds), _GROUP)]
-    group = F.size(F.filter(literal([g[0] for g in groups], 1), lambda x: x <= row))
-    inside = F.element_at(literal(groups, 2), F.greatest(group, F.lit(1)))
-    number = F.when(group == 0, 0).otherwise((group - 1) * _GROUP + F.size(F.filter(inside, lambda x: x <= row)))
-    return number, (group > 0) & F.exists(inside, lambda x: x == row)
+    width = int(len(bounds) ** 0.5) + 1
+    groups = [[b.asDict() for b in bounds[i : i + width]] for i in range(0, len(bounds), width)]
+
+    def literal(values, depth: int) -> Column:
+        return F.from_json(F.lit(json.dumps(values, default=str)), "array<" * depth + f"struct<{kinds}>" + ">" * depth)
+
+    def bind(value: Column, then) -> Column:
+        """then(value) with the value computed once."""
+        return F.get(F.transform(F.array(value), then), F.lit(0))
+
+    def placed(x: Column, group: Column) -> Column:
+        inside = F.element_at(literal(groups, 2), F.greatest(group, F.lit(1)))
+        number = F.when(group == 0, 0).otherwise((group - 1) * width + F.size(F.filter(inside, lambda b: b <= x)))
+        return F.struct(number.alias("number"), ((group > 0) & F.exists(inside, lambda b: b == x)).alias("bound"))
+
+    return bind(row.cast(f"struct<{kinds}>"), lambda x: bind(F.size(F.filter(literal([g[0] for g in groups], 1), lambda b: b <= x)), lambda group: placed(x, group)))
 
 
 def held_out(doc_id: Column | str) -> Column:

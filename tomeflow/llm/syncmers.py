@@ -152,17 +152,17 @@ def next_texts(docs: DataFrame) -> DataFrame:
     starts = sorted((r.least for r in dealt.groupBy(F.spark_partition_id()).agg(F.min(row).alias("least")).collect()), key=lambda x: (x.d is not None, *(v for v in x if v is not None)))  # a row a range
     least, bounds = starts[:1], starts[1:]
     fields = f"d:{kind},h:bigint"
-    bucket, is_bound = range_of(row, fields, bounds)
-    is_first = range_of(row, fields, least)[1]
-    own = F.struct(F.col("b").alias("bucket"), F.lit(False).alias("helper"))
+    at = F.struct(range_of(row, fields, bounds).alias("own"), range_of(row, fields, least)["bound"].alias("first"))
+    bucket, is_bound, is_first = F.col("at.own.number").cast("int"), F.col("at.own.bound"), F.col("at.first")
+    own = F.struct(bucket.alias("bucket"), F.lit(False).alias("helper"))
     places = F.array_compact(
         F.array(
             own,
-            F.when(is_bound, F.struct((F.col("b") - 1).alias("bucket"), F.lit(True).alias("helper"))),
+            F.when(is_bound, F.struct((bucket - 1).alias("bucket"), F.lit(True).alias("helper"))),
             F.when(is_first, F.struct(F.lit(len(bounds)).alias("bucket"), F.lit(True).alias("helper"))),
         )
     )
-    placed = docs.withColumn("b", bucket.cast("int")).select(F.inline(places), "doc_id", "text", "hash")
+    placed = docs.withColumn("at", at).select(F.inline(places), "doc_id", "text", "hash")
     return placed.repartition("bucket").sortWithinPartitions("bucket", "helper", F.col("doc_id").asc_nulls_first(), "hash", "text").drop("hash")
 
 
