@@ -146,7 +146,7 @@ class Index:
         """Every document's BM25 score for the ids of `doc`."""
         terms = self.terms[self.at[doc] : self.at[doc + 1]]
         rows = self.dense_row[terms]
-        score = self.dense[rows[rows >= 0]].sum(0, dtype=np.float64)
+        score = self.dense[rows[rows >= 0]].sum(0).astype(np.float64)
         rare = terms[rows < 0]
         if len(rare):
             df = self.df[rare]
@@ -351,16 +351,17 @@ def gathered(ids: DataFrame, corpus: Corpus, dtype: np.dtype) -> DataFrame:
 
     def keys(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         for batch in batches:
             for part in _slices(batch, 2):
                 v, heaviest = shared.value.lexical(_arrays(part.column(2), dtype))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.argmax(v @ fitted.value.T, 1).astype(np.int32)), pa.array(heaviest)], names=["doc_id", "salt", "ids", "centre", "heaviest"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.argmax(v @ fitted.value.T, 1).astype(np.int32)), pa.array(heaviest), pc.cast(pc.binary_length(part.column(2)), pa.int64())], names=["doc_id", "salt", "ids", "centre", "heaviest", "size"])
 
     id_type = ids.schema["doc_id"].dataType.simpleString()
-    keyed = written(ids.mapInArrow(keys, f"doc_id {id_type}, salt long, ids binary, centre int, heaviest long"), "packing-keyed")
+    keyed = written(ids.mapInArrow(keys, f"doc_id {id_type}, salt long, ids binary, centre int, heaviest long, size long"), "packing-keyed")
     # ids by centre and heaviest id, in order, and the salts at which a part of about PART_TOKENS ids ends
-    sizes = keyed.groupBy("centre", "heaviest").agg(F.sum(F.octet_length("ids")).alias("size"))
+    sizes = keyed.groupBy("centre", "heaviest").agg(F.sum("size").alias("size"))
     of_centre = sizes.groupBy("centre").agg(F.sum("size").alias("size")).withColumn("before", F.sum("size").over(Window.orderBy("centre")) - F.col("size")).select("centre", "before")  # CLUSTERS rows
     total = int(corpus.n * corpus.mean) * dtype.itemsize
     part = max(PART_TOKENS * dtype.itemsize, -(-total // (MOST_RANGES - 1)))
@@ -368,8 +369,8 @@ def gathered(ids: DataFrame, corpus: Corpus, dtype: np.dtype) -> DataFrame:
     cuts = sizes.join(F.broadcast(of_centre), "centre").withColumn("begin", begin).withColumn("cut", F.explode(F.sequence(F.ceil(F.col("begin") / part), F.ceil((F.col("begin") + F.col("size")) / part) - 1)))
     found = cuts.where("cut * {0} >= begin and cut * {0} < begin + size".format(part)).select("centre", "heaviest", ((F.col("cut") * part - F.col("begin")) / F.col("size")).alias("share")).collect()  # MOST_RANGES rows at most
     bounds = sorted({(r.centre, r.heaviest, int(r.share * 2.0**64) - (1 << 63)) for r in found})
-    number, _ = range_of(F.struct("centre", "heaviest", "salt"), "centre:int,heaviest:bigint,salt:bigint", [Row(centre=c, heaviest=h, salt=x) for c, h, x in bounds])
-    placed = keyed.withColumn("part", number.cast("int")).repartitionByRange(len(bounds) + 1, "part")
+    at = range_of(F.struct("centre", "heaviest", "salt"), "centre:int,heaviest:bigint,salt:bigint", [Row(centre=c, heaviest=h, salt=x) for c, h, x in bounds])
+    placed = keyed.withColumn("part", at["number"].cast("int")).repartitionByRange(len(bounds) + 1, "part")
     return placed.sortWithinPartitions("part", "centre", "heaviest", "salt", "doc_id").select("part", "doc_id", "ids")
 
 
