@@ -129,3 +129,29 @@ def test_toxicity_stage_drops_what_its_model_says(spark):
     assert kept == {i for i, s in scores.items() if s < 0.7} and 0 < len(scores) - len(kept) < len(scores) / 2
     toxic, clean = ({i for i, r in known.items() if r.toxic == v and i in scores} for v in (1, 0))
     assert toxic and len(toxic - kept) > 0.9 * len(toxic) and len(clean & kept) > 0.9 * len(clean)
+
+
+def test_quality_stage_keeps_what_its_model_says(spark):
+    docs, sf = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["quality"](spark, docs, sf).collect()}
+    scores = {r.doc_id: r.score for r in quality.scored(docs, quality.fitted(docs, labels)).collect()}
+    blank = {r.doc_id for r in docs.collect() if not (r.text or "").strip()}
+    assert kept == {i for i, s in scores.items() if s >= 0.5 and i not in blank} and len(kept) < len(scores)
+
+
+def test_mixing_stage_takes_what_the_mix_says(spark):
+    docs, sf = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), "/root/testdata/sf0.001"
+    copies = {r.doc_id: r.copies for r in mixing.mixed(docs).collect()}
+    found = defaultdict(int)
+    for r in dict(corpus_pipeline.STAGES)["mixing"](spark, docs, sf).collect():
+        found[r.doc_id] += 1
+    assert dict(found) == {i: n for i, n in copies.items() if n}
+
+
+def test_two_maps_of_one_version_are_refused(spark, tmp_path):
+    at = str(tmp_path / "map")
+    sharding.stored(sharding.first_map(spark, 4, 16), at)
+    sharding.stored(sharding.first_map(spark, 5, 16), at)
+    with pytest.raises(ValueError, match="two maps"):
+        sharding.newest(spark, at)

@@ -1,6 +1,5 @@
 """The pipeline's stages on the smallest tables, each against its own input."""
 
-import zlib
 from collections import Counter, defaultdict
 
 import pytest
@@ -39,7 +38,7 @@ def test_stages(spark):
     assert all(n <= 1024 and n & (n - 1) == 0 for n in sequences.values())
     copies = Counter(r.doc_id for r in kept["mixing"][1])
     assert sum(r.length for r in after) == sum(copies[r.doc_id] * r.doc_tokens for r in {r.doc_id: r for r in after}.values())
-    assert zlib.crc32(b"") == 0 and len(after) == corpus_pipeline.run(spark, SF).count()
+    assert len(after) == corpus_pipeline.run(spark, SF).count()
 
 
 EXTRA = ["component", "size", "slot", "label", "row", "score", "predicted", "held_out", "copies", "place", "taken", "level", "node", "ids", "_score", "jaccard_key", "of_source"]

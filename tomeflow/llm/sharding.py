@@ -96,9 +96,13 @@ def stored(slot_map: DataFrame, at: str) -> None:
 
 
 def newest(spark: SparkSession, at: str) -> DataFrame:
-    """The newest version of the map that is stored at `at`."""
+    """The newest version of the map that is stored at `at`. Raises if two writers have added one, as records would be placed twice."""
     maps = spark.read.schema("virtual_slot int, shard int, bytes bigint, version int").parquet(at)
-    return maps.where(F.col("version") == maps.agg(F.max("version")).first()[0])
+    found = maps.where(F.col("version") == maps.agg(F.max("version")).first()[0])
+    rows = found.agg(F.count("*").alias("n"), F.countDistinct("virtual_slot").alias("slots")).first()
+    if rows.n > rows.slots:
+        raise ValueError(f"{at} has two maps of its newest version")
+    return found
 
 
 def _spread(records: DataFrame, slots: int, shards: int) -> DataFrame:
