@@ -60,7 +60,8 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: The classifiers and the packing aren't expressible in SQL; tests/llm/test_pipeline.py checks every stage against brute force.
+#: The classifiers and the packing aren't expressible in SQL. tests/llm holds the two classifiers' stages against their models' scores, near copies
+#: against brute force, the mix against its draw, which test_operators.py has in loops, and the packing by its layout.
 ORACLE_SQL = None
 
 
