@@ -52,6 +52,20 @@ def visible_works(users: DataFrame | None, works: DataFrame, assets: DataFrame,
     return found.join(works.where("merged_into_id is null").select("work_id"), "work_id", "left_semi") if unmerged else found
 
 
+def visible_requests(requests: DataFrame, assets: DataFrame, locations: DataFrame, denies: DataFrame, closed: DataFrame) -> DataFrame:
+    """The requests (user_id, work_id), each once, whose work the user sees, merged or not: visible_works() for these pairs only.
+
+    Starts from the requests, so what is joined grows with them and not with users times works.
+    """
+    asked = requests.select("user_id", "work_id").distinct().join(assets.select("work_id", "asset_id"), "work_id")
+    placed = asked.join(locations.where("availability = 'AVAILABLE'").select("asset_id", "root_id").distinct(), "asset_id")
+    allowed = placed.join(denies.select("user_id", "root_id"), ["user_id", "root_id"], "left_anti").select("user_id", "work_id", "asset_id").distinct()
+    above = allowed.join(closed.select(F.col("start").alias("asset_id"), "ancestor"), "asset_id").select("user_id", "asset_id", "ancestor")
+    roots = locations.select(F.col("asset_id").alias("ancestor"), "root_id").distinct()
+    denied = above.join(roots, "ancestor").join(denies.select("user_id", "root_id"), ["user_id", "root_id"], "left_semi").select("user_id", "asset_id").distinct()
+    return allowed.join(denied, ["user_id", "asset_id"], "left_anti").select("user_id", "work_id").distinct()
+
+
 def curation_visible(users: DataFrame, assets: DataFrame, works: DataFrame, links: DataFrame, locations: DataFrame, denies: DataFrame, closed: DataFrame) -> DataFrame:
     """(user_id, subject_type, subject_id) of works, editions, assets and contributors that a user may curate."""
     seen = visible_assets(users, assets, locations, denies, closed)

@@ -971,7 +971,7 @@ def not_same_decisions(c):
 @query("SELECT user_id, work_id FROM (SELECT DISTINCT user_id % 10 AS user_id, event_id % 50 AS work_id FROM events) JOIN (SELECT DISTINCT user_id, work_id FROM visible_asset) USING (user_id, work_id)")
 def favorites(c):
     asked = c.table("events").select((F.col("user_id") % 10).alias("user_id"), (F.col("event_id") % 50).alias("work_id"), F.col("ts").alias("added_at"))
-    visible = authz.visible_works(c.users, c.work, c.asset, c.location, c.deny, c.lineage, unmerged=False)
+    visible = authz.visible_requests(asked, c.asset, c.location, c.deny, c.lineage)
     return personal.favorites_added(asked.where("false"), asked, visible).select("user_id", "work_id")
 
 
@@ -1018,8 +1018,8 @@ def members_added(c):
 
 @query("SELECT m.collection_id, count(*) AS shown FROM member m JOIN (SELECT DISTINCT user_id, work_id FROM visible_asset) v ON v.user_id = m.collection_id % 10 AND v.work_id = m.work_id GROUP BY m.collection_id")
 def shown_members(c):
-    visible = authz.visible_works(c.users, c.work, c.asset, c.location, c.deny, c.lineage, unmerged=False)
     owners = c.member.select("collection_id").distinct().select("collection_id", (F.col("collection_id") % 10).alias("user_id"))
+    visible = authz.visible_requests(c.member.join(owners, "collection_id"), c.asset, c.location, c.deny, c.lineage)
     return personal.shown_members(c.member, visible, owners).groupBy("collection_id").agg(F.count("*").alias("shown"))
 
 
