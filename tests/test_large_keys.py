@@ -50,3 +50,9 @@ def check(spark, tables, name):
 
 def test_uuids_of_orders_with_long_keys(spark, tables):
     assert check(spark, tables, "identifier_forms").where("l_orderkey >= 65536").count() > 100
+
+
+def test_favourites_never_meet_all_works(spark, tables):
+    """The plan has a row for each favourite and class that its user sees; users times works, or favourites times works, are in no join."""
+    df = check(spark, tables, "favorite_contributors")
+    assert not {"part", "customer"} & {f.split("/")[-2].removesuffix(".parquet") for f in df.inputFiles()}

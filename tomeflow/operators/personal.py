@@ -31,8 +31,20 @@ def favorite_contributors(favorites: DataFrame, contributors: DataFrame, visible
     """
     works = favorites.select("user_id", "contributor_id").distinct().join(links.select("work_id", "contributor_id").distinct(), "contributor_id")
     seen = works.join(visible, ["user_id", "work_id"], "left_semi").select("user_id", "contributor_id").distinct()
-    shown = favorites.join(seen, ["user_id", "contributor_id"], "left_semi").join(contributors.select("contributor_id", "display_name"), "contributor_id")
-    return shown.withColumn("place", position(["user_id"], [F.lower("display_name"), F.col("contributor_id")]))
+    return _by_name(favorites.join(seen, ["user_id", "contributor_id"], "left_semi"), contributors)
+
+
+def favorite_contributors_by_class(favorites: DataFrame, contributors: DataFrame, visible: DataFrame, links: DataFrame) -> DataFrame:
+    """favorite_contributors() where works are seen by class: visible (user_id, class), links (class, contributor_id). A favourite comes once.
+
+    What is joined has a row for each favourite and class that its user sees, never one for each work of the contributor.
+    """
+    seen = favorites.join(visible.select("user_id", "class").distinct(), "user_id").join(links.select("class", "contributor_id").distinct(), ["class", "contributor_id"], "left_semi")
+    return _by_name(seen.drop("class").dropDuplicates(["user_id", "contributor_id"]), contributors)
+
+
+def _by_name(shown: DataFrame, contributors: DataFrame) -> DataFrame:
+    return shown.join(contributors.select("contributor_id", "display_name"), "contributor_id").withColumn("place", position(["user_id"], [F.lower("display_name"), F.col("contributor_id")]))
 
 
 def collections_updated(collections: DataFrame, members: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
