@@ -5,8 +5,10 @@ from datetime import datetime
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
+from tomeflow.operators import primitives
 
 SCHEMAS = {
     "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int",
@@ -56,3 +58,11 @@ def test_favourites_never_meet_all_works(spark, tables):
     """The plan has a row for each favourite and class that its user sees; users times works, or favourites times works, are in no join."""
     df = check(spark, tables, "favorite_contributors")
     assert not {"part", "customer"} & {f.split("/")[-2].removesuffix(".parquet") for f in df.inputFiles()}
+
+
+@pytest.mark.parametrize("name", ["contributor_works"])
+def test_parts_follow_the_rows(spark, tables, monkeypatch, name):
+    """With few partitions a shuffle, what is dealt by keys still comes in parts of bounded size."""
+    monkeypatch.setattr(primitives, "ROWS_A_PART", 50)
+    df = check(spark, tables, name)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4" and df.select(F.spark_partition_id()).distinct().count() > 4

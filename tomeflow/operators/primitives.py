@@ -28,6 +28,15 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: So many rows of a relation that is dealt by keys come to a part, about.
+ROWS_A_PART = 1_000_000
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df, of about so many rows, dealt by keys into parts that don't grow with it: at least as many as the session's shuffles have."""
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // ROWS_A_PART + 1), *keys)
+
+
 def first_per_group(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each group; Spark prunes before the shuffle (WindowGroupLimit)."""
     return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rank = 1").drop("_rank")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.authz import lineage
-from ..operators.primitives import position
+from ..operators.primitives import dealt, position
 from ..schemas import FORMATS
 
 T1, T2, T3 = "2026-01-01 00:00:00", "2026-01-02 00:00:00", "2026-01-03 00:00:00"
@@ -159,7 +159,9 @@ class DriverCatalog:
     @cached_property
     def contributor(self) -> DataFrame:
         """(work_id, contributor_id, ordinal) from parts and their suppliers."""
-        pairs = self.table("lineitem").groupBy(F.col("l_partkey").alias("work_id"), F.col("l_suppkey").alias("contributor_id")).agg(F.min("l_linenumber").alias("line"))
+        lines = self.table("lineitem")
+        named = lines.select(F.col("l_partkey").alias("work_id"), F.col("l_suppkey").alias("contributor_id"), "l_linenumber")
+        pairs = dealt(named, lines.count(), "work_id").groupBy("work_id", "contributor_id").agg(F.min("l_linenumber").alias("line"))
         return pairs.select("work_id", "contributor_id", position(["work_id"], [F.col("line"), F.col("contributor_id")]).cast("bigint").alias("ordinal"))
 
     @cached_property
